@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6_jaccard_join
+from .licenses import op9_licenses
+from .media import op1_media
+from .mixing import op4_mixing
 from .packing import op5_packing
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
+from .topk_search import op7_topk_search
+from .toxicity import op8_toxicity
+from .url_filter import op3_url_filter
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_token_files": op2_token_files,
+    "op3_url_filter": op3_url_filter,
+    "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_topk_search": op7_topk_search,
+    "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
 }
 
