@@ -55,7 +55,14 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    remove(df.sparkSession, df.stored_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table
+from .common import discard, mix64, stored, table
 from .components import connected_components
 from .tokens import Memo
 
@@ -407,8 +407,9 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     pairs = stored(members.join(pivots, "gid").where("mark != pivot").select("pivot", "mark").distinct(), "pairs")
     members = members.drop("m")
     wanted = pairs.select("mark").union(pairs.select(F.col("pivot").alias("mark"))).distinct()
-    texts = stored(_texts(docs, leaves, wanted), "texts")
-    texts = _checked(texts, words)
+    wanted_texts = stored(_texts(docs, leaves, wanted), "texts")
+    release(spark)
+    texts = _checked(wanted_texts, words)
     links = stored(_verified(pairs, texts, words, num, den), "links")
     found = connected_components(links)
     release(spark)
@@ -416,6 +417,8 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     if not rows.isEmpty():
         links = links.union(stored(_descended(rows, texts, words, num, den), "more-links"))
         found = connected_components(links)
+    for done in (wanted_texts, members, pivots, pairs, rows):
+        discard(done)
     classes = leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"))
     named = classes.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
