@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
 def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, leaves: DataFrame) -> DataFrame:
     """(gid, i, j, mark, component): block pairs of nodes whose leaves, without the pivot
     (compared with all already), are in several components."""
-    named = members.join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    named = members.drop("m").join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     rest = named.join(pivots, "gid").where(F.col("mark") != F.col("pivot"))
     sizes = leaves.where("mark is not null").groupBy("mark").agg(F.max("n_shingles").alias("n"))
     open_nodes = rest.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
@@ -405,7 +405,6 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     score = members.groupBy("mark").agg(F.sum(F.col("m") - 1).alias("score"))
     pivots = stored(members.join(score, "mark").groupBy("gid").agg(F.max(F.struct("score", "mark")).alias("x")).select("gid", F.col("x.mark").alias("pivot")), "pivots")
     pairs = stored(members.join(pivots, "gid").where("mark != pivot").select("pivot", "mark").distinct(), "pairs")
-    members = members.drop("m")
     wanted = pairs.select("mark").union(pairs.select(F.col("pivot").alias("mark"))).distinct()
     wanted_texts = stored(_texts(docs, leaves, wanted), "texts")
     release(spark)
