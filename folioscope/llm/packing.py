@@ -80,11 +80,11 @@ def pieces_of(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
     """Pieces of all documents, tokenised once: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        ids_of, end = encoder(path).ids, np.array([end_id], "<u4").tobytes()
+        raw_of, end = encoder(path).raw, np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = ids_of(text).tobytes() + end
+                raw = raw_of(text) + end
                 rows += [(key, p, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(cut(len(raw) // 4, capacity))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

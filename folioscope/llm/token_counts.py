@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import _BYTE_CHUNK, _BYTE_PATTERN, _RARE_SPACE, Memo, encoder, tokenizer_path
+from .tokens import _BYTE_CHUNK, _BYTE_PATTERN, _RARE_SPACE, _RUN, Memo, encoder, tokenizer_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -40,7 +40,7 @@ def whole_tokens(path: str) -> dict[str, int]:
 
 
 class _Whole(dict):
-    """Chunks that are whole tokens are found here; all others are merged, with a memo."""
+    """Pre-tokens that are whole tokens are found here; the rest is merged, with a memo."""
 
     def __init__(self, whole: dict[str, int], merge):
         super().__init__(whole)
@@ -68,19 +68,32 @@ class Counter:
 
         self.pattern = regex.compile(_BYTE_PATTERN)
         self.whole = whole_tokens(path)
-        self.by_chunk = _Whole(self.whole, self._merge)
+        self.first = _Whole({w: n for w, n in self.whole.items() if w[0] != " "} | {"": 0}, self._merge)
+        self.after = _Whole({w[1:]: n for w, n in self.whole.items() if w[0] == " "}, lambda w: self._merge(" " + w))
+        self.chunks = _Whole(self.whole, self._merge)
         self.count = self._count
 
     def _merge(self, chunk: str) -> int:
         """Pre-tokens of the chunk that are whole tokens count one; the others are merged."""
-        return sum(1 if p in self.whole else len(self.enc._piece(p)) // 4 for p in self.pattern.findall(chunk))
+        n = 0
+        if chunk[0] == " " and chunk[1:].isalpha():
+            return len(self.enc.piece(chunk[1:], self.enc.alphabet[32]))
+        for p in self.pattern.findall(chunk):
+            n += 1 if p in self.whole else len(self.enc.piece(p))
+        return n
 
     def _count(self, text: str | None) -> int:
         if not text:
             return 0
-        if _RARE_SPACE.search(text) or any(s in text for s in self.enc.specials):
+        if not self.enc.regular(text):
             return len(self.enc.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.by_chunk.__getitem__, _BYTE_CHUNK.findall(text)))
+        if _RUN.search(text):
+            return sum(map(self.chunks.__getitem__, _BYTE_CHUNK.findall(text)))
+        n, after, lines = 0, self.after.__getitem__, text.split("\n")
+        for line in lines:
+            words = line.split(" ")
+            n += self.first[words[0]] + sum(map(after, words[1:]))
+        return n + len(lines) - 1
 
 
 _COUNTERS: dict[str, Counter] = {}

@@ -13,17 +13,21 @@ from __future__ import annotations
 
 import json
 import re
+import string
+from array import array
 
 import numpy as np
 
 #: Chunks kept in each of the memo's two generations; bounds a worker's memory.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 600_000
+#: ASCII punctuation; apostrophes begin pre-tokens of their own kind.
+TAIL = string.punctuation.replace("'", "")
 #: Chunks longer than this are not kept.
 MEMO_CHARS = 64
 
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _BYTE_CHUNK = re.compile(r" ?[^ \n\r\t]+|[ \n\r\t]+(?![^ \n\r\t])|[ \n\r\t]+")
-_BYTE_WORD = re.compile(r"( ?)([^\W\d_]+)([.,;:!?]*)")
+_RUN = re.compile(r"[ \n]{2}|[\r\t]")
 _BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -73,38 +77,56 @@ class Encoder:
         word = pre.get("type") == "Sequence" and steps == ["NFC", "Replace", "Lowercase"]
         self.kind = "byte" if byte else "word" if word else "whole"
         self.alphabet = byte_alphabet()
-        self.translation = {b: c for b, c in enumerate(self.alphabet)}
-        self.memo = Memo(self._byte_chunk if byte else self._word_chunk)
+        self.translation = dict(enumerate(self.alphabet))
         self.tails = Memo(self._library)
+        if byte:
+            self.first = Memo(lambda w: self._word(w, w, "", w))
+            self.after = Memo(lambda w: self._word(w, w, self.alphabet[32], " " + w))
+            self.chunks = Memo(self._library)
+            self.newline = self._library("\n")
+        else:
+            self.first = Memo(lambda w: self._word(w, w.lower(), "", w))
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        stand_in = text.encode().decode("latin-1").translate(self.translation)
-        return np.array([t.id for t in self.model.tokenize(stand_in)], dtype="<u4").tobytes()
-
-    def _byte_chunk(self, chunk: str) -> bytes:
-        """A chunk of plain letters is one pre-token, so the model alone gives its ids."""
-        m = _BYTE_WORD.fullmatch(chunk)
-        if m and m[2].isalpha() and max(m[2]) < "\u0250":
-            return self._piece(m[1] + m[2]) + (self.tails[m[3]] if m[3] else b"")
-        return self._library(chunk)
-
-    def _word_chunk(self, chunk: str) -> bytes:
-        m = _BYTE_WORD.fullmatch(chunk)
-        if m and not m[1] and m[2].isalpha() and max(m[2]) < "\u0100":
-            return self._piece(m[2].lower()) + (self.tails[m[3]] if m[3] else b"")
-        return self._library(chunk)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str, lead: str = "") -> list[int]:
+        """ids of one pre-token by the model alone."""
+        if not text.isascii() or not text.isalpha():
+            text = text.encode().decode("latin-1").translate(self.translation)
+        return [t.id for t in self.model.tokenize(lead + text)]
+
+    def _word(self, word: str, folded: str, lead: str, whole: str) -> bytes:
+        """Plain letters and the ASCII punctuation after them are a pre-token each."""
+        core = folded.rstrip(TAIL)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0100" or (lead or folded is word) and max(core) < "\u0250"):
+            tail = folded[len(core) :]
+            return array("I", self.piece(core, lead)).tobytes() + (self.tails[tail] if tail else b"")
+        return self._library(whole)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Unsigned 32-bit ids of one text; null counts as empty."""
+        return np.frombuffer(self.raw(text), "<u4")
+
+    def regular(self, text: str) -> bool:
+        """Do the ids of the text's chunks make up its ids?"""
+        return self.kind != "whole" and not _RARE_SPACE.search(text) and not any(s in text for s in self.specials)
+
+    def raw(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return np.empty(0, "<u4")
-        if self.kind == "whole" or _RARE_SPACE.search(text) or any(s in text for s in self.specials):
-            return np.frombuffer(self._library(text), "<u4")
-        chunks = _BYTE_CHUNK.findall(text) if self.kind == "byte" else text.split()
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<u4")
+            return b""
+        if not self.regular(text):
+            return self._library(text)
+        if self.kind == "word":
+            return b"".join(map(self.first.__getitem__, text.split()))
+        if _RUN.search(text):
+            return b"".join(map(self.chunks.__getitem__, _BYTE_CHUNK.findall(text)))
+        lines, after = [], self.after.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append((self.first[words[0]] if words[0] else b"") + b"".join(map(after, words[1:])))
+        return self.newline.join(lines)
 
 
 _ENCODERS: dict[str, Encoder] = {}
