@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from folioscope.plans import relational, retrieval_queries, rule_queries, text_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (text_queries, retrieval_queries, rule_queries, relational):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
