@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.constants import LIMITS
 from folioscope.functions.tokens import words
@@ -63,7 +64,11 @@ def classify(sim: Column, ops: Column | None = None) -> Column:
     return F.when(F.size(ops) == 0, "exact").when(sim < LIMITS.minor_similarity, "mismatch").when((F.size(ops) <= 2) & one, "minor_variant").otherwise("mismatch")
 
 
-@F.udf("array<struct<op:string,printed:array<string>,reference:array<string>,at:int>>", useArrow=True)
+_WORDS = T.ArrayType(T.StringType())
+_DIFF = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("printed", _WORDS), T.StructField("reference", _WORDS), T.StructField("at", T.IntegerType())]))
+
+
+@F.udf(_DIFF, useArrow=True)
 def word_diff(printed, reference):
     """Differences of two word arrays, without equal runs."""
     match = difflib.SequenceMatcher(None, list(printed), list(reference), autojunk=False)

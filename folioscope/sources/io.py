@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-PAGE = T.StructType.fromDDL(
+PAGE = (
     "page_id string, printed int, model string, prompt_version string, page_number_printed string, running_header string, page_level_issues array<string>, "
     "blocks array<struct<order:int,type:string,author_role:string,column:int,text:string,footnote_markers_in_text:array<string>,footnote_marker:string,continues_from_prev:boolean,continues_to_next:boolean,confidence:double,issues:array<string>>>"
 )
-OCR_PAGE = T.StructType.fromDDL("page_id string, engine string, width int, height int, text string, lines array<struct<id:string,bbox:array<int>,text:string,conf:double,words:array<struct<text:string,bbox:array<int>,conf:double>>>>")
-USAGE = T.StructType.fromDDL("ts double, stage string, provider string, model string, input_tokens long, output_tokens long, cost_usd double, cached boolean, seconds double")
+OCR_PAGE = "page_id string, engine string, width int, height int, text string, lines array<struct<id:string,bbox:array<int>,text:string,conf:double,words:array<struct<text:string,bbox:array<int>,conf:double>>>>"
+USAGE = "ts double, stage string, provider string, model string, input_tokens long, output_tokens long, cost_usd double, cached boolean, seconds double"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +25,12 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def read_json_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE) -> DataFrame:
+def read_json_pages(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
     """One JSON document a file, gzip too."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = USAGE) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str = USAGE) -> DataFrame:
     """JSON lines; lines that are no JSON are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
