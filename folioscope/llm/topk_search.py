@@ -56,7 +56,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             near = np.flatnonzero(ids != query_ids[query])
             if not len(near):
                 continue
-            if exact_floats and len(near) > 4 * k:
+            if levels and len(near) > 4 * k:
                 bound = bounds[row, near]
                 head = near[np.argpartition(-bound, 4 * k)[: 4 * k]]
                 least = np.partition(x[head] @ q[query], len(head) - k)[len(head) - k]

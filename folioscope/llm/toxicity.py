@@ -210,7 +210,7 @@ def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
             docs = [hashed(t, memo) for t in texts]
             form = np.array([form_of(t) for t in texts]).reshape(len(texts), FORM)
             p = chain.predict(docs, form)
-            flags = p >= np.array(chain.thresholds)
+            flags = p > np.array(chain.thresholds)
             if keep:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags.tolist(), pa.list_(pa.bool_()))], names=[*columns, "verdicts"])
             else:
