@@ -7,6 +7,7 @@ from .licenses import op9_licenses
 from .media import op1_media
 from .mixing import op4_mixing
 from .packing import op5_packing
+from .sql import OP3_SQL, OP6_SQL, OP7_SQL
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
 from .topk_search import op7_topk_search
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_topk_search": OP7_SQL}

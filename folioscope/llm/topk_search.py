@@ -133,21 +133,3 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
-
-#: Round-trip check in DuckDB: the same integers, all pairs of queries and candidates.
-OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
-  WHERE q.vec_id % 50 = 0
-), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
