@@ -109,13 +109,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     not the query's; a query id that is repeated with the same vector counts
     once; repeated candidates count as often as they come.
     """
+    spark = vectors.sparkSession
     vectors = stored(vectors, "vectors")
     queries = vectors.where(is_query).distinct()
     n = vectors.count()
     blocks = max(1, -(-n // CANDIDATE_BLOCK))
     # Dealt round robin, so that neither ids nor equal vectors make a block large.
     candidates = stored(_packed(vectors.repartition(blocks), CANDIDATE_BLOCK, "x").withColumn("c", F.monotonically_increasing_id()), "candidates")
-    asked = stored(_packed(queries.repartition(max(1, -(-queries.count() // QUERY_BLOCK))), QUERY_BLOCK, "q"), "queries")
+    asked = stored(_packed(queries.repartition(max(1, -(-queries.count() // QUERY_BLOCK))), QUERY_BLOCK, "q").withColumn("q", F.monotonically_increasing_id()), "queries")
 
     def run(batches):
         for b in batches:
@@ -124,8 +125,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                 found = search_block(np.frombuffer(qi.as_py(), "<i8"), np.frombuffer(qv.as_py(), "<i8").reshape(-1, d), np.frombuffer(xi.as_py(), "<i8"), np.frombuffer(xv.as_py(), "<i8").reshape(-1, d), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    met = asked.join(candidates, "dim").select("dim", "q_ids", "q_values", "x_ids", "x_values")
-    best = met.repartition(max(blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, SCHEMA)
+    # Pairs of block numbers first; the blocks join them by number, the candidates' last:
+    # there are many of those, so the work is dealt over as many tasks.
+    pairs = asked.select("q", "dim").join(candidates.select("c", "dim"), "dim").select("q", "c")
+    met = pairs.join(asked, "q").join(candidates.drop("dim"), "c")
+    best = met.select("dim", "q_ids", "q_values", "x_ids", "x_values").mapInArrow(run, SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
