@@ -23,13 +23,11 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, mix64, stored, table
 from .components import connected_components
-from .tokens import Memo
 
 #: Growth of the size ranges.
 RANGE = 1.5
@@ -37,11 +35,70 @@ RANGE = 1.5
 FANOUT = 8
 #: Shingles in one block of a hot node.
 BLOCK_SHINGLES = 1_000_000
+#: Blocks up to which nodes that share leaves are descended as one.
+FAMILY_BLOCKS = 8
 #: Members up to which equal nodes of one partition are recognised as equal.
 KNOWN_MEMBERS = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_memo: Memo | None = None
+#: Multiplier of the words' polynomial hash, its inverse mod 2^64, and their powers.
+_STEP = 0xD1342543DE82EF95
+_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the multiplier and of its inverse, mod 2^64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:  # doubling: the next half is this half times its last step
+                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
+            out.append(p)
+        _POWERS = tuple(out)
+    return _POWERS
+
+
+#: Bytes hashed at once; longer texts are taken in stretches that end between words.
+STRETCH = 1 << 20
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased UTF-8, from their bytes alone."""
+    if len(raw) > STRETCH:
+        cut = max(raw.rfind(c, 0, STRETCH) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut < 0:  # one word longer than a stretch
+            ends = [k for k in (raw.find(c, STRETCH) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0]
+            cut = min(ends, default=len(raw))
+        if cut < len(raw):
+            parts, rest = [], memoryview(raw)
+            while len(rest) > STRETCH:
+                head = bytes(rest[: cut + 1])
+                parts.append(_hashes(head))
+                rest = rest[cut + 1 :]
+                near = bytes(rest[:STRETCH])
+                cut = max(near.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+                if cut < 0:
+                    break
+            return np.concatenate([*parts, _hashes(bytes(rest))])
+    return _hashes(raw)
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.empty(0, np.uint64)
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -50,21 +107,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     A-Z are lower-cased, words are runs without ASCII white space; with fewer
     words, the whole sequence is the one shingle; without words the set is empty.
     """
-    global _memo
-    if not text:
-        return np.empty(0, np.uint64)
-    tokens = text.encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    if _memo is None:
-        _memo = Memo(xxhash.xxh3_64_intdigest)
-    h = np.fromiter(map(_memo.__getitem__, tokens), np.uint64, len(tokens))
-    w = min(words, len(tokens))
-    n = len(tokens) - w + 1
+    h = word_hashes(text.encode().lower()) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    w = min(words, len(h))
+    n = len(h) - w + 1
     acc = mix64(h[:n] + np.uint64(w * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
     for k in range(1, w):
         acc = mix64(acc * _ODD + h[k : k + n])
-    return np.unique(acc)
+    acc.sort()
+    return acc[np.append(True, acc[1:] != acc[:-1])]
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -212,72 +264,73 @@ def spanning_links(sets: list[np.ndarray], groups: list, num: int, den: int) ->
     return found
 
 
-def _leaves(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, n_shingles, mark (fingerprint; null for empty sets) of every row."""
-
-    def run(batches):
-        for b in batches:
-            ids, n, marks = b.column(0).to_pylist(), [], []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, words)
-                n.append(len(s))
-                marks.append(fingerprint(s) if len(s) else None)
-            nodes = [node_of(d, m) if m else None for d, m in zip(ids, marks, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "node", "n_shingles", "mark"])
+def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The leaves and the members of the tree's top nodes, from one pass over the texts.
 
-    return stored(docs.mapInArrow(run, "doc_id long, node long, n_shingles long, mark binary"), "leaves")
-
-
-def _nodes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(gid, node): the members of the tree's top nodes that hold at least two documents.
+    leaves: doc_id, node, n_shingles, mark (fingerprint; null for empty sets) of every row.
+    members: (gid, node) of the nodes that hold at least two documents; nodes with
+    equal members are one node.
 
     A task enters equal sets once. Rows are dealt by key, sorted, and read as a
-    stream; nodes with equal members are one node.
+    stream, so a node of any size passes through a task without being held there.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    names = ["key", "node", "doc_id", "n_shingles", "mark"]
+
+    def batch(key, node, doc_id=None, n=None, mark=None):
+        k = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(doc_id if n else [None] * k, pa.int64()), pa.array(n or [None] * k, pa.int64()), pa.array(mark or [None] * k, pa.binary())], names=names)
 
     def enter(batches):
         ranges, seen = Ranges(num, den), set()
         for b in batches:
-            keys, nodes = [], []
+            keys, nodes, leaves = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(t, words)
-                if len(s):
-                    mark = fingerprint(s)
-                    if mark not in seen:
-                        seen.add(mark)
-                        k = ranges.keys(s)
-                        keys.append(k)
-                        nodes.append(np.full(len(k), node_of(d, mark), np.int64))
+                mark = fingerprint(s) if len(s) else None
+                node = node_of(d, mark) if mark else 0
+                leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, len(s), mark))
+                if mark and mark not in seen:
+                    seen.add(mark)
+                    k = ranges.keys(s)
+                    keys.append(k)
+                    nodes.append(np.full(len(k), node, np.int64))
+            yield batch(*map(list, zip(*leaves, strict=True))) if leaves else batch([], [])
             if keys:
                 key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
                 for i in range(0, len(key), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)]), pa.array(node[i : i + (1 << 18)])], names=["key", "node"])
+                    yield batch(key[i : i + (1 << 18)], node[i : i + (1 << 18)])
 
     def groups(batches):
         known: set[int] = set()
-        names = ["gid", "node"]
-        held_key, held = None, []  # members of the group that is still open
+        held_key, held = None, None  # the group that is still open
         streaming = False
 
-        def row(gid, members):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(members), gid, np.int64)), pa.array(members)], names=names)
+        def rows(gid, members):
+            return batch(np.asarray(gid, np.int64), members)
 
         def close(keys, nodes):
-            """Groups that are complete, all at once."""
-            cut = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            """The groups of at least two, each once a partition: gid and members of every row."""
+            cut = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1))
             size = np.diff(np.append(cut, len(keys)))
             gid = np.add.reduceat(mix64(nodes.view(np.uint64) ^ np.uint64(0x452821E638D01377)), cut)
             gid = mix64(gid + size.astype(np.uint64)).view(np.int64)
-            keep = size > 1
-            for g, c, n in zip(gid[keep].tolist(), cut[keep].tolist(), size[keep].tolist(), strict=True):
-                if g not in known:
-                    known.add(g)
-                    yield g, nodes[c : c + n]
+            keep = np.flatnonzero(size > 1)
+            fresh = np.array([g not in known and not known.add(g) for g in gid[keep].tolist()], bool)
+            keep = keep[fresh] if len(keep) else keep
+            if len(keep):
+                row = np.repeat(np.isin(np.arange(len(cut)), keep), size)
+                return rows(np.repeat(gid[keep], size[keep]), nodes[row])
+            return None
 
         for b in batches:
+            leaf = b.column(3).is_valid()
+            if leaf.true_count:
+                yield b.filter(leaf)
             keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            own = ~leaf.to_numpy(zero_copy_only=False)
+            keys, nodes = keys[own], nodes[own]
             if not len(keys):
                 continue
             fresh = np.append(True, (np.diff(keys) != 0) | (np.diff(nodes) != 0))
@@ -288,7 +341,7 @@ def _nodes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 continue
             if streaming and keys[0] == held_key:  # the rest of a very large group
                 n = int(np.searchsorted(keys, held_key, "right"))
-                yield row(held_key, nodes[:n])
+                yield rows(np.full(n, held_key), nodes[:n])
                 held = nodes[n - 1 : n]
                 keys, nodes = keys[n:], nodes[n:]
                 if not len(keys):
@@ -297,20 +350,20 @@ def _nodes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 keys, nodes = np.concatenate([np.full(len(held), held_key), keys]), np.concatenate([held, nodes])
             streaming = False
             tail = int(np.searchsorted(keys, keys[-1], "left"))
-            out = list(close(keys[:tail], nodes[:tail])) if tail else []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([g for g, _ in out], np.int64), [len(m) for _, m in out])), pa.array(np.concatenate([m for _, m in out]))], names=names)
+            if tail and (out := close(keys[:tail], nodes[:tail])):
+                yield out
             held_key, held = keys[-1], nodes[tail:]
             if len(held) > KNOWN_MEMBERS:
-                yield row(held_key, held)
+                yield rows(np.full(len(held), held_key), held)
                 streaming, held = True, held[-1:]
-        if held_key is not None and not streaming:
-            for g, m in close(np.full(len(held), held_key), np.asarray(held)):
-                yield row(g, m)
+        if held_key is not None and not streaming and (out := close(np.full(len(held), held_key), held)):
+            yield out
 
-    entered = docs.mapInArrow(enter, "key long, node long")
-    dealt = entered.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return stored(dealt.mapInArrow(groups, "gid long, node long"), "nodes")
+    schema = "key long, node long, doc_id long, n_shingles long, mark binary"
+    dealt = docs.mapInArrow(enter, schema).repartition(parts, "key").sortWithinPartitions("key", "node")
+    top = stored(dealt.mapInArrow(groups, schema), "tree-top")
+    leaves = top.where("n_shingles is not null").select("doc_id", F.when(F.col("mark").isNotNull(), F.col("node")).alias("node"), "n_shingles", "mark")
+    return leaves, top.where("n_shingles is null").select(F.col("key").alias("gid"), "node")
 
 
 def _texts(docs: DataFrame, leaves: DataFrame, marks: DataFrame) -> DataFrame:
@@ -358,12 +411,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
 
 def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, leaves: DataFrame) -> DataFrame:
     """(gid, i, j, mark, component): block pairs of nodes whose leaves, without the pivot
-    (compared with all already), are in several components."""
+    (compared with all already), are in several components.
+
+    Nodes that share leaves are descended together, as one family, unless the
+    family is large; so near copies that meet in many nodes are compared once.
+    """
     named = members.drop("m").join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     rest = named.join(pivots, "gid").where(F.col("mark") != F.col("pivot"))
     sizes = leaves.where("mark is not null").groupBy("mark").agg(F.max("n_shingles").alias("n"))
     open_nodes = rest.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
-    rows = stored(rest.join(open_nodes, "gid").join(sizes, "mark").select("gid", "mark", "component", "n"), "unresolved")
+    rows = stored(rest.join(open_nodes, "gid").join(sizes, "mark").select("gid", "pivot", "mark", "component", "n"), "unresolved")
+    if rows.isEmpty():
+        return rows.select("gid", F.lit(0).alias("i"), F.lit(0).alias("j"), "mark", "component")
+    # A node's members are joined in a family through any one of them, here the smallest.
+    links = rows.join(rows.groupBy("gid").agg(F.min("mark").alias("a")), "gid").select("a", F.col("mark").alias("b"))
+    families = connected_components(links).withColumnsRenamed({"node": "mark", "component": "family"})
+    one = rows.select("mark", "component", "n").distinct().join(families, "mark")
+    small = one.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") <= FAMILY_BLOCKS * BLOCK_SHINGLES).select("family")
+    whole = one.join(small, "family").select(F.xxhash64("family").alias("gid"), "mark", "component", "n")
+    apart = rows.join(families, "mark").join(small, "family", "left_anti").select("gid", "mark", "component", "n")
+    rows = whole.union(apart)
     blocks = rows.groupBy("gid").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = rows.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -395,8 +462,8 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    leaves = _leaves(docs, words)
-    nodes = _nodes(docs, words, num, den).distinct()
+    leaves, nodes = _tree_top(docs, words, num, den)
+    nodes = nodes.distinct()
     known = leaves.where("mark is not null").select("node", "mark").distinct()
     members = nodes.join(known, "node").select("gid", "mark").distinct()
     real = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
