@@ -74,7 +74,8 @@ def template_tree(shapes: DataFrame, levels: list[str]) -> DataFrame:
         differs = F.when((k1 > 0) & (k2 > 0), F.when(error > 0, z > DIFFERENT).otherwise(F.lit(False))).otherwise(F.lit(False))
         step = F.when(F.col(level) == "", F.lit("")).when((F.col("kids") == 1) & ~F.col(level).rlike("[#~*]") & ~rare, F.concat(F.lit("/"), F.col(level))).when(rare | ~differs, F.lit("/" + WILD)).otherwise(F.concat(F.lit("/"), F.col(level)))
         named = both.select("host", "template", level, F.concat("template", step).alias("next"))
-        tree = tree.join(named, ["host", "template", level]).drop("template").withColumnRenamed("next", "template")
+        # Written level by level: each level reads the one before several times.
+        tree = stored(tree.join(named, ["host", "template", level]).drop("template").withColumnRenamed("next", "template"), f"tree-{level}")
     return tree
 
 
@@ -93,7 +94,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str =
     worst = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     marked = urls.join(worst, "page_id", "left")
     shapes = marked.groupBy("host", *levels).agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = stored(template_tree(stored(shapes, "shapes"), levels), "templates")
+    tree = template_tree(stored(shapes, "shapes"), levels)
     # One row for the whole corpus: the prior.
     total = tree.agg(F.sum("known"), F.sum("bad")).first()
     prior = float(total[1] or 0) / float(total[0]) if total[0] else 0.0
