@@ -172,17 +172,33 @@ class Ranges:
         return np.concatenate(out) if out else s[:0]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's token bitmap: 64-bit words, a power of two of them, two to four bits a shingle."""
+    width = 1 << max(0, int(np.ceil(np.log2(max(2 * len(s), 64) / 64))))
+    return bitmaps([s], width)[0].tobytes()
+
+
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    bits = np.zeros((len(sets), width), np.uint64)
+    for row, s in enumerate(sets):
+        at = s & np.uint64(width * 64 - 1)
+        np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits
+
+
+def folded(stored_bits: list[bytes], width: int | None = None) -> np.ndarray:
+    """Bitmaps at one width: wider ones are folded, which keeps every token's bit."""
+    rows = [np.frombuffer(b, np.uint64) for b in stored_bits]
+    width = width or min(map(len, rows))
+    return np.array([np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in rows])
+
+
 class Tree:
     """Leaves in order of size; each level ORs the bitmaps of FANOUT nodes below."""
 
-    def __init__(self, sets: list[np.ndarray], width: int):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        self.order = np.lexsort((np.array([s[0] for s in sets]), sizes))
-        bits = np.zeros((len(sets), width), np.uint64)
-        for row, k in enumerate(self.order):
-            at = sets[k] % np.uint64(width * 64)
-            np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        sizes = sizes[self.order]
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        self.order = np.lexsort((bits[:, 0], sizes))
+        bits, sizes = bits[self.order], sizes[self.order]
         extra = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         self.levels = [(bits, sizes, sizes, extra)]
         while len(self.levels[-1][0]) > 1:
@@ -191,9 +207,10 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
 
-def bitmap_width(sets: list[np.ndarray]) -> int:
-    """64-bit words of bitmaps with at least four bits a shingle (two for very large sets)."""
-    return 1 << max(0, int(np.ceil(np.log2(max(4 * max(map(len, sets)), 64) / 64))))
+def tree_of(sets: list[np.ndarray]) -> Tree:
+    """A tree of sets at hand, with at least four bits a shingle."""
+    width = 1 << max(0, int(np.ceil(np.log2(max(4 * max(map(len, sets)), 64) / 64))))
+    return Tree(bitmaps(sets, width), np.array([len(s) for s in sets], np.int64))
 
 
 def surviving_pairs(a: Tree, b: Tree, num: int, den: int, same: bool):
@@ -253,7 +270,7 @@ def spanning_links(sets: list[np.ndarray], groups: list, num: int, den: int) ->
             parent[k] = k = parent[parent[k]]
         return k
 
-    tree = Tree(sets, bitmap_width(sets))
+    tree = tree_of(sets)
     found = []
     for x, y, over in surviving_pairs(tree, tree, num, den, True):
         for i in np.argsort(-over, kind="stable").tolist():
@@ -276,11 +293,11 @@ def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    names = ["key", "node", "doc_id", "n_shingles", "mark"]
+    names = ["key", "node", "doc_id", "n_shingles", "mark", "bits"]
 
-    def batch(key, node, doc_id=None, n=None, mark=None):
+    def batch(key, node, doc_id=None, n=None, mark=None, bits=None):
         k = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(doc_id if n else [None] * k, pa.int64()), pa.array(n or [None] * k, pa.int64()), pa.array(mark or [None] * k, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(doc_id if n else [None] * k, pa.int64()), pa.array(n or [None] * k, pa.int64()), pa.array(mark or [None] * k, pa.binary()), pa.array(bits or [None] * k, pa.binary())], names=names)
 
     def enter(batches):
         ranges, seen = Ranges(num, den), set()
@@ -290,7 +307,7 @@ def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
                 s = shingle_set(t, words)
                 mark = fingerprint(s) if len(s) else None
                 node = node_of(d, mark) if mark else 0
-                leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, len(s), mark))
+                leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, len(s), mark, bitmap(s) if mark else None))
                 if mark and mark not in seen:
                     seen.add(mark)
                     k = ranges.keys(s)
@@ -359,10 +376,10 @@ def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         if held_key is not None and not streaming and (out := close(np.full(len(held), held_key), held)):
             yield out
 
-    schema = "key long, node long, doc_id long, n_shingles long, mark binary"
+    schema = "key long, node long, doc_id long, n_shingles long, mark binary, bits binary"
     dealt = docs.mapInArrow(enter, schema).repartition(parts, "key").sortWithinPartitions("key", "node")
     top = stored(dealt.mapInArrow(groups, schema), "tree-top")
-    leaves = top.where("n_shingles is not null").select("doc_id", F.when(F.col("mark").isNotNull(), F.col("node")).alias("node"), "n_shingles", "mark")
+    leaves = top.where("n_shingles is not null").select("doc_id", F.when(F.col("mark").isNotNull(), F.col("node")).alias("node"), "n_shingles", "mark", "bits")
     return leaves, top.where("n_shingles is null").select(F.col("key").alias("gid"), "node")
 
 
@@ -377,39 +394,52 @@ def _texts(docs: DataFrame, leaves: DataFrame, marks: DataFrame) -> DataFrame:
     return rows
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (pivot, mark) that sizes and bitmaps don't exclude, so that only their texts are moved."""
+    c = classes.select("mark", "n", "bits")
+    p = c.select(F.col("mark").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"))
+    sized = pairs.join(c.select("mark", "n"), "mark").join(p.select("pivot", "pn"), "pivot").where(F.least("n", "pn") * den >= F.greatest("n", "pn") * num)
+    rows = sized.select("pivot", "mark").join(c, "mark").join(p, "pivot").select("pivot", "mark", "n", "pn", "bits", "pbits")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, pn, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                x, y = folded([x, y])
+                over = int(np.bitwise_count(x & y).sum()) + min(n - int(np.bitwise_count(x).sum()), pn - int(np.bitwise_count(y).sum()))
+                keep.append(min(over, n, pn) * (den + num) >= num * (n + pn))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "pivot binary, mark binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (pivot, mark) that link, compared exactly after the tree's bound."""
+    """The pairs (pivot, mark) that link, compared exactly."""
     t = texts.select("mark", "text")
     rows = pairs.join(t, "mark").join(t.select(F.col("mark").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("pivot", "pivot_text", "mark", "text")
 
     def run(batches):
-        last, last_set = None, None
+        last, pivot = None, None
         for b in batches:
-            members: dict[bytes, list] = {}
-            pivots: dict[bytes, str] = {}
-            for p, pt, m, mt in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                pivots.setdefault(p, pt)
-                members.setdefault(p, []).append((m, shingle_set(mt, words)))
             a, c = [], []
-            for p, rest in members.items():
+            for p, pt, m, mt in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if p != last:
-                    last, last_set = p, shingle_set(pivots[p], words)
-                rest = [(m, s) for m, s in rest if len(s)]
-                if not len(last_set) or not rest:
-                    continue
-                sets = [s for _, s in rest]
-                width = bitmap_width([last_set, *sets])
-                for x, _, _ in surviving_pairs(Tree(sets, width), Tree([last_set], width), num, den, False):
-                    for k in x.tolist():
-                        if linked(sets[k], last_set, num, den):
-                            a.append(p)
-                            c.append(rest[k][0])
+                    last, pivot = p, shingle_set(pt, words)
+                if linked(shingle_set(mt, words), pivot, num, den):
+                    a.append(p)
+                    c.append(m)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, leaves: DataFrame) -> DataFrame:
+def _links_of(pairs: DataFrame, docs: DataFrame, leaves: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    wanted = pairs.select("mark").union(pairs.select(F.col("pivot").alias("mark"))).distinct()
+    texts = stored(_checked(_texts(docs, leaves, wanted), words), "texts")
+    return _verified(pairs, texts, words, num, den)
+
+
+def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
     """(gid, i, j, mark, component): block pairs of nodes whose leaves, without the pivot
     (compared with all already), are in several components.
 
@@ -418,7 +448,7 @@ def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, le
     """
     named = members.drop("m").join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     rest = named.join(pivots, "gid").where(F.col("mark") != F.col("pivot"))
-    sizes = leaves.where("mark is not null").groupBy("mark").agg(F.max("n_shingles").alias("n"))
+    sizes = classes.select("mark", "n")
     open_nodes = rest.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
     rows = stored(rest.join(open_nodes, "gid").join(sizes, "mark").select("gid", "pivot", "mark", "component", "n"), "unresolved")
     if rows.isEmpty():
@@ -437,6 +467,27 @@ def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, le
     return rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "mark", "component")
 
 
+def _open_leaves(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The leaves of block pairs that the traversal leaves with a partner in another component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        marks, first = t.column("mark").to_pylist(), {}
+        for k, m in enumerate(marks):
+            first.setdefault(m, k)
+        at = sorted(first.values())
+        _, group = np.unique([t.column("component")[k].as_py() for k in at], return_inverse=True)
+        bits = t.column("bits").to_pylist()
+        tree = Tree(folded([bits[k] for k in at]), t.column("n").to_numpy()[at].astype(np.int64))
+        live = np.zeros(len(at), bool)
+        for x, y, _ in surviving_pairs(tree, tree, num, den, True):
+            apart = group[x] != group[y]
+            live[x[apart]] = live[y[apart]] = True
+        return t.select(["gid", "i", "j", "mark", "component"]).take(pa.array(np.array(at)[live], pa.int64()))
+
+    full = rows.join(classes.select("mark", "n", "bits"), "mark").select("gid", "i", "j", "mark", "component", "n", "bits")
+    return full.groupBy("gid", "i", "j").applyInArrow(run, "gid long, i int, j int, mark binary, component binary")
+
+
 def _descended(rows: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         best: dict[bytes, tuple] = {}
@@ -463,27 +514,28 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     leaves, nodes = _tree_top(docs, words, num, den)
-    nodes = nodes.distinct()
     known = leaves.where("mark is not null").select("node", "mark").distinct()
-    members = nodes.join(known, "node").select("gid", "mark").distinct()
+    members = nodes.distinct().join(known, "node").select("gid", "mark").distinct()
     real = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(members.join(real, "gid"), "members")
+    met = members.select("mark").distinct()
+    classes = stored(leaves.where("mark is not null").join(met, "mark", "left_semi").groupBy("mark").agg(F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
     # A leaf's score is how often it meets others; an unedited original meets all its copies.
     score = members.groupBy("mark").agg(F.sum(F.col("m") - 1).alias("score"))
     pivots = stored(members.join(score, "mark").groupBy("gid").agg(F.max(F.struct("score", "mark")).alias("x")).select("gid", F.col("x.mark").alias("pivot")), "pivots")
-    pairs = stored(members.join(pivots, "gid").where("mark != pivot").select("pivot", "mark").distinct(), "pairs")
-    wanted = pairs.select("mark").union(pairs.select(F.col("pivot").alias("mark"))).distinct()
-    wanted_texts = stored(_texts(docs, leaves, wanted), "texts")
+    pairs = members.join(pivots, "gid").where("mark != pivot").select("pivot", "mark").distinct()
+    pairs = stored(_possible(pairs, classes, num, den), "pairs")
     release(spark)
-    texts = _checked(wanted_texts, words)
-    links = stored(_verified(pairs, texts, words, num, den), "links")
-    found = connected_components(links)
+    links = stored(_links_of(pairs, docs, leaves, words, num, den), "links")
     release(spark)
-    rows = stored(_unresolved(members, pivots, found, leaves), "blocks")
+    found = connected_components(links)
+    blocks = stored(_unresolved(members, pivots, found, classes), "blocks")
+    rows = stored(_open_leaves(blocks, classes, num, den), "open-leaves")
     if not rows.isEmpty():
+        texts = _checked(_texts(docs, leaves, rows.select("mark").distinct()), words)
         links = links.union(stored(_descended(rows, texts, words, num, den), "more-links"))
         found = connected_components(links)
-    for done in (wanted_texts, members, pivots, pairs, rows):
+    for done in (members, classes, pivots, pairs, blocks, rows):
         discard(done)
     classes = leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"))
     named = classes.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
