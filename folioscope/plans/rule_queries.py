@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import textnorm as N
-from folioscope.functions import tokens as T
 from folioscope.operators import gates, metrics, review, spans
 from folioscope.sources.io import as_timestamp, table
 
@@ -122,22 +121,28 @@ def prf(spark, d):
     return metrics.prf(gold, found, ["text_id"], ["passage_id"])
 
 
+def _pairs(spark, d):
+    """(item_id, r, h): the keys of each passage and of the document of its number."""
+    a = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    b = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("b"))
+    return a.join(b, "item_id").select("item_id", N.latin_key(F.col("a")).alias("r"), N.latin_key(F.col("b")).alias("h"))
+
+
 @query(f"""
 WITH p AS (SELECT a.item_id, b.doc_id, left({key_sql('a.text')}, 200) AS r, left({key_sql('b.text')}, 200) AS h FROM benchmark a JOIN documents b ON b.doc_id = a.item_id)
 SELECT item_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r)::DOUBLE WHEN length(h) > 0 THEN 1.0 ELSE 0.0 END, 6) AS cer FROM p""")
 def cer(spark, d):
-    """Character error rate of each passage against the document of its number (the heads of both)."""
-    a = table(spark, d, "benchmark").select("item_id", F.substring(N.latin_key(F.col("text")), 1, 200).alias("r"))
-    b = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring(N.latin_key(F.col("text")), 1, 200).alias("h"))
-    return a.join(b, "item_id").select("item_id", F.round(metrics.cer(F.col("r"), F.col("h")), 6).alias("cer"))
+    """Character error rate of each passage against the document of its number, over whole texts.
+
+    The SQL compares the first 200 characters only, so it agrees where neither text is longer.
+    """
+    return _pairs(spark, d).select("item_id", F.round(metrics.cer(F.col("r"), F.col("h")), 6).alias("cer"))
 
 
 @query()
 def wer(spark, d):
-    """Word error rate of each passage against the document of its number (first words of both)."""
-    a = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.words(N.latin_key(F.col("text"))), 1, 60), " ").alias("r"))
-    b = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array_join(F.slice(T.words(N.latin_key(F.col("text"))), 1, 60), " ").alias("h"))
-    return a.join(b, "item_id").select("item_id", F.round(metrics.wer(F.col("r"), F.col("h")), 6).alias("wer"))
+    """Word error rate of each passage against the document of its number, over whole texts."""
+    return _pairs(spark, d).select("item_id", F.round(metrics.wer(F.col("r"), F.col("h")), 6).alias("wer"))
 
 
 @query("SELECT count(*) AS n, count_if(one) AS consistent, round(avg(CASE WHEN one THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT user_id, count(DISTINCT event_type) = 1 AS one FROM events GROUP BY 1)")
