@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from folioscope.constants import LIMITS
 
 from .spans import ngrams
 
+#: Questions that are scored together, and texts.
+QUERY_BLOCK, TEXT_BLOCK = 256, 512
+
 
 def postings(texts: DataFrame) -> DataFrame:
     """(term, id, tf) of texts (id, words)."""
@@ -79,6 +84,143 @@ def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.groupBy("qid", "id").agg(F.max(F.round(dot(F.col("vec"), F.col("qvec")), 6)).alias("score"))
 
 
+def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best scores above -inf of distinct ids, ties to the smaller id."""
+    k = n
+    while True:
+        keep = np.arange(len(scores)) if k >= len(scores) else np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        keep = keep[scores[keep] > -np.inf]
+        order = keep[np.lexsort((ids[keep], -scores[keep]))]
+        first = np.sort(np.unique(ids[order], return_index=True)[1])
+        if len(first) >= n or k >= len(scores):
+            return order[first[:n]]
+        k *= 2
+
+
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded to six places like Spark's round."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+
+class Tops:
+    """The n best ids of each question so far."""
+
+    def __init__(self, qids: np.ndarray, n: int):
+        self.qids, self.n = qids, n
+        self.scores = [np.empty(0)] * len(qids)
+        self.ids = [np.empty(0, np.int64)] * len(qids)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores (ids, questions from ``first`` on); -inf is no hit."""
+        for q in range(scores.shape[1]):
+            at, column = first + q, scores[:, q]
+            least = self.scores[at][-1] if len(self.scores[at]) == self.n else -np.inf
+            new = np.flatnonzero((column >= least) & (column > -np.inf))
+            if len(new):
+                s, i = np.concatenate([self.scores[at], column[new]]), np.concatenate([self.ids[at], ids[new]])
+                k = best(s, i, self.n)
+                self.scores[at], self.ids[at] = s[k], i[k]
+
+    def batch(self) -> pa.RecordBatch:
+        sizes = [len(s) for s in self.scores]
+        flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qids, sizes)), pa.array(flat(self.ids, np.int64)), pa.array(flat(self.scores, float))], names=["qid", "id", "score"])
+
+
+def merged(found: DataFrame, n: int) -> DataFrame:
+    """The n best of each question from the bests of all partitions."""
+    return ranked(found.groupBy("qid", "id").agg(F.max("score").alias("score")), n)
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """(qid, id, score, rank): the n best other ids of each question by inner product.
+
+    Questions (qid, qvec) are held by the driver and scored in blocks against each
+    Arrow batch of vectors (id, vec); a partition gives its n best of each. Rows
+    without a vector are no hits.
+    """
+    asked = queries.where("qvec is not null").select(F.col("qid").cast("long"), F.col("qvec").cast("array<double>")).toArrow().combine_chunks()
+    qids = asked.column(0).to_numpy()
+    q = np.array(asked.column(1).combine_chunks().flatten()).reshape(len(qids), -1) if len(qids) else np.empty((0, 0))
+
+    def run(batches):
+        tops = Tops(qids, n)
+        for b in batches:
+            if not b.num_rows or not len(qids):
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            v = np.array(b.column(1).flatten()).reshape(len(ids), -1)
+            for a in range(0, len(qids), QUERY_BLOCK):
+                scores = half_up(v @ q[a : a + QUERY_BLOCK].T)
+                scores[ids[:, None] == qids[None, a : a + QUERY_BLOCK]] = -np.inf
+                tops.add(a, scores, ids)
+        yield tops.batch()
+
+    rows = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return merged(rows.mapInArrow(run, "qid long, id long, score double"), n)
+
+
+def bm25_top(texts: DataFrame, queries: DataFrame, n: int, k1: float = LIMITS.bm25_k1, b: float = LIMITS.bm25_b) -> DataFrame:
+    """(qid, id, score, rank): ``bm25`` and its n best, for texts (id, key) with one row an id.
+
+    The questions' terms (qid, qterm) are held by the driver. One pass counts the
+    texts with each of them, one scores all questions, in blocks, against blocks of
+    texts; a partition gives its n best of each question, so no row is made for a
+    pair of a question and a text that share common words only.
+    """
+    asked = sorted((r.qid, r.qterm) for r in queries.select("qid", "qterm").distinct().collect())
+    terms = {t: k for k, t in enumerate(sorted({t for _, t in asked}))}
+    rows = texts.select(F.col("id").cast("long").alias("id"), "key")
+
+    def count(batches):
+        df, size, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            for key in batch.column(1).to_pylist():
+                words = key.split()
+                size, total = size + 1, total + len(words)
+                for t in set(words) & terms.keys():
+                    df[terms[t]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(terms))), pa.array(np.concatenate([[size, total], df]).astype(np.int64))], names=["term", "n"])
+
+    # One row a term of a question, and two totals.
+    counted = {r.term: r.n for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    size, average = counted.get(-2, 0), counted.get(-1, 0) / max(counted.get(-2, 0), 1)
+    qids = np.array(sorted({q for q, _ in asked}), np.int64)
+    place = {q: k for k, q in enumerate(qids.tolist())}
+    blocks = []
+    for a in range(0, len(qids), QUERY_BLOCK):
+        own = [(place[q] - a, t) for q, t in asked if a <= place[q] < a + QUERY_BLOCK]
+        column = {t: k for k, t in enumerate(sorted({t for _, t in own}))}
+        weight = np.zeros((len(column), min(QUERY_BLOCK, len(qids) - a)))
+        for q, t in own:
+            df = counted.get(terms[t], 0)
+            raw = np.log((size - df + 0.5) / (df + 0.5))
+            weight[column[t], q] = raw if raw > 0 else 1e-6
+        blocks.append((a, column, weight))
+
+    def run(batches):
+        tops = Tops(qids, n)
+        for batch in batches:
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for start in range(0, batch.num_rows, TEXT_BLOCK):
+                ids = all_ids[start : start + TEXT_BLOCK]
+                texts = [key.split() for key in batch.column(1).slice(start, TEXT_BLOCK).to_pylist()]
+                length = k1 * (1 - b + b * np.array([len(t) for t in texts]) / (average or 1))
+                for a, column, weight in blocks:
+                    part = np.zeros((len(ids), len(column)))
+                    for d, words in enumerate(texts):
+                        hits = [column[w] for w in words if w in column]
+                        if hits:
+                            part[d] = np.bincount(hits, minlength=len(column))
+                    d, t = np.nonzero(part)
+                    part[d, t] *= (k1 + 1) / (part[d, t] + length[d])
+                    scores = part @ weight
+                    tops.add(a, np.where(scores > 0, half_up(scores), -np.inf), ids)
+        yield tops.batch()
+
+    return merged(rows.mapInArrow(run, "qid long, id long, score double"), n)
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, most: int = LIMITS.phrase_cap) -> DataFrame:
     """(qid, id, rank): texts (id, key, words) with the phrase (qid, phrase, words) as whole words.
 
