@@ -110,8 +110,10 @@ WITH {GRAMS}, {_BEST}
 SELECT passage_id, text_id, start, similarity, CASE WHEN similarity = 1 THEN 'exact' WHEN similarity >= 0.85 THEN 'minor_variant' ELSE 'mismatch' END AS status
 FROM sim WHERE similarity >= 0.6""")
 def passage_verify(spark, d):
+    """Every voted start of every text, at the best of the lengths within two words of the passage's."""
     passages, texts = streams(spark, d)
-    rows = spans.windows(spans.best_starts(spans.votes(passages, texts), 3), passages, texts)
+    rows = spans.windows(spans.votes(passages, texts), passages, texts, slack=2)
+    rows = rows.groupBy("passage_id", "text_id", "start").agg(F.max("similarity").alias("similarity"))
     return rows.where("similarity >= 0.6").select("passage_id", "text_id", F.col("start").cast("long"), "similarity", spans.classify(F.col("similarity")).alias("status"))
 
 
@@ -119,12 +121,18 @@ def passage_verify(spark, d):
 WITH {GRAMS}, {_BEST}
 SELECT passage_id, CAST(row_number() OVER (PARTITION BY passage_id ORDER BY similarity DESC, votes DESC, text_id, start) AS BIGINT) AS place, text_id, start, similarity FROM sim""")
 def span_candidates(spark, d):
+    """Each passage's three best texts, by their best window: all voted starts and those next to
+    them, at the lengths within one word of the passage's, are compared before any is left out."""
     from pyspark.sql import Window
 
     passages, texts = streams(spark, d)
-    rows = spans.windows(spans.best_starts(spans.votes(passages, texts), 3), passages, texts)
+    starts = spans.votes(passages, texts).withColumn("start", F.explode(F.array(*[F.struct((F.col("start") + k).alias("start"), (F.col("votes") if k == 0 else F.lit(0).cast("long")).alias("votes")) for k in (-1, 0, 1)])))
+    starts = starts.select("passage_id", "text_id", "start.*").groupBy("passage_id", "text_id", "start").agg(F.max("votes").alias("votes"))
+    rows = spans.windows(starts, passages, texts, slack=1)
+    best = F.max(F.struct("similarity", "votes", (-F.col("start")).alias("first"))).alias("b")
+    rows = rows.groupBy("passage_id", "text_id").agg(best).select("passage_id", "text_id", "b.similarity", "b.votes", (-F.col("b.first")).alias("start"))
     w = Window.partitionBy("passage_id").orderBy(F.desc("similarity"), F.desc("votes"), "text_id", "start")
-    return rows.select("passage_id", F.row_number().over(w).cast("long").alias("place"), "text_id", F.col("start").cast("long"), "similarity")
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("passage_id", "place", "text_id", F.col("start").cast("long"), "similarity")
 
 
 @query(f"""
