@@ -10,6 +10,7 @@ from folioscope.operators import chunking, spans, structure
 from folioscope.sources.io import table
 
 from .registry import GRAMS, key_sql, registry, words_sql
+from .retrieval_queries import lexical
 
 QUERIES, ORACLES, query = registry()
 
@@ -251,12 +252,12 @@ n AS (SELECT h.qid, v.id, min(h.rank * 10 + o.i) AS k FROM h JOIN u ON u.id = h.
       WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.qid = h.qid AND x.id = v.id) GROUP BY 1, 2)
 SELECT qid, id, CAST(place AS BIGINT) AS place FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY k, id) AS place FROM n) WHERE place <= 3""")
 def neighbours(spark, d):
-    """Neighbours of the two hits of ten questions (documents 0 to 19 stand in for the hits)."""
+    """Neighbours of the first two hits of every question of ``bm25_topk`` (the SQL takes documents 0 to 19 for hits)."""
     from pyspark.sql import Window
 
     docs = table(spark, d, "documents")
     units = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), F.col("lang").alias("kind"), F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("pos"))
-    hits = docs.where("doc_id < 20").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
+    hits = lexical(spark, d, 2).select("qid", "id", "rank")
     return chunking.neighbours(hits, units).withColumn("place", F.col("place").cast("long"))
 
 

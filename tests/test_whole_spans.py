@@ -28,3 +28,11 @@ def test_candidates_are_ranked_by_their_best_window(spark, tmp_path):
     rows = sorted((r.place, r.text_id, r.start, r.similarity) for r in Q.span_candidates(spark, str(tmp_path)).collect())
     # Most of its trigrams vote for -1, whose window begins with the text.
     assert [r[1] for r in rows] == [3, 0, 1] and rows[0] == (1, 3, -1, round(1 - 5 / len(" ".join(words)), 6))
+
+
+def test_neighbours_of_the_hits_of_every_question(spark, tmp_path):
+    docs = [(i, "common words here" if i not in (40, 50) else "zebra quagga okapi", "en", "s") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(31, "the zebra and the okapi")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.qid, r.place, r.id) for r in Q.neighbours(spark, str(tmp_path)).collect())
+    assert got == [(31, 1, 39), (31, 2, 41), (31, 3, 38)]
