@@ -31,16 +31,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents that five-word shingles link at 0.8 or more, the smallest id stays.
 
     Rows without id come after all ids, by a hash of their text; documents
-    without words stay; of rows with a kept id and the same text, one stays.
+    without words stay. Rows are judged one by one: a repeated id whose texts
+    are not linked keeps each of them, and of linked rows with one id one stays.
     """
     without = F.lit(1 << 62) + F.pmod(F.xxhash64("text", "source"), F.lit(1 << 61))
     keyed = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), without))
+    if not keyed.groupBy("place").count().where("count > 1").isEmpty():  # no key of a row then: each gets a stored one
+        keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+        found = stored(jaccard_components(keyed, words=5, num=80, den=100, id_col="row"), "near-duplicates")
+        rows = found.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select("row", "place"), "row")
+        first = rows.groupBy("component_id").agg(F.min(F.struct("place", "row")).alias("first"))
+        return keyed.join(first.select("first.row"), "row", "left_semi").select(docs.columns)
     found = stored(jaccard_components(keyed, words=5, num=80, den=100, id_col="place"), "near-duplicates")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("place")).distinct()
-    kept = keyed.join(gone, "place", "left_anti")
-    if not found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["place", "text"])
-    return kept.select(docs.columns)
+    return keyed.join(gone, "place", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
