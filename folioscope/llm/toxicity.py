@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .tokens import Memo
 
 #: Labelled documents that the models are fitted on, at most.
-SAMPLE = 5_000
+SAMPLE = 12_000
 FOLDS = 3
 #: Words that one model weighs, at most, and documents a word must be in.
 WORDS, LEAST_DOCS = 400, 5
@@ -171,7 +171,11 @@ def hashed(text: str | None, memo: Memo) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE, seed: int = 7) -> list:
-    """At most ``most`` labelled documents, the smallest by a hash of their id, with hashed words."""
+    """At most ``most`` labelled documents, the smallest by a hash of their id, with hashed words.
+
+    Words of fewer than LEAST_DOCS of them weigh nothing in any model; executors
+    count them and leave them out, so the driver never holds them.
+    """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in names])
     sample = marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("doc_id", *names, "text")
@@ -185,7 +189,23 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names) + 1)), pa.array(h, pa.binary()), pa.array(f, pa.binary())], names=["doc_id", *names, "words", "form"])
 
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in names) + ", words binary, form binary"
-    return sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r.doc_id, bytes(r.words)))
+    rows = stored(rows.mapInArrow(run, schema), "labelled-sample")
+
+    def each(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["word"])
+
+    common = rows.select("words").mapInArrow(each, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).select("word")
+    known = np.sort(common.toArrow().column(0).to_numpy().view(np.uint64))
+
+    def cut(batches):
+        for b in batches:
+            k = len(names) + 1
+            docs = [np.frombuffer(w, np.uint64) for w in b.column(k).to_pylist()]
+            kept = [d[np.isin(d, known, assume_unique=True)].tobytes() for d in docs]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(kept, pa.binary()), b.column(k + 1)], names=b.schema.names)
+
+    return sorted(rows.mapInArrow(cut, schema).collect(), key=lambda r: (r.doc_id, bytes(r.words)))
 
 
 def fit_chain(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE) -> Chain:
