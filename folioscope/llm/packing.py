@@ -1,4 +1,4 @@
-"""Best-fit packing in bulk-synchronous supersteps.
+"""Best-fit packing, planned in supersteps on the driver over counts of lengths.
 
 Documents and gaps are integers up to the capacity, so all documents of one
 length are alike up to their rank, and so are all open sequences with one gap.
