@@ -1,44 +1,53 @@
 """Exact n-gram Jaccard self-join by signature trees.
 
-A document is the set of its word shingles (64-bit hashes). Sets that link
-differ in few shingles, so if a size range's shingles are dealt into more parts
-than two such sets can differ in, they agree on a whole part. The top of the
-tree is keyed by this: a node holds the documents of one size range that agree
-on one part of their shingles. Every linked pair shares a node, no node needs a
-global count, and no pair of unrelated documents meets in a node unless it
-agrees on all shingles of a part. Sets so sparse that empty parts could hide
-their agreement also enter the nodes of their smallest hashes (prefix filter).
-
-Below, a node is a tree of leaves (documents): inner nodes hold the OR of token
-bitmaps and the range of sizes. A dual traversal descends into pairs of nodes
-whose largest possible overlap suffices, and compares the surviving leaves
-exactly. It runs in two supersteps: each node's most connected leaf against all
-others first; then, only in nodes whose leaves are still in several components,
-all against all, hot nodes in blocks.
+A document is the set of its word shingles (64-bit hashes); it is a leaf with
+its size and a token bitmap. The forest has three levels of nodes:
+
+* Top nodes hold the documents that agree on one of their rarest shingles. All
+  sets are ordered by one global order, rarest first; linked sets share a
+  shingle among the few that come first in both (prefix lengths below), so each
+  linked pair shares a top node. The order comes from counts of all shingles of
+  all documents in a table of fixed size; any order is correct, a good one keeps
+  passages that many documents share out of the top.
+* Under a top node stands a tree whose inner nodes hold the OR of token bitmaps
+  and the range of sizes. A dual traversal descends into pairs of nodes whose
+  largest possible overlap suffices. What it can't exclude joins leaves into
+  families; every link lies inside one family.
+* A family's leaves form a tree again, now with their texts at hand: the same
+  traversal prunes, and surviving leaves are compared exactly.
+
+Both traversals run as ``_search``: nodes of bounded weight in one task; a
+heavier one in slots, first each slot with the node's best connected leaf, then
+only leaves outside that leaf's component against the slots, in blocks.
 """
 
 from __future__ import annotations
 
 import gc
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, stored, table
+from .common import discard, join_hot, mix64, stored, table
 from .components import connected_components
 
-#: Growth of the size ranges.
-RANGE = 1.5
 #: Leaves under one inner node.
 FANOUT = 8
-#: Shingles in one block of a hot node.
-BLOCK_SHINGLES = 1_000_000
-#: Blocks up to which nodes that share leaves are descended as one.
-FAMILY_BLOCKS = 8
+#: Leaves of a top node, and shingles of a family, that one task takes.
+NODE_LEAVES = 8192
+FAMILY_SHINGLES = 4_000_000
+#: Leaves that are compared with all others of a task before the traversal.
+STARS = 3
 #: Members up to which equal nodes of one partition are recognised as equal.
 KNOWN_MEMBERS = 1 << 16
+#: Cells of the table of shingle counts, and cells in one stored row of it.
+CELLS, CHUNK = 1 << 22, 1 << 16
+_CELL_SHIFT = np.uint64(64 - 22)
+#: Bits of the filter by which texts of wanted sets are told apart (1 MiB).
+FILTER_BITS = 1 << 23
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of the words' polynomial hash, its inverse mod 2^64, and their powers.
@@ -124,52 +133,65 @@ def fingerprint(s: np.ndarray) -> bytes:
     return b"".join(int(mix64(s ^ np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "little") for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
-def node_of(doc_id: int | None, mark: bytes) -> int:
-    """The document's number inside the join; null ids get a negative one from their set."""
-    return doc_id if doc_id is not None else -(int.from_bytes(mark[:8], "little") >> 2) - 1
-
-
-class Ranges:
-    """Size ranges, the parts of each, and the keys of a set."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.starts, self.parts, self.differ = [1], [], []
-
-    def _grow(self, size: int) -> None:
-        while self.starts[-1] <= size:
-            low = self.starts[-1]
-            high = max(low + 1, -(-int(low * RANGE * 100) // 100))
-            differ = 2 * (high - 1) * (self.den - self.num) // (self.den + self.num)
-            empty = (differ + 1) * np.exp(-(self.num * low / self.den) / (differ + 1))
-            self.differ.append(differ)
-            self.parts.append(differ + 1 + int(np.ceil(empty + 2.5 * np.sqrt(empty))))
-            self.starts.append(high)
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """64-bit keys; two different linked sets share at least one."""
-        n = len(s)
-        if not n:
-            return s
-        most = n * self.den // self.num
-        self._grow(most)
-        first = np.searchsorted(self.starts, n, "right") - 1
-        last = np.searchsorted(self.starts, most, "right") - 1
-        spread, mixed = mix64(s), mix64(s ^ np.uint64(0xA4093822299F31D0))
-        out, sparse = [], False
-        for r in range(first, last + 1):
-            differ, k = self.differ[r], self.parts[r]
-            if not differ:  # only equal sets link, and these are one document here
-                continue
-            part = (spread % np.uint64(k)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-            sums = np.add.reduceat(mixed[order], cut)
-            out.append(mix64(sums ^ mix64(part[order][cut].astype(np.uint64) * _ODD + np.uint64(r))))
-            sparse |= len(cut) <= differ
-        if sparse:
-            out.append(mix64(s[: n - -(-n * self.num // self.den) + 1] ^ np.uint64(0x082EFA98EC4E6C89)))
-        return np.concatenate(out) if out else s[:0]
+def node_of(mark: bytes) -> int:
+    """A set's number inside the top of the tree: 62 bits of its fingerprint."""
+    return int.from_bytes(mark[:8], "little") >> 2
+
+
+def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
+    """How common a shingle is, for each cell of its hash: eighths of log2 of the number of
+    shingles in the cell, over all documents. 4 MiB, whatever the input."""
+
+    def count(batches):
+        total, waiting, n = np.zeros(CELLS, np.int64), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t, words)
+                waiting.append((s >> _CELL_SHIFT).astype(np.int64))
+                n += len(s)
+                if n > CELLS // 4:
+                    total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    waiting, n = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+        for k in range(CELLS // CHUNK):
+            cells = total[k * CHUNK : (k + 1) * CHUNK]
+            if cells.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.setdefault(k, np.zeros(CHUNK, np.int64))
+                total[k] += np.frombuffer(zlib.decompress(c), "<u4")
+        level = [np.minimum(255, np.round(8 * np.log2(1.0 + c))).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["chunk", "cells"])
+
+    schema = "chunk int, cells binary"
+    chunks = docs.select("text").mapInArrow(count, schema).repartition(CELLS // CHUNK, "chunk").mapInArrow(add, schema)
+    levels = np.zeros(CELLS, np.uint8)
+    for r in chunks.collect():
+        levels[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.uint8)
+    return levels
+
+
+def prefix(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The set's rarest shingles, and how many of them are its short prefix.
+
+    Of two linked sets, the smaller one's short prefix and the larger one's
+    whole prefix share a shingle: an overlap of at least t leaves at most
+    len - t shingles of a set outside it, and t is at least num / den of the
+    larger size and 2 num / (num + den) of the smaller.
+    """
+    n = len(s)
+    long = n - -(-n * num // den) + 1
+    short = n - -(-2 * n * num // (num + den)) + 1
+    level = levels[(s >> _CELL_SHIFT).astype(np.int64)]
+    if long < n // 2:
+        least = np.partition(level, long - 1)[long - 1]
+        s, level = s[level <= least], level[level <= least]
+    return s[np.lexsort((s, level))[:long]], short
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -206,15 +228,51 @@ class Tree:
             at = np.arange(0, len(bits), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
+    def labelled(self, label: np.ndarray) -> list[np.ndarray]:
+        """Each node's label where all its leaves have one, else -1."""
+        low = high = label[self.order]
+        out = [low]
+        for level in self.levels[1:]:
+            at = np.arange(0, len(low), FANOUT)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append(np.where(low == high, low, -1))
+            assert len(low) == len(level[0])
+        return out
+
+    def star(self, center: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaves, center, largest possible overlap) of the leaves that may link with one."""
+        bits, sizes, _, extra = self.levels[0]
+        at = int(np.flatnonzero(self.order == center)[0])
+        over = np.minimum(np.bitwise_count(bits & bits[at]).sum(axis=1).astype(np.int64) + np.minimum(extra, extra[at]), np.minimum(sizes, sizes[at]))
+        keep = over >= -(-num * (sizes + sizes[at]) // (den + num))
+        keep[at] = False
+        return self.order[keep], np.full(int(keep.sum()), center), over[keep]
+
+    def central(self, among: np.ndarray) -> int:
+        """Of some leaves, the one whose bits most of them have."""
+        bits = self.levels[0][0]
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        some = bits[rank[among[:: max(1, len(among) // 512)]]]
+        loose = np.unpackbits(some.view(np.uint8), axis=1).astype(np.float32)
+        score = loose @ loose.sum(axis=0) / np.maximum(loose.sum(axis=1), 1)
+        return int(among[:: max(1, len(among) // 512)][int(np.argmax(score))])
+
 
 def tree_of(sets: list[np.ndarray]) -> Tree:
-    """A tree of sets at hand, with at least four bits a shingle."""
-    width = 1 << max(0, int(np.ceil(np.log2(max(4 * max(map(len, sets)), 64) / 64))))
+    """A tree of sets at hand, with at least four bits a shingle of a set of average size."""
+    mean = sum(map(len, sets)) / len(sets)
+    width = 1 << max(0, int(np.ceil(np.log2(max(4 * mean, 64) / 64))))
     return Tree(bitmaps(sets, width), np.array([len(s) for s in sets], np.int64))
 
 
-def surviving_pairs(a: Tree, b: Tree, num: int, den: int, same: bool):
-    """Arrays of leaf pairs (of a, of b, largest possible overlap) that the traversal can't exclude."""
+def surviving_pairs(a: Tree, b: Tree, num: int, den: int, same: bool, label_a=None, label_b=None):
+    """Arrays of leaf pairs (of a, of b, largest possible overlap) that the traversal can't exclude.
+
+    Node pairs whose leaves all have one label are left out.
+    """
+    if label_a is not None:
+        label_a, label_b = a.labelled(label_a), b.labelled(label_b)
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, x, y = stack.pop()
@@ -227,6 +285,8 @@ def surviving_pairs(a: Tree, b: Tree, num: int, den: int, same: bool):
         keep = (over >= need) & (ahigh[x] * den >= blow[y] * num) & (bhigh[y] * den >= alow[x] * num)
         if same and la == lb:
             keep &= (x < y) if la == 0 else (x <= y)
+        if label_a is not None:
+            keep &= (label_a[la][x] != label_b[lb][y]) | (label_a[la][x] < 0)
         x, y, need, over = x[keep], y[keep], need[keep], over[keep]
         if len(x):
             step = max(1, 4_000_000 // abits.shape[1])
@@ -258,62 +318,128 @@ def linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return common > 0 and den * common >= num * (len(s) + len(t) - common)
 
 
-def spanning_links(sets: list[np.ndarray], groups: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join all linked sets into the same components; sets of one group count as joined."""
-    parent = list(range(len(sets)))
-    first: dict = {}
-    for k, g in enumerate(groups):
-        parent[k] = first.setdefault(g, k)
+class Forest:
+    """Union-find over the leaves of a task, with the links that joined them."""
+
+    def __init__(self, n: int, test):
+        self.parent, self.test, self.links = np.arange(n), test, []
 
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def _find(self, k: int) -> int:
+        p = self.parent
+        while p[k] != k:
+            p[k] = k = p[p[k]]
         return k
 
-    tree = tree_of(sets)
-    found = []
-    for x, y, over in surviving_pairs(tree, tree, num, den, True):
+    def join(self, x: np.ndarray, y: np.ndarray, over: np.ndarray) -> None:
+        """Tests pairs of different components, the likeliest first, and joins those that pass."""
+        root = self.roots()
+        apart = root[x] != root[y]
+        x, y, over = x[apart], y[apart], over[apart]
         for i in np.argsort(-over, kind="stable").tolist():
             p, q = int(x[i]), int(y[i])
-            if find(p) != find(q) and linked(sets[p], sets[q], num, den):
-                parent[find(p)] = find(q)
-                found.append((p, q))
-    return found
+            f, g = self._find(p), self._find(q)
+            if f != g and self.test(p, q):
+                self.parent[max(f, g)] = min(f, g)
+                self.links.append((p, q))
+
 
+def spanning_links(tree: Tree, n: int, num: int, den: int, test) -> list[tuple[int, int]]:
+    """Links that join all linked leaves of a tree into the same components.
 
-def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    A few central leaves meet all others first, so the traversal finds most
+    leaves in one component and leaves out the node pairs inside it.
+    """
+    forest = Forest(n, test)
+    out = np.arange(n)
+    for _ in range(STARS if n > 16 else 0):
+        center = tree.central(out)
+        forest.join(*tree.star(center, num, den))
+        root = forest.roots()
+        out = np.flatnonzero(root != np.bincount(root).argmax())
+        if not len(out):
+            return forest.links
+    label = forest.roots()
+    for x, y, over in surviving_pairs(tree, tree, num, den, True, label, label):
+        forest.join(x, y, over)
+    return forest.links
+
+
+def crossing_links(a: Tree, b: Tree, label_a: np.ndarray, label_b: np.ndarray, num: int, den: int, test) -> list[tuple[int, int]]:
+    """Links between two trees, one for each two labels that they join (leaves of one label are joined already)."""
+    _, group = np.unique(np.concatenate([label_a, label_b]), return_inverse=True)
+    na = len(label_a)
+    forest = Forest(len(group), lambda p, q: test(p, q - na))
+    first = np.full(group.max() + 1, len(group))
+    np.minimum.at(first, group, np.arange(len(group)))
+    forest.parent = first[group]
+    for x, y, over in surviving_pairs(a, b, num, den, False, group[:na], group[na:]):
+        forest.join(x, y + na, over)
+    return [(p, q - na) for p, q in forest.links]
+
+
+def consecutive(batches, keys: int):
+    """Tables of the consecutive rows that agree on the first ``keys`` columns."""
+    held, held_key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        fresh = np.ones(b.num_rows, bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cut = np.flatnonzero(fresh).tolist()
+        for start, end in zip(cut, [*cut[1:], b.num_rows], strict=True):
+            key = tuple(c[start] for c in columns)
+            if held and key != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(b.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tree_top(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The leaves and the members of the tree's top nodes, from one pass over the texts.
 
-    leaves: doc_id, node, n_shingles, mark (fingerprint; null for empty sets) of every row.
-    members: (gid, node) of the nodes that hold at least two documents; nodes with
-    equal members are one node.
+    leaves: doc_id, tag, node, n_shingles, mark (fingerprint; null for empty sets) of every row.
+    members: (gid, node) of the nodes that hold at least two sets, one of them by its
+    short prefix; nodes with equal members are one node.
 
     A task enters equal sets once. Rows are dealt by key, sorted, and read as a
     stream, so a node of any size passes through a task without being held there.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    names = ["key", "node", "doc_id", "n_shingles", "mark", "bits"]
+    common = spark.sparkContext.broadcast(levels)
+    names = ["key", "node", "doc_id", "tag", "n_shingles", "mark", "bits"]
 
-    def batch(key, node, doc_id=None, n=None, mark=None, bits=None):
-        k = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(doc_id if n else [None] * k, pa.int64()), pa.array(n or [None] * k, pa.int64()), pa.array(mark or [None] * k, pa.binary()), pa.array(bits or [None] * k, pa.binary())], names=names)
+    def batch(key, node, doc_id=None, tag=None, n=None, mark=None, bits=None):
+        none = [None] * len(key)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(doc_id if n else none, pa.int64()), pa.array(tag if n else none, pa.int64()), pa.array(n or none, pa.int64()), pa.array(mark or none, pa.binary()), pa.array(bits or none, pa.binary())], names=names)
 
     def enter(batches):
-        ranges, seen = Ranges(num, den), set()
+        seen, level = set(), common.value
         for b in batches:
             keys, nodes, leaves = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d, t, tag in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = shingle_set(t, words)
                 mark = fingerprint(s) if len(s) else None
-                node = node_of(d, mark) if mark else 0
-                leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, len(s), mark, bitmap(s) if mark else None))
+                node = node_of(mark) if mark else 0
+                leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, tag, len(s), mark, bitmap(s) if mark else None))
                 if mark and mark not in seen:
                     seen.add(mark)
-                    k = ranges.keys(s)
+                    k, short = prefix(s, level, num, den)
                     keys.append(k)
-                    nodes.append(np.full(len(k), node, np.int64))
-            yield batch(*map(list, zip(*leaves, strict=True))) if leaves else batch([], [])
+                    nodes.append(node << 1 | (np.arange(len(k)) < short))
+            if leaves:
+                yield batch(*map(list, zip(*leaves, strict=True)))
             if keys:
                 key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
                 for i in range(0, len(key), 1 << 18):
@@ -325,24 +451,24 @@ def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         streaming = False
 
         def rows(gid, members):
-            return batch(np.asarray(gid, np.int64), members)
+            return batch(np.asarray(gid, np.int64), members >> 1)
 
         def close(keys, nodes):
             """The groups of at least two, each once a partition: gid and members of every row."""
             cut = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1))
             size = np.diff(np.append(cut, len(keys)))
-            gid = np.add.reduceat(mix64(nodes.view(np.uint64) ^ np.uint64(0x452821E638D01377)), cut)
+            real = (size > 1) & (np.bitwise_or.reduceat(nodes, cut) & 1 > 0)
+            gid = np.add.reduceat(mix64((nodes >> 1).view(np.uint64) ^ np.uint64(0x452821E638D01377)), cut)
             gid = mix64(gid + size.astype(np.uint64)).view(np.int64)
-            keep = np.flatnonzero(size > 1)
-            fresh = np.array([g not in known and not known.add(g) for g in gid[keep].tolist()], bool)
-            keep = keep[fresh] if len(keep) else keep
+            keep = np.flatnonzero(real)
+            keep = keep[np.array([g not in known and not known.add(g) for g in gid[keep].tolist()], bool)]
             if len(keep):
                 row = np.repeat(np.isin(np.arange(len(cut)), keep), size)
                 return rows(np.repeat(gid[keep], size[keep]), nodes[row])
             return None
 
         for b in batches:
-            leaf = b.column(3).is_valid()
+            leaf = b.column(4).is_valid()
             if leaf.true_count:
                 yield b.filter(leaf)
             keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -376,129 +502,184 @@ def _tree_top(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         if held_key is not None and not streaming and (out := close(np.full(len(held), held_key), held)):
             yield out
 
-    schema = "key long, node long, doc_id long, n_shingles long, mark binary, bits binary"
+    schema = "key long, node long, doc_id long, tag long, n_shingles long, mark binary, bits binary"
     dealt = docs.mapInArrow(enter, schema).repartition(parts, "key").sortWithinPartitions("key", "node")
     top = stored(dealt.mapInArrow(groups, schema), "tree-top")
-    leaves = top.where("n_shingles is not null").select("doc_id", F.when(F.col("mark").isNotNull(), F.col("node")).alias("node"), "n_shingles", "mark", "bits")
+    leaves = top.where("n_shingles is not null").select("doc_id", "tag", F.when(F.col("mark").isNotNull(), F.col("node")).alias("node"), "n_shingles", "mark", "bits")
+    leaves.stored_path = top.stored_path
     return leaves, top.where("n_shingles is null").select(F.col("key").alias("gid"), "node")
 
 
-def _texts(docs: DataFrame, leaves: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, text): one text for each wanted set. Rows without id are looked at as well."""
-    wanted = marks.join(leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "mark")
-    some = docs.join(wanted.where("doc_id is not null"), "doc_id")
-    none = docs.where("doc_id is null").select("text").crossJoin(F.broadcast(marks.sparkSession.range(1).select(F.lit(None).cast("binary").alias("mark"))))
-    rows = some.select("mark", "text")
-    if not leaves.where("doc_id is null and mark is not null").isEmpty():
-        rows = rows.union(none.select("mark", "text"))
-    return rows
+class Kernel:
+    """What a task does with the leaves of a node: ``possible`` works on bitmaps alone, else exactly on texts."""
 
+    def __init__(self, possible: bool, words: int, num: int, den: int):
+        self.possible, self.words, self.num, self.den = possible, words, num, den
 
-def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (pivot, mark) that sizes and bitmaps don't exclude, so that only their texts are moved."""
-    c = classes.select("mark", "n", "bits")
-    p = c.select(F.col("mark").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"))
-    sized = pairs.join(c.select("mark", "n"), "mark").join(p.select("pivot", "pn"), "pivot").where(F.least("n", "pn") * den >= F.greatest("n", "pn") * num)
-    rows = sized.select("pivot", "mark").join(c, "mark").join(p, "pivot").select("pivot", "mark", "n", "pn", "bits", "pbits")
+    def _leaves(self, t: pa.Table):
+        """Distinct leaves in runs of sizes: sets more than a link's factor apart in size never link."""
+        first: dict[bytes, int] = {}
+        for k, m in enumerate(t.column("mark").to_pylist()):
+            first.setdefault(m, k)
+        at = np.array(list(first.values()), np.int64)
+        n = t.column("n").to_numpy()[at].astype(np.int64)
+        at, n = at[np.argsort(n, kind="stable")], np.sort(n)
+        for run in np.split(np.arange(len(at)), np.flatnonzero(n[:-1] * self.den < n[1:] * self.num) + 1):
+            yield t.take(pa.array(at[run], pa.int64()))
+
+    def _tree(self, t: pa.Table, width: int | None = None):
+        n, body = t.column("n").to_numpy().astype(np.int64), t.column("body").to_pylist()
+        if self.possible:
+            return Tree(folded(body, width), n), None
+        sets = [shingle_set(x, self.words) for x in body]
+        return (tree_of(sets) if width is None else Tree(bitmaps(sets, width), n)), sets
+
+    def inside(self, t: pa.Table):
+        """(mark, mark) links that join all linked leaves of one node."""
+        for run in self._leaves(t):
+            if run.num_rows < 2:
+                continue
+            tree, sets = self._tree(run)
+            test = (lambda p, q: True) if self.possible else (lambda p, q, s=sets: linked(s[p], s[q], self.num, self.den))
+            marks = run.column("mark").to_pylist()
+            for p, q in spanning_links(tree, len(marks), self.num, self.den, test):
+                yield marks[p], marks[q]
+
+    def across(self, t: pa.Table):
+        """(mark, mark) links between the leaves of side 0 and those of side 1."""
+        side = t.column("side").to_numpy()
+        a, b = (t.filter(pa.array(side == k)) for k in (0, 1))
+        if not a.num_rows or not b.num_rows:
+            return
+        width = min(len(x) // 8 for x in t.column("body").to_pylist()) if self.possible else 1 << max(0, int(np.ceil(np.log2(max(4 * float(np.mean(t.column("n").to_numpy())), 64) / 64))))
+        (ta, sa), (tb, sb) = self._tree(a, width), self._tree(b, width)
+        test = (lambda p, q: True) if self.possible else (lambda p, q: linked(sa[p], sb[q], self.num, self.den))
+        ma, mb = a.column("mark").to_pylist(), b.column("mark").to_pylist()
+        _, label = np.unique(a.column("component").to_pylist() + b.column("component").to_pylist(), return_inverse=True)
+        for p, q in crossing_links(ta, tb, label[: len(ma)], label[len(ma) :], self.num, self.den, test):
+            yield ma[p], mb[q]
+
+    def over(self, rows: DataFrame, keys: list[str], how: str) -> DataFrame:
+        """Runs ``inside`` or ``across`` on the nodes that ``keys`` name."""
+        kernel, parts = self, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+
+        def run(batches):
+            a, b = [], []
+            for t in consecutive(batches, len(keys)):
+                if t.num_rows > 1:
+                    for p, q in getattr(kernel, how)(t):
+                        a.append(p)
+                        b.append(q)
+                if len(a) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    a, b = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        rest = [c for c in rows.columns if c not in keys]
+        return rows.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
+def _search(rows: DataFrame, weight: str, most: int, kernel: Kernel) -> DataFrame:
+    """Links (a, b) that join all linked leaves of each node.
+
+    ``rows``: gid (node), mark, n, body, score. A node of at most ``most`` summed
+    ``weight`` is one task's. A heavier node is dealt into slots. Superstep 1
+    searches each slot together with the node's best connected leaf; superstep 2
+    searches the leaves that are not in that leaf's component, in blocks, against
+    the slots. A node of near copies ends after the first.
+    """
+    heavy = rows.groupBy("gid").agg(F.sum(weight).alias("total"), F.max(F.struct("score", "mark")).alias("x"))
+    heavy = stored(heavy.where(F.col("total") > most).select("gid", F.ceil(F.col("total") / most).cast("int").alias("slots"), F.col("x.mark").alias("pivot")), "heavy-nodes")
+    if heavy.isEmpty():
+        return stored(kernel.over(rows.select("gid", "mark", "n", "body"), ["gid"], "inside"), "links")
+    light = rows.join(heavy, "gid", "left_anti").select("gid", F.lit(0).alias("slot"), "mark", "n", "body")
+    large = stored(rows.join(heavy, "gid").withColumn("slot", F.pmod(F.xxhash64("mark"), F.col("slots")).cast("int")).select("gid", "slot", "slots", "pivot", "mark", "n", "body"), "heavy-leaves")
+    pivots = large.where("mark = pivot").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = large.where("mark != pivot").unionByName(pivots).select("gid", "slot", "mark", "n", "body")
+    links = stored(kernel.over(light.unionByName(dealt), ["gid", "slot"], "inside"), "links")
+    found = connected_components(links)
+    named = large.join(found.withColumnsRenamed({"node": "mark", "component": "own"}), "mark", "left")
+    of_pivot = heavy.join(found.withColumnsRenamed({"node": "pivot", "component": "main"}), "pivot", "left").select("gid", F.coalesce("main", "pivot").alias("main"))
+    named = stored(named.join(of_pivot, "gid").withColumn("component", F.coalesce("own", "mark")).drop("own"), "named-leaves")
+    apart = named.where("component != main")
+    blocks = stored(apart.groupBy("gid").agg(F.ceil(F.sum(F.lit(1) if weight == "one" else F.col("n")) / most).cast("int").alias("blocks")), "open-nodes")
+    if not blocks.isEmpty():
+        sides = named.join(blocks, "gid")
+        one = apart.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("mark", F.lit(1)), F.col("blocks")).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        two = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
+        links = stored(links.union(kernel.over(both.select("gid", "slot", "block", "side", "mark", "n", "body", "component"), ["gid", "slot", "block"], "across")), "links")
+    for done in (large, named, heavy, blocks):
+        discard(done)
+    return links
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for n, pn, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                x, y = folded([x, y])
-                over = int(np.bitwise_count(x & y).sum()) + min(n - int(np.bitwise_count(x).sum()), pn - int(np.bitwise_count(y).sum()))
-                keep.append(min(over, n, pn) * (den + num) >= num * (n + pn))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "pivot binary, mark binary")
+def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(mark, body): one text of each wanted set.
 
+    A filter of fixed size, built from all wanted marks, keeps most other texts
+    from being moved; what it lets through is checked by an exact join.
+    """
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (pivot, mark) that link, compared exactly."""
-    t = texts.select("mark", "text")
-    rows = pairs.join(t, "mark").join(t.select(F.col("mark").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("pivot", "pivot_text", "mark", "text")
+    def bit(marks):
+        return (mix64(np.frombuffer(b"".join(m[:8] for m in marks), np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
-    def run(batches):
-        last, pivot = None, None
+    def gather(batches):
+        held = np.zeros(FILTER_BITS, bool)
         for b in batches:
-            a, c = [], []
-            for p, pt, m, mt in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if p != last:
-                    last, pivot = p, shingle_set(pt, words)
-                if linked(shingle_set(mt, words), pivot, num, den):
-                    a.append(p)
-                    c.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a binary, b binary")
-
-
-def _links_of(pairs: DataFrame, docs: DataFrame, leaves: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    wanted = pairs.select("mark").union(pairs.select(F.col("pivot").alias("mark"))).distinct()
-    texts = stored(_checked(_texts(docs, leaves, wanted), words), "texts")
-    return _verified(pairs, texts, words, num, den)
-
+            if b.num_rows:
+                held[bit(b.column(0).to_pylist())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], names=["bits"])
 
-def _unresolved(members: DataFrame, pivots: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
-    """(gid, i, j, mark, component): block pairs of nodes whose leaves, without the pivot
-    (compared with all already), are in several components.
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in wanted.select("mark").mapInArrow(gather, "bits binary").toLocalIterator():
+        held |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    share = docs.sparkSession.sparkContext.broadcast(held)
 
-    Nodes that share leaves are descended together, as one family, unless the
-    family is large; so near copies that meet in many nodes are compared once.
-    """
-    named = members.drop("m").join(components.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    rest = named.join(pivots, "gid").where(F.col("mark") != F.col("pivot"))
-    sizes = classes.select("mark", "n")
-    open_nodes = rest.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
-    rows = stored(rest.join(open_nodes, "gid").join(sizes, "mark").select("gid", "pivot", "mark", "component", "n"), "unresolved")
-    if rows.isEmpty():
-        return rows.select("gid", F.lit(0).alias("i"), F.lit(0).alias("j"), "mark", "component")
-    # A node's members are joined in a family through any one of them, here the smallest.
-    links = rows.join(rows.groupBy("gid").agg(F.min("mark").alias("a")), "gid").select("a", F.col("mark").alias("b"))
-    families = connected_components(links).withColumnsRenamed({"node": "mark", "component": "family"})
-    one = rows.select("mark", "component", "n").distinct().join(families, "mark")
-    small = one.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") <= FAMILY_BLOCKS * BLOCK_SHINGLES).select("family")
-    whole = one.join(small, "family").select(F.xxhash64("family").alias("gid"), "mark", "component", "n")
-    apart = rows.join(families, "mark").join(small, "family", "left_anti").select("gid", "mark", "component", "n")
-    rows = whole.union(apart)
-    blocks = rows.groupBy("gid").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "mark", "component")
-
-
-def _open_leaves(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The leaves of block pairs that the traversal leaves with a partner in another component."""
-
-    def run(t: pa.Table) -> pa.Table:
-        marks, first = t.column("mark").to_pylist(), {}
-        for k, m in enumerate(marks):
-            first.setdefault(m, k)
-        at = sorted(first.values())
-        _, group = np.unique([t.column("component")[k].as_py() for k in at], return_inverse=True)
-        bits = t.column("bits").to_pylist()
-        tree = Tree(folded([bits[k] for k in at]), t.column("n").to_numpy()[at].astype(np.int64))
-        live = np.zeros(len(at), bool)
-        for x, y, _ in surviving_pairs(tree, tree, num, den, True):
-            apart = group[x] != group[y]
-            live[x[apart]] = live[y[apart]] = True
-        return t.select(["gid", "i", "j", "mark", "component"]).take(pa.array(np.array(at)[live], pa.int64()))
-
-    full = rows.join(classes.select("mark", "n", "bits"), "mark").select("gid", "i", "j", "mark", "component", "n", "bits")
-    return full.groupBy("gid", "i", "j").applyInArrow(run, "gid long, i int, j int, mark binary, component binary")
+    def run(batches):
+        bits, seen = share.value, set()
+        for b in batches:
+            marks, kept = [], []
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t, words)
+                mark = fingerprint(s) if len(s) else None
+                if mark and mark not in seen:
+                    at = int(bit([mark])[0])
+                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                        seen.add(mark)
+                        marks.append(mark)
+                        kept.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(kept, pa.string())], names=["mark", "body"])
 
+    return docs.select("text").mapInArrow(run, "mark binary, body string").join(wanted.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
 
-def _descended(rows: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        best: dict[bytes, tuple] = {}
-        for m, c, x in zip(t.column("mark").to_pylist(), t.column("component").to_pylist(), t.column("text").to_pylist(), strict=True):
-            if m not in best:
-                best[m] = (c, shingle_set(x, words))
-        marks = [m for m, (_, s) in best.items() if len(s)]
-        found = spanning_links([best[m][1] for m in marks], [best[m][0] for m in marks], num, den) if len(marks) > 1 else []
-        return pa.table({"a": pa.array([marks[p] for p, _ in found], pa.binary()), "b": pa.array([marks[q] for _, q in found], pa.binary())})
 
-    return rows.join(texts, "mark").groupBy("gid", "i", "j").applyInArrow(run, "a binary, b binary")
+def jaccard_classes(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The leaves (doc_id, tag, n_shingles, mark) of all rows of docs (doc_id, text, tag), and
+    (mark, component) of the sets that have links; component is the component's smallest mark."""
+    spark = docs.sparkSession
+    leaves, nodes = _tree_top(docs, shingle_levels(docs, words), words, num, den)
+    release(spark)
+    nodes = nodes.distinct()
+    met = nodes.select("node").distinct()
+    classes = stored(leaves.where("mark is not null").select("node", "mark", F.col("n_shingles").alias("n"), F.col("bits").alias("body")).join(met, "node", "left_semi").dropDuplicates(["mark"]), "classes")
+    # A leaf's score is how often it meets others; an unedited original meets all its copies.
+    score = nodes.groupBy("node").agg(F.count("*").alias("score"))
+    members = stored(nodes.join(classes.join(score, "node"), "node").select("gid", "mark", "n", "body", "score").withColumn("one", F.lit(1)), "members")
+    maybe = _search(members, "one", NODE_LEAVES, Kernel(True, words, num, den))
+    discard(members)
+    release(spark)
+    families = connected_components(maybe)
+    wanted = stored(families.withColumnsRenamed({"node": "mark", "component": "family"}).join(classes.select("mark", "n"), "mark"), "families")
+    texts = _texts(docs, wanted, words)
+    degree = maybe.select(F.explode(F.array("a", "b")).alias("mark")).groupBy("mark").agg(F.count("*").alias("score"))
+    rows = stored(wanted.join(degree, "mark").join(texts, "mark").select(F.xxhash64("family").alias("gid"), "mark", "n", "body", "score"), "family-leaves")
+    links = _search(rows, "n", FAMILY_SHINGLES, Kernel(False, words, num, den))
+    discard(rows)
+    found = connected_components(links)
+    for done in (classes, maybe, wanted, links):
+        discard(done)
+    return leaves, found.withColumnRenamed("node", "mark")
 
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -510,58 +691,18 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     (component_id is their own id). Rows without an id take part in linking;
     a component of such rows alone has a null component_id. Repeated rows give
     repeated rows, other columns are left out, and an empty table gives no rows.
+    Shingles are compared by 64-bit hashes, so n_shingles counts different hashes.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    leaves, nodes = _tree_top(docs, words, num, den)
-    known = leaves.where("mark is not null").select("node", "mark").distinct()
-    members = nodes.distinct().join(known, "node").select("gid", "mark").distinct()
-    real = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(members.join(real, "gid"), "members")
-    met = members.select("mark").distinct()
-    classes = stored(leaves.where("mark is not null").join(met, "mark", "left_semi").groupBy("mark").agg(F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
-    # A leaf's score is how often it meets others; an unedited original meets all its copies.
-    score = members.groupBy("mark").agg(F.sum(F.col("m") - 1).alias("score"))
-    pivots = stored(members.join(score, "mark").groupBy("gid").agg(F.max(F.struct("score", "mark")).alias("x")).select("gid", F.col("x.mark").alias("pivot")), "pivots")
-    pairs = members.join(pivots, "gid").where("mark != pivot").select("pivot", "mark").distinct()
-    pairs = stored(_possible(pairs, classes, num, den), "pairs")
-    release(spark)
-    links = stored(_links_of(pairs, docs, leaves, words, num, den), "links")
-    release(spark)
-    found = connected_components(links)
-    blocks = stored(_unresolved(members, pivots, found, classes), "blocks")
-    rows = stored(_open_leaves(blocks, classes, num, den), "open-leaves")
-    if not rows.isEmpty():
-        texts = _checked(_texts(docs, leaves, rows.select("mark").distinct()), words)
-        links = links.union(stored(_descended(rows, texts, words, num, den), "more-links"))
-        found = connected_components(links)
-    for done in (members, classes, pivots, pairs, blocks, rows):
-        discard(done)
-    classes = leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"))
-    named = classes.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "component").select("mark", F.col("component_id"))
-    full = leaves.where("mark is not null").join(ids, "mark").select("doc_id", "n_shingles", "component_id")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("long").alias("tag"))
+    leaves, found = jaccard_classes(docs, words, num, den)
+    lows = leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    named = stored(lows.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark")), "named")
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("rows"))
+    ids = stored(join_hot(named.select("mark", "component", F.col("rows").alias("copies")), least, "component", "rows").select("mark", "component_id", F.col("copies").alias("rows")), "ids")
+    full = join_hot(leaves.where("mark is not null"), ids, "mark", "rows").select("doc_id", "n_shingles", "component_id")
     return full.union(leaves.where("mark is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _checked(texts: DataFrame, words: int) -> DataFrame:
-    """Keeps the texts whose set has the wanted mark (ids may repeat); fills in unknown marks."""
-
-    def run(batches):
-        for b in batches:
-            marks, kept = [], []
-            for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, words)
-                mark = fingerprint(s) if len(s) else None
-                if mark and m in (None, mark):
-                    marks.append(mark)
-                    kept.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(kept, pa.string())], names=["mark", "text"])
-
-    return texts.mapInArrow(run, "mark binary, text string")
-
-
 def release(spark: SparkSession) -> None:
     """Lets the driver drop shuffle files that nothing refers to any more."""
     gc.collect()

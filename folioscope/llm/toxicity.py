@@ -216,12 +216,13 @@ def fit_chain(documents: DataFrame, labels: DataFrame, names: list[str], most: i
     return Chain.fit(np.array([r.doc_id for r in rows], np.int64), docs, form, marks)
 
 
-def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, out: str = "verdicts") -> DataFrame:
     """doc_id, p_<category> and a flag for each category, for every document.
 
     Null and empty texts have no words and are judged by the bias alone; null
     ids stay null; repeated rows get equal results. Other columns are left out,
-    or with ``keep`` all columns stay and ``verdicts`` (an array of flags) is added.
+    or with ``keep`` all columns stay and ``out`` (an array of flags) is added. Whole
+    texts are read, however long.
     """
     names = chain.categories
     columns = documents.columns if keep else []
@@ -236,12 +237,12 @@ def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
             p = chain.predict(docs, form)
             flags = p > np.array(chain.thresholds)
             if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags.tolist(), pa.list_(pa.bool_()))], names=[*columns, "verdicts"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags.tolist(), pa.list_(pa.bool_()))], names=[*columns, out])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.round(p[:, k], 6)) for k in range(len(names))), *(pa.array(flags[:, k]) for k in range(len(names)))], names=["doc_id", *(f"p_{c}" for c in names), *names])
 
     if keep:
-        schema = documents.select("*", F.array(F.lit(True)).alias("verdicts")).schema
+        schema = documents.select("*", F.array(F.lit(True)).alias(out)).schema
         return documents.mapInArrow(run, schema)
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in names) + ", " + ", ".join(f"{c} boolean" for c in names)
     return documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, schema)

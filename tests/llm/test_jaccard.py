@@ -64,10 +64,11 @@ def test_a_chain_of_near_copies(docs):
     assert got == brute(texts, 3, 90, 100)
 
 
-@pytest.mark.parametrize("blocks", [1_000_000, 300])
-def test_hot_nodes(docs, monkeypatch, blocks):
-    """Many near copies of one text, exact copies, and a passage that many texts share."""
-    monkeypatch.setattr(J, "BLOCK_SHINGLES", blocks)
+@pytest.mark.parametrize(("leaves", "shingles"), [(8192, 4_000_000), (16, 4_000_000), (8, 600)])
+def test_hot_nodes(docs, monkeypatch, leaves, shingles):
+    """Many near copies of one text, exact copies, and a passage that many texts share; nodes in slots too."""
+    monkeypatch.setattr(J, "NODE_LEAVES", leaves)
+    monkeypatch.setattr(J, "FAMILY_SHINGLES", shingles)
     monkeypatch.setattr(J, "KNOWN_MEMBERS", 8)
     rng = random.Random(9)
     base = [f"v{k}" for k in range(120)]
@@ -83,26 +84,33 @@ def test_hot_nodes(docs, monkeypatch, blocks):
     assert got == brute(texts, 3, 90, 100)
 
 
-def test_keys_meet():
-    """Two linked sets share a key, at any size."""
+def test_prefixes_meet():
+    """Of two linked sets, the smaller one's short prefix meets the larger one's prefix, in any order of shingles."""
     rng = np.random.default_rng(1)
+    levels = rng.integers(0, 9, J.CELLS).astype(np.uint8)
     for num in (80, 90):
-        ranges = J.Ranges(num, 100)
         for n in [*range(1, 60), 100, 333, 1000]:
             for _ in range(6):
                 a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
                 b = a.copy()
-                while True:
-                    c = np.unique(np.append(b[rng.integers(0, 2) :], rng.integers(0, 2**63, rng.integers(0, 2)).astype(np.uint64)))
+                for _ in range(n):
+                    c = np.append(b[rng.integers(0, 2) :], rng.integers(0, 2**63, rng.integers(0, 2)).astype(np.uint64))
                     rng.shuffle(c)
-                    if not len(c) or not J.linked(a, np.sort(c), num, 100):
+                    if not len(c) or not J.linked(a, np.unique(c), num, 100):
                         break
-                    b = c if rng.random() < 0.98 else np.sort(c)
-                    if rng.random() < 0.02:
-                        break
-                b = np.sort(b)
-                if len(a) != len(b) or (a != b).any():
-                    assert set(ranges.keys(a).tolist()) & set(ranges.keys(b).tolist())
+                    b = c
+                b = np.unique(b)
+                x, y = (a, b) if len(a) >= len(b) else (b, a)
+                (p, _), (q, short) = J.prefix(x, levels, num, 100), J.prefix(y, levels, num, 100)
+                assert set(p.tolist()) & set(q[:short].tolist())
+
+
+def test_levels_order_by_count(docs):
+    texts = ["common words here again"] * 40 + [f"only{k} once{k} here{k} x{k}" for k in range(40)]
+    levels = J.shingle_levels(docs(texts).selectExpr("text"), 3)
+    common, rare = J.shingle_set(texts[0], 3), J.shingle_set(texts[50], 3)
+    assert levels[(common >> np.uint64(42)).astype(int)].min() > levels[(rare >> np.uint64(42)).astype(int)].max()
+    assert len(J.prefix(np.sort(np.concatenate([common, rare])), levels, 80, 100)[0]) == 1
 
 
 def test_nulls_repeats_and_empty_table(docs):
