@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored, table
-from folioscope.llm.jaccard_join import jaccard_components
+from folioscope.llm.common import join_hot, stored, table
+from folioscope.llm.jaccard_join import jaccard_classes
 from folioscope.llm.mixing import mix
 from folioscope.llm.packing import pack_documents
 from folioscope.llm.tokens import tokenizer_path
@@ -20,43 +20,73 @@ from folioscope.llm.toxicity import CATEGORIES, category_labels, classify, fit_c
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in names]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain calls toxic go."""
+    """Documents that the classifier chain calls toxic go.
+
+    Null and empty texts have no words and get the chain's verdict on none; null
+    and repeated ids are judged row by row; equal texts get equal verdicts; an
+    empty table stays empty; columns of any name stay as they are.
+    """
+    (verdicts,) = _own(docs, "verdicts")
     chain = fit_chain(docs, category_labels(table(spark, sf_dir, "labels")), list(CATEGORIES))
-    toxic = F.element_at("verdicts", list(CATEGORIES).index("toxic") + 1)
-    return classify(docs, chain, keep=True).where(~toxic).drop("verdicts")
+    toxic = F.element_at(verdicts, list(CATEGORIES).index("toxic") + 1)
+    return classify(docs, chain, keep=True, out=verdicts).where(~toxic).drop(verdicts)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at 0.8 or more, the smallest id stays.
+    """Of each group of documents that five-word shingles link at 0.8 or more, one stays.
 
-    Rows without id come after all ids, by a hash of their text; documents
-    without words stay. Rows are judged one by one: a repeated id whose texts
-    are not linked keeps each of them, and of linked rows with one id one stays.
+    It is the row with the smallest id, and of rows with that id the one with
+    the smallest text hash; of rows equal in both, one. Rows without id come
+    after all ids. Rows are judged one by one, by id and text hash: a repeated id
+    whose texts are not linked keeps each of them. Documents without words stay,
+    all of them. An empty table stays empty; columns of any name stay as they are.
     """
-    without = F.lit(1 << 62) + F.pmod(F.xxhash64("text", "source"), F.lit(1 << 61))
-    keyed = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), without))
-    if not keyed.groupBy("place").count().where("count > 1").isEmpty():  # no key of a row then: each gets a stored one
-        keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
-        found = stored(jaccard_components(keyed, words=5, num=80, den=100, id_col="row"), "near-duplicates")
-        rows = found.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select("row", "place"), "row")
-        first = rows.groupBy("component_id").agg(F.min(F.struct("place", "row")).alias("first"))
-        return keyed.join(first.select("first.row"), "row", "left_semi").select(docs.columns)
-    found = stored(jaccard_components(keyed, words=5, num=80, den=100, id_col="place"), "near-duplicates")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("place")).distinct()
-    return keyed.join(gone, "place", "left_anti").select(docs.columns)
+    place, twin = _own(docs, "place", "twin")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(twin, F.xxhash64(text, F.lit(42)))
+    leaves, found = jaccard_classes(keyed.select(F.col(place).alias("doc_id"), text.alias("text"), F.col(twin).alias("tag")), words=5, num=80, den=100)
+    rows = leaves.where("mark is not null").groupBy("mark", "doc_id", "tag").agg(F.count("*").alias("rows"))
+    rows = rows.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    rows = stored(rows.select("component", F.struct("doc_id", "tag").alias("row"), "rows"), "judged-rows")
+    groups = rows.groupBy("component").agg(F.min("row").alias("first"), F.sum("rows").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
+    judged = stored(join_hot(rows.withColumnRenamed("rows", "copies"), groups.drop("rows"), "component", "kinds"), "judged")
+    key = [F.col("row.doc_id").alias(place), F.col("row.tag").alias(twin)]
+    # Every row of a group goes but its first; where rows equal the first one, one of them comes back.
+    gone = stored(judged.where("row != first or copies > 1").select(*key).distinct(), "gone")
+    back = stored(judged.where("row = first and copies > 1").select(*key).distinct(), "back")
+    kept = keyed.join(gone, [place, twin], "left_anti")
+    if not back.isEmpty():
+        kept = kept.unionByName(keyed.join(back, [place, twin], "left_semi").dropDuplicates([place, twin]))
+    return kept.select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights: a document appears as often as the mix takes it."""
-    keyed = docs.withColumn("place", F.monotonically_increasing_id())
-    keyed = stored(keyed, "placed")
-    taken = mix(keyed, id_col="place").where("taken > 0").select(F.col("doc_id").alias("place"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return keyed.join(taken, "place").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    """Sources are mixed to their target weights: a document appears as often as the mix takes it.
+
+    The draw hashes rows, so it doesn't depend on the table's layout. Of rows
+    equal in all columns, as many are written as all of them take. Documents
+    without words take nothing and go. An empty table stays empty; columns of any name stay as they are.
+    """
+    place, copies, copy = _own(docs, "place", "copies", "copy")
+    keyed = docs.withColumn(place, F.xxhash64(*docs.columns))
+    mixed = mix(keyed, id_col=place).where("taken > 0").groupBy(F.col("doc_id").alias(place)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(copies))
+    once = keyed.join(stored(mixed, "copies"), place).dropDuplicates([place])
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of at most 2048 tokens."""
+    """Best-fit packing into sequences of at most 2048 tokens.
+
+    Null and empty texts hold the end id only; null and repeated ids and repeated
+    rows are packed one by one; an empty table gives no rows; other columns go.
+    """
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
