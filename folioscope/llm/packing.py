@@ -1,14 +1,20 @@
-"""Best-fit packing, planned in supersteps on the driver over counts of lengths.
-
-Documents and gaps are integers up to the capacity, so all documents of one
-length are alike up to their rank, and so are all open sequences with one gap.
-A superstep takes the longest unplaced length and sweeps the gaps upward from
-its successor (the smallest gap that holds it): the k-th document takes the
-k-th gap of that size (rank resolves conflicts), the gaps shrink, and the next
-superstep begins; what no gap holds opens new sequences. A superstep moves
-intervals of ranks, never single documents, so its state is bounded by the
-capacity; the documents themselves are range-sorted by length once, and every
-range partition is matched to its intervals by one successor sweep.
+"""Bulk-synchronous best-fit packing.
+
+Pieces longer than half the capacity open a sequence each; what they leave are
+gaps. The other pieces are taken in bands of length, long ones first, and each
+band in supersteps:
+
+* sweep: open pieces and gaps are range-sorted together by size, largest first;
+  every partition gives each piece its successor, the smallest gap that holds
+  it, and puts what is left of the gap back among its gaps;
+* resolve: pieces that found no gap in their partition and gaps that found no
+  piece there are ranked; by the counts of both in each partition, the k-th such
+  piece takes the k-th gap of the nearest partition of larger gaps;
+* update: these gaps shrink, and the next superstep sorts what is still open.
+
+A band's supersteps end when no gap holds any of its pieces; those left then
+open new sequences, one after the other in each partition. The driver holds one
+row of counts a partition.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,47 +32,154 @@ from .common import stored, table
 from .tokens import encoder, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SCHEMA = PIECES + ", sequence_id long, offset long"
+#: Upper ends of the bands, as parts of the capacity.
+BANDS = (2, 4, 16)
+#: Rows that a superstep gives one task, and sequences that a task opens, at least.
+TASK_ROWS, TASK_SEQUENCES = 20_000, 64
+_GAP, _OPEN, _PLACED = 0, 1, 2
 
 
-def plan_packing(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Places for ``counts[l]`` documents of each length l (1..capacity).
+def successor_sweep(capacity: int, own: list[str]):
+    """Best fit inside one partition of rows sorted by size, largest first, gaps before pieces.
 
-    Returns rows (length, first rank, number, first sequence, offset), which
-    put the documents of these ranks into consecutive sequences at one offset,
-    and the number of sequences.
+    Rows: kind, size, sequence_id, offset, then the piece's own columns. Pieces
+    leave as placed or open, gaps at the end; open rows get part and rank. Only
+    gaps that hold every piece of the partitions behind get a rank.
     """
-    rows: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> intervals of sequences (first, number)
-    sizes: list[int] = []  # the gaps there are, ascending
-    opened = 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in range(capacity, 0, -1):
-        left, rank = int(counts[length]), 0
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k == len(sizes):
-                new = -(-left // (capacity // length))
-                give(capacity, opened, new)
-                opened += new
+    names = ["kind", "size", "sequence_id", "offset", "part", "rank", *own]
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        gaps: dict[int, list[int]] = {}
+        sizes: list[int] = []  # the gaps there are, ascending
+        open_pieces, low, kinds = 0, 0, []
+
+        def give(size: int, sequence: int) -> None:
+            if size not in gaps:
+                gaps[size] = []
+                bisect.insort(sizes, size)
+            gaps[size].append(sequence)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = [(f.type) for f in b.schema][4:]
+            at, kind, sequence, offset, rank = [], [], [], [], []
+            size = b.column(1).to_pylist()
+            for i, (k, n, s) in enumerate(zip(b.column(0).to_pylist(), size, b.column(2).to_pylist(), strict=True)):
+                if k == _GAP:
+                    give(n, s)
+                    continue
+                at.append(i)
+                j = bisect.bisect_left(sizes, n)
+                if j == len(sizes):
+                    kind.append(_OPEN)
+                    sequence.append(None)
+                    offset.append(None)
+                    rank.append(open_pieces)
+                    open_pieces += 1
+                    continue
+                gap = sizes[j]
+                s = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], sizes[j]
+                if gap > n:
+                    give(gap - n, s)
+                kind.append(_PLACED)
+                sequence.append(s)
+                offset.append(capacity - gap)
+                rank.append(None)
+            low = size[-1]
+            pieces = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pieces.column(1), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64()), *pieces.columns[4:]], names=names)
+        left = [(n, s) for n in sizes for s in gaps[n]]
+        first = bisect.bisect_left(left, (low, -1 << 63))
+        for i in range(0, len(left), 50_000):
+            some = left[i : i + 50_000]
+            rank = [k - first if k >= first else None for k in range(i, i + len(some))]
+            yield pa.RecordBatch.from_arrays([pa.array([_GAP] * len(some), pa.int32()), pa.array([n for n, _ in some], pa.int64()), pa.array([s for _, s in some], pa.int64()), pa.array([None] * len(some), pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(rank, pa.int64()), *(pa.nulls(len(some), t) for t in kinds)], names=names)
+
+    return run
+
+
+def resolve(counts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which open pieces take which gaps of partitions with larger ones.
+
+    counts: (part, open pieces, ranked gaps) in order of part. Rows of the
+    result: part, first rank, number, gaps' part, gaps' first rank, first slot.
+    """
+    rows, stack, slot = [], [], 0
+    for part, pieces, gaps in counts:
+        rank = 0
+        while rank < pieces and stack:
+            q, first, n = stack.pop()
+            take = min(n, pieces - rank)
+            rows.append((part, rank, take, q, first, slot))
+            rank, slot = rank + take, slot + take
+            if take < n:
+                stack.append((q, first + take, n - take))
+        if gaps:
+            stack.append((part, 0, gaps))
+    return np.array(rows, np.int64).reshape(-1, 6)
+
+
+def _slots(swept: DataFrame, plan: np.ndarray, kind: int) -> DataFrame:
+    """The open pieces or gaps that ``plan`` matches, with their slot; and null slots for the others."""
+    part, first = (plan[:, 0], plan[:, 1]) if kind == _OPEN else (plan[:, 3], plan[:, 4])
+    key = part << 40 | first
+    order = np.argsort(key, kind="stable")
+    key, n, slot = key[order], plan[order, 2], plan[order, 5]
+
+    def run(batches):
+        for b in batches:
+            at = b.column(b.schema.get_field_index("part")).to_numpy(zero_copy_only=False).astype(np.int64) << 40
+            rank = b.column(b.schema.get_field_index("rank"))
+            known = rank.is_valid().to_numpy(zero_copy_only=False)
+            at = at | np.where(known, rank.fill_null(0).to_numpy(zero_copy_only=False), 0)
+            if len(key) and len(at):
+                k = np.maximum(np.searchsorted(key, at, "right") - 1, 0)
+                ahead = at - key[k]
+                inside = known & (ahead >= 0) & (ahead < n[k])
+                found = slot[k] + ahead
+            else:
+                inside, found = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64(), mask=~inside)], names=[*b.schema.names, "slot"])
+
+    schema = swept.withColumn("slot", F.lit(None).cast("long")).schema
+    return swept.where(F.col("kind") == kind).mapInArrow(run, schema)
+
+
+def open_sequences(capacity: int, own: list[str]):
+    """Pieces, longest first, one after the other into new sequences; a sequence that is left leaves its gap."""
+    names = ["kind", "size", "sequence_id", "offset", *own]
+
+    def run(batches):
+        sequence, fill, types = None, capacity, []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            gap = sizes[k]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[k]
-            take = min(left, n)
-            rows.append((length, rank, take, first, capacity - gap))
-            left, rank = left - take, rank + take
-            give(gap, first + take, n - take)
-            give(gap - length, first, take)
-    return np.array(rows, np.int64).reshape(-1, 5), opened
+            types = [f.type for f in b.schema][4:]
+            sequences, offsets, gaps = [], [], []
+            for n, at in zip(b.column(1).to_pylist(), b.column(b.schema.get_field_index("at")).to_pylist(), strict=True):
+                if fill + n > capacity:
+                    if sequence is not None and fill < capacity:
+                        gaps.append((capacity - fill, sequence))
+                    sequence, fill = at, 0
+                sequences.append(sequence)
+                offsets.append(fill)
+                fill += n
+            k = len(sequences)
+            yield pa.RecordBatch.from_arrays([pa.array([_PLACED] * k, pa.int32()), b.column(1), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64()), *b.columns[4:]], names=names)
+            if gaps:
+                yield free(gaps, types)
+        if sequence is not None and fill < capacity:
+            yield free([(capacity - fill, sequence)], types)
+
+    def free(gaps, types):
+        k = len(gaps)
+        return pa.RecordBatch.from_arrays([pa.array([_GAP] * k, pa.int32()), pa.array([g for g, _ in gaps], pa.int64()), pa.array([s for _, s in gaps], pa.int64()), pa.nulls(k, pa.int64()), *(pa.nulls(k, t) for t in types)], names=names)
+
+    return run
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -95,40 +209,65 @@ def pieces_of(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces whose length is 1..capacity."""
     spark = pieces.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     columns = pieces.columns
-    order = ["length", "doc_id", "piece", "start", "ids_crc32"]
-    ranged = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged-pieces")
-    part = F.shiftright("at", 33).alias("part")
-    # One row per range partition and length in it: at most partitions + capacity rows.
-    runs = sorted(map(tuple, ranged.groupBy("length", part).agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()))
-    counts = np.zeros(capacity + 1, np.int64)
-    first_at, first_rank, lengths = [], [], []
-    for length, _, first, n in runs:
-        lengths.append(length)
-        first_at.append(first)
-        first_rank.append(int(counts[length]))
-        counts[length] += n
-    plan, _ = plan_packing(counts, capacity)
-    by_at = np.argsort(np.array(first_at, np.int64), kind="stable")
-    run_at, run_rank = np.array(first_at, np.int64)[by_at], np.array(first_rank, np.int64)[by_at]
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    plan_key = plan[:, 0] << 44 | plan[:, 1]
-    names = [*columns, "sequence_id", "offset"]
+    own = [*columns, "at"]
+    # The stored rows keep their number, which is also the number of a sequence that they open.
+    numbered = stored(pieces.withColumn("at", F.monotonically_increasing_id()), "numbered-pieces")
+    whole = numbered.select(F.lit(_OPEN).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"), *own)
+    base = whole.columns
+    empty = [F.lit(None).cast(t).alias(c) for c, t in whole.dtypes if c in own]
+    wide = ", ".join(f"`{c}` {t}" for c, t in whole.dtypes[:4]) + ", part int, rank long, " + ", ".join(f"`{c}` {t}" for c, t in whole.dtypes[4:])
+    narrow = ", ".join(f"`{c}` {t}" for c, t in whole.dtypes)
 
-    def run(batches):
-        for b in batches:
-            at = b.column(b.schema.get_field_index("at")).to_numpy(zero_copy_only=False)
-            length = b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            k = np.searchsorted(run_at, at, "right") - 1
-            rank = at - run_at[k] + run_rank[k] if len(at) else at
-            m = np.searchsorted(plan_key, length << 44 | rank, "right") - 1
-            sequence = plan[m, 3] + rank - plan[m, 1]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in columns] + [pa.array(sequence, pa.int64()), pa.array(plan[m, 4], pa.int64())], names=names)
+    def dealt(rows: DataFrame, parts: int) -> DataFrame:
+        order = [F.desc("size"), F.col("kind"), F.coalesce("at", "sequence_id")]
+        return rows.repartitionByRange(max(1, min(most, parts)), *order).sortWithinPartitions(*order)
+
+    def gap_rows(rows: DataFrame, size, sequence) -> DataFrame:
+        return rows.select(F.lit(_GAP).alias("kind"), size.alias("size"), F.col(sequence).alias("sequence_id"), F.lit(None).cast("long").alias("offset"), *empty)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranged.mapInArrow(run, schema)
+    long = whole.where(F.col("size") * 2 > capacity).withColumn("sequence_id", F.col("at")).withColumn("offset", F.lit(0).cast("long"))
+    placed = [long]
+    gaps = gap_rows(long.where(F.col("size") < capacity), F.lit(capacity) - F.col("size"), "sequence_id")
+    ends = [*(capacity // k for k in BANDS), 0]
+    sizes = {r.band: r.n for r in whole.groupBy(sum(((F.col("size") <= e).cast("int") for e in ends[:-1]), F.lit(0)).alias("band")).agg(F.count("*").alias("n")).collect()}
+    for band, (high, low) in enumerate(zip(ends, ends[1:], strict=False), 1):
+        n = sizes.get(band, 0)
+        if not n:
+            continue
+        todo = whole.where((F.col("size") <= high) & (F.col("size") > low))
+        usable, aside = gaps.where(F.col("size") > low), gaps.where(F.col("size") <= low)
+        spread = numbered.count() // TASK_ROWS + 1
+        while True:
+            swept = stored(dealt(todo.unionByName(usable), spread).mapInArrow(successor_sweep(capacity, own), wide), "swept")
+            done = F.col("kind") == _PLACED
+            placed.append(swept.where(done).select(base))
+            counts = swept.groupBy("part").agg(F.count_if(done).alias("placed"), F.count_if(F.col("kind") == _OPEN).alias("open"), F.count_if((F.col("kind") == _GAP) & F.col("rank").isNotNull()).alias("gaps"), F.sum(F.when(F.col("kind") == _OPEN, F.col("size"))).alias("tokens"))
+            counts = sorted(counts.collect(), key=lambda r: r.part)
+            plan = resolve([(r.part, r.open, r.gaps) for r in counts])
+            matched = int(plan[:, 2].sum())
+            left = sum(r.open for r in counts) - matched
+            pieces_now, gaps_now = _slots(swept, plan, _OPEN), _slots(swept, plan, _GAP)
+            todo = pieces_now.where("slot is null").select(base)
+            usable = gaps_now.where("slot is null").select(base)
+            if matched:
+                pairs = pieces_now.where("slot is not null").drop("sequence_id", "offset").join(gaps_now.where("slot is not null").select("slot", F.col("size").alias("gap"), "sequence_id"), "slot")
+                pairs = stored(pairs.withColumn("offset", F.lit(capacity) - F.col("gap")), "matched")
+                placed.append(pairs.select(base))
+                usable = usable.unionByName(gap_rows(pairs.where("gap > size"), F.col("gap") - F.col("size"), "sequence_id"))
+            if not left or not matched + sum(r.placed for r in counts):
+                break
+        gaps = aside.unionByName(usable)
+        if left:
+            tokens = sum(r.tokens or 0 for r in counts)
+            opened = stored(dealt(todo, int(tokens // (capacity * TASK_SEQUENCES)) + 1).mapInArrow(open_sequences(capacity, own), narrow), "opened")
+            placed.append(opened.where(F.col("kind") == _PLACED))
+            gaps = gaps.unionByName(opened.where(F.col("kind") == _GAP))
+    out = placed[0].select(*columns, "sequence_id", "offset")
+    for more in placed[1:]:
+        out = out.unionByName(more.select(*columns, "sequence_id", "offset"))
+    return out
 
 
 def pack_documents(df: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,9 +275,9 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 0, capacity: int = 20
 
     Null and empty texts hold the end id only; null ids are kept; repeated rows
     are packed as often as they come; an empty table gives no rows. Only longer
-    documents are cut. Other columns are left out.
+    documents are cut, however long. Other columns are left out.
     """
-    return pack_pieces(stored(pieces_of(df, path, end_id, capacity, id_col, text_col), "pieces"), capacity)
+    return pack_pieces(pieces_of(df, path, end_id, capacity, id_col, text_col), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token counts, token files and packing against the libraries themselves."""
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -72,28 +73,45 @@ def test_token_files(docs, odd_texts):
         start += len(want)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_packs_everything_well(seed):
+def best_fit_decreasing(lengths, capacity):
+    """Sequences of plain best fit, piece by piece."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        if k == len(gaps):
+            opened += 1
+            bisect.insort(gaps, capacity - n)
+        else:
+            bisect.insort(gaps, gaps.pop(k) - n)
+    return opened
+
+
+@pytest.mark.parametrize(("seed", "capacity", "rows"), [(1, 64, 40), (2, 2048, 100), (3, 2048, 10**6), (4, 100, 7)])
+def test_supersteps_pack_as_well_as_best_fit(spark, monkeypatch, seed, capacity, rows):
+    """Every piece once, gapless sequences, hardly more of them than plain best fit; many partitions and few."""
+    monkeypatch.setattr(packing, "TASK_ROWS", rows)
+    monkeypatch.setattr(packing, "TASK_SEQUENCES", 4)
     rng = np.random.default_rng(seed)
-    capacity = 64
-    counts = np.zeros(capacity + 1, np.int64)
-    counts[1:] = rng.integers(0, 40, capacity) * rng.integers(0, 2, capacity)
-    plan, opened = packing.plan_packing(counts, capacity)
-    fill, placed = defaultdict(list), np.zeros(capacity + 1, np.int64)
-    for length, rank, n, first, offset in plan.tolist():
-        assert rank == placed[length]
-        placed[length] += n
-        for s in range(first, first + n):
-            fill[s].append((offset, length))
-    assert placed.tolist() == counts.tolist() and len(fill) == opened
-    for spans in fill.values():
+    n = 400 if rows < 10 else 1500
+    lengths = np.clip((rng.lognormal(np.log(capacity / 5), 1.2, n)).astype(int), 1, capacity).tolist() + [capacity] * 5 + [1] * 30
+    pieces = spark.createDataFrame([(k % 97, 0, 0, v, k) for k, v in enumerate(lengths)], packing.PIECES)
+    got = packing.pack_pieces(pieces.repartition(5), capacity).collect()
+    assert sorted((r.ids_crc32, r.length) for r in got) == sorted(enumerate(lengths))
+    by_seq = defaultdict(list)
+    for r in got:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for spans in by_seq.values():
         at = 0
         for offset, length in sorted(spans):
             assert offset == at
             at += length
         assert at <= capacity
-    total = int((counts * np.arange(capacity + 1)).sum())
-    assert opened <= -(-total // capacity) * 1.25 + 1
+    assert len(by_seq) <= best_fit_decreasing(lengths, capacity) * 1.02 + 2
+
+
+def test_resolve_takes_the_nearest_larger_gaps():
+    assert packing.resolve([(0, 2, 3), (1, 0, 2), (2, 4, 0), (5, 9, 1)]).tolist() == [[2, 0, 2, 1, 0, 0], [2, 2, 2, 0, 0, 2], [5, 0, 1, 0, 2, 4]]
+    assert packing.resolve([]).tolist() == []
 
 
 def test_packing(docs, odd_texts):
