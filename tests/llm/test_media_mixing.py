@@ -1,12 +1,14 @@
 """Image formats and resizing against direct computations; mixing against its contract."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import media, mixing
 
@@ -121,8 +123,65 @@ def test_mixing(docs, seed):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def drawn(rows, target, most, start):
+    """One source's copies by plain order sampling. rows: (u, id, twin, size)."""
+    m = lambda s: 1 + math.log2(s)
+    low, high = 0.0, 1e9
+    for _ in range(300):  # the level by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most, level * m(s)) * s for _, _, _, s in rows) < target else (low, level)
+    strata = {}
+    for row in rows:
+        r = min(most, high * m(row[3]))
+        whole = math.floor(r + 1e-7)
+        strata.setdefault(math.floor(math.log2(row[3]) * 4), []).append((row, whole, max(r - whole, 0.0)))
+    copies, upto, before = {}, 0.0, math.floor(start)
+    for k in sorted(strata, reverse=True):
+        upto += sum(p for _, _, p in strata[k])
+        n, before = math.floor(upto + start + 1e-7) - before, math.floor(upto + start + 1e-7)
+        order = sorted(strata[k], key=lambda x: (x[0][0] / (1 - x[0][0]) / (x[2] / (1 - x[2])) if x[2] > 1e-7 else math.inf, x[0][1]))
+        for i, (row, whole, _) in enumerate(order):
+            copies[row[1]] = whole + (i < n)
+    gap = target - sum(copies[i] * s for _, i, _, s in rows)
+    able = [i for _, i, _, s in rows if abs(abs(gap) - s) < abs(gap) - 1e-9]
+    return copies, gap, able
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_the_draw_against_plain_order_sampling(spark, docs, seed):
+    rng = random.Random(seed)
+    texts = [" ".join(["w"] * rng.choice([1, 2, 3, 5, 9, 17, 40, 41, 43, 90, 200])) + f" {k}" for k in range(700)]
+    sources = {k: rng.choices(["a", "b", "c", "d"], [1, 2, 40, 9])[0] for k in range(len(texts))}
+    df = docs(texts, sources)
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing.random_number(42, F.col("doc_id"), F.xxhash64("text"), mixing.word_count(F.col("text"))).alias("u")).collect()}
+    starts = {r.s: r.u for r in spark.createDataFrame([(f"s{s}",) for s in "abcd"], "s string").select("s", mixing.random_number(42, F.col("s"), F.lit("start")).alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    probabilities = set()
+    for s in "abcd":
+        rows = [(u[k], k, 0, got[k].size) for k in sources if sources[k] == s]
+        target = got[rows[0][1]].target
+        want, gap, able = drawn(rows, target, 3, starts[f"s{s}"])
+        differ = {k for _, k, _, size in rows if got[k].taken != want[k] * size}
+        assert len(differ) <= 1 and differ <= set(able)
+        left = target - sum(got[k].taken for _, k, _, _ in rows)
+        assert abs(left) <= abs(gap)
+        probabilities |= {got[k].taken // size for _, k, _, size in rows}
+    assert len(probabilities) >= 3
+
+
 def test_mixing_of_odd_tables(docs):
     assert mixing.mix(docs([])).count() == 0
     assert [r.taken for r in mixing.mix(docs([None, ""])).collect()] == [0, 0]
+    # Three sources of three two-word documents, targets 3, 6 and 9: 9 lies between two whole numbers of documents.
     same = mixing.mix(docs(["a b"] * 9, ids=[1] * 9)).collect()
-    assert len(same) == 9 and sum(r.taken for r in same) == 18
+    assert len(same) == 9
+    for target in (3.0, 6.0, 9.0):
+        own = [r.taken for r in same if r.target == target]
+        assert len(own) == 3 and abs(sum(own) - target) <= 1 and max(own) <= 6
+    nulls = mixing.mix(docs(["a b", "a b", "c d e", None], ids=[None] * 4, sources={k: "s" for k in range(4)})).collect()
+    assert sorted((r.size, r.taken) for r in nulls) == [(0, 0), (2, 2), (2, 2), (3, 3)]
+
+
+def test_a_very_long_text_is_mixed_whole(docs):
+    rows = mixing.mix(docs(["w " * 300_000, "a b c"], sources={0: "a", 1: "b"})).collect()
+    assert {r.size for r in rows} == {300_000, 3}
