@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filter import DEPTH, DIFFERENT, LEAST_SHARE, LEAST_URLS, MOST_BAD, PRIOR_WEIGHT, RULES
+from .url_filter import DIFFERENT, LEAST_SHARE, LEAST_URLS, MOST_BAD, PRIOR_WEIGHT, RULES
 
 #: All pairs of documents that share a shingle, and the reach of every link.
 OP6_SQL = r"""
@@ -40,48 +40,61 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-def _level(d: int, segments: str) -> str:
-    """One level of the template tree: t{d} to t{d + 1}."""
+#: Levels of the template tree that the SQL spells out; it stops with an error at a deeper path under an open node.
+LEVELS = 6
+
+
+def _level(d: int) -> str:
+    """One level of the template tree: t{d} to t{d + 1}; finished rows have done."""
+    w = PRIOR_WEIGHT
+    differs = f"""CASE WHEN f.fk > 0 AND o.known > 0 AND f.fb + o.bad > 0 AND f.fb + o.bad < f.fk + o.known
+      THEN abs(f.fb / f.fk - o.bad / o.known) / sqrt((f.fb + o.bad) / (f.fk + o.known) * (1 - (f.fb + o.bad) / (f.fk + o.known)) * (1 / f.fk + 1 / o.known)) > {DIFFERENT} ELSE false END"""
     return f"""
-c{d} AS (SELECT host, template, s{d} AS seg, sum(n) AS cn, sum(known) AS ck, sum(bad) AS cb FROM t{d} GROUP BY 1, 2, 3),
-p{d} AS (SELECT host, template, sum(cn) AS pn, sum(ck) AS pk, sum(cb) AS pb, count(*) AS kids FROM c{d} GROUP BY 1, 2),
-j{d} AS (
-  SELECT host, template, seg, kids, cn < {LEAST_URLS} OR cn < pn * {LEAST_SHARE}::DOUBLE AS rare,
-    CASE WHEN ck > 0 AND pk > ck THEN CASE WHEN pb > 0 AND pb < pk
-      THEN abs(cb / ck::DOUBLE - (pb - cb) / (pk - ck)::DOUBLE) / sqrt(pb / pk::DOUBLE * (1 - pb / pk::DOUBLE) * (1.0::DOUBLE / ck + 1.0::DOUBLE / (pk - ck))) > {DIFFERENT} ELSE false END ELSE false END AS differs
-  FROM c{d} JOIN p{d} USING (host, template)
-), t{d + 1} AS (
-  SELECT t.host, {segments}, t.n, t.known, t.bad, t.template || CASE WHEN seg = '' THEN ''
-    WHEN kids = 1 AND NOT regexp_matches(seg, '[#~*]') AND NOT rare THEN '/' || seg WHEN rare OR NOT differs THEN '/*' ELSE '/' || seg END AS template
-  FROM t{d} t JOIN j{d} j ON j.host = t.host AND j.template = t.template AND j.seg = t.s{d}
+n{d} AS (SELECT host, template, sum(n) AS pn FROM t{d} WHERE NOT done GROUP BY 1, 2),
+r{d} AS (SELECT t.*, pn, pn < {LEAST_URLS} AS small, CASE WHEN len(parts) <= {d} THEN '' WHEN parts[{d + 1}] = '' THEN '/' ELSE parts[{d + 1}] END AS seg FROM t{d} t JOIN n{d} USING (host, template) WHERE NOT done),
+c{d} AS (SELECT host, template, seg, sum(n) AS n, sum(known) AS known, sum(bad) AS bad, max(pn) AS pn, count(*) OVER (PARTITION BY host, template) AS kids FROM r{d} WHERE NOT small GROUP BY host, template, seg),
+b{d} AS (SELECT *, CASE WHEN seg = '' THEN '' WHEN n < {LEAST_URLS} OR n < pn * {LEAST_SHARE}::DOUBLE OR (known = 0 AND kids > 1) THEN '*' ELSE seg END AS branch FROM c{d}),
+g{d} AS (SELECT host, template, branch, sum(known)::DOUBLE AS known, sum(bad)::DOUBLE AS bad FROM b{d} WHERE branch <> '' GROUP BY 1, 2, 3),
+h{d} AS (SELECT *, coalesce(sum(bad) OVER w / nullif(sum(known) OVER w, 0), 0.0::DOUBLE) AS rate FROM g{d} WINDOW w AS (PARTITION BY host, template)),
+o{d} AS (SELECT *, row_number() OVER (PARTITION BY host, template ORDER BY (bad + {w}::DOUBLE * rate) / (known + {w}::DOUBLE), branch) AS i FROM h{d}),
+f{d} AS (
+  SELECT host, template, branch, i, 1 AS grp, known AS fk, bad AS fb FROM o{d} WHERE i = 1
+  UNION ALL
+  SELECT o.host, o.template, o.branch, o.i, CASE WHEN {differs} THEN f.grp + 1 ELSE f.grp END,
+    CASE WHEN {differs} THEN o.known ELSE f.fk + o.known END, CASE WHEN {differs} THEN o.bad ELSE f.fb + o.bad END
+  FROM f{d} f JOIN o{d} o ON o.host = f.host AND o.template = f.template AND o.i = f.i + 1
+),
+m{d} AS (SELECT *, count(*) OVER g AS members, min(branch) OVER g AS low, max(CASE WHEN branch = '*' THEN 1 ELSE 0 END) OVER g AS wild, max(grp) OVER (PARTITION BY host, template) AS k FROM f{d} WINDOW g AS (PARTITION BY host, template, grp)),
+s{d} AS (SELECT host, template, branch, CASE WHEN wild = 1 OR (k = 1 AND members > 1) THEN '/*' WHEN members = 1 THEN '/' || branch ELSE '/[' || low || ',*]' END AS step FROM m{d}),
+e{d} AS (SELECT b.host, b.template, b.seg, coalesce(step, '') AS step FROM b{d} b LEFT JOIN s{d} s ON s.host = b.host AND s.template = b.template AND s.branch = b.branch),
+t{d + 1} AS (
+  SELECT * FROM t{d} WHERE done
+  UNION ALL SELECT host, shape, parts, n, known, bad, template || repeat('/*', greatest(len(parts) - {d}, 0)), true FROM r{d} WHERE small
+  UNION ALL SELECT r.host, r.shape, r.parts, r.n, r.known, r.bad, r.template || e.step, len(r.parts) <= {d + 1} FROM r{d} r JOIN e{d} e ON e.host = r.host AND e.template = r.template AND e.seg = r.seg WHERE NOT r.small
 )"""
 
 
 def _op3_sql() -> str:
-    segments = ", ".join(f"s{d}" for d in range(DEPTH + 1))
     fits = {}
     for rule, verdict in sorted(RULES, key=lambda r: -len(r[0])):
         host, _, path = rule.partition("/")
-        fits[rule] = (f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')", verdict)
+        fits[rule] = (f"(u.host = '{host}' OR ends_with(u.host, '.{host}')) AND starts_with(u.path, '/{path}')", verdict)
     rules = " ".join(f"WHEN {c} THEN '{r}'" for r, (c, _) in fits.items())
     verdicts = " ".join(f"WHEN {c} THEN '{v}'" for c, v in fits.values())
-    levels = ",".join(_level(d, segments) for d in range(DEPTH + 1))
-    on = " AND ".join(f"u.{c} = t.{c}" for c in ["host", *(f"s{d}" for d in range(DEPTH + 1))])
     hexed = "regexp_replace(path, '/[0-9a-fA-F-]{16,}(/|\\.|$)', '/~\\1', 'g')"
     hexed = hexed.replace("(path,", f"({hexed},")
     return f"""
-WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-sp AS (SELECT *, string_split(regexp_replace(regexp_replace({hexed}, '[0-9]+', '#', 'g'), '^/', ''), '/') AS parts FROM hp),
-u AS (SELECT page_id, host, path, {", ".join(f"coalesce(parts[{d + 1}], '') AS s{d}" for d in range(DEPTH))}, CASE WHEN len(parts) > {DEPTH} THEN '**' ELSE '' END AS s{DEPTH} FROM sp),
+u AS (SELECT *, regexp_replace(regexp_replace({hexed}, '[0-9]+', '#', 'g'), '^/', '') AS shape FROM hp),
 lb AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-t0 AS (SELECT host, {segments}, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad, '' AS template FROM u LEFT JOIN lb USING (page_id) GROUP BY host, {segments}),
-{levels},
-pr AS (SELECT CASE WHEN sum(known) > 0 THEN sum(bad) / sum(known)::DOUBLE ELSE 0 END AS prior FROM t{DEPTH + 1}),
-jd AS (SELECT host, template, CASE WHEN (sum(bad) + {PRIOR_WEIGHT} * max(prior)) / (sum(known) + {PRIOR_WEIGHT})::DOUBLE > {MOST_BAD} THEN 'block' ELSE 'allow' END AS method FROM t{DEPTH + 1}, pr GROUP BY 1, 2)
-SELECT u.page_id, u.host, u.path, CASE {rules.replace("host", "u.host").replace("path", "u.path")} END AS rule,
-  CASE {verdicts.replace("host", "u.host").replace("path", "u.path")} ELSE jd.method END AS verdict, u.host || t.template AS template
-FROM u JOIN t{DEPTH + 1} t ON {on} JOIN jd ON jd.host = t.host AND jd.template = t.template
+t0 AS (SELECT host, shape, string_split(shape, '/') AS parts, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad, '' AS template, false AS done FROM u LEFT JOIN lb USING (page_id) GROUP BY host, shape),
+{",".join(_level(d) for d in range(LEVELS))},
+t AS (SELECT host, shape, n, known, bad, CASE WHEN done THEN template ELSE error('a path is deeper than the levels of this SQL') END AS template FROM t{LEVELS}),
+pr AS (SELECT CASE WHEN sum(known) > 0 THEN sum(bad) / sum(known)::DOUBLE ELSE 0 END AS prior FROM t),
+jd AS (SELECT host || template AS name, CASE WHEN (sum(bad) + {PRIOR_WEIGHT} * max(prior)) / (sum(known) + {PRIOR_WEIGHT})::DOUBLE > {MOST_BAD} THEN 'block' ELSE 'allow' END AS method FROM t, pr GROUP BY 1)
+SELECT u.page_id, u.host, u.path, CASE {rules} END AS rule, CASE {verdicts} ELSE jd.method END AS verdict, jd.name AS template
+FROM u JOIN t ON t.host = u.host AND t.shape = u.shape JOIN jd ON jd.name = t.host || t.template
 """
 
 

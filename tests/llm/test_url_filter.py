@@ -32,69 +32,114 @@ def rule_of(host, path):
 
 def shapes(path):
     s = re.sub(r"(?<=/)[0-9a-fA-F-]{16,}(?=/|\.|$)", "~", path)
-    s = re.sub(r"^/", "", re.sub("[0-9]+", "#", s)).split("/")
-    return tuple((s + [""] * U.DEPTH)[: U.DEPTH]) + (("**",) if len(s) > U.DEPTH else ("",))
+    return tuple(re.sub(r"^/", "", re.sub("[0-9]+", "#", s)).split("/"))
+
+
+def differs(k1, b1, k2, b2):
+    if not k1 or not k2:
+        return False
+    rate = (b1 + b2) / (k1 + k2)
+    error = math.sqrt(rate * (1 - rate) * (1 / k1 + 1 / k2))
+    return error > 0 and abs(b1 / k1 - b2 / k2) / error > U.DIFFERENT
+
+
+def templates(rows):
+    """Template of each shape of one host, by recursion. rows: {parts: [n, known, bad]}."""
+    out = {}
+
+    def grow(rows, level, prefix):
+        total = sum(v[0] for v in rows.values())
+        if total < U.LEAST_URLS:
+            for parts in rows:
+                out[parts] = prefix + "/*" * max(0, len(parts) - level)
+            return
+        kids = defaultdict(dict)
+        for parts, v in rows.items():
+            kids["" if len(parts) <= level else parts[level] or "/"][parts] = v
+        sums = {seg: [sum(v[j] for v in r.values()) for j in range(3)] for seg, r in kids.items()}
+        branch = {seg: "" if seg == "" else "*" if n < U.LEAST_URLS or n < total * U.LEAST_SHARE or (k == 0 and len(kids) > 1) else seg for seg, (n, k, _) in sums.items()}
+        stats = defaultdict(lambda: [0, 0])
+        for seg, b in branch.items():
+            if b:
+                stats[b][0] += sums[seg][1]
+                stats[b][1] += sums[seg][2]
+        known, bad = (sum(v[j] for v in stats.values()) for j in (0, 1))
+        rate = bad / known if known else 0.0
+        groups = []
+        for _, b, k, x in sorted(((x + U.PRIOR_WEIGHT * rate) / (k + U.PRIOR_WEIGHT), b, k, x) for b, (k, x) in stats.items()):
+            if groups and not differs(*groups[-1][:2], k, x):
+                groups[-1] = [groups[-1][0] + k, groups[-1][1] + x, [*groups[-1][2], b]]
+            else:
+                groups.append([k, x, [b]])
+        step = {"": ""}
+        for _, _, members in groups:
+            for b in members:
+                step[b] = "/*" if "*" in members or (len(groups) == 1 and len(members) > 1) else "/" + b if len(members) == 1 else f"/[{min(members)},*]"
+        below = defaultdict(dict)
+        for seg, r in kids.items():
+            for parts, v in r.items():
+                if len(parts) <= level + 1:
+                    out[parts] = prefix + step[branch[seg]]
+                else:
+                    below[prefix + step[branch[seg]]][parts] = v
+        for name, r in below.items():
+            grow(r, level + 1, name)
+
+    grow(rows, 0, "")
+    return out
 
 
 def brute(pages, labels):
     urls = [(i, *parts(u)) for i, u in pages]
-    worst = defaultdict(int)
+    worst = {}
     for i, bad in labels:
-        worst[i] = max(worst[i], bad)
-    table = defaultdict(lambda: [0, 0, 0])
+        worst[i] = max(worst.get(i, 0), bad)
+    table = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
     for i, host, path in urls:
-        row = table[(host, shapes(path))]
+        row = table[host][shapes(path)]
         row[0] += 1
         row[1] += i in worst
         row[2] += worst.get(i, 0)
-    name = {k: "" for k in table}
-    for d in range(U.DEPTH + 1):
-        child, parent = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0])
-        kids = defaultdict(set)
-        for (host, s), v in table.items():
-            for j in range(3):
-                child[(host, name[(host, s)], s[d])][j] += v[j]
-                parent[(host, name[(host, s)])][j] += v[j]
-            kids[(host, name[(host, s)])].add(s[d])
-        for (host, s) in table:
-            key = (host, name[(host, s)])
-            cn, ck, cb = child[(*key, s[d])]
-            pn, pk, pb = parent[key]
-            rare = cn < U.LEAST_URLS or cn < pn * U.LEAST_SHARE
-            differs = False
-            if ck > 0 and pk - ck > 0:
-                rate = pb / pk
-                error = math.sqrt(rate * (1 - rate) * (1 / ck + 1 / (pk - ck)))
-                differs = error > 0 and abs(cb / ck - (pb - cb) / (pk - ck)) / error > U.DIFFERENT
-            if s[d] == "":
-                step = ""
-            elif len(kids[key]) == 1 and not re.search("[#~*]", s[d]) and not rare:
-                step = "/" + s[d]
-            else:
-                step = "/*" if rare or not differs else "/" + s[d]
-            name[(host, s)] = (name[(host, s)], step)
-        name = {k: "".join(v) if isinstance(v, tuple) else v for k, v in name.items()}
-    known, bad = sum(v[1] for v in table.values()), sum(v[2] for v in table.values())
+    name = {(host, k): t for host, rows in table.items() for k, t in templates(rows).items()}
+    known, bad = (sum(v[j] for rows in table.values() for v in rows.values()) for j in (1, 2))
     prior = bad / known if known else 0.0
     leaf = defaultdict(lambda: [0, 0])
-    for k, v in table.items():
-        leaf[(k[0], name[k])][0] += v[1]
-        leaf[(k[0], name[k])][1] += v[2]
+    for host, rows in table.items():
+        for k, v in rows.items():
+            leaf[host + name[host, k]][0] += v[1]
+            leaf[host + name[host, k]][1] += v[2]
     out = []
     for i, host, path in urls:
-        t = (host, name[(host, shapes(path))])
+        t = host + name[host, shapes(path)]
         k, b = leaf[t]
         method = "block" if (b + U.PRIOR_WEIGHT * prior) / (k + U.PRIOR_WEIGHT) > U.MOST_BAD else "allow"
         rule, verdict = rule_of(host, path)
-        out.append((i, host, path, rule, verdict or method, "".join(t)))
+        out.append((i, host, path, rule, verdict or method, t))
     return sorted(out, key=repr)
 
 
+def test_branches_merge_with_one_another(spark):
+    """Two bad and two good branches make two templates; deep paths that part at the seventh segment stay apart."""
+    pages, labels = [], []
+    for k in range(1200):
+        kind = ["spam", "junk", "news", "docs"][k % 4]
+        pages.append((k, f"http://h.net/{kind}/{k}"))
+        labels.append((k, int(k % 4 < 2)))
+    for k in range(1200, 1500):
+        pages.append((k, f"http://deep.net/a/b/c/d/e/f/{'bad' if k % 2 else 'good'}/x"))
+        labels.append((k, k % 2))
+    df = spark.createDataFrame([(i, u, "h", "p", "v") for i, u in pages], PAGES)
+    got = {r.page_id: r for r in U.filter_urls(df, spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert {got[k].template for k in range(1200) if k % 4 < 2} == {"h.net/[junk,*]/#"} and {got[k].template for k in range(1200) if k % 4 > 1} == {"h.net/[docs,*]/#"}
+    assert all((got[k].verdict == "block") == bool(bad) for k, bad in labels)
+    assert got[1200].template == "deep.net/a/b/c/d/e/f/good/x"
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_filter(spark, seed):
     rng = random.Random(seed)
     hosts = ["Shop.Example.NET", "a.net", "b.example.org", "com", "x.com:80", "hot.net"]
-    pages = [(k, rng.choice(["http", "https"]) + "://" + rng.choices(hosts, [1, 1, 1, 1, 1, 8])[0] + rng.choice(["", "/", f"/good/{k}", f"/spam/{k}.html?x=/y", f"/spam/{k}/buy#z", f"/de/{k}", f"/fr/a/b/c/d/e/{k}", f"/t/{rng.getrandbits(80):020x}", f"/rare{k}x/p"])) for k in range(900)]
+    pages = [(k, rng.choice(["http", "https"]) + "://" + rng.choices(hosts, [1, 1, 1, 1, 1, 8])[0] + rng.choice(["", "/", f"/good/{k}", f"/spam/{k}.html?x=/y", f"/spam/{k}/buy#z", f"/de/{k}", f"/fr/a/b/c/d/e/{k}", f"/deep/1/2/3/4/5/{rng.choice(['good', 'spam', 'more'])}/z/{k}", "//x//", "/a/", f"/t/{rng.getrandbits(80):020x}", f"/rare{k}x/p"])) for k in range(900)]
     pages += [(901, None), (902, ""), (903, "no scheme/here"), (904, "http://"), (905, "http://org"), (906, "http://x.ORG/"), (907, "ftp://EXAMPLE.org/en/12"), (None, "http://a.net/good/1"), (5, pages[5][1]), (908, "http://a.net/x\ny?z")]
     labels = [(k, int("/spam/" in (u or "") and rng.random() < 0.9)) for k, u in pages if k is not None and k % 2 == 0] + [(4, 1), (77777, 1)]
     df = spark.createDataFrame([(i, u, "h", "p", "v") for i, u in pages], PAGES)
