@@ -61,25 +61,26 @@ class Linear:
         self.words, self.weights, self.dense, self.bias = words, weights, dense, bias
 
     @staticmethod
-    def fit(docs: list[np.ndarray], dense: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 150) -> Linear:
-        """docs: sorted distinct 64-bit word hashes of each document."""
+    def fit(docs: list[np.ndarray], dense: np.ndarray, y: np.ndarray, vocabulary: np.ndarray, l2: float = 1.0, steps: int = 150) -> Linear:
+        """docs: places of each document's distinct words in ``vocabulary``, their sorted 64-bit hashes."""
         n, pos = len(docs), float(y.sum())
         if not n or pos in (0.0, float(n)):
             rate = (pos + 0.5) / (n + 1.0)
             return Linear(np.empty(0, np.uint64), np.empty(0), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))))
-        flat = np.concatenate([*docs, np.empty(0, np.uint64)])
-        row = np.repeat(np.arange(n), [len(d) for d in docs])
-        known, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-        with_y = np.bincount(column, weights=y[row], minlength=len(known))
+        df, with_y = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary))
+        for d, v in zip(docs, y, strict=True):
+            df[d] += 1
+            with_y[d] += v
         rate = pos / n
-        z = np.abs(with_y - df * rate) / np.sqrt(df * rate * (1 - rate))
+        z = np.abs(with_y - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate))
         z[df < LEAST_DOCS] = 0
         keep = np.sort(np.argsort(-z, kind="stable")[:WORDS])
         keep = keep[z[keep] > 3.0]
-        place = np.full(len(known), -1)
+        place = np.full(len(vocabulary), -1, np.int32)
         place[keep] = np.arange(len(keep))
-        used = place[column] >= 0
-        row, column = row[used], place[column][used]
+        columns = [c[c >= 0] for c in (place[d] for d in docs)]
+        row = np.repeat(np.arange(n), [len(c) for c in columns])
+        column = np.concatenate([*columns, np.empty(0, np.int32)])
         k = len(keep)
         w, d, b = np.zeros(k), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate)))
         mw, md, mb = w.copy(), d.copy(), b
@@ -94,11 +95,11 @@ class Linear:
             f = t / (t + 3)
             mw, md, mb = nw + f * (nw - w), nd + f * (nd - d), nb + f * (nb - b)
             w, d, b = nw, nd, nb
-        return Linear(known[keep], w, d, b)
+        return Linear(vocabulary[keep], w, d, b)
 
-    def score(self, docs: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        """Probabilities."""
-        out = np.empty(len(docs))
+    def score(self, docs, dense: np.ndarray) -> np.ndarray:
+        """Probabilities; docs: the sorted distinct word hashes of each document."""
+        out = np.empty(len(dense))
         for i, x in enumerate(docs):
             k = np.searchsorted(self.words, x)
             k = k[(k < len(self.words))] if not len(self.words) else np.where(k < len(self.words), k, 0)
@@ -118,11 +119,8 @@ class Chain:
         self.categories, self.models, self.thresholds = categories, models, thresholds
 
     @staticmethod
-    def fit(ids: np.ndarray, docs: list[np.ndarray], form: np.ndarray, labels: dict[str, np.ndarray]) -> Chain:
-        # Words of very few documents weigh nothing in any model; without them the rest is small.
-        known, df = np.unique(np.concatenate([*docs, np.empty(0, np.uint64)]), return_counts=True)
-        known = known[df >= LEAST_DOCS]
-        docs = [d[np.isin(d, known, assume_unique=True)] for d in docs]
+    def fit(ids: np.ndarray, docs: list[np.ndarray], form: np.ndarray, labels: dict[str, np.ndarray], vocabulary: np.ndarray) -> Chain:
+        """docs: places of each document's distinct words in ``vocabulary``, their sorted 64-bit hashes."""
         fold = np.array([xxhash.xxh3_64_intdigest(int(i).to_bytes(8, "little", signed=True)) % FOLDS for i in ids])
         dense, models, thresholds = form, [], []
         for name, y in labels.items():
@@ -130,10 +128,10 @@ class Chain:
             out = np.full(len(docs), np.nan)
             for f in range(FOLDS):
                 fit = known[fold[known] != f]
-                model = Linear.fit([docs[k] for k in fit], dense[fit], y[fit])
+                model = Linear.fit([docs[k] for k in fit], dense[fit], y[fit], vocabulary)
                 own = np.flatnonzero(fold == f)
-                out[own] = model.score([docs[k] for k in own], dense[own])
-            models.append(Linear.fit([docs[k] for k in known], dense[known], y[known]))
+                out[own] = model.score((vocabulary[docs[k]] for k in own), dense[own])
+            models.append(Linear.fit([docs[k] for k in known], dense[known], y[known], vocabulary))
             thresholds.append(best_threshold(out[known], y[known]))
             dense = np.column_stack([dense, out])
         return Chain(list(labels), models, thresholds)
@@ -170,8 +168,9 @@ def hashed(text: str | None, memo: Memo) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(memo.__getitem__, words_of(text))), np.uint64))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE, seed: int = 7) -> list:
-    """At most ``most`` labelled documents, the smallest by a hash of their id, with hashed words.
+def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE, seed: int = 7) -> tuple[list, np.ndarray]:
+    """At most ``most`` labelled documents, the smallest by a hash of their id, with the places of
+    their words in the vocabulary; and the vocabulary, sorted word hashes.
 
     Words of fewer than LEAST_DOCS of them weigh nothing in any model; executors
     count them and leave them out, so the driver never holds them.
@@ -202,18 +201,19 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
         for b in batches:
             k = len(names) + 1
             docs = [np.frombuffer(w, np.uint64) for w in b.column(k).to_pylist()]
-            kept = [d[np.isin(d, known, assume_unique=True)].tobytes() for d in docs]
+            places = [np.minimum(np.searchsorted(known, d), max(len(known) - 1, 0)) for d in docs]
+            kept = [p[known[p] == d].astype("<i4").tobytes() if len(known) else b"" for p, d in zip(places, docs, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(kept, pa.binary()), b.column(k + 1)], names=b.schema.names)
 
-    return sorted(rows.mapInArrow(cut, schema).collect(), key=lambda r: (r.doc_id, bytes(r.words)))
+    return sorted(rows.mapInArrow(cut, schema).collect(), key=lambda r: (r.doc_id, bytes(r.words))), known
 
 
 def fit_chain(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE) -> Chain:
-    rows = labelled_sample(documents, labels, names, most)
-    docs = [np.frombuffer(bytes(r.words), np.uint64) for r in rows]
+    rows, vocabulary = labelled_sample(documents, labels, names, most)
+    docs = [np.frombuffer(r.words, "<i4") for r in rows]
     form = np.array([np.frombuffer(bytes(r.form), np.float64) for r in rows]).reshape(len(rows), FORM)
     marks = {c: np.array([np.nan if r[c] is None else float(r[c]) for r in rows]) for c in names}
-    return Chain.fit(np.array([r.doc_id for r in rows], np.int64), docs, form, marks)
+    return Chain.fit(np.array([r.doc_id for r in rows], np.int64), docs, form, marks, vocabulary)
 
 
 def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, out: str = "verdicts") -> DataFrame:

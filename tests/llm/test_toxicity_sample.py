@@ -11,10 +11,10 @@ def test_only_common_words_reach_the_driver(spark):
     texts = [f"shared{k % 9} own{chr(97 + k % 26)}{chr(97 + k // 26)} every" for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2, k % 3 // 2) for k in range(60)], "doc_id long, low_quality int, toxic int")
-    rows = X.labelled_sample(docs, labels, list(X.CATEGORIES))
+    rows, vocabulary = X.labelled_sample(docs, labels, list(X.CATEGORIES))
     memo = X.Memo(X.word_features)
     df = Counter(w for t in texts for w in X.hashed(t, memo).tolist())
     for r in rows:
         want = [w for w in X.hashed(texts[r.doc_id], memo).tolist() if df[w] >= X.LEAST_DOCS]
-        assert np.frombuffer(bytes(r.words), np.uint64).tolist() == want
+        assert vocabulary[np.frombuffer(r.words, "<i4")].tolist() == want
     assert len(rows) == 60 and X.SAMPLE == 12_000
