@@ -43,6 +43,8 @@ FAMILY_SHINGLES = 4_000_000
 STARS = 3
 #: Members up to which equal nodes of one partition are recognised as equal.
 KNOWN_MEMBERS = 1 << 16
+#: Bits of a size's code, and its step (the logarithm of 1.0206).
+SIZE_BITS, SIZE_STEP = 10, 0.0204
 #: Cells of the table of shingle counts, and cells in one stored row of it.
 CELLS, CHUNK = 1 << 22, 1 << 16
 _CELL_SHIFT = np.uint64(64 - 22)
@@ -133,9 +135,12 @@ def fingerprint(s: np.ndarray) -> bytes:
     return b"".join(int(mix64(s ^ np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "little") for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
-def node_of(mark: bytes) -> int:
-    """A set's number inside the top of the tree: 62 bits of its fingerprint."""
-    return int.from_bytes(mark[:8], "little") >> 2
+def node_of(mark: bytes, n: int) -> int:
+    """A set's number inside the top of the tree: 52 bits of its fingerprint and a code of its size.
+
+    Sets with one number are never taken for equal: a number stands for all its sets.
+    """
+    return int.from_bytes(mark[:8], "little") >> 12 << SIZE_BITS | min(int(np.log(n) / SIZE_STEP), (1 << SIZE_BITS) - 1)
 
 
 def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
@@ -431,7 +436,7 @@ def _tree_top(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: in
             for d, t, tag in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = shingle_set(t, words)
                 mark = fingerprint(s) if len(s) else None
-                node = node_of(mark) if mark else 0
+                node = node_of(mark, len(s)) if mark else 0
                 leaves.append((hash((d, len(leaves), mark)) >> 1, node, d, tag, len(s), mark, bitmap(s) if mark else None))
                 if mark and mark not in seen:
                     seen.add(mark)
@@ -445,6 +450,9 @@ def _tree_top(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: in
                 for i in range(0, len(key), 1 << 18):
                     yield batch(key[i : i + (1 << 18)], node[i : i + (1 << 18)])
 
+    # How far the size codes of linked sets can be apart.
+    reach = int(np.log(den / num) / SIZE_STEP) + 1
+
     def groups(batches):
         known: set[int] = set()
         held_key, held = None, None  # the group that is still open
@@ -454,13 +462,38 @@ def _tree_top(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: in
             return batch(np.asarray(gid, np.int64), members >> 1)
 
         def close(keys, nodes):
-            """The groups of at least two, each once a partition: gid and members of every row."""
-            cut = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1))
+            """The groups of at least two, each once a partition: gid and members of every row.
+
+            A group is cut into runs of sizes in which neighbours may link; of a
+            run stay the sets that have a partner: of the two, the smaller one is
+            there by its short prefix.
+            """
+            size = nodes >> 1 & (1 << SIZE_BITS) - 1
+            order = np.lexsort((size, keys))
+            keys, nodes, size, at = keys[order], nodes[order], size[order], np.arange(len(keys))
+            run = np.append(True, (keys[1:] != keys[:-1]) | (np.diff(size) > reach))
+            start = np.maximum.accumulate(np.where(run, at, 0))
+            short = nodes & 1 > 0
+            # The nearest short one below in the run, and whether another set comes next within reach or of equal size.
+            below = np.maximum.accumulate(np.where(short, at, -1))
+            below = np.append(-1, below[:-1])
+            larger = (below >= start) & (size - size[np.maximum(below, 0)] <= reach)
+            after = np.append(~run[1:], False)
+            equal_below = np.append(False, ~run[1:] & (size[1:] == size[:-1]))
+            keep = larger | (short & (after | equal_below))
+            # Equal codes stand for a range of sizes, so a short one also makes its equals before it partners.
+            above = len(at) - 1 - np.maximum.accumulate(np.where(short[::-1], at, -1))[::-1]
+            above = np.append(above[1:], len(at))
+            equal_above = (above < len(at)) & (size[np.minimum(above, len(at) - 1)] == size) & (start[np.minimum(above, len(at) - 1)] == start)
+            keep |= equal_above
+            keys, nodes, start = keys[keep], nodes[keep], start[keep]
+            if not len(keys):
+                return None
+            cut = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
             size = np.diff(np.append(cut, len(keys)))
-            real = (size > 1) & (np.bitwise_or.reduceat(nodes, cut) & 1 > 0)
             gid = np.add.reduceat(mix64((nodes >> 1).view(np.uint64) ^ np.uint64(0x452821E638D01377)), cut)
             gid = mix64(gid + size.astype(np.uint64)).view(np.int64)
-            keep = np.flatnonzero(real)
+            keep = np.flatnonzero(size > 1)
             keep = keep[np.array([g not in known and not known.add(g) for g in gid[keep].tolist()], bool)]
             if len(keep):
                 row = np.repeat(np.isin(np.arange(len(cut)), keep), size)
