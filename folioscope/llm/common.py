@@ -83,6 +83,25 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataF
     return rows.join(few, key).unionByName(cold).drop(weight)
 
 
+#: Rows of the table that ``without_keys`` broadcasts, of 64 bits each (1 MiB of bits in all).
+FILTER_ROWS = 1 << 17
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely have none of the keys, rows that may have one), without moving a row.
+
+    A table of bits of fixed size, one for each hash of a key, is broadcast; it
+    grows with nothing. What it can't tell apart has to be joined by key.
+    """
+    h = F.xxhash64(*on)
+    slot, bit = F.pmod(h, F.lit(FILTER_ROWS)), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")
+    mask = F.bit_or(F.expr("shiftleft(1L, _bit)"))
+    held = stored(keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(mask.alias("_mask")), "key-bits")
+    marked = rows.withColumn("_slot", slot).withColumn("_bit", bit).join(F.broadcast(held), "_slot", "left")
+    maybe = F.coalesce(F.getbit("_mask", F.col("_bit")) == 1, F.lit(False))
+    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

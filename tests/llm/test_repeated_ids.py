@@ -9,3 +9,32 @@ def test_rows_are_judged_one_by_one(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 99, r.text) for r in C.near_duplicates(spark, docs, "").collect())
     assert got == sorted([(1, text("a")), (2, text("b")), (4, text("c")), (5, ""), (5, ""), (99, text("d"))])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place long, twin string, copies int, copy int, verdicts string, component string, mark string"
+
+
+def test_stages_on_an_empty_table_and_clashing_names(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    words = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(k, words[k // 2], "en", None if k == 3 else "s", 1, 7, "t", 3, 4, "v", "c", "m") for k in range(12)]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None, None), (20, "", "en", "s", 0, 1, "", 0, 0, "", "", "")]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, SCHEMA)
+        for _, stage in C.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert (not data) == (not got)
+        assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(data)
+    kept = C.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 2, 4, 6, 8, 10, 20] and len(kept) == 8
+    assert all(r.place == 7 and r.twin == "t" for r in kept if r.doc_id is not None and r.doc_id < 20)
+
+
+def test_mixing_does_not_depend_on_layout(spark):
+    rows = [(k % 50, " ".join(["w"] * (k % 37 + 1)) + f" {k % 80}", "en", f"s{k % 3}", 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    a, b = (sorted(map(tuple, C.mixing(spark, docs.repartition(n), "").collect())) for n in (3, 7))
+    assert a == b and a
