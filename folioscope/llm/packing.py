@@ -35,7 +35,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Upper ends of the bands, as parts of the capacity.
 BANDS = (2, 4, 16)
 #: Rows that a superstep gives one task, and sequences that a task opens, at least.
-TASK_ROWS, TASK_SEQUENCES = 20_000, 64
+TASK_ROWS, TASK_SEQUENCES = 20_000, 1024
 _GAP, _OPEN, _PLACED = 0, 1, 2
 
 
@@ -124,29 +124,16 @@ def resolve(counts: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def _slots(swept: DataFrame, plan: np.ndarray, kind: int) -> DataFrame:
-    """The open pieces or gaps that ``plan`` matches, with their slot; and null slots for the others."""
-    part, first = (plan[:, 0], plan[:, 1]) if kind == _OPEN else (plan[:, 3], plan[:, 4])
-    key = part << 40 | first
-    order = np.argsort(key, kind="stable")
-    key, n, slot = key[order], plan[order, 2], plan[order, 5]
+    """The open pieces or gaps, with the slot in which ``plan`` matches them; null for the others.
 
-    def run(batches):
-        for b in batches:
-            at = b.column(b.schema.get_field_index("part")).to_numpy(zero_copy_only=False).astype(np.int64) << 40
-            rank = b.column(b.schema.get_field_index("rank"))
-            known = rank.is_valid().to_numpy(zero_copy_only=False)
-            at = at | np.where(known, rank.fill_null(0).to_numpy(zero_copy_only=False), 0)
-            if len(key) and len(at):
-                k = np.maximum(np.searchsorted(key, at, "right") - 1, 0)
-                ahead = at - key[k]
-                inside = known & (ahead >= 0) & (ahead < n[k])
-                found = slot[k] + ahead
-            else:
-                inside, found = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64(), mask=~inside)], names=[*b.schema.names, "slot"])
-
-    schema = swept.withColumn("slot", F.lit(None).cast("long")).schema
-    return swept.where(F.col("kind") == kind).mapInArrow(run, schema)
+    The plan has at most two rows a partition.
+    """
+    part, first = (0, 1) if kind == _OPEN else (3, 4)
+    rows = [(int(r[part]), int(r[first]), int(r[first] + r[2]), int(r[5] - r[first])) for r in plan]
+    spans = F.broadcast(swept.sparkSession.createDataFrame(rows, "_part int, _from long, _to long, _shift long"))
+    some = swept.where(F.col("kind") == kind)
+    here = (some.part == spans._part) & (some["rank"] >= spans._from) & (some["rank"] < spans._to)
+    return some.join(spans, here, "left").withColumn("slot", F.col("rank") + F.col("_shift")).drop("_part", "_from", "_to", "_shift")
 
 
 def open_sequences(capacity: int, own: list[str]):
