@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import join_hot, stored, table
+from folioscope.llm.common import join_hot, stored, table, without_keys
 from folioscope.llm.jaccard_join import jaccard_classes
 from folioscope.llm.mixing import mix
 from folioscope.llm.packing import pack_documents
@@ -61,9 +61,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Every row of a group goes but its first; where rows equal the first one, one of them comes back.
     gone = stored(judged.where("row != first or copies > 1").select(*key).distinct(), "gone")
     back = stored(judged.where("row = first and copies > 1").select(*key).distinct(), "back")
-    kept = keyed.join(gone, [place, twin], "left_anti")
+    sure, open_ = without_keys(keyed, gone, [place, twin])
+    kept = sure.unionByName(open_.join(gone, [place, twin], "left_anti"))
     if not back.isEmpty():
-        kept = kept.unionByName(keyed.join(back, [place, twin], "left_semi").dropDuplicates([place, twin]))
+        kept = kept.unionByName(without_keys(keyed, back, [place, twin])[1].join(back, [place, twin], "left_semi").dropDuplicates([place, twin]))
     return kept.select(docs.columns)
 
 
@@ -77,7 +78,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place, copies, copy = _own(docs, "place", "copies", "copy")
     keyed = docs.withColumn(place, F.xxhash64(*docs.columns))
     mixed = mix(keyed, id_col=place).where("taken > 0").groupBy(F.col("doc_id").alias(place)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(copies))
-    once = keyed.join(stored(mixed, "copies"), place).dropDuplicates([place])
+    # The table of copies grows with the documents, so it is never broadcast.
+    once = keyed.join(stored(mixed, "copies").hint("merge"), place).dropDuplicates([place])
     return once.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
