@@ -70,15 +70,57 @@ def alignment_score(n_matched: Column, n_keys: Column) -> Column:
     return F.round(F.when(n_keys > 0, F.least(n_matched / n_keys, F.lit(1.0))).otherwise(F.lit(0.0)), 3)
 
 
+def alignment_source(score: Column, least: float = 0.3) -> Column:
+    """fusion where enough of a block's words were matched, else none."""
+    return F.when(score >= least, "fusion").otherwise("none")
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def token_places(keys: Column, ocr_keys: Column, least: float = 0.5) -> Column:
+    """Places of tokens among OCR words: (at, other, exact). Runs of two or more equal words are exact;
+    a lone equal word, and the most similar unused word of a replaced run of like length, are not."""
+
+    @F.pandas_udf(_MATCHES)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def similar(s, t):
+            return 1 - edit_distance(s, t) / max(len(s), len(t), 1) if s and t else 0.0
+
+        def one(x, y):
+            x, y, out = list(x), list(y), []
+            for tag, i, j, k, m in _opcodes(x, y):
+                if tag == "equal":
+                    out += [{"at": i + d, "other": k + d, "exact": j - i > 1} for d in range(j - i)]
+                elif tag == "replace" and max(j - i, m - k) <= 2 * min(j - i, m - k) + 1:
+                    free = list(range(k, m))
+                    for at in range(i, j):
+                        best = max(free, key=lambda c: similar(x[at], y[c]), default=None)
+                        if best is not None and similar(x[at], y[best]) >= least:
+                            free.remove(best)
+                            out.append({"at": at, "other": best, "exact": False})
+            return out
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return run(keys, ocr_keys)
+
+
 def keep_weak_hits(hits: DataFrame, most_lines: int = 6) -> DataFrame:
     """Hits (block, tok, line, exact): approximate ones stay if they lie between the lines of the
-    nearest exact ones around them, and those are at most ``most_lines`` apart."""
+    nearest exact ones around them (where there are any), and those are at most ``most_lines`` apart."""
     before = Window.partitionBy("block").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("block").orderBy("tok").rowsBetween(1, Window.unboundedFollowing)
     strong = F.when(F.col("exact"), F.col("line"))
     rows = hits.withColumn("_lo", F.last(strong, ignorenulls=True).over(before)).withColumn("_hi", F.first(strong, ignorenulls=True).over(after))
-    inside = (F.col("line") >= F.col("_lo")) & (F.col("line") <= F.col("_hi")) & (F.col("_hi") - F.col("_lo") <= most_lines)
-    return rows.where(F.col("exact") | F.coalesce(inside, F.lit(False))).drop("_lo", "_hi")
+    inside = F.coalesce(F.col("line") >= F.col("_lo"), F.lit(True)) & F.coalesce(F.col("line") <= F.col("_hi"), F.lit(True)) & F.coalesce(F.col("_hi") - F.col("_lo") <= most_lines, F.lit(True))
+    return rows.where(F.col("exact") | inside).drop("_lo", "_hi")
 
 
 def locate(tokens: DataFrame) -> DataFrame:

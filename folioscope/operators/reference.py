@@ -148,10 +148,87 @@ def page_text(blocks: DataFrame, furniture: tuple[str, ...] = ("page_header", "p
 
 
 def uncovered_lines(lines: DataFrame, score: Column, least_conf: float = 50.0, least_letters: int = 8, least_score: float = 65.0) -> DataFrame:
-    """OCR line segments (page, conf, segment) that the page's text does not hold: sure enough, long
-    enough, mostly Arabic letters, with at least three words of three letters, and a low score."""
-    letters = F.regexp_count("segment", F.lit("[ء-ي]"))
-    solid = F.length(F.regexp_replace("segment", r"\s", ""))
-    long_words = F.size(F.filter(F.split(N.strip_diacritics(F.col("segment")), r"\s+"), lambda w: F.length(w) >= 3))
-    fit = (F.col("conf") >= least_conf) & (letters >= least_letters) & (letters >= 0.8 * solid) & (long_words >= 3)
+    """OCR line segments (page, conf, n_segments, key) that the page's text does not hold: sure enough,
+    long enough, mostly Arabic letters, with three words of three letters (two where the line has
+    several segments), and a low score. ``key`` is the segment's search key."""
+    arabic = lambda c: F.regexp_count(c, F.lit("[ء-ي]"))
+    letters = arabic(F.col("key"))
+    solid = F.greatest(F.length(F.replace("key", F.lit(" "), F.lit(""))), F.lit(1))
+    long_words = F.size(F.filter(F.split("key", " "), lambda w: F.length(F.regexp_replace(w, "[^ء-ي]", "")) >= 3))
+    needed = F.when(F.col("n_segments") > 1, 2).otherwise(3)
+    fit = (F.col("conf") >= least_conf) & (letters >= least_letters) & (letters >= 0.8 * solid) & (long_words >= needed)
     return lines.where(fit).withColumn("score", score).where(F.col("score") < least_score)
+
+
+def citation(title: Column, author: Column, edition: Column, page: Column) -> Column:
+    """Title, author without what is in brackets, edition and page."""
+    return F.concat_ws("، ", title, F.split(author, r" \(")[0], edition, F.concat(F.lit("ص "), page.cast("string")))
+
+
+def graded_view(rows: DataFrame, default: str) -> DataFrame:
+    """Reports (unit_id, narrator, status, grade, source) with ``default`` where no grade is known."""
+    return rows.select("unit_id", "narrator", "status", F.coalesce("grade", F.lit(default)).alias("grade"), "source")
+
+
+def baseline_view(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fixed-size chunks (id, page_id, text) with their page's printed number; null without a page."""
+    return chunks.join(pages.select("page_id", "printed"), "page_id", "left").select("id", F.lit("baseline").alias("kind"), "text", "page_id", "printed")
+
+
+def line_view(lines: DataFrame) -> DataFrame:
+    """Pages as their OCR lines (page, no, text) in the engine's order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda s: s.text), "\n")
+    return lines.groupBy("page").agg(text.alias("text"), F.count("*").alias("n_lines"))
+
+
+def passages(hits: DataFrame, units: DataFrame, blocks: DataFrame, notes: DataFrame, verses: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits (qid, id, rank, ...) with all that a reader sees of a unit.
+
+    units: id, kind, crumbs, block_ids; blocks: block_id, page_id, text; notes: anchor,
+    note_id, text, attached (array of texts); verses: block_id, ref (of blocks or notes);
+    pages: page_id, printed. Adds kind, crumbs, parts (blocks in the unit's order), notes
+    (by block and id), refs and printed pages (sorted).
+    """
+    u = units.select("id", "kind", "crumbs", F.posexplode("block_ids").alias("pos", "block_id"))
+    b = u.join(blocks, "block_id").join(pages, "page_id", "left")
+    parts = b.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s.text).alias("parts"), F.array_sort(F.collect_set("printed")).alias("printed"), F.first("kind").alias("kind"), F.first("crumbs").alias("crumbs"))
+    n = u.select("id", "pos", F.col("block_id").alias("anchor")).join(notes, "anchor")
+    with_notes = n.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "note_id", F.concat_ws(" ", "text", F.array_join("attached", " ")).alias("t")))), lambda s: s.t).alias("notes"))
+    own = u.select("id", "block_id").unionByName(n.select("id", F.col("note_id").alias("block_id")))
+    refs = own.join(verses, "block_id").groupBy("id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    none = F.array().cast("array<string>")
+    out = hits.join(parts, "id").join(with_notes, "id", "left").join(refs, "id", "left")
+    return out.withColumn("notes", F.coalesce("notes", none)).withColumn("refs", F.coalesce("refs", none))
+
+
+def unit_verdicts(units: DataFrame) -> DataFrame:
+    """(unit, no): units with a wording or an attribution; ``no`` counts all units before the filter.
+
+    units: book, unit, first (place of its first block), wording, printed (null where absent).
+    """
+    w = Window.partitionBy("book").orderBy("first")
+    return units.withColumn("no", F.row_number().over(w) - 1).where("wording is not null or printed is not null")
+
+
+def match_external(reports: DataFrame, entries: DataFrame, score, confirm, least: float = 80.0, sure: float = 70.0, most: int = 3) -> DataFrame:
+    """Reports (id, key) with the entries (ext_id, title_key, text_key) whose title they hold.
+
+    Keys must be long enough (15 and 10 characters). Pairs meet by shared pairs of
+    words, so no report is compared with every entry: a title that stands in a
+    report to 80 of 100 characters shares two words in a row with it, unless an
+    edit falls into every second word. ``score`` and ``confirm`` take two columns.
+    """
+    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(c, " ")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split(c, " "), i, F.lit(2)), " ")))
+    r = reports.where(F.length("key") >= 15).select("id", "key", F.explode(pairs_of(F.col("key"))).alias("pair"))
+    e = entries.where(F.length("title_key") >= 10).select("ext_id", "title_key", "text_key", F.explode(pairs_of(F.col("title_key"))).alias("pair"))
+    met = r.join(e, "pair").select("id", "key", "ext_id", "title_key", "text_key").distinct()
+    rows = met.withColumn("score", score(F.col("title_key"), F.col("key"))).where(F.col("score") >= least)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("ext_id"))
+    best = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return best.withColumn("sure", confirm(F.col("text_key"), F.col("key"))).where(F.col("sure") >= sure).select("id", "ext_id", "place", "score", "sure")
+
+
+def chunk_anchors(chunks: DataFrame, blocks: DataFrame, kind: str = "hadith") -> DataFrame:
+    """(chunk, block_id): a chunk's first block of a kind, else its first block."""
+    rows = chunks.select("chunk", F.posexplode("block_ids").alias("pos", "block_id")).join(blocks.select("block_id", "type"), "block_id", "left")
+    return rows.groupBy("chunk").agg(F.min(F.struct((F.coalesce("type", F.lit("")) != kind).alias("other"), "pos", "block_id")).alias("x")).select("chunk", "x.block_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
 
-from .spans import ngrams
+from .spans import meeting, ngrams
 
 #: Questions that are scored together, and texts.
 QUERY_BLOCK, TEXT_BLOCK = 256, 512
@@ -74,16 +74,6 @@ def unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(d, lambda x: x / length)).otherwise(d)
 
 
-def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score): the best inner product over a unit's windows.
-
-    ``queries`` (qid, qvec) is the stated set of questions; its size is checked by
-    Spark's own broadcast limit, beyond which the join is not broadcast.
-    """
-    pairs = vectors.select("id", "vec").join(queries.select("qid", "qvec"), F.lit(True))
-    return pairs.groupBy("qid", "id").agg(F.max(F.round(dot(F.col("vec"), F.col("qvec")), 6)).alias("score"))
-
-
 def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     """Places of the n best scores above -inf of distinct ids, ties to the smaller id."""
     k = n
@@ -228,7 +218,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, most: int = LIMITS.phrase_
     an equi-join before the containment test.
     """
     heads = phrases.withColumn("head", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
-    grams = ngrams(texts, 2).select("id", F.col("gram").alias("head")).join(heads.select("head").distinct(), "head", "left_semi").distinct()
+    grams = meeting(ngrams(texts, 2).select("id", F.col("gram").alias("head")), heads, "head").distinct()
     hits = grams.join(heads, "head").join(texts.select("id", "key"), "id").where(F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
     return ranked(hits.select("qid", "id").distinct(), most, by=F.col("id").asc())
 
@@ -249,6 +239,39 @@ def fuse(lists: list[tuple[str, DataFrame]], k: int = LIMITS.rrf_k, n: int = LIM
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("first")
 
 
+def with_similarity(hits: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds dense_available and dense_sim to hits (qid, id): the best inner product over a unit's vectors
+    (id, vec) with the question's (qid, qvec); null where either has none. Only the hits' vectors meet."""
+    pairs = hits.select("qid", "id").join(asked, "qid").join(vectors, "id").groupBy("qid", "id").agg(F.max(F.round(dot(F.col("vec"), F.col("qvec")), 6)).alias("dense_sim"))
+    have = asked.select("qid", F.lit(True).alias("_have")).distinct()
+    return hits.join(pairs, ["qid", "id"], "left").join(have, "qid", "left").withColumn("dense_available", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def search(units: dict[str, DataFrame], mode: str, terms: DataFrame, n: int = LIMITS.result_k) -> DataFrame:
+    """The lexical search over the units (id, key) that a mode names."""
+    if mode not in units:
+        raise ValueError(f"unknown mode: {mode}")
+    return bm25_top(units[mode], terms, n).withColumn("mode", F.lit(mode))
+
+
+def embedded(texts: DataFrame, embed, size: int = 64) -> DataFrame:
+    """(id, vec) of texts (id, text) by ``embed``, a function of a list of texts, in batches of ``size``;
+    a task asks for equal texts once."""
+
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            ids, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
+            new = [t for t in dict.fromkeys(rows) if t is not None and t not in known]
+            for i in range(0, len(new), size):
+                known.update(zip(new[i : i + size], embed(new[i : i + size]), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if t is None else [float(x) for x in known[t]] for t in rows], pa.list_(pa.float64()))], names=["id", "vec"])
+            if len(known) > 100_000:
+                known.clear()
+
+    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, vec array<double>")
+
+
 def assemble(hits: DataFrame, units: DataFrame, blocks: DataFrame) -> DataFrame:
     """Hits with their unit's blocks in order: units (id, block_ids), blocks (block_id, text)."""
     ids = units.select("id", F.posexplode("block_ids").alias("pos", "block_id")).join(blocks, "block_id")

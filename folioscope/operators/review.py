@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,29 @@ def dispute_groups(tokens: DataFrame, most: int = 4) -> DataFrame:
     return d.groupBy("block", "run", "part").agg(F.min("tok").alias("first"), F.max("tok").alias("last")).drop("run", "part")
 
 
+def candidate_readings(groups: DataFrame) -> DataFrame:
+    """(block, first, candidates): equal readings of a dispute are one candidate that names its readers.
+
+    groups: block, first, readings (array of reader, text, in order); empty texts are no candidates.
+    """
+    texts = F.array_distinct(F.transform(F.filter("readings", lambda r: F.coalesce(r.text, F.lit("")) != ""), lambda r: r.text))
+    merged = F.transform(texts, lambda t: F.struct(t.alias("text"), F.transform(F.filter("readings", lambda r: r.text == t), lambda r: r.reader).alias("readers")))
+    return groups.select("block", "first", merged.alias("candidates"))
+
+
+def progress(items: DataFrame, spots: DataFrame) -> DataFrame:
+    """(page, items_total, items_done, spot_total, spot_done, spot_wrong) from items (page, decision) and spots (page, verdict)."""
+    i = items.groupBy("page").agg(F.count("*").alias("items_total"), F.count("decision").alias("items_done"))
+    s = spots.groupBy("page").agg(F.count("*").alias("spot_total"), F.count("verdict").alias("spot_done"), F.count_if(F.col("verdict") == "wrong").alias("spot_wrong"))
+    counts = [c for c in (*i.columns, *s.columns) if c != "page"]
+    return i.join(s, "page", "full").select("page", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+def action_counts(reviews: DataFrame, actions: tuple[str, ...] = ("approve", "edit", "remove")) -> DataFrame:
+    """One row: how many reviews (action, note) there are, of each action, and with a note."""
+    return reviews.agg(F.count("*").alias("reviewed"), *[F.count_if(F.col("action") == a).alias(a) for a in actions], F.count_if(F.coalesce("note", F.lit("")) != "").alias("with_notes"))
+
+
 def sample_strata(rows: DataFrame, id_col: str, stratum: str, rates: dict[str, float], weight: Column, seed: int = 1) -> DataFrame:
     """A weighted sample without replacement of each stratum (at least one row), by exponential
     keys -ln(u) / weight from an arithmetic hash of the id; reruns agree."""
@@ -76,10 +101,10 @@ def choose_model(total: Column, today: Column, hard: float, daily: float) -> Col
 def accept(times: list[float], limit: int, seconds: float = 3600.0) -> list[bool]:
     """Which requests a sliding window accepts; rejected ones do not count, and one exactly
     ``seconds`` old still does."""
-    kept, out = [], []
+    kept, out = deque(), []
     for t in times:
         while kept and t - kept[0] > seconds:
-            kept.pop(0)
+            kept.popleft()
         ok = len(kept) < limit
         out.append(ok)
         if ok:
@@ -88,12 +113,21 @@ def accept(times: list[float], limit: int, seconds: float = 3600.0) -> list[bool
 
 
 def rate_limit(events: DataFrame, user: str = "user_id", limit: int = LIMITS.requests_per_hour) -> DataFrame:
-    """(event_id, user, ts, allowed). A request depends on which before it were accepted, so each
-    user's requests are folded in order."""
+    """(event_id, user, ts, allowed). A request depends on which before it were accepted, so
+    requests are folded in order; a gap of more than an hour empties the window, so a
+    user's requests are folded apart between such gaps."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"])
-        return pdf.assign(allowed=accept([t.timestamp() for t in pdf["ts"]], limit))
+        return pdf.assign(allowed=accept([t.timestamp() for t in pdf["ts"]], limit)).drop(columns=["part"])
 
     rows = events.select("event_id", F.col(user).alias("user"), F.col("ts").cast("timestamp"))
-    return rows.groupBy("user").applyInPandas(run, "event_id long, user long, ts timestamp, allowed boolean")
+    w = Window.partitionBy("user").orderBy("ts", "event_id")
+    late = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") > 3600
+    rows = rows.withColumn("part", F.sum(F.coalesce(late, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Stretches of fewer requests than the limit need no fold.
+    size = F.count("*").over(Window.partitionBy("user", "part"))
+    rows = rows.withColumn("size", size)
+    few = rows.where(F.col("size") <= limit).select("event_id", "user", "ts", F.lit(True).alias("allowed"))
+    many = rows.where(F.col("size") > limit).drop("size").groupBy("user", "part").applyInPandas(run, "event_id long, user long, ts timestamp, allowed boolean")
+    return few.unionByName(many)

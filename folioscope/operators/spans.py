@@ -25,10 +25,22 @@ def ngrams(stream: DataFrame, n: int) -> DataFrame:
     return stream.select("id", F.posexplode(grams).alias("pos", "gram"))
 
 
+#: Rows of known values up to which they are compared where the texts are read.
+KNOWN_ROWS = 200_000
+
+
+def meeting(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """The rows whose value of ``on`` is known. Few known values, by a count, go to the rows
+    (they are broadcast); more of them meet the rows by a shuffle."""
+    known = known.select(on).distinct()
+    few = known.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS
+    return rows.join(F.broadcast(known) if few else known, on, "left_semi")
+
+
 def votes(passages: DataFrame, texts: DataFrame, n: int = 3) -> DataFrame:
     """(passage_id, text_id, start, votes): equal n-grams vote for text position - passage position."""
     p = ngrams(passages, n).select(F.col("id").alias("passage_id"), F.col("pos").alias("ppos"), "gram")
-    t = ngrams(texts, n).select(F.col("id").alias("text_id"), F.col("pos").alias("tpos"), "gram")
+    t = meeting(ngrams(texts, n).select(F.col("id").alias("text_id"), F.col("pos").alias("tpos"), "gram"), p, "gram")
     hits = p.join(t, "gram").select("passage_id", "text_id", (F.col("tpos") - F.col("ppos")).alias("start"))
     return hits.groupBy("passage_id", "text_id", "start").agg(F.count("*").alias("votes"))
 
@@ -77,8 +89,7 @@ def word_diff(printed, reference):
 
 def runs(texts: DataFrame, passages: DataFrame, n: int = 3, least: int = LIMITS.least_run) -> DataFrame:
     """(text_id, first, last, n_words): maximal runs of words covered by n-grams of the passages."""
-    known = ngrams(passages, n).select("gram").distinct()
-    hits = ngrams(texts, n).join(known, "gram", "left_semi")
+    hits = meeting(ngrams(texts, n), ngrams(passages, n), "gram")
     w = Window.partitionBy("id").orderBy("pos")
     fresh = hits.withColumn("new", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-10)) > n).cast("int"))
     # Hits at most n apart cover touching words, so they belong to one run.

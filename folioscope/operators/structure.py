@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
 
-from .spans import ngrams
-
 
 def link_notes(anchors: DataFrame, notes: DataFrame) -> DataFrame:
     """(page, anchor_ord, note_ord, confidence, method) from anchors and notes (page, ord, marker).
@@ -48,15 +47,43 @@ def attach_after_colon(blocks: DataFrame, page: str, order: str, text: str, is_n
 def repeated_shingles(texts: DataFrame, scope: str, n: int = LIMITS.shingle_words) -> DataFrame:
     """(scope, id, owner): texts with an n-word run that an earlier text of the scope has.
 
-    The owner of a run is the smallest id with it. Runs are grouped with partial
-    aggregation; only runs with several owners come back.
+    The owner of a run is the smallest id with it. A text sends each of its runs
+    once, as two hashes; partial aggregation finds the runs with several owners,
+    and the ids of those alone are gathered: first the smallest, then the others.
     """
-    scopes = texts.select("id", F.col(scope).alias("scope"))
-    rows = ngrams(texts, n).select("id", F.xxhash64("gram").alias("h"), F.xxhash64(F.reverse("gram")).alias("h2")).join(scopes, "id")
+    last = F.size("words") - n
+    grams = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+    hashes = F.array_distinct(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2"))))
+    rows = texts.where(last >= 0).select(F.col(scope).alias("scope"), "id", F.explode(hashes).alias("g")).select("scope", "id", "g.h", "g.h2")
+    # A window over the owners' rows would put a run's texts in one task; min and join don't.
     own = rows.groupBy("scope", "h", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").drop("top")
     return rows.join(own, ["scope", "h", "h2"]).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
 
 
+def duplicate_runs(blocks: DataFrame, n: int = LIMITS.shingle_words) -> DataFrame:
+    """(page, id, owner): the first run of n words of a block that an earlier block of its page has.
+
+    Blocks: page, pos, id, words. In reading order a block registers its runs up to
+    its first repeated one only, so this is a fold of each page; ``repeated_shingles``
+    is its superset for groups of any size.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[tuple, object] = {}
+        out = []
+        for b in pdf.sort_values("pos").itertuples():
+            words = list(b.words)
+            for i in range(len(words) - n + 1):
+                owner = seen.setdefault(tuple(words[i : i + n]), b.id)
+                if owner != b.id:
+                    out.append((b.page, b.id, owner))
+                    break
+        return pd.DataFrame(out, columns=["page", "id", "owner"])
+
+    kinds = dict(blocks.dtypes)
+    return blocks.select("page", "pos", "id", "words").groupBy("page").applyInPandas(run, f"page {kinds['page']}, id {kinds['id']}, owner {kinds['id']}")
+
+
 def islands(df: DataFrame, by: list[str], order: str, starts: Column) -> DataFrame:
     """Adds ``island``: the running number of rows at which ``starts`` holds."""
     return df.withColumn("island", F.sum(starts.cast("int")).over(Window.partitionBy(*by).orderBy(order)))
@@ -133,6 +160,41 @@ def interpolate(blocks: DataFrame, page: str = "page", order: str = "ord") -> Da
     return blocks.withColumn("between_from", F.when(F.col("line_from").isNull(), lo + 1)).withColumn("between_to", F.when(F.col("line_from").isNull(), hi - 1))
 
 
+def interpolated_boxes(blocks: DataFrame, lines: DataFrame, pages: DataFrame, slack: int = 5) -> DataFrame:
+    """(page, ord, x0, y0, x1, y1, n_lines): blocks without a box (page, ord, x0, y0, x1, y1) get the lines
+    (page, x0, y0, x1, y1) between their nearest neighbours with one, or the page's ends (pages: page, height)."""
+    before = Window.partitionBy("page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("page").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    rows = blocks.withColumn("top", F.coalesce(F.last("y1", ignorenulls=True).over(before), F.lit(0))).withColumn("low", F.first("y0", ignorenulls=True).over(after))
+    empty = rows.where("y0 is null").select("page", "ord", "top", "low").join(pages, "page").withColumn("low", F.coalesce("low", "height"))
+    hits = empty.join(lines, "page").where((F.col("y0") >= F.col("top") - slack) & (F.col("y1") <= F.col("low") + slack))
+    return hits.groupBy("page", "ord").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_lines"))
+
+
+def marker_point(offset: Column, n_chars: Column, rects: Column) -> Column:
+    """(x, y) of a marker at a character offset, on rectangles (x0, y0, x1, y1) of lines read right to
+    left; without an offset the middle; null without rectangles."""
+    widths = F.transform(rects, lambda r: (r.x1 - r.x0).cast("double"))
+    total = F.aggregate(widths, F.lit(0.0), lambda s, w: s + w)
+    target = F.when(offset.isNull(), F.lit(0.5)).otherwise(offset / F.greatest(n_chars, F.lit(1))) * total
+    ahead = F.transform(widths, lambda w, i: F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0.0), lambda s, v: s + v))
+    ends = F.transform(widths, lambda w, i: (ahead[i] + w >= target) | (i == F.size(widths) - 1))
+    k = (F.array_position(ends, True) - 1).cast("int")
+    x = rects[k].x1 - F.least(target - ahead[k], widths[k])
+    return F.when(F.size(rects) > 0, F.struct(x.alias("x"), ((rects[k].y0 + rects[k].y1) / 2).alias("y")))
+
+
+def blocks_for_quote(pairs: DataFrame, least: float = 0.6) -> DataFrame:
+    """(qid, id): blocks whose key holds the quote's; where none does, the first block with the largest
+    share of its words, if that is enough. Pairs: qid, quote, id, pos, key."""
+    words = F.split("quote", " ")
+    share = F.size(F.filter(words, lambda w: F.array_contains(F.split("key", " "), w))) / F.size(words)
+    rows = pairs.where("quote <> ''").withColumn("whole", F.contains("key", F.col("quote"))).withColumn("share", share)
+    best = rows.groupBy("qid").agg(F.max("whole").alias("any"), F.max(F.struct("share", (-F.col("pos")).alias("first"), "id")).alias("b"))
+    whole = rows.where("whole").select("qid", "id")
+    return whole.unionByName(best.where(~F.col("any") & (F.col("b.share") >= least)).select("qid", "b.id"))
+
+
 def assemble_lines(words: DataFrame) -> DataFrame:
     """OCR words (page, blk, par, line, no, text, conf, x0..y1) as lines with boxes and mean confidence."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda s: s.text), " ")

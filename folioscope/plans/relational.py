@@ -79,3 +79,34 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def pricing_summary(spark, d):
     rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""
+WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT source, string_agg(lang || '=' || n, ',' ORDER BY lang) AS counts, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(max(CASE WHEN lang = 'en' THEN n END), 0) AS BIGINT) AS english FROM c GROUP BY 1""")
+def language_maps(spark, d):
+    """Each source's documents by language, as a map."""
+    c = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    m = c.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
+    entries = F.array_sort(F.map_entries("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return m.select("source", F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",").alias("counts"), total.alias("total"), F.coalesce(F.try_element_at("m", F.lit("en")), F.lit(0)).alias("english"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS k, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS again FROM events")
+def json_fields(spark, d):
+    """JSON read by a schema, and written."""
+    rows = table(spark, d, "events").withColumn("p", F.from_json("props", "k long"))
+    return rows.select("event_id", (F.col("p.k") + 1).alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("again"))
+
+
+_TEXT = "SELECT n_name AS nation, count(*) AS n_customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 1"
+
+
+@query(_TEXT)
+def sql_text(spark, d):
+    """A query that is given as SQL text, over registered views."""
+    from folioscope.sources.io import register
+
+    register(spark, d, ("customer", "nation"))
+    return spark.sql(_TEXT)

@@ -13,8 +13,6 @@ from .registry import key_sql, registry, words_sql
 
 QUERIES, ORACLES, query = registry()
 
-#: The SQL asks with the first QUESTIONS items and vectors only; the queries ask with all of them.
-QUESTIONS = 20
 #: A vector search asks with the vectors whose id is divisible by this.
 EVERY = 100
 
@@ -49,8 +47,8 @@ def phrases(spark, d):
     return questions(spark, d).select("qid", F.array_join(F.slice(w, 3, 4), " ").alias("phrase"), F.size(w).alias("n")).where("n >= 6").drop("n")
 
 
-_BM25 = f"""
-q AS (SELECT item_id AS qid, {words_sql()} AS w FROM benchmark WHERE item_id < {QUESTIONS}),
+BM25 = f"""
+q AS (SELECT item_id AS qid, {words_sql()} AS w FROM benchmark),
 terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(w) AS term FROM q) WHERE length(term) >= 2),
 d AS (SELECT doc_id AS id, {words_sql()} AS words FROM documents),
 st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d),
@@ -61,11 +59,16 @@ bm AS (
          * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.words) / avgdl))), 6) AS score
   FROM terms JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY 1, 2
 )"""
-_DENSE = f"""
+def _dense_sql(asked: str) -> str:
+    return f"""
 dn AS (
   SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < {QUESTIONS} AND q.vec_id <> v.vec_id
+  FROM embeddings q, embeddings v WHERE {asked} AND q.vec_id <> v.vec_id
 )"""
+
+
+_DENSE = _dense_sql(f"q.vec_id % {EVERY} = 0")
+_OWN = _dense_sql("q.vec_id IN (SELECT item_id FROM benchmark)")
 _PHRASE = f"""
 ph AS (SELECT qid, array_to_string(w[3:6], ' ') AS phrase FROM q WHERE len(w) >= 6),
 pk AS (SELECT doc_id AS id, ' ' || {key_sql()} || ' ' AS key FROM documents),
@@ -73,7 +76,7 @@ hit AS (SELECT qid, id FROM ph, pk WHERE contains(key, ' ' || phrase || ' ')),
 pr AS (SELECT qid, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY id) AS BIGINT) AS rank FROM hit) WHERE rank <= 10)"""
 
 
-def _top(table_name: str, n: int) -> str:
+def top_sql(table_name: str, n: int) -> str:
     return f"SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS BIGINT) AS rank FROM {table_name}) WHERE rank <= {n}"
 
 
@@ -81,17 +84,17 @@ def _long(df):
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {_BM25} {_top('bm', 5)}")
+@query(f"WITH {BM25} {top_sql('bm', 5)}")
 def bm25_topk(spark, d):
     return _long(lexical(spark, d, 5)).select("qid", "id", "score", "rank")
 
 
-@query(f"WITH {_DENSE} {_top('dn', 5)}")
+@query(f"WITH {_DENSE} {top_sql('dn', 5)}")
 def dense_topk(spark, d):
     return _long(dense_list(spark, d, 5)).select("qid", "id", "score", "rank")
 
 
-@query(f"WITH {_BM25}, {_PHRASE} SELECT qid, id, rank FROM pr")
+@query(f"WITH {BM25}, {_PHRASE} SELECT qid, id, rank FROM pr")
 def phrase_hits(spark, d):
     return _long(retrieval.phrase_hits(texts(spark, d), phrases(spark, d))).select("qid", "id", "rank")
 
@@ -99,8 +102,8 @@ def phrase_hits(spark, d):
 _RRF = f"""
 every AS (
   SELECT qid, id, rank, 0 AS priority FROM pr
-  UNION ALL SELECT qid, id, rank, 1 FROM ({_top('bm', 30)})
-  UNION ALL SELECT qid, id, rank, 2 FROM ({_top('dn', 30)})
+  UNION ALL SELECT qid, id, rank, 1 FROM ({top_sql('bm', 30)})
+  UNION ALL SELECT qid, id, rank, 2 FROM ({top_sql('dn', 30)})
 ), f AS (
   SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(priority * 1000 + rank) AS first,
          max(CASE WHEN priority = 0 THEN rank END) AS phrase_rank, max(CASE WHEN priority = 1 THEN rank END) AS bm25_rank, max(CASE WHEN priority = 2 THEN rank END) AS dense_rank
@@ -114,15 +117,15 @@ def _fused(spark, d):
     return out.withColumns({c: F.col(c).cast("long") for c in ("rank", "phrase_rank", "bm25_rank", "dense_rank")})
 
 
-@query(f"WITH {_BM25}, {_PHRASE}, {_DENSE}, {_RRF} SELECT qid, id, score, phrase_rank, bm25_rank, dense_rank, rank FROM fused")
+@query(f"WITH {BM25}, {_PHRASE}, {_OWN}, {_RRF} SELECT qid, id, score, phrase_rank, bm25_rank, dense_rank, rank FROM fused")
 def hybrid_rrf(spark, d):
     """Flagship: phrase, lexical and dense lists fused by reciprocal ranks."""
     return _fused(spark, d).select("qid", "id", "score", "phrase_rank", "bm25_rank", "dense_rank", "rank")
 
 
 @query(f"""
-WITH {_BM25}, {_PHRASE}, {_DENSE}, {_RRF}
-SELECT f.qid, f.rank, f.id, d.source, d.lang, l.quality, v.label, len({words_sql('d.text')}) AS n_words
+WITH {BM25}, {_PHRASE}, {_OWN}, {_RRF}
+SELECT f.qid, f.rank, f.id, d.source, d.lang, l.quality, v.label, CASE WHEN d.doc_id IS NOT NULL THEN len({words_sql('d.text')}) END AS n_words
 FROM fused f LEFT JOIN documents d ON d.doc_id = f.id LEFT JOIN labels l ON l.doc_id = f.id LEFT JOIN embeddings v ON v.vec_id = f.id""")
 def assemble(spark, d):
     hits = _fused(spark, d).select("qid", "rank", "id")
@@ -133,7 +136,7 @@ def assemble(spark, d):
 
 
 @query(f"""
-WITH {_DENSE}, q AS (SELECT DISTINCT qid FROM dn), top AS ({_top('dn', 5)}),
+WITH {_DENSE}, q AS (SELECT DISTINCT qid FROM dn), top AS ({top_sql('dn', 5)}),
 b AS (SELECT q.qid, max(score) AS best, count(score) AS n FROM q LEFT JOIN top USING (qid) GROUP BY 1)
 SELECT b.qid, best, CASE WHEN n = 0 OR best < 0.55 THEN 'abstain' ELSE 'supported' END AS support,
   CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'referral' WHEN n = 0 OR best < 0.55 THEN 'abstained' ELSE 'answered' END AS status
@@ -173,7 +176,7 @@ def quote_gate(spark, d):
 
 
 @query(f"""
-WITH {_DENSE}, r AS ({_top('dn', 30)}), gold AS (SELECT q.vec_id AS qid, v.vec_id AS id FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id < {QUESTIONS}),
+WITH {_DENSE}, r AS ({top_sql('dn', 30)}), gold AS (SELECT q.vec_id AS qid, v.vec_id AS id FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % {EVERY} = 0),
 f AS (SELECT qid, min(rank) AS first FROM r JOIN gold USING (qid, id) GROUP BY 1)
 SELECT count(*) AS n, round(avg(CASE WHEN coalesce(first, 99) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0.0)), 6) AS mrr
 FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN f USING (qid)""")

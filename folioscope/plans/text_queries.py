@@ -10,7 +10,7 @@ from folioscope.operators import chunking, spans, structure
 from folioscope.sources.io import table
 
 from .registry import GRAMS, key_sql, registry, words_sql
-from .retrieval_queries import lexical
+from .retrieval_queries import BM25, lexical, top_sql
 
 QUERIES, ORACLES, query = registry()
 
@@ -97,19 +97,21 @@ def known_passage_runs(spark, d):
     return spans.runs(texts, passages).select("text_id", *[F.col(c).cast("long") for c in ("first", "last", "n_words")])
 
 
-_BEST = """
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY votes DESC, text_id, start) AS rank FROM votes) WHERE rank <= 3),
+def _windows_sql(slack: int) -> str:
+    """Windows of the rows of ``starts`` at lengths within ``slack`` of the passage's, and their similarity."""
+    return f"""
 win AS (
   SELECT b.passage_id, b.text_id, b.start, b.votes, array_to_string(p.words, ' ') AS passage,
-         array_to_string(t.words[greatest(b.start, 0) + 1 : greatest(b.start, 0) + greatest(len(p.words) + least(b.start, 0), 1)], ' ') AS win
-  FROM best b JOIN pw p ON p.id = b.passage_id JOIN tw t ON t.id = b.text_id
-), sim AS (SELECT *, round(CASE WHEN greatest(length(passage), length(win)) = 0 THEN 1.0 ELSE 1 - levenshtein(passage, win) / greatest(length(passage), length(win))::DOUBLE END, 6) AS similarity FROM win)"""
+         array_to_string(t.words[greatest(b.start, 0) + 1 : greatest(b.start, 0) + greatest(n + least(b.start, 0), 1)], ' ') AS win
+  FROM starts b JOIN pw p ON p.id = b.passage_id JOIN tw t ON t.id = b.text_id, unnest(range(greatest(len(p.words) - {slack}, 1), len(p.words) + {slack} + 1)) AS l(n)
+), sim AS (SELECT passage_id, text_id, start, votes, round(CASE WHEN greatest(length(passage), length(win)) = 0 THEN 1.0 ELSE 1 - levenshtein(passage, win) / greatest(length(passage), length(win))::DOUBLE END, 6) AS similarity FROM win)"""
 
 
 @query(f"""
-WITH {GRAMS}, {_BEST}
+WITH {GRAMS}, starts AS (SELECT * FROM votes), {_windows_sql(2)},
+best AS (SELECT passage_id, text_id, start, max(similarity) AS similarity FROM sim GROUP BY 1, 2, 3)
 SELECT passage_id, text_id, start, similarity, CASE WHEN similarity = 1 THEN 'exact' WHEN similarity >= 0.85 THEN 'minor_variant' ELSE 'mismatch' END AS status
-FROM sim WHERE similarity >= 0.6""")
+FROM best WHERE similarity >= 0.6""")
 def passage_verify(spark, d):
     """Every voted start of every text, at the best of the lengths within two words of the passage's."""
     passages, texts = streams(spark, d)
@@ -119,8 +121,10 @@ def passage_verify(spark, d):
 
 
 @query(f"""
-WITH {GRAMS}, {_BEST}
-SELECT passage_id, CAST(row_number() OVER (PARTITION BY passage_id ORDER BY similarity DESC, votes DESC, text_id, start) AS BIGINT) AS place, text_id, start, similarity FROM sim""")
+WITH {GRAMS}, starts AS (SELECT passage_id, text_id, start + d AS start, max(CASE WHEN d = 0 THEN votes ELSE 0 END) AS votes FROM votes, (VALUES (-1), (0), (1)) o(d) GROUP BY 1, 2, 3), {_windows_sql(1)},
+texts AS (SELECT passage_id, text_id, start, votes, similarity, row_number() OVER (PARTITION BY passage_id, text_id ORDER BY similarity DESC, votes DESC, start) AS i FROM sim),
+placed AS (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY similarity DESC, votes DESC, text_id, start) AS place FROM texts WHERE i = 1)
+SELECT passage_id, CAST(place AS BIGINT) AS place, text_id, start, similarity FROM placed WHERE place <= 3""")
 def span_candidates(spark, d):
     """Each passage's three best texts, by their best window: all voted starts and those next to
     them, at the lengths within one word of the passage's, are compared before any is left out."""
@@ -238,21 +242,15 @@ def fixed_chunks(spark, d):
     return rows.select(F.col("by").alias("source"), "chunk", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
-def search_windows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("blocks"))
-    return chunking.search_windows(docs, "doc_id")
-
-
-@query("""
-WITH u AS (SELECT doc_id AS id, source AS grp, lang AS kind, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS pos FROM documents),
-h AS (SELECT doc_id % 10 AS qid, doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS INTEGER) AS rank FROM documents WHERE doc_id < 20),
+@query(f"""
+WITH {BM25}, u AS (SELECT doc_id AS id, source AS grp, lang AS kind, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS pos FROM documents),
+h AS ({top_sql('bm', 2)}),
 o AS (SELECT * FROM (VALUES (0, -1), (1, 1), (2, -2), (3, 2)) t(i, d)),
 n AS (SELECT h.qid, v.id, min(h.rank * 10 + o.i) AS k FROM h JOIN u ON u.id = h.id, o JOIN u v ON v.grp = u.grp AND v.kind = u.kind AND v.pos = u.pos + o.d
       WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.qid = h.qid AND x.id = v.id) GROUP BY 1, 2)
 SELECT qid, id, CAST(place AS BIGINT) AS place FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY k, id) AS place FROM n) WHERE place <= 3""")
 def neighbours(spark, d):
-    """Neighbours of the first two hits of every question of ``bm25_topk`` (the SQL takes documents 0 to 19 for hits)."""
+    """Neighbours of the first two hits of every question of ``bm25_topk``."""
     from pyspark.sql import Window
 
     docs = table(spark, d, "documents")

@@ -61,3 +61,27 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mo
 
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def merge_decisions(spark: SparkSession, new: DataFrame, path: str, keys: list[str], at: str) -> DataFrame:
+    """Merges decisions into the table at ``path`` and gives the latest of each key.
+
+    The merged table is written beside the old one and then takes its place, so a
+    failed run leaves the old one whole; readers see one or the other.
+    """
+    from folioscope.operators.review import latest
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
+    fs = old.getFileSystem(conf)
+    rows = spark.read.schema(new.schema).parquet(path).unionByName(new) if fs.exists(old) else new
+    latest(rows, keys, at).select(*new.columns).write.mode("overwrite").parquet(str(fresh))
+    fs.delete(old, True)
+    if not fs.rename(fresh, old):
+        raise OSError(f"could not put {fresh} in place of {old}")
+    return spark.read.schema(new.schema).parquet(path)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """A streaming frame into a table of files, as far as its source goes now; exactly once by its checkpoint."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

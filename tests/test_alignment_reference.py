@@ -80,3 +80,58 @@ def test_views(spark):
     got = {r.page_id: (r.before, r.after, r.blocks and len(r.blocks)) for r in reference.page_view(pages, blocks).collect()}
     assert got == {"p1": (None, "p2", 2), "p2": ("p1", None, None)}
     assert reference.book_view(pages).first().page_ids == ["p1", "p2"] and reference.page_text(blocks).first().text == "B"
+
+
+def test_token_places(spark):
+    df = spark.createDataFrame([("one two three four".split(), "one two tree x four".split()), ("lone".split(), "a lone b".split())], "a array<string>, b array<string>")
+    got = [[(m["at"], m["other"], m["exact"]) for m in r.m] for r in df.select(alignment.token_places(F.col("a"), F.col("b")).alias("m")).collect()]
+    assert got == [[(0, 0, True), (1, 1, True), (2, 2, False), (3, 4, False)], [(0, 1, False)]]
+    assert alignment.edit_distance("kitten", "sitting") == 3 and alignment.edit_distance("", "ab") == 2
+
+
+def test_duplicate_runs(spark):
+    from folioscope.operators import structure
+
+    text = [f"w{k}" for k in range(40)]
+    rows = [("p", 0, 1, text[:20]), ("p", 1, 2, ["x", *text[5:20], "y", *text[20:33]]), ("p", 2, 3, text[20:33]), ("q", 0, 4, text[:20])]
+    df = spark.createDataFrame(rows, "page string, pos int, id int, words array<string>")
+    # The second block is flagged at its first repeated run, so its later ones are nobody's.
+    assert [tuple(r) for r in structure.duplicate_runs(df).collect()] == [("p", 2, 1)]
+    again = structure.repeated_shingles(df, "page").collect()
+    assert sorted((r.id, r.owner) for r in again) == [(2, 1), (3, 2)]
+
+
+def test_external_matches(spark):
+    from folioscope.operators import spans
+
+    reports = spark.createDataFrame([(1, "the deeds are by the intentions of men"), (2, "too short"), (3, "quite another text about nothing")], "id int, key string")
+    entries = spark.createDataFrame([(10, "deeds are by intentions", "deeds are by the intentions of men"), (11, "deeds are by the intentions", "something else altogether here"), (12, "by the", "x")], "ext_id int, title_key string, text_key string")
+    got = reference.match_external(reports, entries, spans.partial_ratio, spans.token_set_ratio).collect()
+    assert [(r.id, r.ext_id) for r in got] == [(1, 10)]
+
+
+def test_uncovered_lines(spark):
+    key = "كتاب الصبر والشكر"
+    df = spark.createDataFrame([("p", 60.0, 1, key, 20.0), ("p", 40.0, 1, key, 20.0), ("p", 60.0, 1, "كتاب الصبر", 20.0), ("p", 60.0, 2, "كتاب الصبر", 20.0), ("p", 60.0, 1, key, 90.0), ("p", 60.0, 1, "كتاب الصبر abcdefghi", 1.0)], "page string, conf double, n_segments int, key string, s double")
+    assert [(r.n_segments, r.key) for r in reference.uncovered_lines(df, F.col("s")).collect()] == [(1, key), (2, "كتاب الصبر")]
+
+
+def test_candidate_readings(spark):
+    from folioscope.operators import review
+
+    df = spark.createDataFrame([(1, 0, [("B", "x y"), ("C", ""), ("A", "x y")]), (1, 5, [("B", "p"), ("C", "q"), ("A", None)])], "block int, first int, readings array<struct<reader:string,text:string>>")
+    got = {r["first"]: [(c.text, c.readers) for c in r.candidates] for r in review.candidate_readings(df).collect()}
+    assert got == {0: [("x y", ["B", "A"])], 5: [("p", ["B"]), ("q", ["C"])]}
+
+
+def test_embedding_in_batches(spark):
+    from folioscope.operators import retrieval
+
+    df = spark.createDataFrame([(k, f"t{k % 5}" if k else None) for k in range(150)], "id long, text string").coalesce(1)
+
+    def embed(texts):
+        assert len(texts) <= 3 and len(set(texts)) == len(texts)
+        return [[float(t[1:]), 1.0] for t in texts]
+
+    got = {r.id: r.vec for r in retrieval.embedded(df, embed, size=3).collect()}
+    assert got[0] is None and all(got[k] == [float(k % 5), 1.0] for k in range(1, 150))

@@ -65,7 +65,9 @@ def test_ratios(spark):
 
 
 def test_windows_pack():
-    assert chunking.pack_windows([1000, 900, 800, 100], 1800) == [(0, 0), (1, 2), (2, 3)] or chunking.pack_windows([1000, 900, 800, 100], 1800)[0] == (0, 0)
+    assert chunking.pack_windows([1000, 900, 800, 100], 1800) == [(0, 0), (1, 3)]
+    assert chunking.pack_windows([900, 900], 1800) == [(0, 1)] and chunking.pack_windows([900, 900, 1], 1800) == [(0, 1), (1, 2)]
+    assert chunking.pack_windows([0, 3000, 5], 1800) == [(0, 1), (1, 1), (2, 2)]
     assert chunking.pack_windows([5000], 1800) == [(0, 0)] and chunking.pack_windows([], 10) == []
     for seed in range(20):
         sizes = [random.Random(seed).randint(1, 900) for _ in range(30)]
@@ -85,11 +87,38 @@ def test_fixed_chunks(spark, size):
         assert {c: t for (h, c), t in got.items() if h == g} == want
 
 
+BLOCKS = "book string, pos int, block_id string, type string, author_role string, text string, continues_from_prev boolean, starts boolean, ends boolean, attached_to string"
+
+
+def chunked(spark, rows):
+    """rows: (type, role, text, continues, starts, attached)."""
+    data = [("b", k, f"x{k}", t, r, text, c, s, text.endswith("."), a) for k, (t, r, text, c, s, a) in enumerate(rows)]
+    return {r.block_id: r for r in chunking.structural_chunks(spark.createDataFrame(data, BLOCKS)).collect()}
+
+
 def test_structural_chunks(spark):
-    kinds = [("heading", "main", False), ("body", "main", False), ("editor_commentary", "editor", False), ("body", "main", True), ("footnote", "main", False), ("body", "main", False), ("heading", "main", False), ("body", "main", False)]
-    df = spark.createDataFrame([("b", k, f"x{k}", t, r, "text.", c, k == 5) for k, (t, r, c) in enumerate(kinds)], "book string, pos int, block_id string, type string, author_role string, text string, continues_from_prev boolean, starts boolean")
-    got = {r.block_id: r.chunk for r in chunking.structural_chunks(df).collect()}
-    assert got["x1"] == got["x3"] != got["x2"] and got["x5"] not in (got["x3"], got["x7"]) and "x0" not in got and "x4" not in got
+    main = lambda text, goes=False, starts=False: ("body", "matn", text, goes, starts, None)
+    note = ("editor_commentary", "matn", "said the editor.", False, False, None)
+    got = chunked(spark, [("heading", "matn", "Part", False, False, None), main("one."), note, ("body", "editor", "more", False, False, None), main("goes on.", True), ("footnote", "matn", "(1) n", False, False, None),
+                          main("a new unit", False, True), ("poetry", "matn", "verse", False, False, "x5"), main("still", True, True), ("heading", "matn", "other", False, False, None), main("after."), ("heading", "matn", "باب النية", False, False, None), main("last.")])
+    assert {k: r.chunk for k, r in got.items()} == {"x1": 0, "x2": 1, "x3": 1, "x4": 0, "x6": 2, "x8": 2, "x10": 3, "x12": 4}
+    assert (got["x2"].kind, got["x2"].commentary_on, got["x4"].kind, got["x1"].commentary_on) == ("editor_commentary", 0, "matn", None)
+    assert [got[k].chapter for k in ("x1", "x10", "x12")] == ["Part", "Part", "باب النية"]
+
+
+def test_long_units_are_cut_where_a_sentence_ends(spark):
+    body = lambda text, goes=False: ("body", "matn", text, goes, False, None)
+    got = chunked(spark, [body("a" * 2300), body("b."), body("c.", True), body("d"), ("heading", "matn", "h", False, False, None), body("e.", True)])
+    assert {k: r.chunk for k, r in got.items()} == {"x0": 0, "x1": 0, "x2": 0, "x3": 1, "x5": 2}
+
+
+def test_commentary_is_attached_to_the_noted_chunk(spark):
+    data = [("b", 0, "m0", "body", "matn", "first hadith words", "p1"), ("b", 1, "m1", "body", "matn", "second", "p1"), ("b", 2, "f0", "footnote", "editor", "(1) n", "p1"), ("b", 3, "e0", "editor_commentary", "editor", "about it", "p1"), ("b", 4, "m2", "body", "matn", "third", "p2"), ("b", 5, "e1", "editor_commentary", "editor", "on third", "p2")]
+    blocks = spark.createDataFrame(data, "book string, pos int, block_id string, type string, author_role string, text string, page_id string")
+    chunks = spark.createDataFrame([("b", "m0", 0, "matn", None), ("b", "m1", 1, "matn", None), ("b", "e0", 2, "editor_commentary", 1), ("b", "m2", 3, "matn", None), ("b", "e1", 4, "editor_commentary", 3)], "book string, block_id string, chunk long, kind string, commentary_on long")
+    links = spark.createDataFrame([("f0", "m0")], "note_id string, anchor string")
+    got = {r.chunk: (r.target, r.about) for r in chunking.attach_commentary(chunks, blocks.where("true").withColumn("commentary_on", F.lit(None)).drop("commentary_on"), links).collect()}
+    assert got == {2: (0, "first hadith words"), 4: (3, "third")}
 
 
 def test_bm25_prefix_terms(spark):
@@ -125,6 +154,18 @@ def test_rate_limit_keeps_rejected_out():
     assert review.accept([0, 3600, 3600.5], 1) == [True, False, True]
 
 
+def test_rate_limit_over_gaps(spark):
+    rng = random.Random(3)
+    times = [(k, k % 3, rng.choice([0, 0, 9000, 20000]) + rng.randint(0, 4000)) for k in range(300)]
+    events = spark.createDataFrame(times, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r.allowed for r in review.rate_limit(events, limit=4).collect()}
+    want = {}
+    for u in range(3):
+        own = sorted((s, k) for k, v, s in times if v == u)
+        want |= dict(zip([k for _, k in own], review.accept([s for s, _ in own], 4), strict=True))
+    assert got == want and not all(got.values())
+
+
 def test_rate_limit_rejects_thirty(spark):
     events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     assert review.rate_limit(events, limit=2).where("not allowed").count() == 30

@@ -40,3 +40,17 @@ def test_stream_static_join(spark, folder, tmp_path):
     passages = spark.createDataFrame([(1, "One two three, four")], "item_id long, text string")
     got = drain(jobs.known_passages(stream, passages), "known", "append")
     assert sorted((r.pos, r.gram) for r in got.collect()) == [(1, "one two three"), (2, "two three four")]
+
+
+def test_sliding_session_and_daily(spark, folder):
+    batch = spark.read.parquet(PATH).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = lambda: jobs.event_stream(spark, folder, 10)
+    got = drain(jobs.window_counts(events(), "2 hours", "1 hour"), "sliding", "complete")
+    want = batch.groupBy(F.window("ts", "2 hours", "1 hour"), "event_type").count()
+    assert got.count() == want.count() and got.agg(F.sum("n")).first()[0] == 2 * batch.count()
+    got = drain(jobs.spend_by_day(events()), "days", "complete")
+    want = batch.groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("spent"))
+    assert {r.day: round(r.spent, 4) for r in got.collect()} == {r.day: round(r.spent, 4) for r in want.collect()}
+    got = drain(jobs.session_counts(events(), "30 minutes"), "sessions", "complete")
+    want = batch.groupBy(F.session_window("ts", "30 minutes"), "user_id").count()
+    assert sorted(r.n for r in got.collect()) == sorted(r["count"] for r in want.collect())
