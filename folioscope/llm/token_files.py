@@ -5,26 +5,32 @@ ranks, bytes of data), then per document a null flag (u8), an id (i64) and a
 count (u32), then the rank table (u32: the id of rank 0, 1, ...; most frequent
 first), then control bytes (2 bits per id: its bytes less one, four ids to a
 byte) and the data bytes of the ranks. Frequent ids so take one byte.
-A file holds whole documents; files are in ascending (doc_id) order.
+A file holds whole documents; files are in ascending (doc_id) order of their
+names, ``<partition>-<block>.fsv``. Executors write them into the shared folder,
+each under a name of its own first, so a task that is run again replaces its
+files whole; a table of the files says which belong to the result. Spark reads
+them as binary files, and any program can by this description.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ordered_offsets, stored, table
+from .common import ordered_offsets, shared_path, stored, table
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"FSV1"
 #: A file is closed once it holds this many ids.
 FILE_IDS = 2_000_000
-FILES = "part long, block int, n_ids long, file binary"
+FILES = "part long, block int, n_ids long, name string"
 SCHEMA = "part long, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 #: For each control byte the bytes of its four ids.
@@ -76,24 +82,37 @@ def decode_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_token_files(df: DataFrame, path: str, end_id: int, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (part, block, n_ids, file) in ascending id order, written to the shared folder.
+    """Files in ascending id order in the shared folder, and the table of them: part, block, n_ids, name.
 
     Texts are range-partitioned by (id, hash of the text), so repeated ids can
     be split; ids and ties are in this order in the files. Null ids come first,
-    null texts are empty and hold ``end_id`` only.
+    null texts are empty and hold ``end_id`` only. A document is one file's
+    however long; other columns are left out; an empty table has no files.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     docs = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").withColumn("tie", F.xxhash64("text"))
     docs = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
 
+    folder = shared_path(spark, "token-files")
+
+    def put(name: str, blob: bytes) -> None:
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        own = f"{root}/.{name}.{uuid.uuid4().hex}"
+        with files.open_output_stream(own) as out:
+            out.write(blob)
+        files.move(own, f"{root}/{name}")
+
     def run(batches):
         ids_of = encoder(path).ids
         end = np.array([end_id], "<u4")
         block, keys, ids, n, part = 0, [], [], 0, 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([encode_file(keys, ids)], pa.binary())], names=["part", "block", "n_ids", "file"])
+            name = f"{part:09d}-{block:06d}.fsv"
+            put(name, encode_file(keys, ids))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([name])], names=["part", "block", "n_ids", "name"])
 
         for b in batches:
             for part, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -107,11 +126,13 @@ def write_token_files(df: DataFrame, path: str, end_id: int, file_ids: int = FIL
         if keys:
             yield row()
 
-    return stored(docs.mapInArrow(run, FILES), "token-files", codec="zstd")
+    files = stored(docs.mapInArrow(run, FILES), "token-file-names")
+    files.folder = folder
+    return files
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
+    """Per document, from the files of ``write_token_files``: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` is a sum of file totals (one small row per file, then per
     partition) and of the counts inside the file.
@@ -134,7 +155,12 @@ def read_token_files(files: DataFrame) -> DataFrame:
     inside = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).drop("n_ids")
     before = ordered_offsets(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "n", "before").drop("n")
     offsets = inside.join(before, "part")
-    docs = files.select("part", "block", "file").mapInArrow(run, SCHEMA)
+    if files.isEmpty():
+        return files.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    blobs = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.fsv").load(files.folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    place = [F.split(name, r"[-.]")[k].cast(t).alias(c) for k, (c, t) in enumerate((("part", "long"), ("block", "int")))]
+    docs = blobs.select(*place, F.col("content").alias("file")).mapInArrow(run, SCHEMA)
     return docs.join(offsets, ["part", "block"]).select("doc_id", (F.col("before") + F.col("inside") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
