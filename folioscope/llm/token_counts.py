@@ -1,8 +1,9 @@
 """Token counts by the whole-token shortcut.
 
-Offline, once per vocabulary: a vocabulary string that is one pre-token and
-that the library encodes alone as one token is a *whole token*. Such a
-pre-token counts one without any merging; only the rest is merged.
+Offline, once per vocabulary and on the driver: a vocabulary string that is one
+pre-token and that the library encodes alone as one token is a *whole token*.
+Such a pre-token counts one without any merging; only the rest is merged. The
+proved strings are broadcast; there are at most as many as the vocabulary has.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import _BYTE_CHUNK, _BYTE_PATTERN, _RARE_SPACE, _RUN, Memo, encoder, tokenizer_path
+from .tokens import _BYTE_CHUNK, _BYTE_PATTERN, _RARE_SPACE, Memo, encoder, has_runs, tokenizer_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -51,9 +52,9 @@ class _Whole(dict):
 
 
 class Counter:
-    """Number of tokens of a whole text, as the library counts them."""
+    """Number of tokens of a whole text, as the library counts them; ``proved``: the vocabulary's whole tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proved: list[str]):
         if path.endswith(".model"):
             import sentencepiece
 
@@ -67,7 +68,7 @@ class Counter:
         import regex
 
         self.pattern = regex.compile(_BYTE_PATTERN)
-        self.whole = whole_tokens(path)
+        self.whole = dict.fromkeys(proved, 1)
         self.first = _Whole({w: n for w, n in self.whole.items() if w[0] != " "} | {"": 0}, self._merge)
         self.after = _Whole({w[1:]: n for w, n in self.whole.items() if w[0] == " "}, lambda w: self._merge(" " + w))
         self.chunks = _Whole(self.whole, self._merge)
@@ -87,7 +88,7 @@ class Counter:
             return 0
         if not self.enc.regular(text):
             return len(self.enc.library.encode(text, add_special_tokens=False).ids)
-        if _RUN.search(text):
+        if has_runs(text):
             return sum(map(self.chunks.__getitem__, _BYTE_CHUNK.findall(text)))
         n, after, lines = 0, self.after.__getitem__, text.split("\n")
         for line in lines:
@@ -97,11 +98,21 @@ class Counter:
 
 
 _COUNTERS: dict[str, Counter] = {}
+_PROVED: dict[str, list[str]] = {}
 
 
-def counter(path: str) -> Counter:
+def proved(path: str) -> list[str]:
+    """The whole tokens of a vocabulary file, proved once a driver; none where there are no byte-level pre-tokens."""
+    if path not in _PROVED:
+        byte = not path.endswith(".model") and encoder(path).kind == "byte"
+        _PROVED[path] = list(whole_tokens(path)) if byte else []
+    return _PROVED[path]
+
+
+def counter(path: str, whole: list[str]) -> Counter:
+    """One counter per worker process and file."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
@@ -110,11 +121,13 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     Null and empty texts count 0 bytes and 0 tokens; a null id stays null;
     repeated rows give repeated rows; all other columns are left out, so their
-    names cannot clash. No shuffle: one pass over the texts.
+    names cannot clash. Whole texts are counted, however long. No shuffle: one
+    pass over the texts.
     """
+    whole = df.sparkSession.sparkContext.broadcast(proved(path))
 
     def run(batches):
-        count = counter(path).count
+        count = counter(path, whole.value).count
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [count(t) for t in texts]

@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 
 #: Chunks kept in each of the memo's two generations; bounds a worker's memory.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 #: ASCII punctuation; apostrophes begin pre-tokens of their own kind.
 TAIL = string.punctuation.replace("'", "")
 #: Chunks longer than this are not kept.
@@ -27,10 +27,14 @@ MEMO_CHARS = 64
 
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _BYTE_CHUNK = re.compile(r" ?[^ \n\r\t]+|[ \n\r\t]+(?![^ \n\r\t])|[ \n\r\t]+")
-_RUN = re.compile(r"[ \n]{2}|[\r\t]")
 _BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def has_runs(text: str) -> bool:
+    """Is there white space other than single spaces and line breaks?"""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level BPE vocabularies."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -120,7 +124,7 @@ class Encoder:
             return self._library(text)
         if self.kind == "word":
             return b"".join(map(self.first.__getitem__, text.split()))
-        if _RUN.search(text):
+        if has_runs(text):
             return b"".join(map(self.chunks.__getitem__, _BYTE_CHUNK.findall(text)))
         lines, after = [], self.after.__getitem__
         for line in text.split("\n"):

@@ -147,6 +147,25 @@ def test_empty_tables(docs):
     assert token_files.read_token_files(token_files.write_token_files(none, byte, 2)).count() == 0
 
 
+def test_files_can_be_read_without_spark(docs):
+    """Real files in the shared folder, in order of their names; a second write leaves the first alone."""
+    from pathlib import Path
+
+    word = tokenizer_path("word_bpe_49k.json")
+    texts = [f"some words of text {k} " * (k % 7) for k in range(60)]
+    files = token_files.write_token_files(docs(texts), word, 2, file_ids=100)
+    token_files.write_token_files(docs(["other"]), word, 2)
+    names = sorted(Path(files.folder.removeprefix("file://")).glob("*.fsv"))
+    assert [p.name for p in names] == sorted(r.name for r in files.collect()) and len(names) > 3
+    ids = library("word_bpe_49k.json")
+    keys, flat = [], []
+    for p in names:
+        k, _, x = token_files.decode_file(p.read_bytes())
+        keys += k
+        flat += x.tolist()
+    assert keys == list(range(60)) and flat == [i for t in texts for i in [*ids(t), 2]]
+
+
 def test_null_ids(docs):
     byte = tokenizer_path("byte_bpe_50k.json")
     df = docs(["a", "b", "a"], ids=[None, None, 5])
