@@ -22,8 +22,8 @@ from .tokens import Memo
 
 #: Words of a shingle, rows of a band, probability of retrieval, least containment.
 SHINGLE, ROWS, RETRIEVED, CONTAINMENT = 3, 2, 0.9999, 0.8
-#: Longest template of each group, in words.
-GROUPS = (8, 16, 32, 64, 128, 256, 512)
+#: Longest template of the first group, in words; each further group's is twice as long.
+FIRST_GROUP = 8
 
 #: Public license notices, (template, SPDX identifier, text).
 TEMPLATES = (
@@ -41,6 +41,8 @@ TEMPLATES = (
     ("bsd-conditions", "BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-endorsement", "BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("isc-text", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit-full", "MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("isc-full", "ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("unlicense-text", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-notice", "CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -84,7 +86,8 @@ class Scanner:
         for k, (_, _, text) in enumerate(templates):
             words = words_of(text)
             self.sets.append(np.unique(shingles(words, self.memo)))
-            by_group.setdefault(min(g for g in GROUPS if g >= len(words)), []).append(k)
+            if words:  # a template without words is in no text
+                by_group.setdefault(max(FIRST_GROUP, 1 << (len(words) - 1).bit_length()), []).append(k)
         self.groups = []
         for longest, members in sorted(by_group.items()):
             size = 2 * longest - SHINGLE + 1  # shingles of a window
@@ -96,7 +99,7 @@ class Scanner:
                 for b, v in enumerate(self.bands(self.sets[k], seeds)):
                     table.setdefault((b, v), []).append(k)
             self.groups.append((longest, size, seeds, table))
-        self.all = np.unique(np.concatenate(self.sets))
+        self.all = np.unique(np.concatenate([*self.sets, np.empty(0, np.uint64)]))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.all & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -138,7 +141,9 @@ def scan_licenses(df: DataFrame, templates=TEMPLATES, containment: float = CONTA
     first_word, last_word (places among the text's words).
 
     Null and empty texts find nothing; repeated rows give repeated rows; null ids
-    stay null; other columns are left out. One pass, no shuffle; templates are few and fixed.
+    stay null; other columns are left out; an empty table gives no rows. Whole texts
+    are read, however long, and templates may be of any length, whole license texts
+    too; one without words is found nowhere. One pass, no shuffle; templates are few and fixed.
     """
 
     def run(batches):

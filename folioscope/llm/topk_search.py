@@ -72,6 +72,17 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Integers in the fewest of two, four or eight bytes each, after a byte that tells how many."""
+    most = max(-int(x.min(initial=0)), int(x.max(initial=0)) + 1)
+    size = 2 if most <= 1 << 15 else 4 if most <= 1 << 31 else 8
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+
+
+def wide(blob: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<i{blob[0]}", offset=1).reshape(-1, dim).astype(np.int64)
+
+
 def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
     """One row for each block of a partition: dimension, ids and components as bytes."""
 
@@ -87,7 +98,7 @@ def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
                 for i in range(0, len(rows), size):
                     some = rows[i : i + size]
                     x = flat[(ends[some] - d)[:, None] + np.arange(d)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary())], names=["dim", f"{name}_ids", f"{name}_values"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()], pa.binary()), pa.array([narrow(x)], pa.binary())], names=["dim", f"{name}_ids", f"{name}_values"])
 
     return vectors.mapInArrow(run, f"dim int, {name}_ids binary, {name}_values binary")
 
@@ -107,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     ``vectors`` has vec_id and v (integers). Candidates are all rows whose id is
     not the query's; a query id that is repeated with the same vector counts
-    once; repeated candidates count as often as they come.
+    once; repeated candidates count as often as they come; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     vectors = stored(vectors, "vectors")
@@ -122,7 +133,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         for b in batches:
             for dim, qi, qv, xi, xv in zip(*(b.column(c) for c in range(5)), strict=True):
                 d = dim.as_py()
-                found = search_block(np.frombuffer(qi.as_py(), "<i8"), np.frombuffer(qv.as_py(), "<i8").reshape(-1, d), np.frombuffer(xi.as_py(), "<i8"), np.frombuffer(xv.as_py(), "<i8").reshape(-1, d), k)
+                found = search_block(np.frombuffer(qi.as_py(), "<i8"), wide(qv.as_py(), d), np.frombuffer(xi.as_py(), "<i8"), wide(xv.as_py(), d), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     # Pairs of block numbers first; the blocks join them by number, the candidates' last:

@@ -45,6 +45,21 @@ def test_topk_of_few_and_none(spark):
     assert topk_search.top_k(topk_search.integer_vectors(one.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_integers_are_packed_narrow_and_whole():
+    for high in (5, 1 << 15, 1 << 31, 1 << 50):
+        x = np.array([[high - 1, -high], [0, 3]], np.int64)
+        blob = topk_search.narrow(x)
+        assert (topk_search.wide(blob, 2) == x).all() and len(blob) == 1 + 4 * {5: 2, 1 << 15: 2, 1 << 31: 4, 1 << 50: 8}[high]
+
+
+def test_repeated_queries_and_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "", "") for i, v in rows], VECTORS)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk_search.top_k(topk_search.integer_vectors(df), F.col("vec_id") % 50 == 0).collect())
+    # Two different vectors ask under one id; no row of that id is a candidate.
+    assert got == [(1, 1, 65536), (2, 1, 65536), (3, 2, 65536), (4, 1, 0), (5, 1, 0)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.integers(-90, 90, (5, 64)).astype(float), rng.integers(-90, 90, (300, 64)).astype(float)
@@ -132,3 +147,13 @@ def test_chain_of_odd_tables(spark, docs):
     assert toxicity.classify(df, none).where("toxic").count() == 0
     kept = toxicity.classify(df, chain, keep=True)
     assert kept.columns == [*df.columns, "verdicts"]
+
+
+def test_templates_of_any_length(docs):
+    """Templates without words are passed over; one of 1,500 words is found whole, and not in half of it."""
+    long = " ".join(f"clause{k}" for k in range(1500))
+    templates = (("none", "X", " .,; "), ("long", "L", long), ("short", "S", "a few words only"))
+    half = " ".join(long.split()[:700])
+    rows = licenses.scan_licenses(docs([f"before {long} after", half, None, "", f"x {half} a few words only"]), templates).collect()
+    assert sorted((r.doc_id, r.template, r.containment) for r in rows) == [(0, "long", 1.0), (4, "short", 1.0)]
+    assert licenses.scan_licenses(docs(["a"]), (("none", "X", ""),)).count() == 0
