@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, mix64, stored, table
+from .common import discard, give_back, join_hot, mix64, stored, table
 from .components import connected_components
 
 #: Leaves under one inner node.
@@ -148,21 +148,23 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
     shingles in the cell, over all documents. 4 MiB, whatever the input."""
 
     def count(batches):
-        total, waiting, n = np.zeros(CELLS, np.int64), [], 0
+        total, waiting, n = np.zeros(CELLS, np.uint32), [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, words)
                 waiting.append((s >> _CELL_SHIFT).astype(np.int64))
                 n += len(s)
                 if n > CELLS // 4:
-                    total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
                     waiting, n = [], 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+            total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
         for k in range(CELLS // CHUNK):
             cells = total[k * CHUNK : (k + 1) * CHUNK]
             if cells.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
+        del total, waiting
+        give_back()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -449,6 +451,8 @@ def _tree_top(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: in
                 key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
                 for i in range(0, len(key), 1 << 18):
                     yield batch(key[i : i + (1 << 18)], node[i : i + (1 << 18)])
+        seen.clear()
+        give_back()
 
     # How far the size codes of linked sets can be apart.
     reach = int(np.log(den / num) / SIZE_STEP) + 1
@@ -607,6 +611,7 @@ class Kernel:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                     a, b = [], []
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            give_back()
 
         rest = [c for c in rows.columns if c not in keys]
         return rows.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
@@ -683,6 +688,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                         marks.append(mark)
                         kept.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(kept, pa.string())], names=["mark", "body"])
+        seen.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "mark binary, body string").join(wanted.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
 

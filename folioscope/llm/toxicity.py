@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import give_back, stored, table
 from .tokens import Memo
 
 #: Labelled documents that the models are fitted on, at most.
@@ -240,6 +240,9 @@ def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags.tolist(), pa.list_(pa.bool_()))], names=[*columns, out])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.round(p[:, k], 6)) for k in range(len(names))), *(pa.array(flags[:, k]) for k in range(len(names)))], names=["doc_id", *(f"p_{c}" for c in names), *names])
+        memo.clear()
+        memo.old.clear()
+        give_back()
 
     if keep:
         schema = documents.select("*", F.array(F.lit(True)).alias(out)).schema
