@@ -104,17 +104,28 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + np.ascontiguousarray(samples, np.uint8).tobytes()
 
 
+#: Samples of which the integral image is held at once.
+STRIPE = 1 << 20
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each target cell over its area (fractions of pixels included), as float64."""
     if image.size == 0:
         return np.zeros((height, width, *image.shape[2:]))
 
     def along(x: np.ndarray, n: int) -> np.ndarray:
-        sums = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)])
         edge = np.arange(n + 1) * (x.shape[0] / n)
         low = np.minimum(edge.astype(np.int64), x.shape[0])
-        part = (edge - low).reshape(-1, *[1] * (x.ndim - 1))
-        at = sums[low] + part * (sums[np.minimum(low + 1, x.shape[0])] - sums[low])
+        # The integral image is only kept at the edges, so a long image costs a stripe of it.
+        at, sums = np.zeros((n + 1, *x.shape[1:])), np.zeros(x.shape[1:])
+        step = max(1, STRIPE // max(1, int(np.prod(x.shape[1:]))))
+        for start in range(0, x.shape[0], step):
+            integral = sums + np.cumsum(x[start : start + step], axis=0, dtype=np.float64)
+            here = (low > start) & (low <= start + len(integral))
+            at[here] = integral[low[here] - 1 - start]
+            sums = integral[-1]
+        inside = low < x.shape[0]
+        at[inside] += (edge - low)[inside].reshape(-1, *[1] * (x.ndim - 1)) * x[low[inside]]
         return np.diff(at, axis=0) / (x.shape[0] / n)
 
     return np.swapaxes(along(np.swapaxes(along(image, height), 0, 1), width), 0, 1)
@@ -176,7 +187,10 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as the
     samples of a PGM image 64 wide, decoded and stored as NPY tiles: doc_id, n_bytes, media.
 
-    Null counts as empty. The table is written to the shared folder and read from there.
+    Null counts as empty; null ids stay null; repeated rows give repeated rows; an
+    empty table gives no rows; other columns are left out. Texts of any length are
+    stored whole, at about their own size. The table is written to the shared
+    folder and read from there.
     """
 
     def run(batches):

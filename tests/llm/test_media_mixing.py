@@ -1,6 +1,7 @@
 """Image formats and resizing against direct computations; mixing against its contract."""
 
 import hashlib
+import io
 import math
 import random
 import struct
@@ -57,6 +58,38 @@ def test_area_resize_is_the_mean_of_areas():
     assert media.area_resize(x, 30, 40).mean() == pytest.approx(x.mean())
 
 
+def test_stripes_give_the_same_means(monkeypatch):
+    x = np.random.default_rng(4).integers(0, 256, (1000, 64)).astype(np.uint8)
+    whole = media.area_resize(x, 8, 9)
+    monkeypatch.setattr(media, "STRIPE", 200)
+    assert (media.area_resize(x, 8, 9) == whole).all()
+
+
+def stored_form(text):
+    """The NPY tiles and the difference hash of a text, with numpy's own writer and plain means."""
+    raw = (text or "").encode()
+    rows = max(1, -(-len(raw) // 64))
+    image = np.frombuffer(raw.ljust(rows * 64, b"\0"), np.uint8).reshape(rows, 64)
+    out = io.BytesIO()
+    np.save(out, np.array([rows, 64, media.TILE], np.int64))
+    for y in range(0, rows, media.TILE):
+        for x in range(0, 64, media.TILE):
+            np.save(out, np.ascontiguousarray(image[y : y + media.TILE, x : x + media.TILE]))
+    fine = np.repeat(np.repeat(image.astype(float), 8, axis=0), 9, axis=1)  # a grid that 8 by 9 cells divide
+    cells = fine.reshape(8, rows, 9, 64).mean(axis=(1, 3))
+    return out.getvalue(), np.packbits(np.round(cells[:, 1:], 6) > np.round(cells[:, :-1], 6)).tobytes().hex()
+
+
+def test_stored_form_of_texts(docs):
+    texts = [None, "", "short", "x" * 64, "y z " * 3000, "é" * 5000, "a\nb" * 70_000]
+    got = {r.doc_id: r for r in media.text_features(media.store_texts(docs(texts))).collect()}
+    for k, t in enumerate(texts):
+        data, feature = stored_form(t)
+        assert (got[k].media_bytes, got[k].media_sha256, got[k].feature) == (len(data), hashlib.sha256(data).hexdigest(), feature)
+    null = media.text_features(media.store_texts(docs(["a", "a"], ids=[None, None]))).collect()
+    assert [r.doc_id for r in null] == [None, None] and null[0].media_sha256 == null[1].media_sha256
+
+
 @pytest.mark.parametrize("shape", [(5, 7), (130, 64), (64, 129, 3), (1, 1)])
 def test_tiles_round_trip(shape):
     x = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)

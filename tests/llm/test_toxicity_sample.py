@@ -18,3 +18,37 @@ def test_only_common_words_reach_the_driver(spark):
         want = [w for w in X.hashed(texts[r.doc_id], memo).tolist() if df[w] >= X.LEAST_DOCS]
         assert vocabulary[np.frombuffer(r.words, "<i4")].tolist() == want
     assert len(rows) == 60 and X.SAMPLE == 12_000
+
+
+def test_a_plain_fit_on_the_same_documents(spark):
+    """The operator's probabilities and verdicts against one process that sees all documents."""
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}xyz" for i in range(12) for j in range(12)]
+    texts, marks = [], []
+    for k in range(400):
+        w = list(rng.choice(words, rng.integers(3, 40)))
+        toxic = k % 5 == 0
+        if toxic:
+            w += ["rotten", "vermin"][: 1 + k % 2]
+        texts.append(" ".join(w) if k % 50 else None)
+        marks.append((k, int(k % 3 == 0), int(toxic)))
+    texts.append("w" * 300_000 + " rotten vermin")
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[5])], "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, low_quality int, toxic int")
+    chain = X.fit_chain(docs, labels, list(X.CATEGORIES))
+    memo = X.Memo(X.word_features)
+    hashed = [X.hashed(t, memo) for t in texts]
+    df = Counter(w for h in hashed[:400] for w in h.tolist())
+    vocabulary = np.array(sorted(w for w, n in df.items() if n >= X.LEAST_DOCS), np.uint64)
+    place = {int(w): i for i, w in enumerate(vocabulary)}
+    places = [np.array([place[w] for w in h.tolist() if w in place], np.int32) for h in hashed]
+    form = np.array([X.form_of(t) for t in texts])
+    plain = X.Chain.fit(np.arange(400), places[:400], form[:400], {c: np.array([m[i] for m in marks], float) for i, c in ((1, "low_quality"), (2, "toxic"))}, vocabulary)
+    want = plain.predict(hashed, form)
+    got = {r.doc_id: r for r in X.classify(docs, chain).collect()}
+    assert np.allclose([[got[k].p_low_quality, got[k].p_toxic] for k in range(401)], want, atol=2e-6)
+    assert [got[k].toxic for k in range(401)] == (want[:, 1] > plain.thresholds[1]).tolist()
+    assert got[None].p_toxic == got[5].p_toxic
+    said = np.array([got[k].toxic for k in range(400)])
+    true = np.array([m[2] for m in marks], bool) & np.array([t is not None for t in texts[:400]])
+    assert (said & true).sum() >= 0.95 * true.sum() and (said & ~true).sum() <= 12
