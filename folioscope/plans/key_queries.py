@@ -66,8 +66,8 @@ def norm_levels(spark, d):
     )
 
 
-#: Two digits in brackets stand for markers; the words around them are the text.
-_MARKED = r"regexp_replace(text, '([a-z])([.,;])', '\1\2 (' || (length(text) % 97) || ') ', 'g')"
+#: Some punctuation is followed by a number in brackets, as the tables' own are longer than a marker's.
+MARKED_SQL = r"regexp_replace(text, '([a-z])([.,;])', '\1\2 (' || (length(text) % 97) || ') ', 'g')"
 
 
 def marked(text):
@@ -76,7 +76,7 @@ def marked(text):
 
 
 @query(rf"""
-WITH m AS (SELECT item_id, {_MARKED} AS t FROM benchmark),
+WITH m AS (SELECT item_id, {MARKED_SQL} AS t FROM benchmark),
 g AS (SELECT item_id, t, regexp_extract_all(t, '(\(\s*[0-9]{{1,2}}\s*\))', 1) AS raw, regexp_split_to_array(t, '\(\s*[0-9]{{1,2}}\s*\)') AS gaps FROM m),
 r AS (SELECT item_id, raw, gaps, unnest(range(1, len(raw) + 1)) AS i FROM g)
 SELECT item_id, raw[i] AS raw, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(raw[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS at,
@@ -88,7 +88,7 @@ def marker_places(spark, d):
 
 
 @query(rf"""
-WITH m AS (SELECT item_id, '(' || (item_id % 9 + 1) || ') ' || {_MARKED} AS t FROM benchmark),
+WITH m AS (SELECT item_id, '(' || (item_id % 9 + 1) || ') ' || {MARKED_SQL} AS t FROM benchmark),
 p AS (SELECT item_id, t, list_filter(string_split(regexp_replace(t, '(\(\s*[0-9]{{1,2}}\s*\))', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x) <> '') AS parts FROM m),
 s AS (SELECT item_id, CASE WHEN len(parts) > 1 THEN list_transform(parts, lambda x: trim(x)) ELSE [t] END AS parts FROM p)
 SELECT item_id, CAST(i - 1 AS BIGINT) AS sub, parts[i] AS part, CASE WHEN regexp_extract(parts[i], '^\s*(\(\s*[0-9]{{1,2}}\s*\))', 1) <> '' THEN CAST(CAST(regexp_extract(regexp_extract(parts[i], '^\s*(\(\s*[0-9]{{1,2}}\s*\))', 1), '[0-9]+') AS BIGINT) AS VARCHAR) END AS marker
@@ -163,7 +163,7 @@ _COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(K.COMMON_WORDS))
 
 
 @query(rf"""
-WITH t AS (SELECT item_id, 'قال رسول الله ' || regexp_replace({scribe_sql(_MARKED)}, 'مالم', 'مالم', 'g') AS t FROM benchmark),
+WITH t AS (SELECT item_id, 'قال رسول الله ' || regexp_replace({scribe_sql(MARKED_SQL)}, 'مالم', 'مالم', 'g') AS t FROM benchmark),
 b AS (SELECT item_id, ' ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\(\s*[0-9٠-٩]{{1,3}}\s*\)|[¹²³⁴⁵⁶⁷⁸⁹⁰]+', ' ', 'g'), '(^|\s)[0-9]+(\s|$)', ' ', 'g'), '{K.DIACRITICS}', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS t FROM t),
 w AS (SELECT item_id, {tokens_sql("replace(replace(t, ' مالم ', ' ما لم '), ' مالا يعني ', ' ما لا يعني ')")} AS w FROM b),
 f AS (SELECT list({search_sql('c')}) AS formulas FROM unnest([{_COMMON}]) AS u(c)),

@@ -254,7 +254,7 @@ def uncovered(spark, d):
 
     from .key_queries import scribe
 
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("page"), N.normalize(scribe(F.col("text")), stable=True).alias("key"), (F.col("item_id") % 90 + 10.0).alias("conf"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("page"), N.normalize(scribe(F.col("text")), stable=True).alias("key"), (F.col("item_id") % 60 + 30.0).alias("conf"))
     page = table(spark, d, "documents").select(F.col("doc_id").alias("page"), N.normalize(scribe(F.left("text", F.lit(2000))), stable=True).alias("text"))
     lines = rows.join(page, "page").withColumn("n_segments", F.when(F.col("page") % 2 == 0, 2).otherwise(1))
     out = reference.uncovered_lines(lines, spans.partial_ratio(F.col("key"), F.col("text")))

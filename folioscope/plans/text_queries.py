@@ -9,6 +9,7 @@ from folioscope.functions import tokens as T
 from folioscope.operators import chunking, spans, structure
 from folioscope.sources.io import table
 
+from .key_queries import MARKED_SQL, marked
 from .registry import GRAMS, key_sql, registry, words_sql
 from .retrieval_queries import BM25, lexical, top_sql
 
@@ -51,11 +52,11 @@ def term_variants(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(terms).alias("term"))
 
 
-@query(r"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\(\s*[0-9]{1,2}\s*\))', 1)) AS raw FROM documents)
+@query(rf"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all({MARKED_SQL}, '(\(\s*[0-9]{{1,2}}\s*\))', 1)) AS raw FROM documents)
 SELECT doc_id, raw, CASE WHEN ltrim(regexp_extract(raw, '[0-9]+'), '0') = '' THEN '0' ELSE ltrim(regexp_extract(raw, '[0-9]+'), '0') END AS marker, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def marker_extract(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(T.markers(F.col("text"))).alias("raw"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.markers(marked(F.col("text")))).alias("raw"))
     return rows.withColumn("marker", N.normalize_marker(F.col("raw"))).groupBy("doc_id", "raw", "marker").agg(F.count("*").alias("n"))
 
 
