@@ -28,6 +28,8 @@ from .common import ordered_offsets, shared_path, stored, table
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"FSV1"
+#: Ids below this are counted in a table; both ways give the same file.
+COUNTED_IDS = 1 << 20
 #: A file is closed once it holds this many ids.
 FILE_IDS = 2_000_000
 FILES = "part long, block int, n_ids long, name string"
@@ -41,11 +43,19 @@ def encode_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """One file of whole documents; ids are unsigned 32-bit integers."""
     counts = np.array([len(x) for x in ids], "<u4")
     flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.uint32)
-    values, inverse, freq = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -freq))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[inverse] if len(flat) else np.empty(0, np.uint32)
+    if len(flat) and int(flat.max()) < COUNTED_IDS:  # a vocabulary's ids: counted and looked up in tables
+        freq = np.bincount(flat)
+        values = np.flatnonzero(freq)
+        order = np.lexsort((values, -freq[values]))
+        rank_of = np.empty(len(freq), np.uint32)
+        rank_of[values[order]] = np.arange(len(values), dtype=np.uint32)
+        ranks = rank_of[flat]
+    else:
+        values, inverse, freq = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((values, -freq))
+        rank_of = np.empty(len(values), np.uint32)
+        rank_of[order] = np.arange(len(values), dtype=np.uint32)
+        ranks = rank_of[inverse] if len(flat) else np.empty(0, np.uint32)
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1

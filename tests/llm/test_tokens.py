@@ -58,6 +58,13 @@ def test_file_round_trip():
     got_keys, counts, flat = token_files.decode_file(token_files.encode_file(keys, ids))
     assert got_keys == keys and counts.tolist() == [len(x) for x in ids]
     assert flat.tolist() == np.concatenate(ids).tolist()
+    small = [x % 5000 for x in ids]
+    table, blob = token_files.COUNTED_IDS, token_files.encode_file(keys, small)
+    try:
+        token_files.COUNTED_IDS = 0
+        assert token_files.encode_file(keys, small) == blob
+    finally:
+        token_files.COUNTED_IDS = table
     many = np.arange(70_000, dtype=np.uint32)[::-1] * 3
     assert token_files.decode_file(token_files.encode_file([1], [many]))[2].tolist() == many.tolist()
 
