@@ -47,13 +47,13 @@ def attach_after_colon(blocks: DataFrame, page: str, order: str, text: str, is_n
 def repeated_shingles(texts: DataFrame, scope: str, n: int = LIMITS.shingle_words) -> DataFrame:
     """(scope, id, owner): texts with an n-word run that an earlier text of the scope has.
 
-    The owner of a run is the smallest id with it. A text sends each of its runs
-    once, as two hashes; partial aggregation finds the runs with several owners,
-    and the ids of those alone are gathered: first the smallest, then the others.
+    The owner of a run is the smallest id with it. A text sends its runs as two
+    hashes; partial aggregation finds the runs with several owners, and only their
+    other ids come back.
     """
     last = F.size("words") - n
     grams = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
-    hashes = F.array_distinct(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2"))))
+    hashes = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2")))
     rows = texts.where(last >= 0).select(F.col(scope).alias("scope"), "id", F.explode(hashes).alias("g")).select("scope", "id", "g.h", "g.h2")
     # A window over the owners' rows would put a run's texts in one task; min and join don't.
     own = rows.groupBy("scope", "h", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").drop("top")
