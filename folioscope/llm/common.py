@@ -72,8 +72,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of ``rows`` with ``values`` (unique keys), in which no key fills a task.
+def join_hot(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``values`` (unique keys), in which no key fills a task.
 
     ``weight`` is a column of ``values`` with the number of rows that its key has.
     Keys with over a thousandth of all rows are fewer than a thousand; they are
@@ -82,7 +82,7 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataF
     total = values.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > max(1000, total // 1000)
     few = F.broadcast(values.where(hot))
-    cold = rows.join(few.select(key), key, "left_anti").join(values.where(~hot), key)
+    cold = rows.join(few.select(key), key, "left_anti").join(values.where(~hot), key, how)
     return rows.join(few, key).unionByName(cold).drop(weight)
 
 
