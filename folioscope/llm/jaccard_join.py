@@ -48,8 +48,8 @@ SIZE_BITS, SIZE_STEP = 10, 0.0204
 #: Cells of the table of shingle counts, and cells in one stored row of it.
 CELLS, CHUNK = 1 << 22, 1 << 16
 _CELL_SHIFT = np.uint64(64 - 22)
-#: Bits of the filter by which texts of wanted sets are told apart (1 MiB).
-FILTER_BITS = 1 << 23
+#: Bits for each wanted set in the filter that tells their texts apart, and its least and largest size (8 KiB, 32 MiB).
+BITS_PER_SET, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of the words' polynomial hash, its inverse mod 2^64, and their powers.
@@ -655,21 +655,24 @@ def _search(rows: DataFrame, weight: str, most: int, kernel: Kernel) -> DataFram
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(mark, body): one text of each wanted set.
 
-    A filter of fixed size, built from all wanted marks, keeps most other texts
-    from being moved; what it lets through is checked by an exact join.
+    A filter built from all wanted marks, sized by their number, keeps most other
+    texts from being moved (all but a sixteenth of them up to 16 million wanted sets; beyond,
+    the filter fills, and in the end each distinct text is moved once). What it
+    lets through is checked by an exact join.
     """
+    bits_needed = min(max(1 << (BITS_PER_SET * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def bit(marks):
-        return (mix64(np.frombuffer(b"".join(m[:8] for m in marks), np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return (mix64(np.frombuffer(b"".join(m[:8] for m in marks), np.uint64)) % np.uint64(bits_needed)).astype(np.int64)
 
     def gather(batches):
-        held = np.zeros(FILTER_BITS, bool)
+        held = np.zeros(bits_needed, bool)
         for b in batches:
             if b.num_rows:
                 held[bit(b.column(0).to_pylist())] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], names=["bits"])
 
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    held = np.zeros(bits_needed // 8, np.uint8)
     for r in wanted.select("mark").mapInArrow(gather, "bits binary").toLocalIterator():
         held |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     share = docs.sparkSession.sparkContext.broadcast(held)
@@ -734,7 +737,11 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 80, den: int =
     Shingles are compared by 64-bit hashes, so n_shingles counts different hashes.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("long").alias("tag"))
-    leaves, found = jaccard_classes(docs, words, num, den)
+    return labelled(*jaccard_classes(docs, words, num, den))
+
+
+def labelled(leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every leaf, from the components (mark, component) of the sets that have links."""
     lows = leaves.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     named = stored(lows.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark")), "named")
     least = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("rows"))

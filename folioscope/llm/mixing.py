@@ -141,7 +141,14 @@ def _head(rows: DataFrame, slot: F.Column) -> DataFrame:
 
 
 def mix(df: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every input row.
+    """doc_id, size, source_size, target, taken for every input row, by ``mixed_rows``."""
+    return mixed_rows(df, seed, weights, most, id_col, text_col, source_col).drop("twin")
+
+
+def mixed_rows(df: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", twin_col: str | None = None) -> DataFrame:
+    """doc_id, twin, size, source_size, target, taken for every input row.
+
+    twin tells rows of one id apart: a hash of the text, or the long in ``twin_col``.
 
     taken is the words the mix takes of the document: whole copies, at most
     ``most``. Random numbers hash (seed, id, text, size), so reruns agree, however the
@@ -153,7 +160,7 @@ def mix(df: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most:
     text = F.col(text_col).cast("string")
     # A key that is never null, so that all joins are plain equi-joins.
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("twin"), word_count(text).alias("size"), key.alias("key"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(twin_col) if twin_col else F.xxhash64(text)).alias("twin"), word_count(text).alias("size"), key.alias("key"))
     docs = stored(rows.groupBy("doc_id", "twin", "size", "key").agg(F.count("*").alias("m")), "sizes")
     sizes = docs.groupBy("key").agg(F.sum(F.col("m") * F.col("size")).alias("source_size"), F.count("*").alias("docs"))
     sizes = stored(sizes.withColumn("source", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30))), "source-sizes")
@@ -208,7 +215,7 @@ def mix(df: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most:
     # m rows: the first of them take one copy more (or, with a copy less, one of them takes fewer).
     many = full.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     copies = F.col("whole") + F.when(F.col("at") < F.abs("extra"), F.signum("extra").cast("long")).otherwise(F.lit(0))
-    return many.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
+    return many.select("doc_id", "twin", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

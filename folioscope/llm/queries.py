@@ -7,9 +7,10 @@ from .conversations import op13_conversations
 from .jaccard_join import op6_jaccard_join
 from .licenses import op9_licenses
 from .media import op1_media
+from .minhash_dedup import op11_minhash_dedup
 from .mixing import op4_mixing
 from .packing import op5_packing
-from .sql import OP3_SQL, OP6_SQL, OP7_SQL
+from .sql import OP3_SQL, OP6_SQL, OP7_SQL, OP11_SQL
 from .sql_rounds import OP12_SQL, OP13_SQL
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
@@ -28,8 +29,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_clusters": op12_clusters,
     "op13_conversations": op13_conversations,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_topk_search": OP7_SQL, "op12_clusters": OP12_SQL, "op13_conversations": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_topk_search": OP7_SQL, "op11_minhash_dedup": OP11_SQL, "op12_clusters": OP12_SQL, "op13_conversations": OP13_SQL}

@@ -21,6 +21,9 @@ c AS (SELECT id, min(reach) AS low FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = w.doc_id
 """
 
+#: The same links at 0.85, and which document of a component is kept.
+OP11_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP6_SQL.replace('>= 90 *', '>= 85 *')})"
+
 #: The same integers, all pairs of queries and candidates.
 OP7_SQL = """
 WITH v AS (

@@ -26,6 +26,8 @@ SAMPLE = 12_000
 FOLDS = 3
 #: Words that one model weighs, at most, and documents a word must be in.
 WORDS, LEAST_DOCS = 400, 5
+#: Words that the models may use at most.
+VOCABULARY = 1 << 21
 #: Lengths of the stems that count as features beside whole words.
 STEMS = (4, 5)
 CATEGORIES = ("low_quality", "toxic")
@@ -172,12 +174,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
     """At most ``most`` labelled documents, the smallest by a hash of their id, with the places of
     their words in the vocabulary; and the vocabulary, sorted word hashes.
 
-    Words of fewer than LEAST_DOCS of them weigh nothing in any model; executors
-    count them and leave them out, so the driver never holds them.
+    Of a repeated id one text counts, the one with the smallest hash. Words of
+    fewer than LEAST_DOCS of them weigh nothing in any model; executors count
+    them and leave them out, so the driver never holds them, and of the others it
+    holds the VOCABULARY most frequent.
     """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in names])
     sample = marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("doc_id", *names, "text")
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample.select("doc_id")), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", F.col("one.text").alias("text"))
+    rows = rows.join(F.broadcast(sample), "doc_id").select("doc_id", *names, "text")
 
     def run(batches):
         memo = Memo(word_features)
@@ -194,7 +200,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["word"])
 
-    common = rows.select("words").mapInArrow(each, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).select("word")
+    common = rows.select("words").mapInArrow(each, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "word").limit(VOCABULARY).select("word")
     known = np.sort(common.toArrow().column(0).to_numpy().view(np.uint64))
 
     def cut(batches):
