@@ -6,12 +6,12 @@ before it kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import join_hot, stored, table, without_keys
 from folioscope.llm.jaccard_join import jaccard_classes
-from folioscope.llm.mixing import mix
+from folioscope.llm.mixing import mixed_rows
 from folioscope.llm.packing import pack_documents
 from folioscope.llm.tokens import tokenizer_path
 from folioscope.llm.toxicity import CATEGORIES, category_labels, classify, fit_chain
@@ -26,6 +26,15 @@ def _own(docs: DataFrame, *names: str) -> list[str]:
     return [next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in names]
 
 
+def _digest(docs: DataFrame) -> Column:
+    """128 bits of a row's whole content, as hex; nulls are told from values and columns from each other."""
+    return F.md5(F.encode(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), "UTF-8"))
+
+
+def _half(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, 16), 16, -10).cast("long")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go.
 
@@ -43,12 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents that five-word shingles link at 0.8 or more, one stays.
 
     It is the row with the smallest id, and of rows with that id the one with
-    the smallest text hash; of rows equal in both, one. Rows without id come
+    the smallest text hash; of rows equal in both, the one whose whole content has
+    the smallest hash, so reruns agree. Rows without id come
     after all ids. Rows are judged one by one, by id and text hash: a repeated id
     whose texts are not linked keeps each of them. Documents without words stay,
     all of them. An empty table stays empty; columns of any name stay as they are.
     """
-    place, twin = _own(docs, "place", "twin")
+    place, twin, whole = _own(docs, "place", "twin", "whole")
     text = F.col("text").cast("string")
     keyed = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(twin, F.xxhash64(text, F.lit(42)))
     leaves, found = jaccard_classes(keyed.select(F.col(place).alias("doc_id"), text.alias("text"), F.col(twin).alias("tag")), words=5, num=80, den=100)
@@ -64,22 +74,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     sure, open_ = without_keys(keyed, gone, [place, twin])
     kept = sure.unionByName(open_.join(gone, [place, twin], "left_anti"))
     if not back.isEmpty():
-        kept = kept.unionByName(without_keys(keyed, back, [place, twin])[1].join(back, [place, twin], "left_semi").dropDuplicates([place, twin]))
+        firsts = without_keys(keyed, back, [place, twin])[1].join(back, [place, twin], "left_semi").withColumn(whole, _digest(docs))
+        least = stored(firsts.groupBy(place, twin).agg(F.min(whole).alias(whole)), "firsts")
+        kept = kept.unionByName(firsts.join(least, [place, twin, whole], "left_semi").dropDuplicates([place, twin]).drop(whole))
     return kept.select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a document appears as often as the mix takes it.
 
-    The draw hashes rows, so it doesn't depend on the table's layout. Of rows
-    equal in all columns, as many are written as all of them take. Documents
-    without words take nothing and go. An empty table stays empty; columns of any name stay as they are.
+    The draw hashes a row's whole content, in 128 bits that tell nulls from
+    values, so it doesn't depend on the table's layout. Of rows equal in all
+    columns, as many are written as all of them take. Documents without words
+    take nothing and go. An empty table stays empty; columns of any name and type, maps
+    too, stay as they are.
     """
-    place, copies, copy = _own(docs, "place", "copies", "copy")
-    keyed = docs.withColumn(place, F.xxhash64(*docs.columns))
-    mixed = mix(keyed, id_col=place).where("taken > 0").groupBy(F.col("doc_id").alias(place)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(copies))
+    place, twin, copies, copy = _own(docs, "place", "twin", "copies", "copy")
+    keyed = docs.withColumn(twin, _digest(docs)).withColumn(place, _half(F.col(twin), 1)).withColumn(twin, _half(F.col(twin), 17))
+    mixed = mixed_rows(keyed, id_col=place, twin_col=twin).where("taken > 0")
+    mixed = mixed.groupBy(F.col("doc_id").alias(place), F.col("twin").alias(twin)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(copies))
     # The table of copies grows with the documents, so it is never broadcast.
-    once = keyed.join(stored(mixed, "copies").hint("merge"), place).dropDuplicates([place])
+    once = keyed.join(stored(mixed, "copies").hint("merge"), [place, twin]).dropDuplicates([place, twin])
     return once.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
