@@ -38,3 +38,27 @@ def test_mixing_does_not_depend_on_layout(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     a, b = (sorted(map(tuple, C.mixing(spark, docs.repartition(n), "").collect())) for n in (3, 7))
     assert a == b and a
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, props map<string,string>"
+
+
+def test_rows_that_differ_by_a_null_s_place(spark):
+    """Mixing tells (null, 'x') from ('x', null), keeps maps, and writes no row too often."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(20 + k)), "en", "s", 1, {"a": str(k)}) for k in range(10)]
+    rows += [(50, "one text of many words here", None, "x", 1, None), (50, "one text of many words here", "x", None, 1, None)]
+    got = C.mixing(spark, spark.createDataFrame(rows, ODD), "").collect()
+    count = {}
+    for r in got:
+        count[r.doc_id, r.lang, r.source] = count.get((r.doc_id, r.lang, r.source), 0) + 1
+    assert max(count.values()) <= 3 and all(r.props == {"a": str(r.doc_id)} for r in got if r.doc_id < 10)
+    # Three sources of weights 1, 2, 3: "x" and the null source take three copies of their row, at their cap.
+    assert count[50, None, "x"] == 3 and count[50, "x", None] == 3
+
+
+def test_equal_ids_and_texts_with_other_columns(spark):
+    """The same row stays, however the table is split."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "en", f"s{k}", k) for k in range(12)] + [(2, text + " more", "en", "z", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {tuple(map(tuple, C.near_duplicates(spark, docs.repartition(n), "").collect())) for n in (1, 3, 5)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1

@@ -52,3 +52,12 @@ def test_a_plain_fit_on_the_same_documents(spark):
     said = np.array([got[k].toxic for k in range(400)])
     true = np.array([m[2] for m in marks], bool) & np.array([t is not None for t in texts[:400]])
     assert (said & true).sum() >= 0.95 * true.sum() and (said & ~true).sum() <= 12
+
+
+def test_a_repeated_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text number {k % 7} of many") for k in range(5000)] + [(k, f"words of {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 // 2) for k in range(1, 40)], "doc_id long, low_quality int, toxic int")
+    rows, _ = X.labelled_sample(docs, labels, list(X.CATEGORIES), most=10)
+    assert len(rows) == 10
+    again, _ = X.labelled_sample(docs.repartition(5), labels, list(X.CATEGORIES))
+    assert [r.doc_id for r in again] == list(range(1, 40)) and len({bytes(r.words) for r in again if r.doc_id == 1}) == 1
