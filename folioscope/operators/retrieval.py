@@ -1,4 +1,8 @@
-"""Lexical, dense and phrase retrieval, rank fusion and assembly of passages."""
+"""Lexical, dense and phrase retrieval, rank fusion and assembly of passages.
+
+The lexical searches stand on an inverted index (``postings``); ``bm25`` is the
+same score as plain joins, for small sets of texts.
+"""
 
 from __future__ import annotations
 
@@ -8,29 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
+from folioscope.sources.store import scratch
 
-from .spans import meeting, ngrams
-
-#: Questions that are scored together, and texts.
-QUERY_BLOCK, TEXT_BLOCK = 256, 512
-
-
-def postings(texts: DataFrame) -> DataFrame:
-    """(term, id, tf) of texts (id, words)."""
-    return texts.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-
-
-def expand_terms(queries: DataFrame, dictionary: DataFrame, least_prefix: int = LIMITS.prefix_term_chars) -> DataFrame:
-    """(qid, qterm, term): long query terms match every dictionary term they begin.
+from .postings import Index, lexical_rows, lexical_top, phrase_top, standing, write_index  # noqa: F401  the searches' one front
+from .ranking import best, expand_terms, half_up, ranked
 
-    Terms meet on their first ``least_prefix`` characters, so the expansion is an
-    equi-join over the dictionary and never over postings.
-    """
-    d = dictionary.select("term").withColumn("head", F.substring("term", 1, least_prefix))
-    q = queries.select("qid", "qterm").withColumn("head", F.substring("qterm", 1, least_prefix))
-    long = q.where(F.length("qterm") >= least_prefix).join(d, "head").where(F.col("term").startswith(F.col("qterm"))).select("qid", "qterm", "term")
-    short = q.where(F.length("qterm") < least_prefix).select("qid", "qterm", F.col("qterm").alias("term"))
-    return long.unionByName(short)
+#: Questions that are scored together, and vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 8192
 
 
 def bm25(texts: DataFrame, queries: DataFrame, k1: float = LIMITS.bm25_k1, b: float = LIMITS.bm25_b, prefix: bool = False) -> DataFrame:
@@ -56,12 +44,6 @@ def bm25(texts: DataFrame, queries: DataFrame, k1: float = LIMITS.bm25_k1, b: fl
     return rows.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def ranked(scores: DataFrame, n: int, by: Column | None = None) -> DataFrame:
-    """The n best of each query, ties to the smaller id: adds ``rank``."""
-    w = Window.partitionBy("qid").orderBy(by if by is not None else F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -74,153 +56,57 @@ def unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(d, lambda x: x / length)).otherwise(d)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n best scores above -inf of distinct ids, ties to the smaller id."""
-    k = n
-    while True:
-        keep = np.arange(len(scores)) if k >= len(scores) else np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-        keep = keep[scores[keep] > -np.inf]
-        order = keep[np.lexsort((ids[keep], -scores[keep]))]
-        first = np.sort(np.unique(ids[order], return_index=True)[1])
-        if len(first) >= n or k >= len(scores):
-            return order[first[:n]]
-        k *= 2
-
-
-def half_up(x: np.ndarray) -> np.ndarray:
-    """Rounded to six places like Spark's round."""
-    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
-
+def merged(found: DataFrame, n: int) -> DataFrame:
+    """The n best of each question from the bests of all blocks."""
+    return ranked(found.groupBy("qid", "id").agg(F.max("score").alias("score")), n)
 
-class Tops:
-    """The n best ids of each question so far."""
 
-    def __init__(self, qids: np.ndarray, n: int):
-        self.qids, self.n = qids, n
-        self.scores = [np.empty(0)] * len(qids)
-        self.ids = [np.empty(0, np.int64)] * len(qids)
+def _packed(vectors: DataFrame, size: int) -> DataFrame:
+    """(dim, ids, body): vectors (id, vec) of one length as bytes, up to ``size`` of a partition in a row."""
 
-    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (ids, questions from ``first`` on); -inf is no hit."""
-        for q in range(scores.shape[1]):
-            at, column = first + q, scores[:, q]
-            least = self.scores[at][-1] if len(self.scores[at]) == self.n else -np.inf
-            new = np.flatnonzero((column >= least) & (column > -np.inf))
-            if len(new):
-                s, i = np.concatenate([self.scores[at], column[new]]), np.concatenate([self.ids[at], ids[new]])
-                k = best(s, i, self.n)
-                self.scores[at], self.ids[at] = s[k], i[k]
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            lengths, ids = np.diff(lists.offsets.to_numpy()), b.column(0).to_numpy(zero_copy_only=False)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)
+            for d in np.unique(lengths):
+                rows = np.flatnonzero(lengths == d)
+                for i in range(0, len(rows), size):
+                    some = rows[i : i + size]
+                    body = flat[(ends[some] - d)[:, None] + np.arange(d)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)]), pa.array([ids[some].astype("<i8").tobytes()], pa.binary()), pa.array([body.astype("<f8").tobytes()], pa.binary())], names=["dim", "ids", "body"])
 
-    def batch(self) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
-        flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qids, sizes)), pa.array(flat(self.ids, np.int64)), pa.array(flat(self.scores, float))], names=["qid", "id", "score"])
-
-
-def merged(found: DataFrame, n: int) -> DataFrame:
-    """The n best of each question from the bests of all partitions."""
-    return ranked(found.groupBy("qid", "id").agg(F.max("score").alias("score")), n)
+    return vectors.mapInArrow(run, "dim long, ids binary, body binary")
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """(qid, id, score, rank): the n best other ids of each question by inner product.
 
-    Questions (qid, qvec) are held by the driver and scored in blocks against each
-    Arrow batch of vectors (id, vec); a partition gives its n best of each. Rows
-    without a vector are no hits.
+    Questions (qid, qvec) and vectors (id, vec) are packed into blocks; each pair
+    of blocks of one vector length is one row and gives its n best of each
+    question. Rows without id or vector are neither asked nor hit, vectors of
+    another length than the question's aren't compared, and of a repeated id the best counts.
     """
-    asked = queries.where("qvec is not null").select(F.col("qid").cast("long"), F.col("qvec").cast("array<double>")).toArrow().combine_chunks()
-    qids = asked.column(0).to_numpy()
-    q = np.array(asked.column(1).combine_chunks().flatten()).reshape(len(qids), -1) if len(qids) else np.empty((0, 0))
+    double = "array<double>"
+    asked = queries.where("qid is not null and qvec is not null").select(F.col("qid").cast("long").alias("id"), F.col("qvec").cast(double).alias("vec")).distinct()
+    rows = vectors.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast(double).alias("vec"))
+    ones = scratch(_packed(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id()), "question-blocks")
+    twos = scratch(_packed(rows, VECTOR_BLOCK).withColumn("v", F.monotonically_increasing_id()), "vector-blocks")
 
     def run(batches):
-        tops = Tops(qids, n)
         for b in batches:
-            if not b.num_rows or not len(qids):
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(b.column(1).flatten()).reshape(len(ids), -1)
-            for a in range(0, len(qids), QUERY_BLOCK):
-                scores = half_up(v @ q[a : a + QUERY_BLOCK].T)
-                scores[ids[:, None] == qids[None, a : a + QUERY_BLOCK]] = -np.inf
-                tops.add(a, scores, ids)
-        yield tops.batch()
-
-    rows = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    return merged(rows.mapInArrow(run, "qid long, id long, score double"), n)
-
-
-def bm25_top(texts: DataFrame, queries: DataFrame, n: int, k1: float = LIMITS.bm25_k1, b: float = LIMITS.bm25_b) -> DataFrame:
-    """(qid, id, score, rank): ``bm25`` and its n best, for texts (id, key) with one row an id.
-
-    The questions' terms (qid, qterm) are held by the driver. One pass counts the
-    texts with each of them, one scores all questions, in blocks, against blocks of
-    texts; a partition gives its n best of each question, so no row is made for a
-    pair of a question and a text that share common words only.
-    """
-    asked = sorted((r.qid, r.qterm) for r in queries.select("qid", "qterm").distinct().collect())
-    terms = {t: k for k, t in enumerate(sorted({t for _, t in asked}))}
-    rows = texts.select(F.col("id").cast("long").alias("id"), "key")
-
-    def count(batches):
-        df, size, total = np.zeros(len(terms), np.int64), 0, 0
-        for batch in batches:
-            for key in batch.column(1).to_pylist():
-                words = key.split()
-                size, total = size + 1, total + len(words)
-                for t in set(words) & terms.keys():
-                    df[terms[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(terms))), pa.array(np.concatenate([[size, total], df]).astype(np.int64))], names=["term", "n"])
-
-    # One row a term of a question, and two totals.
-    counted = {r.term: r.n for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    size, average = counted.get(-2, 0), counted.get(-1, 0) / max(counted.get(-2, 0), 1)
-    qids = np.array(sorted({q for q, _ in asked}), np.int64)
-    place = {q: k for k, q in enumerate(qids.tolist())}
-    blocks = []
-    for a in range(0, len(qids), QUERY_BLOCK):
-        own = [(place[q] - a, t) for q, t in asked if a <= place[q] < a + QUERY_BLOCK]
-        column = {t: k for k, t in enumerate(sorted({t for _, t in own}))}
-        weight = np.zeros((len(column), min(QUERY_BLOCK, len(qids) - a)))
-        for q, t in own:
-            df = counted.get(terms[t], 0)
-            raw = np.log((size - df + 0.5) / (df + 0.5))
-            weight[column[t], q] = raw if raw > 0 else 1e-6
-        blocks.append((a, column, weight))
+            for dim, qi, qb, vi, vb in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                qids, ids = np.frombuffer(qi, "<i8"), np.frombuffer(vi, "<i8")
+                scores = half_up(np.frombuffer(vb, "<f8").reshape(len(ids), dim) @ np.frombuffer(qb, "<f8").reshape(len(qids), dim).T)
+                scores[ids[:, None] == qids[None, :]] = -np.inf
+                found = [best(scores[:, k], ids, n) for k in range(len(qids))]
+                at, column = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(qids)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[column]), pa.array(ids[at]), pa.array(scores[at, column])], names=["qid", "id", "score"])
 
-    def run(batches):
-        tops = Tops(qids, n)
-        for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start in range(0, batch.num_rows, TEXT_BLOCK):
-                ids = all_ids[start : start + TEXT_BLOCK]
-                texts = [key.split() for key in batch.column(1).slice(start, TEXT_BLOCK).to_pylist()]
-                length = k1 * (1 - b + b * np.array([len(t) for t in texts]) / (average or 1))
-                for a, column, weight in blocks:
-                    part = np.zeros((len(ids), len(column)))
-                    for d, words in enumerate(texts):
-                        hits = [column[w] for w in words if w in column]
-                        if hits:
-                            part[d] = np.bincount(hits, minlength=len(column))
-                    d, t = np.nonzero(part)
-                    part[d, t] *= (k1 + 1) / (part[d, t] + length[d])
-                    scores = part @ weight
-                    tops.add(a, np.where(scores > 0, half_up(scores), -np.inf), ids)
-        yield tops.batch()
-
-    return merged(rows.mapInArrow(run, "qid long, id long, score double"), n)
-
-
-def phrase_hits(texts: DataFrame, phrases: DataFrame, most: int = LIMITS.phrase_cap) -> DataFrame:
-    """(qid, id, rank): texts (id, key, words) with the phrase (qid, phrase, words) as whole words.
-
-    Candidates share the phrase's first two words, so texts and phrases meet by
-    an equi-join before the containment test.
-    """
-    heads = phrases.withColumn("head", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
-    grams = meeting(ngrams(texts, 2).select("id", F.col("gram").alias("head")), heads, "head").distinct()
-    hits = grams.join(heads, "head").join(texts.select("id", "key"), "id").where(F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    return ranked(hits.select("qid", "id").distinct(), most, by=F.col("id").asc())
+    # Numbers of blocks meet first; the blocks are joined to them by number, the vectors' last.
+    pairs = ones.select("q", "dim").join(twos.select("v", "dim"), "dim").select("q", "v")
+    met = pairs.join(ones.select("q", F.col("ids").alias("qids"), F.col("body").alias("qbody"), "dim"), "q").join(twos.drop("dim"), "v")
+    return merged(met.select("dim", "qids", "qbody", "ids", "body").mapInArrow(run, "qid long, id long, score double"), n)
 
 
 def fuse(lists: list[tuple[str, DataFrame]], k: int = LIMITS.rrf_k, n: int = LIMITS.result_k) -> DataFrame:
@@ -247,11 +133,11 @@ def with_similarity(hits: DataFrame, asked: DataFrame, vectors: DataFrame) -> Da
     return hits.join(pairs, ["qid", "id"], "left").join(have, "qid", "left").withColumn("dense_available", F.coalesce("_have", F.lit(False))).drop("_have")
 
 
-def search(units: dict[str, DataFrame], mode: str, terms: DataFrame, n: int = LIMITS.result_k) -> DataFrame:
-    """The lexical search over the units (id, key) that a mode names."""
+def search(units: dict[str, Index], mode: str, terms: DataFrame, n: int = LIMITS.result_k, windows: dict[str, int] | None = None) -> DataFrame:
+    """The lexical search over the index that a mode names; ``windows`` has how many rows a unit of a mode may have."""
     if mode not in units:
         raise ValueError(f"unknown mode: {mode}")
-    return bm25_top(units[mode], terms, n).withColumn("mode", F.lit(mode))
+    return lexical_top(units[mode], terms, n, windows=(windows or {}).get(mode, 1)).withColumn("mode", F.lit(mode))
 
 
 def embedded(texts: DataFrame, embed, size: int = 64) -> DataFrame:

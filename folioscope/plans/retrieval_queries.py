@@ -18,16 +18,28 @@ EVERY = 100
 
 
 def questions(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), N.latin_key(F.col("text")).alias("key"))
+    """Questions that quote their words 3 to 6, if they have six."""
+    text = N.latin_key(F.col("text"))
+    w = T.words(text)
+    quoted = F.concat_ws(" ", F.array_join(F.slice(w, 1, 2), " "), F.concat(F.lit("«"), F.array_join(F.slice(w, 3, 4), " "), F.lit("»")), F.array_join(F.slice(w, F.lit(7), F.size(w)), " "))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), text.alias("key"), F.when(F.size(w) >= 6, quoted).otherwise(text).alias("question"))
 
 
 def texts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), N.latin_key(F.col("text")).alias("key")).withColumn("words", T.words(F.col("key")))
 
 
+def index(spark, d):
+    """The standing index of all documents."""
+    return retrieval.standing(spark, f"documents of {d}", lambda: texts(spark, d).select("id", "key"))
+
+
+def question_terms(spark, d):
+    return questions(spark, d).select("qid", F.explode(T.query_terms(F.col("key"))).alias("qterm"))
+
+
 def lexical(spark, d, n):
-    terms = questions(spark, d).select("qid", F.explode(F.array_distinct(T.words(F.col("key")))).alias("qterm")).where(F.length("qterm") >= 2)
-    return retrieval.bm25_top(texts(spark, d).select("id", "key"), terms, n)
+    return retrieval.lexical_top(index(spark, d), question_terms(spark, d), n)
 
 
 def vectors(spark, d):
@@ -43,22 +55,33 @@ def dense_list(spark, d, n, asked=None):
 
 
 def phrases(spark, d):
-    w = T.words(F.col("key"))
-    return questions(spark, d).select("qid", F.array_join(F.slice(w, 3, 4), " ").alias("phrase"), F.size(w).alias("n")).where("n >= 6").drop("n")
+    return questions(spark, d).select("qid", F.explode(T.quoted_phrases(F.col("question"))).alias("phrase"))
 
 
-BM25 = f"""
+_ASKED = f"""
 q AS (SELECT item_id AS qid, {words_sql()} AS w FROM benchmark),
-terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(w) AS term FROM q) WHERE length(term) >= 2),
-d AS (SELECT doc_id AS id, {words_sql()} AS words FROM documents),
-st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d),
-tf AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-bm AS (
-  SELECT qid, tf.id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
+terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(w) AS term FROM q) WHERE length(term) >= 2)"""
+
+
+def bm25_sql(rows: str, x: str = "") -> str:
+    """bm{x} (qid, id, score): the score of each of ``rows`` (id, words); terms of four letters match what they begin."""
+    return f"""
+d{x} AS (SELECT row_number() OVER () AS rid, id, words FROM ({rows})),
+st{x} AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d{x}),
+dt{x} AS (SELECT rid, term, count(*) AS n FROM (SELECT rid, unnest(words) AS term FROM d{x}) GROUP BY 1, 2),
+met{x} AS (SELECT q.term, w.term AS word FROM (SELECT DISTINCT term FROM terms) q JOIN (SELECT DISTINCT term FROM dt{x}) w ON w.term = q.term OR (length(q.term) >= 4 AND starts_with(w.term, q.term))),
+tf{x} AS (SELECT m.term, rid, sum(n) AS tf FROM met{x} m JOIN dt{x} t ON t.term = m.word GROUP BY 1, 2),
+df{x} AS (SELECT term, count(*) AS df FROM tf{x} GROUP BY 1),
+bm{x} AS (
+  SELECT qid, d.id, d.rid, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
          * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.words) / avgdl))), 6) AS score
-  FROM terms JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY 1, 2
+  FROM terms JOIN tf{x} t USING (term) JOIN df{x} USING (term) JOIN d{x} d ON d.rid = t.rid, st{x} GROUP BY 1, 2, 3
 )"""
+
+
+BM25 = f"{_ASKED}, {bm25_sql(f'SELECT doc_id AS id, {words_sql()} AS words FROM documents')}"
+
+
 def _dense_sql(asked: str) -> str:
     return f"""
 dn AS (
@@ -71,7 +94,7 @@ _DENSE = _dense_sql(f"q.vec_id % {EVERY} = 0")
 _OWN = _dense_sql("q.vec_id IN (SELECT item_id FROM benchmark)")
 _PHRASE = f"""
 ph AS (SELECT qid, array_to_string(w[3:6], ' ') AS phrase FROM q WHERE len(w) >= 6),
-pk AS (SELECT doc_id AS id, ' ' || {key_sql()} || ' ' AS key FROM documents),
+pk AS (SELECT doc_id AS id, ' ' || array_to_string(list_filter({words_sql()}, lambda w: NOT regexp_full_match(w, '[0-9]+')), ' ') || ' ' AS key FROM documents),
 hit AS (SELECT qid, id FROM ph, pk WHERE contains(key, ' ' || phrase || ' ')),
 pr AS (SELECT qid, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY id) AS BIGINT) AS rank FROM hit) WHERE rank <= 10)"""
 
@@ -96,7 +119,7 @@ def dense_topk(spark, d):
 
 @query(f"WITH {BM25}, {_PHRASE} SELECT qid, id, rank FROM pr")
 def phrase_hits(spark, d):
-    return _long(retrieval.phrase_hits(texts(spark, d), phrases(spark, d))).select("qid", "id", "rank")
+    return _long(retrieval.phrase_top(index(spark, d), phrases(spark, d))).select("qid", "id", "rank")
 
 
 _RRF = f"""
@@ -112,7 +135,7 @@ every AS (
 
 
 def _fused(spark, d):
-    lists = [("phrase", retrieval.phrase_hits(texts(spark, d), phrases(spark, d))), ("bm25", lexical(spark, d, 30)), ("dense", dense_list(spark, d, 30, questions(spark, d)))]
+    lists = [("phrase", retrieval.phrase_top(index(spark, d), phrases(spark, d))), ("bm25", lexical(spark, d, 30)), ("dense", dense_list(spark, d, 30, questions(spark, d)))]
     out = retrieval.fuse(lists)
     return out.withColumns({c: F.col(c).cast("long") for c in ("rank", "phrase_rank", "bm25_rank", "dense_rank")})
 

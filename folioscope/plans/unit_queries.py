@@ -11,7 +11,7 @@ from folioscope.operators import chunking, gates, reference, retrieval, spans
 from folioscope.sources.io import table
 
 from .registry import key_sql, registry, words_sql
-from .retrieval_queries import BM25, EVERY, dense_list, lexical, texts, top_sql
+from .retrieval_queries import BM25, EVERY, bm25_sql, dense_list, index, lexical, question_terms, texts, top_sql
 
 QUERIES, ORACLES, query = registry()
 
@@ -272,20 +272,27 @@ def hybrid_degraded(spark, d):
     return rows.select("qid", "id", F.col("rank").cast("long").alias("rank"), "score", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "dense_sim", "dense_available")
 
 
+#: Words of a window in the baseline mode.
+WINDOW = 40
+
+
 @query(f"""
-WITH {BM25}, sc AS (SELECT doc_id AS id, list_slice({words_sql()}, 1, 40) AS words FROM documents),
-m AS (SELECT qid, id, 'structured' AS mode, rank FROM ({top_sql('bm', 3)}))
-SELECT * FROM m""")
+WITH {BM25}, wd AS (SELECT doc_id AS id, {words_sql()} AS w FROM documents),
+{bm25_sql(f"SELECT id, w[k * {WINDOW} + 1 : k * {WINDOW} + {WINDOW}] AS words FROM (SELECT id, w, unnest(range(0, (len(w) + {WINDOW - 1}) // {WINDOW})) AS k FROM wd)", "w")},
+r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM bmw), u AS (SELECT qid, id, min(place) AS place FROM r WHERE place <= 9 GROUP BY 1, 2)
+SELECT qid, id, 'structured' AS mode, rank FROM ({top_sql('bm', 3)})
+UNION ALL SELECT qid, id, 'baseline', CAST(rank AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM u) WHERE rank <= 3""")
 def search_mode(spark, d):
-    """One search over the units that a mode names; here the structured ones."""
-    units = {"structured": texts(spark, d).select("id", "key"), "baseline": texts(spark, d).select("id", F.array_join(F.slice("words", 1, 40), " ").alias("key"))}
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(T.words(N.latin_key(F.col("text"))))).alias("qterm")).where(F.length("qterm") >= 2)
-    rows = retrieval.search(units, "structured", terms, 3)
-    return rows.select("qid", "id", "mode", F.col("rank").cast("long").alias("rank"))
+    """One search over the units that a mode names: whole documents, or windows of them that are found as one."""
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / WINDOW)))
+    windows = lambda: texts(spark, d).where(F.size("words") > 0).select("id", "words", at.alias("k")).select("id", F.array_join(F.slice("words", (F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW)), " ").alias("key"))
+    units = {"structured": index(spark, d), "baseline": retrieval.standing(spark, f"windows of {d}", windows)}
+    rows = [retrieval.search(units, mode, question_terms(spark, d), 3, windows={"baseline": 3}) for mode in units]
+    return rows[0].unionByName(rows[1]).select("qid", "id", "mode", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
-WITH q AS (SELECT item_id AS qid, {words_sql()} AS w FROM benchmark WHERE item_id % 5 = 0), qt AS (SELECT DISTINCT qid, substr(term, 1, CASE WHEN length(term) > 5 THEN length(term) - 1 ELSE length(term) END) AS qterm FROM (SELECT qid, unnest(w) AS term FROM q) WHERE length(term) >= 2),
+WITH q AS (SELECT item_id AS qid, {words_sql()} AS w FROM benchmark ), qt AS (SELECT DISTINCT qid, substr(term, 1, CASE WHEN length(term) > 5 THEN length(term) - 1 ELSE length(term) END) AS qterm FROM (SELECT qid, unnest(w) AS term FROM q) WHERE length(term) >= 2),
 dw AS (SELECT item_id AS id, {words_sql()} AS words FROM benchmark), st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM dw), dt AS (SELECT id, unnest(words) AS term FROM dw),
 tm AS (SELECT DISTINCT qid, qterm, term FROM qt JOIN (SELECT DISTINCT term FROM dt) ON CASE WHEN length(qterm) >= 4 THEN starts_with(term, qterm) ELSE term = qterm END),
 tf AS (SELECT qid, qterm, id, count(*) AS tf FROM tm JOIN dt USING (term) GROUP BY 1, 2, 3), df AS (SELECT qid, qterm, count(*) AS df FROM tf GROUP BY 1, 2),
@@ -295,6 +302,6 @@ def bm25_prefix(spark, d):
     """BM25 in which terms of four letters or more match whatever they begin; a term's matches add up."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.words(N.latin_key(F.col("text"))).alias("words"))
     cut = F.when(F.length("t") > 5, F.substring("t", F.lit(1), F.length("t") - 1)).otherwise(F.col("t"))
-    q = b.where("id % 5 = 0").select(F.col("id").alias("qid"), F.explode("words").alias("t")).where(F.length("t") >= 2).select("qid", cut.alias("qterm")).distinct()
+    q = b.select(F.col("id").alias("qid"), F.explode("words").alias("t")).where(F.length("t") >= 2).select("qid", cut.alias("qterm")).distinct()
     rows = retrieval.ranked(retrieval.bm25(b, q, prefix=True), 5)
     return rows.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
