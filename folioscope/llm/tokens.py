@@ -15,11 +15,14 @@ import json
 import re
 import string
 from array import array
+from itertools import islice
 
 import numpy as np
 
 #: Chunks kept in each of the memo's two generations; bounds a worker's memory.
 MEMO_CHUNKS = 400_000
+#: Chunks that a worker between two tasks keeps in each memo: it may wait for long beside others.
+RESTING_CHUNKS = 40_000
 #: ASCII punctuation; apostrophes begin pre-tokens of their own kind.
 TAIL = string.punctuation.replace("'", "")
 #: Chunks longer than this are not kept.
@@ -61,6 +64,14 @@ class Memo(dict):
         self[chunk] = found
         return found
 
+    def rest(self, most: int = RESTING_CHUNKS) -> None:
+        """Keeps the answers that came first, which are those of frequent chunks."""
+        self.old = {}
+        if len(self) > most:
+            first = dict(islice(self.items(), most))
+            self.clear()
+            self.update(first)
+
 
 class Encoder:
     """ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them."""
@@ -91,6 +102,12 @@ class Encoder:
         else:
             self.first = Memo(lambda w: self._word(w, w.lower(), "", w))
 
+    def rest(self) -> None:
+        """Gives back most of what the memos hold; a worker outlives its tasks."""
+        for memo in vars(self).values():
+            if isinstance(memo, Memo):
+                memo.rest()
+
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
