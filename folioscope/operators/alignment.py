@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,26 +44,22 @@ def span_map(source: Column, target: Column) -> Column:
 
 
 def matched_words(keys: Column, ocr_keys: Column, least: float = LIMITS.accept_similarity) -> Column:
-    """Places of a block's words among OCR words: equal runs, and similar words by position inside
-    replaced runs."""
+    """Places of a block's words among OCR words: equal runs, and inside replaced runs the words of
+    one position whose edit distance is small for the longer one's length."""
 
     @F.pandas_udf(_MATCHES)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def similar(s, t):
-            return difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() >= least
-
         def one(x, y):
-            x, y, out = list(x), list(y), []
-            for tag, i, j, k, m in _opcodes(x, y):
-                if tag == "equal":
-                    out += [{"at": i + d, "other": k + d, "exact": True} for d in range(j - i)]
-                elif tag == "replace":
-                    out += [{"at": i + d, "other": k + d, "exact": False} for d in range(min(j - i, m - k)) if similar(x[i + d], y[k + d])]
-            return out
+            kinds = {"equal": True, "replace": False}
+            return [{"at": i + d, "other": k + d, "exact": kinds[tag]} for tag, i, j, k, m in _opcodes(x, y) if tag in kinds for d in range(min(j - i, m - k))]
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
-    return run(keys, ocr_keys)
+    def alike(m):
+        x, y = F.get(keys, m.at), F.get(ocr_keys, m.other)
+        return m.exact | (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)) >= least)
+
+    return F.filter(run(keys, ocr_keys), alike)
 
 
 def alignment_score(n_matched: Column, n_keys: Column) -> Column:
@@ -76,12 +73,22 @@ def alignment_source(score: Column, least: float = 0.3) -> Column:
 
 
 def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Insertions, deletions and replacements between two words, a column of the table at once in the bits of integers."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)  # where the column rises and falls by one
+    for c in b:
+        same = at.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        right, left = (down | ~(flat | up)) & full, up & flat
+        distance += (right & last > 0) - (left & last > 0)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(flat | right)) & full, right & flat & full
+    return distance
 
 
 def token_places(keys: Column, ocr_keys: Column, least: float = 0.5) -> Column:
@@ -90,21 +97,23 @@ def token_places(keys: Column, ocr_keys: Column, least: float = 0.5) -> Column:
 
     @F.pandas_udf(_MATCHES)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def similar(s, t):
-            return 1 - edit_distance(s, t) / max(len(s), len(t), 1) if s and t else 0.0
+        def nearest(x, y):
+            """(place in x, place in y) of a replaced run: rows of a similarity table take their best open column."""
+            table = np.array([[1 - edit_distance(s, t) / max(len(s), len(t)) if s and t else 0.0 for t in y] for s in x])
+            for row, likeness in enumerate(table):
+                column = int(likeness.argmax())
+                if likeness[column] >= least:
+                    table[:, column] = -1
+                    yield row, column
 
         def one(x, y):
             x, y, out = list(x), list(y), []
             for tag, i, j, k, m in _opcodes(x, y):
+                short, long = sorted((j - i, m - k))
                 if tag == "equal":
-                    out += [{"at": i + d, "other": k + d, "exact": j - i > 1} for d in range(j - i)]
-                elif tag == "replace" and max(j - i, m - k) <= 2 * min(j - i, m - k) + 1:
-                    free = list(range(k, m))
-                    for at in range(i, j):
-                        best = max(free, key=lambda c: similar(x[at], y[c]), default=None)
-                        if best is not None and similar(x[at], y[best]) >= least:
-                            free.remove(best)
-                            out.append({"at": at, "other": best, "exact": False})
+                    out += [{"at": i + d, "other": k + d, "exact": short > 1} for d in range(short)]
+                elif tag == "replace" and long <= 2 * short + 1:
+                    out += [{"at": i + p, "other": k + q, "exact": False} for p, q in nearest(x[i:j], y[k:m])]
             return out
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])

@@ -210,24 +210,6 @@ def unit_verdicts(units: DataFrame) -> DataFrame:
     return units.withColumn("no", F.row_number().over(w) - 1).where("wording is not null or printed is not null")
 
 
-def match_external(reports: DataFrame, entries: DataFrame, score, confirm, least: float = 80.0, sure: float = 70.0, most: int = 3) -> DataFrame:
-    """Reports (id, key) with the entries (ext_id, title_key, text_key) whose title they hold.
-
-    Keys must be long enough (15 and 10 characters). Pairs meet by shared pairs of
-    words, so no report is compared with every entry: a title that stands in a
-    report to 80 of 100 characters shares two words in a row with it, unless an
-    edit falls into every second word. ``score`` and ``confirm`` take two columns.
-    """
-    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(c, " ")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split(c, " "), i, F.lit(2)), " ")))
-    r = reports.where(F.length("key") >= 15).select("id", "key", F.explode(pairs_of(F.col("key"))).alias("pair"))
-    e = entries.where(F.length("title_key") >= 10).select("ext_id", "title_key", "text_key", F.explode(pairs_of(F.col("title_key"))).alias("pair"))
-    met = r.join(e, "pair").select("id", "key", "ext_id", "title_key", "text_key").distinct()
-    rows = met.withColumn("score", score(F.col("title_key"), F.col("key"))).where(F.col("score") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("ext_id"))
-    best = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-    return best.withColumn("sure", confirm(F.col("text_key"), F.col("key"))).where(F.col("sure") >= sure).select("id", "ext_id", "place", "score", "sure")
-
-
 def chunk_anchors(chunks: DataFrame, blocks: DataFrame, kind: str = "hadith") -> DataFrame:
     """(chunk, block_id): a chunk's first block of a kind, else its first block."""
     rows = chunks.select("chunk", F.posexplode("block_ids").alias("pos", "block_id")).join(blocks.select("block_id", "type"), "block_id", "left")

@@ -8,14 +8,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope import constants as K
 from folioscope.constants import LIMITS
+from folioscope.functions import textnorm as N
 
 
-def vote3(a: Column, b: Column, c: Column, a_conf: Column | None = None) -> Column:
-    """agree (all alike), abstain (the third has no reading but the others agree), abstain_a (the
-    first is unread or unsure while the others agree), else disputed."""
-    unsure = a.isNull() if a_conf is None else (a.isNull() | (a_conf < 60))
-    return F.when((a == b) & (b == c), "agree").when((a == b) & c.isNull(), "abstain").when(unsure & (b == c), "abstain_a").otherwise("disputed")
+def vote3(a: Column, b: Column, c: Column, a_conf: Column | None = None, furniture: Column | None = None, stable: bool = False) -> Column:
+    """What three readers' forms of a word (null where unread) say about the second's:
+
+    agree: the third prints the same, and the first has its letters (of page furniture it
+    needn't); abstain: both have its letters, but the third printed no vowel marks; abstain_a:
+    the first has other letters and is unread or under 60 % sure, the others print the same;
+    else disputed.
+    """
+    letters = lambda x: F.coalesce(F.nullif(N.normalize(x, stable=stable), F.lit("")), N.strip_diacritics(x))
+    like = lambda x: F.coalesce(letters(x) == letters(b), F.lit(False))
+    first = like(a) | (furniture if furniture is not None else F.lit(False))
+    unsure = a.isNull() | (F.coalesce(a_conf, F.lit(0.0)) < 60 if a_conf is not None else F.lit(False))
+    third, marked = like(c), lambda x: x.rlike(K.VOWEL_MARKS)
+    return (
+        F.when(~third, "disputed")
+        .when(first & (c == b), "agree")
+        .when(first & ~marked(c) & marked(b), "abstain")
+        .when(~first & unsure & (c == b), "abstain_a")
+        .otherwise("disputed")
+    )
 
 
 def dispute_groups(tokens: DataFrame, most: int = 4) -> DataFrame:

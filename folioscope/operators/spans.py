@@ -118,45 +118,3 @@ def verify_spans(candidates: DataFrame) -> DataFrame:
     """Adds diff operations and the class to windows (passage, window, similarity)."""
     ops = word_diff(F.split("window", " "), F.split("passage", " "))
     return candidates.withColumn("diff", ops).withColumn("status", classify(F.col("similarity"), F.col("diff")))
-
-
-def partial_ratio(a: Column, b: Column) -> Column:
-    """Best share of equal characters of the shorter text in a window of the longer, 0 to 100."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def ratio(s, t):
-            if not s or not t:
-                return 0.0 if s or t else 100.0
-            s, t = (s, t) if len(s) <= len(t) else (t, s)
-            m = difflib.SequenceMatcher(None, s, t, autojunk=False)
-            best = 0.0
-            for i, j, _ in m.get_matching_blocks():
-                window = t[max(0, j - i) : max(0, j - i) + len(s)]
-                best = max(best, difflib.SequenceMatcher(None, s, window, autojunk=False).ratio())
-            return 100.0 * best
-
-        return pd.Series([ratio(s, t) for s, t in zip(x, y, strict=True)])
-
-    return run(a, b)
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """100 when one text's words contain the other's; else the best ratio of common and own words."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def ratio(s, t):
-            p, q = set((s or "").split()), set((t or "").split())
-            if not p or not q:
-                return 0.0
-            both = sorted(p & q)
-            if both and (p <= q or q <= p):
-                return 100.0
-            base = " ".join(both)
-            left, right = " ".join([*both, *sorted(p - q)]), " ".join([*both, *sorted(q - p)])
-            return 100 * max(difflib.SequenceMatcher(None, u, v, autojunk=False).ratio() for u, v in ((base, left), (base, right), (left, right)))
-
-        return pd.Series([ratio(s, t) for s, t in zip(x, y, strict=True)])
-
-    return run(a, b)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import textnorm as N
 from folioscope.functions import tokens as T
-from folioscope.operators import alignment, gates, metrics, reference, review
+from folioscope.operators import alignment, fuzzy, gates, metrics, reference, review
 from folioscope.sources.io import as_timestamp, table
 
 from .key_queries import content_sql, scribe, scribe_sql
@@ -314,12 +314,29 @@ def requirements(spark, d):
     return rows.select("k", F.array_join(metrics.requirement_rules(F.col("req"), seen), "; ").alias("unmet"))
 
 
+@query(f"""
+WITH k AS (SELECT item_id, {key_sql()} AS t FROM benchmark), w AS (SELECT item_id, t, array_to_string(string_split(t, ' ')[2:6], ' ') AS five FROM k),
+n AS (SELECT item_id, t, CASE WHEN item_id % 3 = 0 THEN five ELSE left(five, 4) || 'q' || substr(five, 6) END AS p FROM w WHERE length(five) BETWEEN 10 AND 120),
+o AS (SELECT a.item_id AS id, b.item_id AS other, a.p, b.t, length(a.p) AS m, length(b.t) AS n FROM n a JOIN k b ON b.item_id BETWEEN a.item_id AND a.item_id + 2 WHERE length(b.t) > length(a.p)),
+mk AS (SELECT id, other, map_from_entries(list(struct_pack(k := c, v := bits))) AS masks FROM (SELECT id, other, c, sum(1::HUGEINT << i) AS bits FROM (SELECT id, other, unnest(string_split(p, '')) AS c, unnest(range(0, m))::INTEGER AS i FROM o) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+x AS (SELECT o.*, masks, unnest(range(2 - m, n + 1)) AS s FROM o JOIN mk USING (id, other)),
+y AS (SELECT id, other, m, masks, (1::HUGEINT << m::INTEGER) - 1 AS whole, string_split(substr(t, greatest(s, 1), least(s + m, n + 1) - greatest(s, 1)), '') AS chars FROM x),
+z AS (SELECT id, other, m, len(chars) AS l, m - bit_count(list_reduce(list_transform(chars, lambda c: coalesce(masks[c], 0::HUGEINT)), lambda r, c: ((r + (r & c)) | (r - (r & c))) & whole, whole)) AS lcs FROM y)
+SELECT id, other, round(max(200.0::DOUBLE * lcs / (m + l)), 6) AS score FROM z GROUP BY 1, 2""")
+def title_scores(spark, d):
+    """The best place of a title, with a typo or without, in its own passage and the next two."""
+    rows = table(spark, d, "benchmark").select("item_id", N.latin_key(F.col("text")).alias("t"))
+    five = F.array_join(F.slice(F.split("t", " "), 2, 5), " ")
+    title = F.when(F.col("item_id") % 3 == 0, F.col("five")).otherwise(F.concat(F.substring("five", 1, 4), F.lit("q"), F.substring(F.col("five"), F.lit(6), F.length("five"))))
+    a = rows.withColumn("five", five).where(F.length("five").between(10, 120)).select(F.col("item_id").alias("id"), title.alias("p")).withColumn("other", F.explode(F.sequence("id", F.col("id") + 2)))
+    pairs = a.join(rows.withColumnRenamed("item_id", "other"), "other").where(F.length("t") > F.length("p"))
+    return pairs.select("id", "other", F.round(fuzzy.partial_ratio(F.col("p"), F.col("t")), 6).alias("score"))
+
+
 @query()
 def wording_scores(spark, d):
     """How alike two wordings are: shared words, and the best window."""
-    from folioscope.operators import spans
-
     rows = table(spark, d, "benchmark").select("item_id", N.latin_key(F.col("text")).alias("a"))
     rows = rows.withColumn("b", F.array_join(F.slice(F.split("a", " "), 3, 8), " "))
     ops = alignment.matched_words(F.split("b", " "), F.split("a", " "))
-    return rows.select("item_id", F.round(spans.token_set_ratio("a", "b"), 2).alias("token_set"), F.round(spans.partial_ratio("a", "b"), 2).alias("part"), F.size(ops).alias("n_matched"))
+    return rows.select("item_id", F.round(fuzzy.token_set_ratio(F.col("a"), F.col("b")), 2).alias("token_set"), F.round(fuzzy.partial_ratio(F.col("a"), F.col("b")), 2).alias("part"), F.size(ops).alias("n_matched"))

@@ -133,8 +133,8 @@ _STOP = ", ".join(f"'{w}'" for w in K.NAME_STOP)
 
 @query(rf"""
 WITH r AS (SELECT item_id, {_REPORT} AS t FROM benchmark WHERE len(string_split(text, ' ')) >= 5),
-a AS (SELECT *, {loose_sql('t')} AS loose, nullif(regexp_extract(t, '(متفق\s*عل[يى]ه|(?:رواه|أخرجه)\s+[^.«»\n]{{2,90}})', 1), '') AS printed FROM r),
-n AS (SELECT *, nullif(trim(regexp_extract(loose, '(?:^|\s)(?:و?عن)\s+(.{{3,90}}?)\s+رض[يى]\s+الله\s+عن', 1)), '') AS narrator, coalesce({loose_sql('printed')}, '') AS key FROM a),
+a AS (SELECT *, {loose_sql('t')} AS loose, nullif(regexp_extract(t, '{K.ATTRIBUTION}', 1), '') AS printed FROM r),
+n AS (SELECT *, nullif(trim(regexp_extract(loose, '{K.NARRATOR}', 1)), '') AS narrator, coalesce({loose_sql('printed')}, '') AS key FROM a),
 w AS (SELECT *, list_distinct(list_filter({tokens_sql(search_sql("coalesce(narrator, '')"))}, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS name FROM n)
 SELECT item_id, narrator, array_to_string(list_sort(name), ' ') AS name, printed,
   CASE WHEN printed IS NULL THEN 'unknown' WHEN contains(key, '{K.AGREED}') OR contains(key, '{K.FIRST_BOOK}') OR contains(key, '{K.SECOND_BOOK}') OR contains(key, '{K.BOTH_AUTHORS}') THEN 'in_sahihayn' ELSE 'other' END AS kind,
@@ -148,7 +148,7 @@ def narrators(spark, d):
 
 @query(rf"""
 WITH r AS (SELECT item_id, {_REPORT} AS t FROM benchmark WHERE len(string_split(text, ' ')) >= 5),
-n AS (SELECT item_id, list_distinct(list_filter({tokens_sql(search_sql(f"coalesce(regexp_extract({loose_sql('t')}, '(?:^|{chr(92)}s)(?:و?عن){chr(92)}s+(.{{3,90}}?){chr(92)}s+رض[يى]{chr(92)}s+الله{chr(92)}s+عن', 1), '')"))}, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS name FROM r)
+n AS (SELECT item_id, list_distinct(list_filter({tokens_sql(search_sql(f"coalesce(regexp_extract({loose_sql('t')}, '{K.NARRATOR}', 1), '')"))}, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS name FROM r)
 SELECT a.item_id AS a, b.item_id AS b, CASE WHEN len(a.name) > 0 AND len(b.name) > 0 THEN CASE WHEN len(a.name) <= len(b.name) THEN len(list_filter(a.name, lambda x: NOT list_contains(b.name, x))) = 0 ELSE len(list_filter(b.name, lambda x: NOT list_contains(a.name, x))) = 0 END END AS same
 FROM n a JOIN n b ON b.item_id = a.item_id + 1""")
 def same_narrators(spark, d):
@@ -162,25 +162,38 @@ def same_narrators(spark, d):
 _COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(K.COMMON_WORDS))
 
 
+#: Free numbers before a comma, of both scripts, in the middle of a text and at its end.
+_NUMBERED = "concat('قال رسول الله 5, ', CASE item_id % 3 WHEN 0 THEN '٥ ' WHEN 1 THEN 'x7y 12. ' ELSE '3-4 ' END, {}, ' ١٢')"
+_FREE = r"(^|[^\p{L}\p{N}_])\p{Nd}+($|[^\p{L}\p{N}_])"
+
+
 @query(rf"""
-WITH t AS (SELECT item_id, 'قال رسول الله ' || regexp_replace({scribe_sql(MARKED_SQL)}, 'مالم', 'مالم', 'g') AS t FROM benchmark),
-b AS (SELECT item_id, ' ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\(\s*[0-9٠-٩]{{1,3}}\s*\)|[¹²³⁴⁵⁶⁷⁸⁹⁰]+', ' ', 'g'), '(^|\s)[0-9]+(\s|$)', ' ', 'g'), '{K.DIACRITICS}', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS t FROM t),
+WITH t AS (SELECT item_id, {_NUMBERED.format(scribe_sql(MARKED_SQL))} AS t FROM benchmark),
+m AS (SELECT item_id, regexp_replace(t, '{K.LONG_MARKER}', ' ', 'g') AS t FROM t),
+b AS (SELECT item_id, ' ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_FREE}', '\1 \2', 'g'), '{_FREE}', '\1 \2', 'g'), '{K.DIACRITICS}', '', 'g'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ' AS t FROM m),
 w AS (SELECT item_id, {tokens_sql("replace(replace(t, ' مالم ', ' ما لم '), ' مالا يعني ', ' ما لا يعني ')")} AS w FROM b),
 f AS (SELECT list({search_sql('c')}) AS formulas FROM unnest([{_COMMON}]) AS u(c)),
 k AS (SELECT item_id, w, list_position(list_transform(w, lambda x: length({search_sql('x')}) > 2 AND NOT list_contains(formulas, {search_sql('x')})), true) AS first FROM w, f)
 SELECT item_id, array_to_string(CASE WHEN len(w[greatest(coalesce(first, 0), 1) : greatest(coalesce(first, 0), 1) + 5]) >= 4 THEN w[greatest(coalesce(first, 0), 1) : greatest(coalesce(first, 0), 1) + 5] ELSE w[greatest(len(w) - 5, 1) : len(w)] END, ' ') AS phrase FROM k""")
 def search_phrases(spark, d):
     """Six words of a report from its first telling word."""
-    t = F.concat(F.lit("قال رسول الله "), scribe(marked(F.col("text"))))
+    i = F.col("item_id") % 3
+    t = F.concat(F.lit("قال رسول الله 5, "), F.when(i == 0, "٥ ").when(i == 1, "x7y 12. ").otherwise("3-4 "), scribe(marked(F.col("text"))), F.lit(" ١٢"))
     return table(spark, d, "benchmark").select("item_id", T.search_phrase(t, stable=True).alias("phrase"))
 
 
-@query(r"""
-WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
-SELECT item_id, 'https://example.org/search?q=' || replace(url_encode(array_to_string(CASE WHEN len(w) >= 6 THEN w[1:6] ELSE w END, ' ')), '+', '%20') AS url FROM w""")
+_SPOKEN = rf"regexp_replace(regexp_replace({scribe_sql()}, '{K.DIACRITICS}', '', 'g'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')"
+
+
+@query(rf"""
+WITH w AS (SELECT item_id, {tokens_sql(_SPOKEN)} AS w FROM benchmark),
+f AS (SELECT list({search_sql('c')}) AS formulas FROM unnest([{_COMMON}]) AS u(c)),
+k AS (SELECT item_id, w, list_position(list_transform(w, lambda x: length({search_sql('x')}) > 2 AND NOT list_contains(formulas, {search_sql('x')})), true) AS first FROM w, f),
+p AS (SELECT item_id, CASE WHEN len(w[greatest(coalesce(first, 0), 1) : greatest(coalesce(first, 0), 1) + 5]) >= 4 THEN w[greatest(coalesce(first, 0), 1) : greatest(coalesce(first, 0), 1) + 5] ELSE w[greatest(len(w) - 5, 1) : len(w)] END AS p FROM k)
+SELECT item_id, 'https://example.org/search?q=' || replace(url_encode(array_to_string(p, ' ')), '+', '%20') AS url FROM p""")
 def search_urls(spark, d):
-    """A search address for the first six words."""
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("https://example.org/search?q="), T.percent_encoded(F.array_join(F.slice(F.split("text", " "), 1, 6), " "))).alias("url"))
+    """The address that searches for a passage's phrase, spelt in Arabic script."""
+    return table(spark, d, "benchmark").select("item_id", T.search_url(scribe(F.col("text")), "https://example.org/search?q=", stable=True).alias("url"))
 
 
 @query(rf"""

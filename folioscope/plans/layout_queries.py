@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import textnorm as N
 from folioscope.functions import tokens as T
-from folioscope.operators import alignment, metrics, reference, review, structure
+from folioscope.operators import alignment, fuzzy, metrics, reference, review, structure
 from folioscope.sources.io import table
 
 from .registry import key_sql, registry, words_sql
@@ -250,14 +250,12 @@ def duplicate_runs(spark, d):
 @query()
 def uncovered(spark, d):
     """Lines of text that the page of their number does not hold, spelt in Arabic script."""
-    from folioscope.operators import spans
-
     from .key_queries import scribe
 
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("page"), N.normalize(scribe(F.col("text")), stable=True).alias("key"), (F.col("item_id") % 60 + 30.0).alias("conf"))
-    page = table(spark, d, "documents").select(F.col("doc_id").alias("page"), N.normalize(scribe(F.left("text", F.lit(2000))), stable=True).alias("text"))
+    page = table(spark, d, "documents").select(F.col("doc_id").alias("page"), N.normalize(scribe(F.col("text")), stable=True).alias("text"))
     lines = rows.join(page, "page").withColumn("n_segments", F.when(F.col("page") % 2 == 0, 2).otherwise(1))
-    out = reference.uncovered_lines(lines, spans.partial_ratio(F.col("key"), F.col("text")))
+    out = reference.uncovered_lines(lines, fuzzy.partial_ratio(F.col("key"), F.col("text")))
     return out.select("page", F.round("score", 1).alias("score"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope import constants as K
 from folioscope.functions import textnorm as N
 from folioscope.operators import gates, metrics, review, spans
 from folioscope.sources.io import as_timestamp, table
 
+from .key_queries import scribe, scribe_sql, search_sql
 from .registry import GRAMS, key_sql, registry
 from .text_queries import streams
 
@@ -51,15 +53,26 @@ def review_overlay(spark, d):
     return out.select("doc_id", "confidence", F.when(F.col("resolution").isNull(), "open").otherwise("closed").alias("state"), F.col("resolution").alias("note"))
 
 
-@query("""
-WITH v AS (SELECT doc_id, quality AS a, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS b, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 1 - quality ELSE quality END AS c FROM labels)
-SELECT status, count(*) AS n FROM (SELECT CASE WHEN a = b AND b = c THEN 'agree' WHEN a = b AND c IS NULL THEN 'abstain' WHEN a IS NULL AND b = c THEN 'abstain_a' ELSE 'disputed' END AS status FROM v) GROUP BY 1""")
+_LETTERS = lambda x: f"coalesce(nullif({search_sql(x)}, ''), regexp_replace({x}, '{K.DIACRITICS}', '', 'g'))"
+
+
+@query(rf"""
+WITH w AS (SELECT item_id, i, {scribe_sql('w[i]')} AS w FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM benchmark))),
+r AS (SELECT item_id, i, w, CASE WHEN (item_id + i) % 2 = 0 THEN w || 'ً' ELSE w END AS b FROM w),
+v AS (SELECT item_id, i, b, CASE (item_id + i) % 7 WHEN 2 THEN w WHEN 3 THEN w || 'ن' WHEN 4 THEN NULL WHEN 6 THEN w || 'ُ' ELSE b END AS c, CASE i % 4 WHEN 0 THEN w WHEN 1 THEN NULL WHEN 2 THEN w || 'ن' ELSE b END AS a, (item_id * 7 + i * 13) % 100 AS conf, item_id % 5 = 0 AS furniture FROM r),
+k AS (SELECT *, coalesce({_LETTERS('c')} = {_LETTERS('b')}, false) AS third, furniture OR coalesce({_LETTERS('a')} = {_LETTERS('b')}, false) AS first FROM v)
+SELECT item_id, i AS place, CASE WHEN NOT third THEN 'disputed' WHEN first AND c = b THEN 'agree' WHEN first AND NOT regexp_matches(c, '[ً-ْٰ]') AND regexp_matches(b, '[ً-ْٰ]') THEN 'abstain' WHEN NOT first AND c = b AND (a IS NULL OR conf < 60) THEN 'abstain_a' ELSE 'disputed' END AS status FROM k""")
 def vote3(spark, d):
-    """Three readers: the label, and two that differ from it by rule."""
-    q, i = F.col("quality"), F.col("doc_id")
-    b = F.when(i % 7 == 0, 1 - q).otherwise(q)
-    c = F.when(i % 5 == 0, F.lit(None)).when(i % 11 == 0, 1 - q).otherwise(q)
-    return table(spark, d, "labels").select(review.vote3(q, b, c).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    """Every word of the passages as three readers have it: with marks, without, with another letter, unread."""
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("p", "raw")).withColumn("i", F.col("p") + 1)
+    words = words.withColumn("w", scribe(F.col("raw")))
+    i, w, n = F.col("i"), F.col("w"), F.lit("ن")
+    b = F.when((F.col("item_id") + i) % 2 == 0, F.concat(w, F.lit("ً"))).otherwise(w)
+    k = (F.col("item_id") + i) % 7
+    c = F.when(k == 2, w).when(k == 3, F.concat(w, n)).when(k == 6, F.concat(w, F.lit("ُ"))).when(k != 4, b)
+    a = F.when(i % 4 == 0, w).when(i % 4 == 2, F.concat(w, n)).when(i % 4 == 3, b)
+    status = review.vote3(a, b, c, ((F.col("item_id") * 7 + i * 13) % 100).cast("double"), F.col("item_id") % 5 == 0, stable=True)
+    return words.select("item_id", i.cast("long").alias("place"), status.alias("status"))
 
 
 @query("""

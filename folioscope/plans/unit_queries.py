@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import textnorm as N
 from folioscope.functions import tokens as T
-from folioscope.operators import chunking, gates, reference, retrieval, spans
+from folioscope.operators import chunking, fuzzy, gates, reference, retrieval
 from folioscope.sources.io import table
 
 from .registry import key_sql, registry, words_sql
@@ -133,11 +133,12 @@ def external_decisions(spark, d):
 
 @query()
 def external_matches(spark, d):
-    """Passages that the title of another one stands in: the blocking join, then fuzzy scores."""
+    """Passages that a title stands in, with its typos: no pair is lost, and the larger of two scores confirms."""
     rows = table(spark, d, "benchmark").select("item_id", N.latin_key(F.col("text")).alias("key"))
-    title = F.array_join(F.slice(F.split("key", " "), 2, 5), " ")
+    whole = F.array_join(F.slice(F.split("key", " "), 2, 5), " ")
+    title = F.when(F.col("item_id") % 3 == 0, whole).otherwise(F.concat(F.substring(whole, 1, 4), F.lit("q"), F.substring(whole, F.lit(6), F.length(whole))))
     entries = rows.select(F.col("item_id").alias("ext_id"), title.alias("title_key"), F.col("key").alias("text_key"))
-    return reference.match_external(rows.select(F.col("item_id").alias("id"), "key"), entries, spans.partial_ratio, spans.token_set_ratio).select("id", "ext_id", "place", F.round("score", 1).alias("score"))
+    return fuzzy.match_external(rows.select(F.col("item_id").alias("id"), "key"), entries).select("id", "ext_id", "place", F.round("score", 1).alias("score"), F.round("sure", 1).alias("sure"))
 
 
 @query(f"""

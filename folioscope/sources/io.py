@@ -63,23 +63,54 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, maker of paths) of a path in any store."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions that a versioned table has made public, in order."""
+    fs, make = _folder(spark, path)
+    where = make(f"{path.rstrip('/')}/public")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_version(spark: SparkSession, path: str, schema, number: int | None = None) -> DataFrame:
+    """The latest (or one) version of a versioned table; an empty frame before the first."""
+    found = versions(spark, path)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/version={found[-1] if number is None else number}")
+
+
+def write_version(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Writes the table's next version beside the others and then makes it public, by the one step
+    of creating an empty file with its number. A run that fails before that changes nothing for
+    readers; of two runs at once, the second one to finish fails. The last ``keep`` versions stay.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    fs, make = _folder(spark, root)
+    number = max(versions(spark, root), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{root}/version={number}")
+    if not fs.createNewFile(make(f"{root}/public/{number}")):
+        raise OSError(f"version {number} of {root} was written by another run")
+    for old in versions(spark, root)[:-keep]:
+        fs.delete(make(f"{root}/public/{old}"), False)
+        fs.delete(make(f"{root}/version={old}"), True)
+    return number
+
+
 def merge_decisions(spark: SparkSession, new: DataFrame, path: str, keys: list[str], at: str) -> DataFrame:
-    """Merges decisions into the table at ``path`` and gives the latest of each key.
+    """Merges decisions into the versioned table at ``path`` and gives the latest of each key.
 
-    The merged table is written beside the old one and then takes its place, so a
-    failed run leaves the old one whole; readers see one or the other.
+    Readers have the version before or the one after, whatever fails in between.
     """
     from folioscope.operators.review import latest
 
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
-    fs = old.getFileSystem(conf)
-    rows = spark.read.schema(new.schema).parquet(path).unionByName(new) if fs.exists(old) else new
-    latest(rows, keys, at).select(*new.columns).write.mode("overwrite").parquet(str(fresh))
-    fs.delete(old, True)
-    if not fs.rename(fresh, old):
-        raise OSError(f"could not put {fresh} in place of {old}")
-    return spark.read.schema(new.schema).parquet(path)
+    rows = read_version(spark, path, new.schema).unionByName(new)
+    write_version(latest(rows, keys, at).select(*new.columns), path)
+    return read_version(spark, path, new.schema)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):

@@ -101,15 +101,6 @@ def test_duplicate_runs(spark):
     assert sorted((r.id, r.owner) for r in again) == [(2, 1), (3, 2)]
 
 
-def test_external_matches(spark):
-    from folioscope.operators import spans
-
-    reports = spark.createDataFrame([(1, "the deeds are by the intentions of men"), (2, "too short"), (3, "quite another text about nothing")], "id int, key string")
-    entries = spark.createDataFrame([(10, "deeds are by intentions", "deeds are by the intentions of men"), (11, "deeds are by the intentions", "something else altogether here"), (12, "by the", "x")], "ext_id int, title_key string, text_key string")
-    got = reference.match_external(reports, entries, spans.partial_ratio, spans.token_set_ratio).collect()
-    assert [(r.id, r.ext_id) for r in got] == [(1, 10)]
-
-
 def test_uncovered_lines(spark):
     key = "كتاب الصبر والشكر"
     df = spark.createDataFrame([("p", 60.0, 1, key, 20.0), ("p", 40.0, 1, key, 20.0), ("p", 60.0, 1, "كتاب الصبر", 20.0), ("p", 60.0, 2, "كتاب الصبر", 20.0), ("p", 60.0, 1, key, 90.0), ("p", 60.0, 1, "كتاب الصبر abcdefghi", 1.0)], "page string, conf double, n_segments int, key string, s double")

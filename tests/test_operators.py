@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import chunking, gates, metrics, relational, retrieval, review, spans, structure
+from folioscope.operators import chunking, fuzzy, gates, metrics, relational, retrieval, review, spans, structure
 
 
 def rows(df, *order):
@@ -60,7 +60,7 @@ def test_verification(spark):
 
 def test_ratios(spark):
     df = spark.createDataFrame([("needle", "hay needle hay"), ("abc", "xyz"), ("b a", "a b c")], "a string, b string")
-    out = df.select(spans.partial_ratio(F.col("a"), F.col("b")).alias("p"), spans.token_set_ratio(F.col("a"), F.col("b")).alias("t")).collect()
+    out = df.select(fuzzy.partial_ratio(F.col("a"), F.col("b")).alias("p"), fuzzy.token_set_ratio(F.col("a"), F.col("b")).alias("t")).collect()
     assert out[0].p == 100 and out[1].p == 0 and out[2].t == 100
 
 
