@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
+from folioscope.sources.store import scratch
 
 
 def link_notes(anchors: DataFrame, notes: DataFrame) -> DataFrame:
@@ -53,35 +53,39 @@ def repeated_shingles(texts: DataFrame, scope: str, n: int = LIMITS.shingle_word
     """
     last = F.size("words") - n
     grams = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
-    hashes = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2")))
+    hashes = F.array_distinct(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2"))))
     rows = texts.where(last >= 0).select(F.col(scope).alias("scope"), "id", F.explode(hashes).alias("g")).select("scope", "id", "g.h", "g.h2")
-    # A window over the owners' rows would put a run's texts in one task; min and join don't.
+    rows = scratch(rows, "shingles")
     own = rows.groupBy("scope", "h", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").drop("top")
-    return rows.join(own, ["scope", "h", "h2"]).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
+    return rows.join(scratch(own, "owners"), ["scope", "h", "h2"]).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
 
 
 def duplicate_runs(blocks: DataFrame, n: int = LIMITS.shingle_words) -> DataFrame:
-    """(page, id, owner): the first run of n words of a block that an earlier block of its page has.
-
-    Blocks: page, pos, id, words. In reading order a block registers its runs up to
-    its first repeated one only, so this is a fold of each page; ``repeated_shingles``
-    is its superset for groups of any size.
+    """(page, id, owner): blocks whose first repeated run of n words an earlier block of the page has.
+
+    In reading order (pos, then id) a block owns its runs up to the first that
+    an earlier block owns; there it is flagged, and its later runs are nobody's. A
+    run's owner depends on where earlier blocks stop, so stops are settled in
+    rounds: all blocks at once take the stop that the round before gives, until
+    none changes; the first block of a page is right at once, and each round
+    settles at least the next one in every chain of blocks that depend on each other.
+    Only runs of two blocks or more take part, as hashes of 128 bits. Blocks: page, pos, id, words.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple, object] = {}
-        out = []
-        for b in pdf.sort_values("pos").itertuples():
-            words = list(b.words)
-            for i in range(len(words) - n + 1):
-                owner = seen.setdefault(tuple(words[i : i + n]), b.id)
-                if owner != b.id:
-                    out.append((b.page, b.id, owner))
-                    break
-        return pd.DataFrame(out, columns=["page", "id", "owner"])
-
-    kinds = dict(blocks.dtypes)
-    return blocks.select("page", "pos", "id", "words").groupBy("page").applyInPandas(run, f"page {kinds['page']}, id {kinds['id']}, owner {kinds['id']}")
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.unhex(F.md5(F.encode(F.array_join(F.slice("words", i + 1, F.lit(n)), " "), "UTF-8"))))
+    rows = blocks.where(F.size("words") >= n).select("page", F.struct("pos", "id").alias("at"), F.posexplode(runs).alias("i", "run"))
+    rows = scratch(rows.groupBy("page", "run", "at").agg(F.min("i").alias("i")), "runs")
+    shared = rows.groupBy("page", "run").agg(F.count("*").alias("blocks")).where("blocks > 1").select("page", "run")
+    rows = scratch(rows.join(shared, ["page", "run"]), "shared-runs")
+    # A block without an entry here owns all its runs.
+    stops = scratch(rows.select("page", "at", "i", F.col("at").alias("owner")).limit(0), "stops")
+    while True:
+        owners = rows.join(stops.select("page", "at", F.col("i").alias("stop")), ["page", "at"], "left").where("stop is null or i < stop").groupBy("page", "run").agg(F.min("at").alias("owner"))
+        found = rows.join(owners, ["page", "run"]).where("owner < at").groupBy("page", "at").agg(F.min(F.struct("i", "owner")).alias("x")).select("page", "at", "x.i", "x.owner")
+        found = scratch(found, "stops")
+        same = found.join(stops, ["page", "at", "i", "owner"]).count()
+        if same == found.count() == stops.count():
+            return found.select("page", F.col("at.id").alias("id"), F.col("owner.id").alias("owner"))
+        stops = found
 
 
 def islands(df: DataFrame, by: list[str], order: str, starts: Column) -> DataFrame:

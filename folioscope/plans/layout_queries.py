@@ -239,11 +239,22 @@ def corrected(spark, d):
     return structure.overlay(table(spark, d, "documents").select("doc_id", "lang"), c, ["doc_id"], "lang")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT source || '|' || lang AS page, doc_id, {words_sql()} AS w FROM documents),
+r AS (SELECT page, doc_id, i, array_to_string(w[i + 1 : i + 12], ' ') AS run FROM (SELECT page, doc_id, w, unnest(range(0, len(w) - 11)) AS i FROM w WHERE len(w) >= 12)),
+f AS (SELECT page, doc_id, run, min(i) AS i FROM r GROUP BY ALL),
+o AS MATERIALIZED (SELECT page, doc_id, run, i FROM (SELECT *, count(*) OVER (PARTITION BY page, run) AS n FROM f) WHERE n > 1),
+s AS (
+  SELECT 0 AS k, page, doc_id, 1000000000 AS stop, NULL::BIGINT AS owner FROM (SELECT DISTINCT page, doc_id FROM o)
+  UNION ALL
+  SELECT k + 1, page, doc_id, coalesce(min(i) FILTER (first < doc_id), 1000000000), arg_min(first, i) FILTER (first < doc_id)
+  FROM (SELECT s.k, o.page, o.doc_id, o.i, min(CASE WHEN o.i < s.stop THEN o.doc_id END) OVER (PARTITION BY o.page, o.run) AS first FROM s JOIN o ON o.page = s.page AND o.doc_id = s.doc_id WHERE s.k < 24) GROUP BY k, page, doc_id
+)
+SELECT page, doc_id AS id, owner FROM s WHERE k = 24 AND stop < 1000000000""")
 def duplicate_runs(spark, d):
     """Documents of a source and language that repeat twelve words of an earlier one, as a reader meets them."""
     w = T.words(N.latin_key(F.col("text")))
-    rows = table(spark, d, "documents").select(F.concat_ws("|", "source", "lang").alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), w.alias("words"))
+    rows = table(spark, d, "documents").select(F.concat("source", F.lit("|"), "lang").alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), w.alias("words"))
     return structure.duplicate_runs(rows)
 
 

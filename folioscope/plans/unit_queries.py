@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioscope.constants import CHAPTER_WORD
 from folioscope.functions import textnorm as N
 from folioscope.functions import tokens as T
 from folioscope.operators import chunking, fuzzy, gates, reference, retrieval
@@ -58,13 +59,44 @@ def chunks(spark, d):
     return chunking.structural_chunks(b.withColumns({"attached_to": attached, "ends": T.ends_sentence(F.col("text")), "starts": (F.col("type") == "body") & (F.length("text") % 3 == 0)}))
 
 
-@query()
+#: The chunks as one walk over each book: (now, main, size, ended, chapter) after every block.
+_CHUNKED = rf"""{_BLOCKS},
+rel AS (SELECT book, pos, block_id, text, type = 'heading' AS h, type <> 'heading' AND (role = 'editor' OR type = 'editor_commentary') AS e, pos % 5 = 3 AS goes, type = 'body' AND length(text) % 3 = 0 AS starts,
+  regexp_matches(rtrim(regexp_replace(rtrim(text), '(\s*\(\s*[0-9]{{1,3}}\s*\))+\s*$', '')), '[.؟!»:؛*]$') AS ends, row_number() OVER (PARTITION BY book ORDER BY pos) AS i
+  FROM bk WHERE type NOT IN ('page_header', 'page_number', 'footnote') AND pos % 13 <> 8),
+walk AS (
+  SELECT book, 0::BIGINT AS i, 'none' AS now, -1::BIGINT AS main, -1::BIGINT AS cur, 0::BIGINT AS made, 0::BIGINT AS size, false AS ended, NULL::VARCHAR AS chapter, NULL::VARCHAR AS mchapter, NULL::VARCHAR AS cchapter FROM (SELECT DISTINCT book FROM rel)
+  UNION ALL
+  SELECT book, i, CASE WHEN h THEN 'none' WHEN e THEN 'editor' ELSE 'main' END, CASE WHEN NOT h AND NOT e AND fresh THEN made ELSE main END, CASE WHEN h THEN -1 WHEN fresh THEN made WHEN e THEN cur ELSE main END, CASE WHEN fresh THEN made + 1 ELSE made END,
+    CASE WHEN h OR e THEN size WHEN fresh THEN length(text) ELSE size + length(text) END, CASE WHEN h OR e THEN ended ELSE ends END, chap, CASE WHEN NOT h AND NOT e AND fresh THEN chap ELSE mchapter END, CASE WHEN h THEN NULL WHEN fresh THEN chap WHEN e THEN cchapter ELSE mchapter END
+  FROM (
+    SELECT w.*, r.h, r.e, r.text, r.ends, r.i AS next_i,
+      CASE WHEN r.h AND (contains(r.text, '{CHAPTER_WORD}') OR coalesce(chapter, '') = '') THEN trim(regexp_replace(r.text, '\s+', ' ', 'g')) ELSE chapter END AS chap,
+      CASE WHEN r.h THEN false WHEN r.e THEN now <> 'editor' WHEN now = 'editor' AND r.goes AND NOT r.starts AND main >= 0 THEN false
+           ELSE now <> 'main' OR (r.starts AND NOT r.goes) OR (size > 2200 AND ended AND NOT r.goes) END AS fresh
+    FROM walk w JOIN rel r ON r.book = w.book AND r.i = w.i + 1
+  ) AS t(book, j, now, main, cur, made, size, ended, chapter, mchapter, cchapter, h, e, text, ends, i, chap, fresh)
+),
+ch AS (SELECT r.book, r.block_id, r.pos, r.text, w.cur AS chunk, CASE WHEN r.e THEN 'editor_commentary' ELSE 'matn' END AS kind, w.cchapter AS chapter, CASE WHEN r.e AND w.main >= 0 THEN w.main END AS commentary_on
+  FROM rel r JOIN walk w ON w.book = r.book AND w.i = r.i WHERE NOT r.h)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT book, block_id, chunk, kind, chapter, commentary_on FROM ch")
 def structural_chunks(spark, d):
     """Chunks of a book that follow its structure."""
     return chunks(spark, d)
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_CHUNKED},
+fe AS (SELECT book, chunk, min(pos) AS pos, min(commentary_on) AS before FROM ch WHERE kind = 'editor_commentary' GROUP BY 1, 2),
+ln AS (SELECT b.book, b.page_id, b.pos, book || '-' || (pos - 2) AS anchor FROM bk b WHERE type = 'footnote'),
+st AS (SELECT book, page_id, pos FROM bk WHERE NOT (type IN ('footnote', 'page_number', 'page_header', 'poetry') OR role = 'editor')),
+nr AS (SELECT fe.book, fe.chunk, fe.before, arg_max(ln.anchor, ln.pos) AS anchor FROM fe JOIN bk p ON p.book = fe.book AND p.pos = fe.pos
+  LEFT JOIN ln ON ln.book = fe.book AND ln.page_id = p.page_id AND ln.pos < fe.pos AND NOT EXISTS (SELECT 1 FROM st WHERE st.book = fe.book AND st.page_id = p.page_id AND st.pos > ln.pos AND st.pos < fe.pos) GROUP BY 1, 2, 3),
+tg AS (SELECT nr.book, nr.chunk, coalesce(m.chunk, nr.before) AS target FROM nr LEFT JOIN ch m ON m.book = nr.book AND m.block_id = nr.anchor AND m.kind = 'matn'),
+hd AS (SELECT book, chunk, arg_min(text, pos) AS head FROM ch WHERE kind = 'matn' GROUP BY 1, 2)
+SELECT tg.book, tg.chunk, tg.target, array_to_string(list_filter(regexp_split_to_array(head, '\s+'), lambda x: x <> '')[1:14], ' ') AS about FROM tg LEFT JOIN hd ON hd.book = tg.book AND hd.chunk = tg.target""")
 def commentary(spark, d):
     """What the editor's chunks comment on."""
     b = blocks(spark, d)
@@ -85,16 +117,20 @@ def _four(spark, d):
 
 
 @query(rf"""
-WITH {_CHUNKS}, n AS (SELECT anchor, string_agg(text, ' ' ORDER BY note_id) AS notes, count(*) AS k FROM nt GROUP BY 1)
-SELECT book, CAST(chunk AS BIGINT) AS chunk, md5(string_agg(ck.text, chr(10) ORDER BY pos)) AS digest, string_agg(ck.block_id, ',' ORDER BY pos) AS block_ids, CAST(count(DISTINCT page_id) AS BIGINT) AS n_pages, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_notes, coalesce(string_agg(n.notes, ' ' ORDER BY pos), '') AS notes,
-  CAST(len(list_filter(regexp_split_to_array(string_agg(ck.text, chr(10) ORDER BY pos), '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, min(conf) AS confidence, 'the book › part' AS crumbs
-FROM ck LEFT JOIN n ON n.anchor = ck.block_id GROUP BY book, chunk""")
+WITH RECURSIVE {_CHUNKED}, nt AS (SELECT book || '-' || (pos - 2) AS anchor, block_id AS note_id, text FROM bk WHERE type = 'footnote'),
+n AS (SELECT anchor, string_agg(text, ' ' ORDER BY note_id) AS notes, count(*) AS k FROM nt GROUP BY 1),
+x AS (SELECT ch.*, bk.page_id, bk.conf, n.notes, n.k, CASE WHEN ch.pos % 3 = 1 THEN 'u' || ch.pos END AS unit FROM ch JOIN bk USING (block_id) LEFT JOIN n ON n.anchor = ch.block_id)
+SELECT book, chunk, kind, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest, string_agg(block_id, ',' ORDER BY pos) AS block_ids, CAST(count(DISTINCT page_id) AS BIGINT) AS n_pages, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_notes, coalesce(string_agg(notes, ' ' ORDER BY pos), '') AS notes,
+  CAST(len(list_filter(regexp_split_to_array(string_agg(text, chr(10) ORDER BY pos), '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, min(conf) AS confidence, CASE WHEN coalesce(chapter, '') = '' THEN 'the book' ELSE 'the book › ' || chapter END AS crumbs,
+  coalesce(array_to_string(list_sort(list_distinct(list(unit) FILTER (unit IS NOT NULL))), ','), '') AS unit_ids
+FROM x GROUP BY book, chunk, kind, chapter""")
 def chunk_texts(spark, d):
-    """Chunks with their texts, notes, pages and least confidence."""
-    b, c, notes = _four(spark, d)
-    units = b.limit(0).select("block_id", F.lit("").alias("unit_id"))
-    rows = chunking.materialise(c, b, notes, units, "the book")
-    return rows.select("book", F.col("chunk").cast("long").alias("chunk"), F.md5(F.col("text").cast("binary")).alias("digest"), F.array_join("block_ids", ",").alias("block_ids"), F.size("pages").cast("long").alias("n_pages"), F.size("note_ids").cast("long").alias("n_notes"), "notes", F.col("n_words").cast("long").alias("n_words"), "confidence", F.array_join("crumbs", " › ").alias("crumbs"))
+    """Structure-following chunks with their texts, notes, pages, units and least confidence."""
+    b = blocks(spark, d)
+    notes = b.where("type = 'footnote'").select(F.concat(F.col("book").cast("string"), F.lit("-"), (F.col("pos") - 2).cast("string")).alias("anchor"), F.col("block_id").alias("note_id"), "text")
+    units = b.where("pos % 3 = 1").select("block_id", F.concat(F.lit("u"), F.col("pos").cast("string")).alias("unit_id"))
+    rows = chunking.materialise(chunks(spark, d), b, notes, units, "the book")
+    return rows.select("book", "chunk", "kind", F.md5(F.col("text").cast("binary")).alias("digest"), F.array_join("block_ids", ",").alias("block_ids"), F.size("pages").cast("long").alias("n_pages"), F.size("note_ids").cast("long").alias("n_notes"), "notes", F.col("n_words").cast("long").alias("n_words"), "confidence", F.array_join("crumbs", " › ").alias("crumbs"), F.array_join("unit_ids", ",").alias("unit_ids"))
 
 
 @query(f"""
