@@ -39,6 +39,8 @@ FANOUT = 8
 #: Leaves of a top node, and shingles of a family, that one task takes.
 NODE_LEAVES = 8192
 FAMILY_SHINGLES = 4_000_000
+#: Words of bitmaps that are compared at once (8 MB a side).
+BIT_WORDS = 1 << 20
 #: Leaves that are compared with all others of a task before the traversal.
 STARS = 3
 #: Members up to which equal nodes of one partition are recognised as equal.
@@ -296,7 +298,7 @@ def surviving_pairs(a: Tree, b: Tree, num: int, den: int, same: bool, label_a=No
             keep &= (label_a[la][x] != label_b[lb][y]) | (label_a[la][x] < 0)
         x, y, need, over = x[keep], y[keep], need[keep], over[keep]
         if len(x):
-            step = max(1, 4_000_000 // abits.shape[1])
+            step = max(1, BIT_WORDS // abits.shape[1])
             common = np.concatenate([np.bitwise_count(abits[x[i : i + step]] & bbits[y[i : i + step]]).sum(axis=1).astype(np.int64) for i in range(0, len(x), step)])
             over = np.minimum(over, common + np.minimum(aextra[x], bextra[y]))
             keep = over >= need

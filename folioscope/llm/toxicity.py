@@ -26,6 +26,8 @@ SAMPLE = 12_000
 FOLDS = 3
 #: Words that one model weighs, at most, and documents a word must be in.
 WORDS, LEAST_DOCS = 400, 5
+#: Rows whose features a task holds at once.
+ROWS = 512
 #: Words that the models may use at most.
 VOCABULARY = 1 << 21
 #: Lengths of the stems that count as features beside whole words.
@@ -187,7 +189,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
 
     def run(batches):
         memo = Memo(word_features)
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, max(b.num_rows, 1), ROWS)):
             texts = b.column(len(names) + 1).to_pylist()
             h = [hashed(t, memo).tobytes() for t in texts]
             f = [np.array(form_of(t)).tobytes() for t in texts]
@@ -235,7 +237,7 @@ def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
 
     def run(batches):
         memo = Memo(word_features)
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, max(b.num_rows, 1), ROWS)):
             at = b.schema.get_field_index(text_col) if keep else 1
             texts = b.column(at).to_pylist()
             docs = [hashed(t, memo) for t in texts]
