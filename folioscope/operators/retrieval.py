@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
+from folioscope.sources.io import read_version, write_version
 from folioscope.sources.store import scratch
 
 from .postings import Index, lexical_rows, lexical_top, phrase_top, standing, write_index  # noqa: F401  the searches' one front
@@ -140,22 +141,31 @@ def search(units: dict[str, Index], mode: str, terms: DataFrame, n: int = LIMITS
     return lexical_top(units[mode], terms, n, windows=(windows or {}).get(mode, 1)).withColumn("mode", F.lit(mode))
 
 
-def embedded(texts: DataFrame, embed, size: int = 64) -> DataFrame:
-    """(id, vec) of texts (id, text) by ``embed``, a function of a list of texts, in batches of ``size``;
-    a task asks for equal texts once."""
+def embedded(texts: DataFrame, embed, cache: str, size: int = 64) -> DataFrame:
+    """(id, vec) of texts (id, text) by ``embed``, a function of a list of texts, in batches of ``size``.
+
+    ``cache`` is a versioned table of vectors by the texts' hashes. Texts that it
+    holds are never asked for again, by any run, and of new ones each distinct
+    text is asked for once, by one task; the next version then has them too. A run
+    that fails leaves the last version. Null texts have no vector.
+    """
+    rows = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    hashed = rows.withColumn("hash", F.sha2(F.encode("text", "UTF-8"), 256))
+    known = read_version(texts.sparkSession, cache, "hash string, vec array<double>")
+    new = hashed.where("hash is not null").groupBy("hash").agg(F.first("text").alias("text")).join(known, "hash", "left_anti").select("hash", "text")
 
     def run(batches):
-        known: dict = {}
         for b in batches:
-            ids, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
-            new = [t for t in dict.fromkeys(rows) if t is not None and t not in known]
-            for i in range(0, len(new), size):
-                known.update(zip(new[i : i + size], embed(new[i : i + size]), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if t is None else [float(x) for x in known[t]] for t in rows], pa.list_(pa.float64()))], names=["id", "vec"])
-            if len(known) > 100_000:
-                known.clear()
-
-    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, vec array<double>")
+            for i in range(0, b.num_rows, size):
+                some = b.slice(i, size)
+                vectors = [[float(x) for x in v] for v in embed(some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["hash", "vec"])
+
+    found = scratch(new.mapInArrow(run, "hash string, vec array<double>"), "embedded")
+    if not found.isEmpty():
+        write_version(known.unionByName(found), cache)
+        known = read_version(texts.sparkSession, cache, "hash string, vec array<double>")
+    return hashed.join(known, "hash", "left").select("id", "vec")
 
 
 def assemble(hits: DataFrame, units: DataFrame, blocks: DataFrame) -> DataFrame:

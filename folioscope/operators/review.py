@@ -67,18 +67,51 @@ def action_counts(reviews: DataFrame, actions: tuple[str, ...] = ("approve", "ed
     return reviews.agg(F.count("*").alias("reviewed"), *[F.count_if(F.col("action") == a).alias(a) for a in actions], F.count_if(F.coalesce("note", F.lit("")) != "").alias("with_notes"))
 
 
+#: Cells of a key's range that are counted at once, and into which a cell is cut again.
+COARSE, FINE = 64, 1 << 16
+
+
+def cut_keys(rows: DataFrame, by: str, take: DataFrame, key: str, tie: str) -> DataFrame:
+    """(by, cut): the take-th smallest (key, tie) of each group, exactly.
+
+    ``take`` has by and take (from 1 to the group's size) and is small. Keys (at
+    least 0) are counted in cells, the cell of the wanted one is cut into finer
+    ones and counted again; only the rows of the last cell are ever put in order.
+    """
+    slim = rows.select(by, F.col(key).alias("k"), F.col(tie).alias("t"))
+    slim = slim.withColumn("coarse", F.floor(F.col("k") * COARSE)).withColumn("fine", F.floor((F.col("k") * COARSE - F.col("coarse")) * FINE))
+
+    def crossed(rows: DataFrame, cell: str, due: DataFrame) -> DataFrame:
+        """(by, cell, due): the cell in which a group's due-th row is, and how far in it."""
+        w = Window.partitionBy(by).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        counts = rows.groupBy(by, cell).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(w))
+        counts = counts.join(F.broadcast(due), by).where((F.col("upto") >= F.col("due")) & (F.col("upto") - F.col("n") < F.col("due")))
+        return counts.select(by, cell, (F.col("due") - F.col("upto") + F.col("n")).alias("due"))
+
+    first = crossed(slim, "coarse", take.select(by, F.col("take").alias("due")))
+    inside = slim.join(F.broadcast(first.select(by, "coarse")), [by, "coarse"])
+    second = crossed(inside, "fine", first.select(by, "due"))
+    last = inside.join(F.broadcast(second), [by, "fine"])
+    w = Window.partitionBy(by).orderBy("k", "t")
+    return last.withColumn("i", F.row_number().over(w)).where(F.col("i") == F.col("due")).select(by, F.struct("k", "t").alias("cut"))
+
+
 def sample_strata(rows: DataFrame, id_col: str, stratum: str, rates: dict[str, float], weight: Column, seed: int = 1) -> DataFrame:
     """A weighted sample without replacement of each stratum (at least one row), by exponential
-    keys -ln(u) / weight from an arithmetic hash of the id; reruns agree."""
+    keys -ln(u) / weight from an arithmetic hash of the id; reruns agree.
+
+    A stratum without a rate gives one row. No stratum is ordered: its largest
+    sampled key is found by counts (``cut_keys``). Strata are few, like their rates.
+    """
     u = (F.pmod((F.col(id_col).cast("long") + seed) * F.lit(2654435761), F.lit(1 << 32)) + 1) / F.lit(float((1 << 32) + 1))
-    keyed = rows.withColumn("_k", -F.log(u) / weight)
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
+    keyed = rows.where(F.col(stratum).isNotNull()).withColumn("_k", -F.log(u) / weight)
     rate = F.lit(0.0)
     for name, r in rates.items():
         rate = F.when(F.col(stratum) == name, F.lit(r)).otherwise(rate)
-    w = Window.partitionBy(stratum).orderBy("_k", id_col)
-    picked = keyed.join(sizes, stratum).withColumn("_r", F.row_number().over(w))
-    return picked.where(F.col("_r") <= F.greatest(F.floor(F.col("_n") * rate), F.lit(1))).drop("_k", "_n", "_r")
+    take = rows.groupBy(stratum).agg(F.count("*").alias("_n")).select(stratum, F.greatest(F.floor(F.col("_n") * rate), F.lit(1)).alias("take"))
+    cuts = cut_keys(keyed, stratum, take, "_k", id_col)
+    kept = keyed.join(F.broadcast(cuts), stratum).where(F.struct(F.col("_k").alias("k"), F.col(id_col).alias("t")) <= F.col("cut"))
+    return kept.drop("_k", "cut")
 
 
 def latest(decisions: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioscope.constants import LIMITS
 from folioscope.functions.textnorm import latin_key
@@ -44,33 +44,60 @@ def spend_by_day(events: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(F.col("w.start").cast("date").alias("day"), "spent")
 
 
-def rate_limited(events: DataFrame, limit: int = LIMITS.requests_per_hour, late: str = "1 hour") -> DataFrame:
-    """Each request with ``allowed``: at most ``limit`` accepted ones of a user in any hour.
+class SlidingHour(StatefulProcessor):
+    """A user's accepted times of the last hour, as a list state; a timer clears it when the hour is over."""
 
-    State is the user's accepted times of the last hour (at most ``limit``); it goes
-    when the watermark passes them. Requests of a batch are taken in order of time.
-    """
+    def __init__(self, limit: int, seconds: float = 3600.0):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at double")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    def _timer(self, kept: list[float], now: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if kept:
+            self.handle.registerTimer(max(int((kept[-1] + self.seconds) * 1000) + 1, now + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = [t for (t,) in self.times.get()] if self.times.exists() else []
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         allowed = []
-        for t in rows["ts"]:
-            t = t.timestamp()
-            kept = [k for k in kept if t - k <= 3600]
-            allowed.append(len(kept) < limit)
+        for t in (t.timestamp() for t in batch["ts"]):
+            kept = [k for k in kept if t - k <= self.seconds]
+            allowed.append(len(kept) < self.limit)
             if allowed[-1]:
                 kept.append(t)
-        state.update((kept,))
+        kept.sort()
+        self.times.clear()
         if kept:
-            state.setTimeoutTimestamp(max(int((kept[-1] + 3600) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user": key[0], "ts": rows["ts"], "allowed": allowed})
+            self.times.put([(t,) for t in kept])
+        self._timer(kept, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"event_id": batch["event_id"], "user": key[0], "ts": batch["ts"], "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        yield from ()
 
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(events: DataFrame, limit: int = LIMITS.requests_per_hour, late: str = "1 hour") -> DataFrame:
+    """Each request with ``allowed``: at most ``limit`` accepted ones of a user in any hour.
+
+    State is the user's accepted times of the last hour (at most ``limit``); a timer
+    clears it when the watermark passes them. Requests of a batch are taken in order
+    of time; later than the watermark, they are left out. Lists and timers need
+    the RocksDB state store, which the session gets where it has no other than the default.
+    """
+    conf = events.sparkSession.conf
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (conf.get(provider, None) or ""):
+        conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     keyed = events.withWatermark("ts", late).select("event_id", F.col("user_id").alias("user"), "ts")
-    return keyed.groupBy("user").applyInPandasWithState(run, "event_id long, user long, ts timestamp, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("user").transformWithStateInPandas(SlidingHour(limit), "event_id long, user long, ts timestamp, allowed boolean", "Append", "EventTime")
 
 
 def known_passages(texts: DataFrame, passages: DataFrame, n: int = 3) -> DataFrame:

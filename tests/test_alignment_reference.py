@@ -113,16 +113,3 @@ def test_candidate_readings(spark):
     df = spark.createDataFrame([(1, 0, [("B", "x y"), ("C", ""), ("A", "x y")]), (1, 5, [("B", "p"), ("C", "q"), ("A", None)])], "block int, first int, readings array<struct<reader:string,text:string>>")
     got = {r["first"]: [(c.text, c.readers) for c in r.candidates] for r in review.candidate_readings(df).collect()}
     assert got == {0: [("x y", ["B", "A"])], 5: [("p", ["B"]), ("q", ["C"])]}
-
-
-def test_embedding_in_batches(spark):
-    from folioscope.operators import retrieval
-
-    df = spark.createDataFrame([(k, f"t{k % 5}" if k else None) for k in range(150)], "id long, text string").coalesce(1)
-
-    def embed(texts):
-        assert len(texts) <= 3 and len(set(texts)) == len(texts)
-        return [[float(t[1:]), 1.0] for t in texts]
-
-    got = {r.id: r.vec for r in retrieval.embedded(df, embed, size=3).collect()}
-    assert got[0] is None and all(got[k] == [float(k % 5), 1.0] for k in range(1, 150))

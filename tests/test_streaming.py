@@ -34,6 +34,28 @@ def test_rate_limit(spark, folder):
     assert {(r.event_id, r.allowed) for r in got.collect()} == {(r.event_id, r.allowed) for r in want.collect()}
 
 
+def test_rate_limit_over_batches_restarts_and_late_rows(spark, tmp_path):
+    """State and timers survive a restart between batches; rows behind the watermark are left out."""
+    at = lambda m, s=0: f"2024-01-01 {8 + m // 60:02d}:{m % 60:02d}:{s:02d}"
+    batches = [
+        [(1, 1, at(0)), (2, 1, at(10)), (3, 1, at(20)), (4, 2, at(5))],
+        [(5, 1, at(60)), (6, 1, at(60, 1)), (7, 2, at(61)), (8, 2, at(62)), (9, 2, at(63))],
+        [(10, 1, at(400)), (11, 1, at(401)), (12, 1, at(402))],
+        [(13, 1, at(30)), (14, 1, at(461, 1)), (15, 2, at(403))],
+    ]
+    rows = []
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(str(tmp_path / "in"))
+        out = jobs.rate_limited(stream, limit=2, late="10 minutes")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+        rows += batch
+    got = {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    kept = spark.createDataFrame([r for r in rows if r[0] != 13], "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert got == {r.event_id: r.allowed for r in review.rate_limit(kept, limit=2).collect()}
+    assert got[3] is False and got[5] is False and got[6] is True and got[14] is True and 13 not in got
+
+
 def test_stream_static_join(spark, folder, tmp_path):
     spark.createDataFrame([(7, "x one two three four y")], "id long, text string").write.parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "t"))
