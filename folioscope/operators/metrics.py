@@ -180,3 +180,30 @@ def call_cost(events: DataFrame, prices: DataFrame) -> DataFrame:
 def unmet(rules: list[tuple[str, Column]]) -> Column:
     """Names of the rules that do not hold."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules]))
+
+
+def class_report(scores: DataFrame, questions: DataFrame, first_run) -> DataFrame:
+    """(metric, value, n): how a run answered, by class of question; a metric without rows is left out.
+
+    scores: run, qid, behaviour, passed, cites_gold (null where not asked), unmet (array), shown,
+    fabricated, book, traced; questions: qid, source, expected, required (array or null), asked_for
+    (has requirements). All is of ``first_run`` but consistent, the share of questions
+    asked in several runs that were answered alike in all of them.
+    """
+    rows = scores.join(questions, "qid")
+    own = rows.where(F.col("run") == first_run)
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    expected, passed = F.col("expected"), F.col("passed")
+    shares = {
+        "passed": (F.lit(True), passed), "answered_from_book": ((F.col("source") != "official") & (expected == "answer"), passed), "cites_gold": ((expected == "answer") & F.col("cites_gold").isNotNull(), F.col("cites_gold")),
+        "abstained": (expected == "abstain", passed), "referred": (expected == "refer", passed), "verse_corrected": (expected == "correct_verse", passed), "all_evidence": (some(F.col("required")), passed), "requirements_met": (F.col("asked_for"), ~some(F.col("unmet"))),
+    }
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    one = lambda name, hits, n: F.struct(F.lit(name).alias("metric"), (hits / F.nullif(n, F.lit(0))).alias("value"), n.cast("long").alias("n"))
+    found = [one(name, F.count_if(flag(of) & flag(c)), F.count_if(flag(of))) for name, (of, c) in shares.items()]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    found += [one("quotes_verified", total("shown") - total("fabricated"), total("shown")), one("quotes_traced", total("traced"), total("book"))]
+    report = own.agg(F.array(*found).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    runs = rows.groupBy("qid").agg(F.count_distinct("run").alias("runs"), F.count_distinct("behaviour").alias("kinds"), F.count_if(F.col("run") == first_run).alias("own")).where("runs > 1 and own > 0")
+    alike = runs.agg(F.lit("consistent").alias("metric"), (F.count_if(F.col("kinds") == 1) / F.nullif(F.count("*"), F.lit(0))).alias("value"), F.count("*").alias("n"))
+    return report.unionByName(alike).where("n > 0").select("metric", F.round("value", 6).alias("value"), "n")

@@ -134,7 +134,32 @@ def page_view(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pages (book, no, page_id) with their blocks in order and the pages before and after."""
     w = Window.partitionBy("book").orderBy("no")
     parts = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_id", "type", "text"))).alias("blocks"))
-    return pages.withColumn("before", F.lag("page_id").over(w)).withColumn("after", F.lead("page_id").over(w)).join(parts, "page_id", "left")
+    beside = lambda f, d: F.when(f("no").over(w) == F.col("no") + d, f("page_id").over(w))
+    return pages.withColumn("before", beside(F.lag, -1)).withColumn("after", beside(F.lead, 1)).join(parts, "page_id", "left")
+
+
+def full_page_view(pages: DataFrame, blocks: DataFrame, links: DataFrame, refs: DataFrame, reports: DataFrame) -> DataFrame:
+    """``page_view`` with all that a page shows: links (page_id, anchor, note_id, confidence, method),
+    refs (block_id, book, first, last, status) of its blocks, and the reports (unit_id, block_ids,
+    status, grade) that share a block with it. Each is a sorted array, empty where there is none."""
+    of = blocks.select("block_id", "page_id")
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    here = reports.select("unit_id", "status", "grade", F.explode("block_ids").alias("block_id")).join(of, "block_id").drop("block_id").distinct()
+    out = page_view(pages, blocks)
+    for part in (listed(links, "links", "anchor", "note_id", "confidence", "method"), listed(refs.join(of, "block_id"), "refs", "block_id", "book", "first", "last", "status"), listed(here, "reports", "unit_id", "status", "grade")):
+        name = part.columns[-1]
+        out = out.join(part, "page_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out
+
+
+def with_meta(books: DataFrame, meta: DataFrame) -> DataFrame:
+    """Books (book, ...) with the map of what is known about each (book, key, value; the last of equal keys by value)."""
+    one = meta.groupBy("book", "key").agg(F.max("value").alias("value"))
+    maps = one.groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("meta"))
+    return books.join(maps, "book", "left").withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
 
 
 def book_view(pages: DataFrame) -> DataFrame:
