@@ -39,6 +39,16 @@ SCHEMA = "part long, block int, doc_id long, at long, n_tokens long, ids_crc32 l
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+#: Names that Hadoop gives to stores, and Arrow's for the same ones.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def arrow_address(path: str) -> str:
+    """The address under which Arrow opens a path of the shared folder; its keys come from the task's environment."""
+    scheme, mark, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else path
+
+
 def encode_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """One file of whole documents; ids are unsigned 32-bit integers."""
     counts = np.array([len(x) for x in ids], "<u4")
@@ -107,7 +117,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int, file_ids: int = FIL
     folder = shared_path(spark, "token-files")
 
     def put(name: str, blob: bytes) -> None:
-        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files, root = pyarrow.fs.FileSystem.from_uri(arrow_address(folder))
         files.create_dir(root, recursive=True)
         own = f"{root}/.{name}.{uuid.uuid4().hex}"
         with files.open_output_stream(own) as out:

@@ -22,7 +22,7 @@ import numpy as np
 #: Chunks kept in each of the memo's two generations; bounds a worker's memory.
 MEMO_CHUNKS = 400_000
 #: Chunks that a worker between two tasks keeps in each memo: it may wait for long beside others.
-RESTING_CHUNKS = 40_000
+RESTING_CHUNKS = 150_000
 #: ASCII punctuation; apostrophes begin pre-tokens of their own kind.
 TAIL = string.punctuation.replace("'", "")
 #: Chunks longer than this are not kept.

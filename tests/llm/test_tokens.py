@@ -179,3 +179,27 @@ def test_null_ids(docs):
     assert packing.pack_documents(df, byte).count() == 3
     got = token_files.read_token_files(token_files.write_token_files(df, byte, 2)).collect()
     assert sorted(r.start for r in got) == [0, 2, 4] and max(got, key=lambda r: r.start).doc_id == 5
+
+
+def test_addresses_of_stores():
+    import pyarrow.fs
+
+    from folioscope.llm.token_files import arrow_address
+
+    assert arrow_address("s3a://bucket/x/y") == "s3://bucket/x/y" and arrow_address("file:///tmp/x") == "file:///tmp/x"
+    assert arrow_address("/tmp/x") == "/tmp/x" and arrow_address("hdfs://host/x") == "hdfs://host/x"
+    assert pyarrow.fs.FileSystem.from_uri(arrow_address("file:///tmp/x"))[1] == "/tmp/x"
+
+
+def test_a_resting_memo_gives_the_same_ids():
+    from folioscope.llm.tokens import Encoder, Memo, tokenizer_path
+
+    one = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [f"word{k} and other{k % 7} things, {k}!" for k in range(300)]
+    first = [one.raw(t) for t in texts]
+    for m in vars(one).values():
+        if isinstance(m, Memo):
+            m.rest(5)
+            assert len(m) <= 5 and not m.old
+    one.rest()
+    assert [one.raw(t) for t in texts] == first
