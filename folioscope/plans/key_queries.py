@@ -252,24 +252,24 @@ def line_parts(spark, d):
 
 
 #: Every tenth passage's second and third word are a term.
-_TERMS = f"(SELECT item_id AS pos, 'term' || item_id AS term, array_to_string(w[2:3], ' ') AS key, 'e' || item_id AS equivalent, repeat('x', CAST(item_id * 40 AS INTEGER)) AS explanation FROM (SELECT item_id, {words_sql()} AS w FROM benchmark WHERE item_id % 10 = 0) WHERE len(w) >= 3)"
+_TERMS = f"(SELECT item_id AS pos, 'term' || item_id AS term, array_to_string(w[2:3], ' ') AS key, 'e' || item_id AS equivalent, repeat('x', CAST(item_id % 50 * 40 AS INTEGER)) AS explanation FROM (SELECT item_id, {words_sql()} AS w FROM benchmark) WHERE len(w) >= 3)"
 
 
 def glossary(spark, d):
     w = T.words(N.latin_key(F.col("text")))
-    rows = table(spark, d, "benchmark").where("item_id % 10 = 0").select("item_id", w.alias("w")).where(F.size("w") >= 3)
-    return rows.select(F.col("item_id").alias("pos"), F.concat(F.lit("term"), F.col("item_id").cast("string")).alias("term"), F.array_join(F.slice("w", 2, 2), " ").alias("key"), F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("equivalent"), F.repeat(F.lit("x"), F.col("item_id") * 40).alias("explanation"))
+    rows = table(spark, d, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 3)
+    return rows.select(F.col("item_id").alias("pos"), F.concat(F.lit("term"), F.col("item_id").cast("string")).alias("term"), F.array_join(F.slice("w", 2, 2), " ").alias("key"), F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("equivalent"), F.repeat(F.lit("x"), (F.col("item_id") % 50 * 40).cast("int")).alias("explanation"))
 
 
 @query(f"""
-WITH g AS {_TERMS}, q AS (SELECT doc_id AS qid, {key_sql()} AS key FROM documents WHERE doc_id % 2 = 0 OR regexp_matches(text, '[.]')),
+WITH g AS {_TERMS}, q AS (SELECT doc_id AS qid, {key_sql()} AS key FROM documents WHERE doc_id % 3 = 0 OR regexp_matches(lower(coalesce(text, '')), 'translat|ترجم')),
 h AS (SELECT qid, pos, term, equivalent FROM q JOIN g ON contains(' ' || q.key || ' ', ' ' || g.key || ' '))
 SELECT qid, arg_min(term, pos) AS term, arg_min(equivalent, pos) AS equivalent FROM h GROUP BY 1""")
 def glossary_terms(spark, d):
     """The first term of the dictionary that a text asking for one has as whole words."""
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0 or text rlike '[.]'")
-    questions = docs.select(F.col("doc_id").alias("qid"), F.coalesce("text", F.lit("")).alias("question"), N.latin_key(F.col("text")).alias("key"))
-    return reference.glossary_request(questions, glossary(spark, d), intent="")
+    asks = F.when(F.col("doc_id") % 3 == 0, "Translate this: ").otherwise("")
+    questions = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(asks, F.coalesce("text", F.lit(""))).alias("question"), N.latin_key(F.col("text")).alias("key"))
+    return reference.glossary_request(questions, glossary(spark, d), intent="(?i)translat|ترجم")
 
 
 @query(f"""

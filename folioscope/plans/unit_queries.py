@@ -178,7 +178,7 @@ def external_matches(spark, d):
 
 
 @query(f"""
-WITH {_BLOCKS}, h AS (SELECT book AS qid, block_id AS id, pos + 1 AS rank FROM bk WHERE pos % 6 < 2 AND pos < 8),
+WITH {_BLOCKS}, h AS (SELECT book AS qid, block_id AS id, pos + 1 AS rank FROM bk WHERE pos % 6 < 2),
 t AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank FROM h),
 o AS (SELECT * FROM (VALUES (0, -1), (1, 1), (2, -2), (3, 2)) v(i, dd)),
 n AS (SELECT t.qid, v.block_id AS id, min(t.rank * 10 + o.i) AS k FROM t JOIN bk u ON u.block_id = t.id, o JOIN bk v ON v.book = u.book AND v.type = u.type AND v.pos = u.pos + o.dd
@@ -188,7 +188,7 @@ def page_neighbours(spark, d):
     """Neighbours of a question's first two hits that share a page and a type with them."""
     b = blocks(spark, d)
     w = Window.partitionBy("book").orderBy("pos")
-    hits = b.where("pos % 6 < 2 and pos < 8").select(F.col("book").alias("qid"), F.col("block_id").alias("id"), F.row_number().over(w).alias("rank"))
+    hits = b.where("pos % 6 < 2").select(F.col("book").alias("qid"), F.col("block_id").alias("id"), F.row_number().over(w).alias("rank"))
     units = b.select(F.col("block_id").alias("id"), F.col("book").alias("grp"), F.col("type").alias("kind"), "pos", F.array("page_id").alias("pages"))
     return chunking.neighbours(hits, units).withColumn("place", F.col("place").cast("long"))
 
@@ -270,10 +270,10 @@ def line_views(spark, d):
 
 
 @query("""
-SELECT p.page_id AS id, 'baseline' AS kind, left(html, 20) AS text, CAST(p.page_id % 70 AS VARCHAR) AS page_id, CASE WHEN p.page_id % 70 < 60 THEN p.page_id % 70 + 1 END AS printed FROM pages p""")
+SELECT p.page_id AS id, 'baseline' AS kind, md5(html) AS text, CAST(p.page_id % 70 AS VARCHAR) AS page_id, CASE WHEN p.page_id % 70 < 60 THEN p.page_id % 70 + 1 END AS printed FROM pages p""")
 def baseline_views(spark, d):
     """Fixed chunks with the number of the page they are on."""
-    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.left("html", F.lit(20)).alias("text"), (F.col("page_id") % 70).cast("string").alias("page_id"))
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.md5(F.encode("html", "UTF-8")).alias("text"), (F.col("page_id") % 70).cast("string").alias("page_id"))
     pages = table(spark, d, "pages").select((F.col("page_id") % 70).alias("n")).distinct().where("n < 60").select(F.col("n").cast("string").alias("page_id"), (F.col("n") + 1).alias("printed"))
     return reference.baseline_view(rows, pages)
 
