@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class WordRows:
-    """word_rows(text): a row for each word and its place."""
-
-    def eval(self, text: str | None) -> Iterator[tuple[int, str]]:
-        yield from enumerate((text or "").split())
-
-
 def register_functions(spark: SparkSession) -> None:
-    """nfkc(text) as a function on batches, word_rows(text) as a table function."""
+    """nfkc(text) as a function on batches; word_rows(text), a row for each word and its place, as a SQL table function."""
 
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
     spark.udf.register("nfkc", nfkc)
-    spark.udtf.register("word_rows", F.udtf(WordRows, returnType="pos int, word string"))
+    spark.sql(
+        r"""CREATE OR REPLACE TEMPORARY FUNCTION word_rows(text STRING) RETURNS TABLE (pos INT, word STRING)
+        RETURN SELECT p.pos, p.word FROM (SELECT posexplode(filter(split(coalesce(text, ''), r'(?U)\s+'), w -> w <> '')) AS (pos, word)) AS p"""
+    )
 
 
 def matched_by(df: DataFrame, match: Callable[[list[str]], list[str | None]], text: Column, out: str = "found") -> DataFrame:

@@ -57,14 +57,28 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+#: Groups into which a text's starts are dealt, so that one with very many is no single row.
+DEALT = 16
+
+
 def windows(starts: DataFrame, passages: DataFrame, texts: DataFrame, slack: int = 0) -> DataFrame:
-    """The text's words at each start, at lengths of the passage's +- slack, and their similarity."""
+    """The text's words at each start, at lengths of the passage's +- slack, and their similarity.
+
+    A text's starts go to the text, which is read once and gives a short cut for
+    each; no row holds a whole text for one start.
+    """
     p = passages.select(F.col("id").alias("passage_id"), F.col("words").alias("pwords"))
+    sized = starts.join(p.select("passage_id", F.size("pwords").alias("size")), "passage_id")
+    own = [c for c in starts.columns if c != "text_id"]
+    per = sized.groupBy("text_id", F.pmod(F.xxhash64("passage_id"), F.lit(DEALT)).alias("dealt")).agg(F.collect_list(F.struct(*own, "size")).alias("starts"))
     t = texts.select(F.col("id").alias("text_id"), F.col("words").alias("twords"))
-    rows = starts.join(p, "passage_id").join(t, "text_id").withColumn("from", F.greatest("start", F.lit(0)))
-    rows = rows.withColumn("n", F.explode(F.sequence(F.greatest(F.size("pwords") - slack, F.lit(1)), F.size("pwords") + slack)))
-    rows = rows.withColumn("window", F.array_join(F.slice("twords", F.col("from") + 1, F.greatest(F.col("n") + F.least("start", F.lit(0)), F.lit(1))), " "))
-    return rows.withColumn("passage", F.array_join("pwords", " ")).withColumn("similarity", F.round(similarity(F.col("passage"), F.col("window")), 6)).drop("pwords", "twords")
+    ahead = lambda x: F.least(x.start, F.lit(0))
+    cut = lambda x: F.slice("twords", (F.greatest(x.start, F.lit(0)) + 1).cast("int"), F.greatest(x["size"] + slack + ahead(x), F.lit(1)).cast("int"))
+    rows = per.join(t, "text_id").select("text_id", F.explode(F.transform("starts", lambda x: F.struct(*[x[c].alias(c) for c in own], cut(x).alias("cut")))).alias("x")).select("text_id", "x.*")
+    rows = rows.join(p, "passage_id").withColumn("n", F.explode(F.sequence(F.greatest(F.size("pwords") - slack, F.lit(1)), F.size("pwords") + slack)))
+    window = F.slice("cut", F.lit(1), F.greatest(F.col("n") + F.least("start", F.lit(0)), F.lit(1)).cast("int"))
+    rows = rows.withColumn("window", F.array_join(window, " ")).withColumn("passage", F.array_join("pwords", " "))
+    return rows.withColumn("similarity", F.round(similarity(F.col("passage"), F.col("window")), 6)).drop("pwords", "cut")
 
 
 def classify(sim: Column, ops: Column | None = None) -> Column:
@@ -80,11 +94,19 @@ _WORDS = T.ArrayType(T.StringType())
 _DIFF = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("printed", _WORDS), T.StructField("reference", _WORDS), T.StructField("at", T.IntegerType())]))
 
 
-@F.udf(_DIFF, useArrow=True)
-def word_diff(printed, reference):
+def word_diff(printed: Column, reference: Column) -> Column:
     """Differences of two word arrays, without equal runs."""
-    match = difflib.SequenceMatcher(None, list(printed), list(reference), autojunk=False)
-    return [{"op": tag, "printed": list(printed[a:b]), "reference": list(reference[c:d]), "at": a} for tag, a, b, c, d in match.get_opcodes() if tag != "equal"]
+
+    @F.pandas_udf(_DIFF)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            x, y = list(x), list(y)
+            match = difflib.SequenceMatcher(None, x, y, autojunk=False)
+            return [{"op": tag, "printed": x[i:j], "reference": y[k:m], "at": i} for tag, i, j, k, m in match.get_opcodes() if tag != "equal"]
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(printed, reference)
 
 
 def runs(texts: DataFrame, passages: DataFrame, n: int = 3, least: int = LIMITS.least_run) -> DataFrame:
