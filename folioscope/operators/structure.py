@@ -51,10 +51,10 @@ def repeated_shingles(texts: DataFrame, scope: str, n: int = LIMITS.shingle_word
     hashes; partial aggregation finds the runs with several owners, and only their
     other ids come back.
     """
-    last = F.size("words") - n
-    grams = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
-    hashes = F.array_distinct(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2"))))
-    rows = texts.where(last >= 0).select(F.col(scope).alias("scope"), "id", F.explode(hashes).alias("g")).select("scope", "id", "g.h", "g.h2")
+    # A run is the hash of its words' hashes: no run is ever put together as a text.
+    hashed = texts.where(F.size("words") >= n).select(F.col(scope).alias("scope"), "id", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, F.lit(n)))
+    rows = hashed.select("scope", "id", F.explode(F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h"), F.hash(r).alias("h2")))).alias("g")).select("scope", "id", "g.h", "g.h2")
     rows = scratch(rows, "shingles")
     own = rows.groupBy("scope", "h", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").drop("top")
     return rows.join(scratch(own, "owners"), ["scope", "h", "h2"]).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
