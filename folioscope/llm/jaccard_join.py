@@ -50,6 +50,8 @@ SIZE_BITS, SIZE_STEP = 10, 0.0204
 #: Cells of the table of shingle counts, and cells in one stored row of it.
 CELLS, CHUNK = 1 << 22, 1 << 16
 _CELL_SHIFT = np.uint64(64 - 22)
+#: Texts that a counting task holds as strings at once.
+TEXTS = 512
 #: Bits for each wanted set in the filter that tells their texts apart, and its least and largest size (8 KiB, 32 MiB).
 BITS_PER_SET, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
@@ -150,22 +152,16 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
     shingles in the cell, over all documents. 4 MiB, whatever the input."""
 
     def count(batches):
-        total, waiting, n = np.zeros(CELLS, np.uint32), [], 0
+        total, one = np.zeros(CELLS, np.uint32), np.uint32(1)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, words)
-                waiting.append((s >> _CELL_SHIFT).astype(np.int64))
-                n += len(s)
-                if n > CELLS // 4:
-                    total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
-                    waiting, n = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
+            for i in range(0, b.num_rows, TEXTS):
+                for t in b.column(0).slice(i, TEXTS).to_pylist():
+                    np.add.at(total, (shingle_set(t, words) >> _CELL_SHIFT).astype(np.int64), one)
         for k in range(CELLS // CHUNK):
             cells = total[k * CHUNK : (k + 1) * CHUNK]
             if cells.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
-        del total, waiting
+        del total
         give_back()
 
     def add(batches):
