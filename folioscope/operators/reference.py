@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.constants import LIMITS
-from folioscope.functions import textnorm as N
 
 from .gates import padded
 from .retrieval import fuse, ranked
@@ -93,14 +92,6 @@ def term_entries(texts: DataFrame, glossary: DataFrame, limit: int = 3, chars: i
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("id", "place", "term", "explanation")
 
 
-def external_matches(pairs: DataFrame, score: Column, confirm: Column, least: float = 80.0, sure: float = 70.0, most: int = 3) -> DataFrame:
-    """Of pairs (id, title_key, ext_id, ext_key) those whose titles match; keys must be long enough;
-    the best ones by (score, ext_id), confirmed by the whole text."""
-    rows = pairs.where((F.length("title_key") >= 15) & (F.length("ext_key") >= 10)).withColumn("score", score).where(F.col("score") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("ext_id"))
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("confirmed", confirm >= sure)
-
-
 def grading(printed: Column, external: Column, external_state: Column, manual: Column, manual_url: Column) -> tuple[Column, Column]:
     """(status, grade): printed before external (automatic or confirmed, unless rejected), before a
     pending external one, before a manual entry with grade and source; else unverified."""
