@@ -213,7 +213,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], m
             kept = [p[known[p] == d].astype("<i4").tobytes() if len(known) else b"" for p, d in zip(places, docs, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(kept, pa.binary()), b.column(k + 1)], names=b.schema.names)
 
-    return sorted(rows.mapInArrow(cut, schema).collect(), key=lambda r: (r.doc_id, bytes(r.words))), known
+    # Partition by partition: all at once, the driver's JVM would hold the sample several times.
+    return sorted(rows.mapInArrow(cut, schema).toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.words))), known
 
 
 def fit_chain(documents: DataFrame, labels: DataFrame, names: list[str], most: int = SAMPLE) -> Chain:
@@ -221,7 +222,10 @@ def fit_chain(documents: DataFrame, labels: DataFrame, names: list[str], most: i
     docs = [np.frombuffer(r.words, "<i4") for r in rows]
     form = np.array([np.frombuffer(bytes(r.form), np.float64) for r in rows]).reshape(len(rows), FORM)
     marks = {c: np.array([np.nan if r[c] is None else float(r[c]) for r in rows]) for c in names}
-    return Chain.fit(np.array([r.doc_id for r in rows], np.int64), docs, form, marks, vocabulary)
+    chain = Chain.fit(np.array([r.doc_id for r in rows], np.int64), docs, form, marks, vocabulary)
+    del rows, docs
+    give_back()
+    return chain
 
 
 def classify(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, out: str = "verdicts") -> DataFrame:

@@ -61,3 +61,16 @@ def test_a_repeated_id_counts_once(spark):
     assert len(rows) == 10
     again, _ = X.labelled_sample(docs.repartition(5), labels, list(X.CATEGORIES))
     assert [r.doc_id for r in again] == list(range(1, 40)) and len({bytes(r.words) for r in again if r.doc_id == 1}) == 1
+
+
+def test_the_sample_is_never_collected_at_once(spark, monkeypatch):
+    """The driver's JVM holds one partition of the sample, not all of it several times."""
+    docs = spark.createDataFrame([(k, f"some words here w{chr(97 + k % 7)}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 // 2) for k in range(40)], "doc_id long, low_quality int, toxic int")
+
+    def refuse(self):
+        raise AssertionError("the whole sample at once")
+
+    monkeypatch.setattr(type(docs), "collect", refuse)
+    rows, _ = X.labelled_sample(docs, labels, list(X.CATEGORIES))
+    assert [r.doc_id for r in rows] == list(range(40))
