@@ -48,16 +48,15 @@ def repeated_shingles(texts: DataFrame, scope: str, n: int = LIMITS.shingle_word
     """(scope, id, owner): texts with an n-word run that an earlier text of the scope has.
 
     The owner of a run is the smallest id with it. A text sends its runs as two
-    hashes; partial aggregation finds the runs with several owners, and only their
-    other ids come back.
+    hashes, once: sorted by run and id, each row sees the least id so far, and
+    the first row of a run that has a smaller one before it tells its owner.
     """
     # A run is the hash of its words' hashes: no run is ever put together as a text.
-    hashed = texts.where(F.size("words") >= n).select(F.col(scope).alias("scope"), "id", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    hashed = texts.where((F.size("words") >= n) & F.col(scope).isNotNull()).select(F.col(scope).alias("scope"), "id", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, F.lit(n)))
     rows = hashed.select("scope", "id", F.explode(F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h"), F.hash(r).alias("h2")))).alias("g")).select("scope", "id", "g.h", "g.h2")
-    rows = scratch(rows, "shingles")
-    own = rows.groupBy("scope", "h", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").drop("top")
-    return rows.join(scratch(own, "owners"), ["scope", "h", "h2"]).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
+    so_far = Window.partitionBy("scope", "h", "h2").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("owner", F.min("id").over(so_far)).where("owner < id").groupBy("scope", "id").agg(F.min("owner").alias("owner"))
 
 
 def duplicate_runs(blocks: DataFrame, n: int = LIMITS.shingle_words) -> DataFrame:

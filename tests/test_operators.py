@@ -193,3 +193,14 @@ def test_asof_and_range_join(spark):
     rng = spark.createDataFrame([(0.0, 5.0), (5.0, 9.9)], "lo double, hi double")
     got = relational.range_join(pts, rng, F.col("x"), F.col("lo"), F.col("hi"), 3.0)
     assert rows(got, "x") == [(1.0, 0.0, 5.0), (5.0, 5.0, 9.9)]
+
+
+def test_shingles_are_moved_once(spark, monkeypatch):
+    """No table of all runs is written and joined with itself; null scopes and ids share nothing."""
+    data = [("s", 1, "a b c d"), ("s", 2, "x a b c"), ("s", 3, "x a b"), ("t", 4, "a b c"), (None, 5, "a b c"), (None, 6, "a b c"), ("s", None, "a b c")]
+    df = spark.createDataFrame(data, "scope string, id long, t string").selectExpr("scope", "id", "split(t, ' ') words")
+    monkeypatch.delattr("folioscope.operators.structure.scratch")
+    found = structure.repeated_shingles(df, "scope", n=3)
+    assert rows(found, "id") == [("s", 2, 1), ("s", 3, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
