@@ -64,27 +64,48 @@ def duplicate_runs(blocks: DataFrame, n: int = LIMITS.shingle_words) -> DataFram
 
     In reading order (pos, then id) a block owns its runs up to the first that
     an earlier block owns; there it is flagged, and its later runs are nobody's. A
-    run's owner depends on where earlier blocks stop, so stops are settled in
-    rounds: all blocks at once take the stop that the round before gives, until
-    none changes; the first block of a page is right at once, and each round
+    run's owner depends on where earlier blocks stop. If all owned all their runs, each
+    would stop at the first run that another has first, so it stops there or later.
+    A run's first block that comes to it before that stop owns it for good, and
+    every other block of it stops there or earlier. What is left, runs without such
+    an owner up to those stops, is settled in rounds: all blocks at once take the
+    stop that the round before gives, until none changes; each round
     settles at least the next one in every chain of blocks that depend on each other.
-    Only runs of two blocks or more take part, as hashes of 128 bits. Blocks: page, pos, id, words.
+    Only runs of two blocks or more take part, as hashes of 128 bits; all runs are
+    moved once. Blocks: page, pos, id, words.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.unhex(F.md5(F.encode(F.array_join(F.slice("words", i + 1, F.lit(n)), " "), "UTF-8"))))
-    rows = blocks.where(F.size("words") >= n).select("page", F.struct("pos", "id").alias("at"), F.posexplode(runs).alias("i", "run"))
-    rows = scratch(rows.groupBy("page", "run", "at").agg(F.min("i").alias("i")), "runs")
-    shared = rows.groupBy("page", "run").agg(F.count("*").alias("blocks")).where("blocks > 1").select("page", "run")
-    rows = scratch(rows.join(shared, ["page", "run"]), "shared-runs")
+    hashes = [F.transform("words", lambda w: F.xxhash64(w)).alias("w"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("v")]
+    rows = blocks.where((F.size("words") >= n) & F.col("page").isNotNull()).select("page", F.struct("pos", "id").alias("at"), *hashes)
+    run = lambda c, i: F.xxhash64(F.slice(c, i + 1, F.lit(n)))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(run("w", i).alias("h"), run("v", i).alias("h2")))
+    rows = rows.select("page", "at", F.posexplode(runs).alias("i", "run")).select("page", "at", "i", "run.h", "run.h2")
+    w = Window.partitionBy("page", "h", "h2").orderBy("at", "i")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.select("*", F.lag("at").over(w).alias("prev"), F.lead("at").over(w).alias("next"), F.first("at").over(so_far).alias("first"), F.first("i").over(so_far).alias("first_i"))
+    # A block's first place of a run; the first block's stands for it at its last place, where the next block is seen.
+    later = (F.col("first") != F.col("at")) & (F.col("prev") != F.col("at"))
+    owner = (F.col("first") == F.col("at")) & F.coalesce(F.col("next") != F.col("at"), F.lit(False))
+    rows = seen.where(later | owner).select("page", "h", "h2", "at", F.when(owner, F.col("first_i")).otherwise(F.col("i")).alias("i"), "first", "first_i")
+    rows = scratch(rows, "shared-runs")
+    least = lambda r, to: r.groupBy("page", "at").agg(F.min(F.struct("i", F.col(to).alias("owner"))).alias("x")).select("page", "at", "x.i", "x.owner")
+    low = scratch(least(rows.where("first != at"), "first"), "least-stops")
+    open_ = low.select("page", F.col("at").alias("first"), F.col("i").alias("stop"))
+    told = rows.join(open_, ["page", "first"], "left").withColumn("sure", F.coalesce(F.col("first_i") < F.col("stop"), F.lit(True)))
+    told = scratch(told.select("page", "h", "h2", "at", "i", "first", "sure"), "told-runs")
+    sure = scratch(least(told.where("sure and first != at"), "first"), "sure-stops")
+    rows = told.where("not sure").join(sure.select("page", "at", F.col("i").alias("most")), ["page", "at"], "left").where("most is null or i < most")
+    rows = scratch(rows.select("page", "h", "h2", "at", "i"), "open-runs")
     # A block without an entry here owns all its runs.
-    stops = scratch(rows.select("page", "at", "i", F.col("at").alias("owner")).limit(0), "stops")
-    while True:
-        owners = rows.join(stops.select("page", "at", F.col("i").alias("stop")), ["page", "at"], "left").where("stop is null or i < stop").groupBy("page", "run").agg(F.min("at").alias("owner"))
-        found = rows.join(owners, ["page", "run"]).where("owner < at").groupBy("page", "at").agg(F.min(F.struct("i", "owner")).alias("x")).select("page", "at", "x.i", "x.owner")
+    stops = sure
+    while not rows.isEmpty():
+        owners = rows.join(stops.select("page", "at", F.col("i").alias("stop")), ["page", "at"], "left").where("stop is null or i < stop").groupBy("page", "h", "h2").agg(F.min("at").alias("owner"))
+        found = least(rows.join(owners, ["page", "h", "h2"]).where("owner < at").select("page", "at", "i", "owner").unionByName(sure), "owner")
         found = scratch(found, "stops")
         same = found.join(stops, ["page", "at", "i", "owner"]).count()
         if same == found.count() == stops.count():
-            return found.select("page", F.col("at.id").alias("id"), F.col("owner.id").alias("owner"))
+            break
         stops = found
+    return stops.select("page", F.col("at.id").alias("id"), F.col("owner.id").alias("owner"))
 
 
 def islands(df: DataFrame, by: list[str], order: str, starts: Column) -> DataFrame:

@@ -100,3 +100,20 @@ def test_duplicates_are_those_of_a_fold(spark, seed):
     df = spark.createDataFrame(rows, "page string, pos int, id int, words array<string>")
     assert sorted(map(tuple, structure.duplicate_runs(df, n=3).collect())) == sorted(want) and want
     assert structure.duplicate_runs(df.where("false"), n=3).count() == 0
+
+
+def test_copies_need_no_rounds(spark, monkeypatch):
+    """All runs are moved once, only shared ones are written, and copies are settled before any round."""
+    written = {}
+
+    def noted(df, label):
+        df = df.cache()
+        written[label] = df.count()
+        return df
+
+    monkeypatch.setattr(structure, "scratch", noted)
+    text = [f"w{k}" for k in range(30)]
+    rows = [("p", k, k, text[:10] + ([f"own{k}"] if k % 3 else []) + text[10:]) for k in range(20)] + [("p", 90 + k, 90 + k, [f"single{k}.{j}" for j in range(50)]) for k in range(20)]
+    df = spark.createDataFrame(rows, "page string, pos int, id int, words array<string>")
+    assert sorted(map(tuple, structure.duplicate_runs(df, n=3).collect())) == [("p", k, 0) for k in range(1, 20)]
+    assert max(written.values()) <= 20 * 28 and written["open-runs"] == 0 and "stops" not in written
