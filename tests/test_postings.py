@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,14 @@ def test_vectors_of_two_lengths_and_nulls(spark):
     v = spark.createDataFrame(rows, "id long, vec array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (7, None)], "qid long, qvec array<double>")
     assert sorted((r.qid, r["rank"], r.id, r.score) for r in retrieval.dense_top(q, v, 3).collect()) == [(1, 1, 2, 5.0), (3, 1, 5, 3.0)]
+
+
+def test_numbers_take_as_many_bytes_as_they_need():
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 6, 40)
+    cut = np.cumsum(n) - n
+    parts = np.concatenate([rng.integers(0, high, k) for k, high in zip(n, np.resize([2, 256, 257, 65536, 65537, 2**32], 40), strict=True)]).astype(np.int64)
+    column = postings._narrow(parts, cut)
+    assert postings._widened(column, n).tolist() == parts.tolist()
+    assert [len(c) for c in column.to_pylist()] == [k * (1 if top < 256 else 2 if top < 65536 else 4) for k, top in zip(n, np.maximum.reduceat(parts, cut), strict=True)]
+    assert len(postings._narrow(parts[:0], cut[:0])) == 0 and len(postings._widened(column.slice(0, 0), n[:0])) == 0
