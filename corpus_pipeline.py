@@ -13,7 +13,7 @@ from folioscope.llm.common import join_hot, stored, table, without_keys
 from folioscope.llm.jaccard_join import jaccard_classes
 from folioscope.llm.mixing import mixed_rows
 from folioscope.llm.packing import pack_documents
-from folioscope.llm.tokens import tokenizer_path
+from folioscope.llm.tokens import SHARED_CHUNKS, tokenizer_path
 from folioscope.llm.toxicity import CATEGORIES, category_labels, classify, fit_chain
 
 #: The stages train, compare, draw and cut; SQL can't express the first, third and last.
@@ -104,7 +104,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold the end id only; null and repeated ids and repeated
     rows are packed one by one; an empty table gives no rows; other columns go.
     """
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), memo=SHARED_CHUNKS)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]

@@ -112,6 +112,22 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows of an Arrow batch of whole texts; the JVM and the worker hold a batch each for every task.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Actions inside hand at most ``rows`` rows at once to Python; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

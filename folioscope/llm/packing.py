@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, stored, table
-from .tokens import encoder, tokenizer_path
+from .common import give_back, small_batches, stored, table
+from .tokens import MEMO_CHUNKS, encoder, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Upper ends of the bands, as parts of the capacity.
@@ -179,11 +179,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces_of(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_CHUNKS) -> DataFrame:
     """Pieces of all documents, tokenised once: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, memo), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for i in range(0, b.num_rows, TEXTS):
@@ -205,7 +205,8 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     columns = pieces.columns
     own = [*columns, "at"]
     # The stored rows keep their number, which is also the number of a sequence that they open.
-    numbered = stored(pieces.withColumn("at", F.monotonically_increasing_id()), "numbered-pieces")
+    with small_batches(spark):  # whole texts go to Python here
+        numbered = stored(pieces.withColumn("at", F.monotonically_increasing_id()), "numbered-pieces")
     whole = numbered.select(F.lit(_OPEN).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"), *own)
     base = whole.columns
     empty = [F.lit(None).cast(t).alias(c) for c, t in whole.dtypes if c in own]
@@ -262,14 +263,15 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_CHUNKS) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     Null and empty texts hold the end id only; null ids are kept; repeated rows
     are packed as often as they come; an empty table gives no rows. Only longer
-    documents are cut, however long. Other columns are left out.
+    documents are cut, however long. Other columns are left out. ``memo`` is how many
+    chunks of text a worker remembers in each generation.
     """
-    return pack_pieces(pieces_of(df, path, end_id, capacity, id_col, text_col), capacity)
+    return pack_pieces(pieces_of(df, path, end_id, capacity, id_col, text_col, memo), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ import numpy as np
 MEMO_CHUNKS = 400_000
 #: Chunks that a worker between two tasks keeps in each memo: it may wait for long beside others.
 RESTING_CHUNKS = 150_000
+#: Chunks in each generation where other stages' workers and a full heap share an executor's memory.
+SHARED_CHUNKS = 50_000
 #: ASCII punctuation; apostrophes begin pre-tokens of their own kind.
 TAIL = string.punctuation.replace("'", "")
 #: Chunks longer than this are not kept.
@@ -76,7 +78,7 @@ class Memo(dict):
 class Encoder:
     """ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO_CHUNKS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -93,14 +95,14 @@ class Encoder:
         self.kind = "byte" if byte else "word" if word else "whole"
         self.alphabet = byte_alphabet()
         self.translation = dict(enumerate(self.alphabet))
-        self.tails = Memo(self._library)
+        self.tails = Memo(self._library, most)
         if byte:
-            self.first = Memo(lambda w: self._word(w, w, "", w))
-            self.after = Memo(lambda w: self._word(w, w, self.alphabet[32], " " + w))
-            self.chunks = Memo(self._library)
+            self.first = Memo(lambda w: self._word(w, w, "", w), most)
+            self.after = Memo(lambda w: self._word(w, w, self.alphabet[32], " " + w), most)
+            self.chunks = Memo(self._library, most)
             self.newline = self._library("\n")
         else:
-            self.first = Memo(lambda w: self._word(w, w.lower(), "", w))
+            self.first = Memo(lambda w: self._word(w, w.lower(), "", w), most)
 
     def rest(self) -> None:
         """Gives back most of what the memos hold; a worker outlives its tasks."""
@@ -150,14 +152,14 @@ class Encoder:
         return self.newline.join(lines)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = MEMO_CHUNKS) -> Encoder:
+    """One encoder per worker process, file and size of its memos."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def tokenizer_path(name: str) -> str:

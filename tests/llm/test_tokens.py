@@ -203,3 +203,21 @@ def test_a_resting_memo_gives_the_same_ids():
             assert len(m) <= 5 and not m.old
     one.rest()
     assert [one.raw(t) for t in texts] == first
+
+
+def test_packing_holds_few_texts_and_chunks_at_once(spark, monkeypatch):
+    """The pipeline's packing: small batches, small memos, the session's setting untouched, the same pieces."""
+    from folioscope.llm import packing, tokens
+
+    assert tokens.SHARED_CHUNKS * 8 <= tokens.MEMO_CHUNKS
+    small = tokens.Encoder(tokenizer_path("byte_bpe_50k.json"), 3)
+    text = " ".join(f"word{i} other" for i in range(50))
+    assert small.raw(text) == encoder(tokenizer_path("byte_bpe_50k.json")).raw(text)
+    assert all(len(m) <= 3 and len(m.old) <= 3 for m in vars(small).values() if isinstance(m, tokens.Memo))
+    name, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, label: (seen.append((label, spark.conf.get(name))), real(df, label))[1])
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), memo=3).collect()
+    assert ("numbered-pieces", "1000") in seen and spark.conf.get(name) == before
+    assert len({r.ids_crc32 for r in rows}) == 1 and len(rows) == 5
