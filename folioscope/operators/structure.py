@@ -198,14 +198,19 @@ def interpolated_boxes(blocks: DataFrame, lines: DataFrame, pages: DataFrame, sl
 def marker_point(offset: Column, n_chars: Column, rects: Column) -> Column:
     """(x, y) of a marker at a character offset, on rectangles (x0, y0, x1, y1) of lines read right to
     left; without an offset the middle; null without rectangles."""
-    widths = F.transform(rects, lambda r: (r.x1 - r.x0).cast("double"))
-    total = F.aggregate(widths, F.lit(0.0), lambda s, w: s + w)
+    width = lambda r: (r.x1 - r.x0).cast("double")
+    total = F.aggregate(rects, F.lit(0.0), lambda s, r: s + width(r))
     target = F.when(offset.isNull(), F.lit(0.5)).otherwise(offset / F.greatest(n_chars, F.lit(1))) * total
-    ahead = F.transform(widths, lambda w, i: F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0.0), lambda s, v: s + v))
-    ends = F.transform(widths, lambda w, i: (ahead[i] + w >= target) | (i == F.size(widths) - 1))
-    k = (F.array_position(ends, True) - 1).cast("int")
-    x = rects[k].x1 - F.least(target - ahead[k], widths[k])
-    return F.when(F.size(rects) > 0, F.struct(x.alias("x"), ((rects[k].y0 + rects[k].y1) / 2).alias("y")))
+    state = lambda target, ahead, done, x, y: F.struct(target.alias("target"), ahead.alias("ahead"), done.alias("done"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def step(s, r):
+        """Each line in turn, until one ends at or beyond the target; the last one in any case."""
+        end = s.ahead + width(r)
+        return F.when(s.done, s).otherwise(state(s.target, end, F.coalesce(end >= s.target, F.lit(False)), r.x1 - F.least(s.target - s.ahead, width(r)), (r.y0 + r.y1) / 2))
+
+    none = F.lit(None)
+    point = F.aggregate(rects, state(target, F.lit(0.0), F.lit(False), none, none), step, lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
+    return F.when(F.size(rects) > 0, point)
 
 
 def blocks_for_quote(pairs: DataFrame, least: float = 0.6) -> DataFrame:

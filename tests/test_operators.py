@@ -213,3 +213,19 @@ def test_only_lengths_of_blocks_reach_python(spark):
     assert rows(found, "id", "window") == [(1, 0, 0, 2, 9), (1, 1, 2, 3, 8), (3, 0, 0, 0, 1)]
     sent = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line]
     assert sent and "blocks" not in sent[0].split("]")[0].replace("transform(blocks", "") and "length(" in sent[0]
+
+
+def test_marker_point_walks_the_lines_once(spark):
+    """A block of very many lines: each line is looked at once, in order."""
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import structure
+
+    n = 3000
+    rects = [(0, 10 * i, 10, 10 * i + 4) for i in range(n)]
+    rows = spark.createDataFrame([(0, 1234, 3000, rects), (1, None, 7, rects), (2, 9000, 3000, rects), (3, 1, 1, [])], "id int, off int, n int, rects array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    out = rows.select("id", structure.marker_point(F.col("off"), F.col("n"), F.col("rects")).alias("p"))
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.p and (round(r.p.x, 6), r.p.y) for r in out.collect()}
+    # A target at a line's very end belongs to it; beyond the last line the last one counts.
+    assert got == {0: (0.0, 1233 * 10 + 2.0), 1: (0.0, 1499 * 10 + 2.0), 2: (0.0, 2999 * 10 + 2.0), 3: None}
