@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,111 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+#: Pairs whose distances are counted together, and characters of a printed text up to which they are.
+PAIRS, PAIR_CHARS = 1024, 512
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def long_distances(a: str, b: str) -> list[int]:
+    """The edit distances of ``a`` and every beginning of ``b``, the empty one first: a column of the
+    table of distances is two long integers of its steps up and down (Myers)."""
+    now, out = len(a), [len(a)]
+    if not a:
+        return list(range(len(b) + 1))
+    have: dict[str, int] = {}
+    for i, c in enumerate(a):
+        have[c] = have.get(c, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, len(a) - 1
+    up, down = every, 0
+    for c in b:
+        eq = have.get(c, 0)
+        v, h = eq | down, (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (every & ~(h | up)), up & h
+        now += (rise >> top & 1) - (fall >> top & 1)
+        out.append(now)
+        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
+        up, down = fall | (every & ~(v | rise)), rise & v
+    return out
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """As ``long_distances``, for pairs of texts together: row i has the distances of a[i] and the
+    beginnings of b[i]; what lies beyond b[i]'s end means nothing."""
+    x, y = [_codes(s) for s in a], [_codes(s) for s in b]
+    m, n = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    words, steps, k = max(1, -(-int(m.max()) // 64)), int(n.max()), len(a)
+    names, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    own, place = np.repeat(np.arange(k), m), np.concatenate([np.arange(len(s)) for s in x])
+    have = np.zeros((words, len(names), k), np.uint64)
+    one = np.uint64(1)
+    np.bitwise_or.at(have, (place >> 6, code[: len(own)], own), one << (place & 63).astype(np.uint64))
+    text = np.zeros((steps, k), np.int64)
+    text[np.concatenate([np.arange(len(s)) for s in y]), np.repeat(np.arange(k), n)] = code[len(own) :]
+    up, down = np.full((words, k), ~np.uint64(0)), np.zeros((words, k), np.uint64)
+    out = np.empty((steps + 1, k), np.int64)
+    out[0] = m
+    last, top = np.maximum(m - 1, 0) >> 6, (np.maximum(m - 1, 0) & 63).astype(np.uint64)
+    ends = [np.where(last == w, top, np.uint64(63)) for w in range(words)]
+    here = [np.flatnonzero(last == w) for w in range(words)]
+    have, text = have.reshape(words, -1), text * k + np.arange(k)
+    ones, zeros = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+    for j in range(steps):
+        rises, falls = ones, zeros
+        for w in range(words):
+            eq, p, q = have[w].take(text[j]), up[w], down[w]
+            v = eq | q
+            eq |= falls
+            h = eq & p
+            h += p
+            h ^= p
+            h |= eq
+            fall, rise = p & h, ~(h | p)
+            rise |= q
+            above, below = rise >> ends[w], fall >> ends[w]
+            above &= one
+            below &= one
+            if len(here[w]) == k:
+                out[j + 1] = out[j] + above.view(np.int64) - below.view(np.int64)
+            elif len(here[w]):
+                out[j + 1, here[w]] = out[j, here[w]] + above.view(np.int64)[here[w]] - below.view(np.int64)[here[w]]
+            rise <<= one
+            rise |= rises
+            fall <<= one
+            fall |= falls
+            np.bitwise_and(rise, v, out=q)
+            rise |= v
+            np.invert(rise, out=rise)
+            np.bitwise_or(fall, rise, out=p)
+            rises, falls = above, below
+    out[:, m == 0] = np.arange(steps + 1)[:, None]
+    return out.T
+
+
+def prefix_similarities(a: Column, b: Column, sizes: Column) -> Column:
+    """The similarity of a text with beginnings of another, of ``sizes`` characters each: all of one
+    pair's are read off one table of distances."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, y: pd.Series, cuts: pd.Series) -> pd.Series:
+        x, y, cuts = x.tolist(), y.tolist(), [np.asarray(c, np.int64) for c in cuts]
+        out: list = [None] * len(x)
+        short = sorted((i for i in range(len(x)) if len(x[i]) <= PAIR_CHARS), key=lambda i: (len(x[i]), len(y[i])))
+        for k in range(0, len(short), PAIRS):
+            some = short[k : k + PAIRS]
+            for i, row in zip(some, distances([x[i] for i in some], [y[i] for i in some]), strict=True):
+                out[i] = row[cuts[i]]
+        for i in range(len(x)):
+            found = np.array(long_distances(x[i], y[i]))[cuts[i]] if out[i] is None else out[i]
+            longest = np.maximum(cuts[i], len(x[i]))
+            out[i] = np.where(longest == 0, 1.0, 1 - found / np.maximum(longest, 1))
+        return pd.Series(out, dtype=object)
+
+    return run(a, b, sizes)
+
+
 #: Groups into which a text's starts are dealt, so that one with very many is no single row.
 DEALT = 16
 
@@ -75,10 +181,13 @@ def windows(starts: DataFrame, passages: DataFrame, texts: DataFrame, slack: int
     ahead = lambda x: F.least(x.start, F.lit(0))
     cut = lambda x: F.slice("twords", (F.greatest(x.start, F.lit(0)) + 1).cast("int"), F.greatest(x["size"] + slack + ahead(x), F.lit(1)).cast("int"))
     rows = per.join(t, "text_id").select("text_id", F.explode(F.transform("starts", lambda x: F.struct(*[x[c].alias(c) for c in own], cut(x).alias("cut")))).alias("x")).select("text_id", "x.*")
-    rows = rows.join(p, "passage_id").withColumn("n", F.explode(F.sequence(F.greatest(F.size("pwords") - slack, F.lit(1)), F.size("pwords") + slack)))
-    window = F.slice("cut", F.lit(1), F.greatest(F.col("n") + F.least("start", F.lit(0)), F.lit(1)).cast("int"))
-    rows = rows.withColumn("window", F.array_join(window, " ")).withColumn("passage", F.array_join("pwords", " "))
-    return rows.withColumn("similarity", F.round(similarity(F.col("passage"), F.col("window")), 6)).drop("pwords", "cut")
+    rows = rows.join(p, "passage_id").withColumn("ns", F.sequence(F.greatest(F.size("pwords") - slack, F.lit(1)), F.size("pwords") + slack))
+    chars = F.transform("ns", lambda n: F.length(F.array_join(F.slice("cut", F.lit(1), F.greatest(n + F.least("start", F.lit(0)), F.lit(1)).cast("int")), " ")))
+    rows = rows.withColumns({"passage": F.array_join("pwords", " "), "_whole": F.array_join("cut", " "), "chars": chars}).drop("pwords", "cut")
+    rows = rows.withColumn("_s", prefix_similarities(F.col("passage"), F.col("_whole"), F.col("chars")))
+    rows = rows.withColumn("_x", F.explode(F.arrays_zip("ns", "chars", "_s")))
+    rows = rows.withColumns({"n": F.col("_x.ns"), "window": F.left("_whole", F.col("_x.chars")), "similarity": F.round("_x._s", 6)})
+    return rows.drop("ns", "chars", "_s", "_x", "_whole")
 
 
 def classify(sim: Column, ops: Column | None = None) -> Column:
