@@ -309,8 +309,8 @@ def hybrid_degraded(spark, d):
     return rows.select("qid", "id", F.col("rank").cast("long").alias("rank"), "score", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "dense_sim", "dense_available")
 
 
-#: Words of a window in the baseline mode.
-WINDOW = 40
+#: Words of a window in the baseline mode, and windows of a block of its index (a document has about ten).
+WINDOW, WINDOW_BLOCK = 40, 8192
 
 
 @query(f"""
@@ -323,7 +323,7 @@ def search_mode(spark, d):
     """One search over the units that a mode names: whole documents, or windows of them that are found as one."""
     at = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / WINDOW)))
     windows = lambda: texts(spark, d).where(F.size("words") > 0).select("id", "words", at.alias("k")).select("id", F.array_join(F.slice("words", (F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW)), " ").alias("key"))
-    units = {"structured": index(spark, d), "baseline": retrieval.standing(spark, f"windows of {d}", windows)}
+    units = {"structured": index(spark, d), "baseline": retrieval.standing(spark, f"windows of {d}", windows, WINDOW_BLOCK)}
     rows = [retrieval.search(units, mode, question_terms(spark, d), 3, windows={"baseline": 3}) for mode in units]
     return rows[0].unionByName(rows[1]).select("qid", "id", "mode", F.col("rank").cast("long").alias("rank"))
 
