@@ -227,6 +227,8 @@ def unit_verdicts(units: DataFrame) -> DataFrame:
 
 
 def chunk_anchors(chunks: DataFrame, blocks: DataFrame, kind: str = "hadith") -> DataFrame:
-    """(chunk, block_id): a chunk's first block of a kind, else its first block."""
-    rows = chunks.select("chunk", F.posexplode("block_ids").alias("pos", "block_id")).join(blocks.select("block_id", "type"), "block_id", "left")
+    """(chunk, block_id): a chunk's first block of a kind, else its first block. Chunks have block_ids, or are
+    rows of chunk, pos (of any type that has an order) and block_id, of which no list has to be made."""
+    each = chunks.select("chunk", F.posexplode("block_ids").alias("pos", "block_id")) if "block_ids" in chunks.columns else chunks.select("chunk", "pos", "block_id")
+    rows = each.join(blocks.select("block_id", "type"), "block_id", "left")
     return rows.groupBy("chunk").agg(F.min(F.struct((F.coalesce("type", F.lit("")) != kind).alias("other"), "pos", "block_id")).alias("x")).select("chunk", "x.block_id")

@@ -176,10 +176,11 @@ WITH {_PIECES}, b AS (SELECT page AS chunk, ord AS pos, part AS block, part % 4
 SELECT chunk, block AS block_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY NOT is_unit, pos) AS k FROM b) WHERE k = 1""")
 def chunk_anchors(spark, d):
     """A chunk's first block of the unit's type, else its first."""
-    rows = pieces(spark, d).select(F.col("page").alias("chunk"), F.col("ord").alias("pos"), F.col("part").alias("block_id"))
-    chunks = rows.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block_id"))), lambda s: s.block_id).alias("block_ids"))
+    # A chunk's first block is a least value, so its blocks are neither numbered nor listed.
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), order.alias("pos"), F.col("l_partkey").alias("block_id"))
     kinds = rows.select("block_id", F.when(F.col("block_id") % 4 == 0, "hadith").otherwise("body").alias("type")).distinct()
-    return reference.chunk_anchors(chunks, kinds)
+    return reference.chunk_anchors(rows, kinds)
 
 
 _NOTES = f"nb AS (SELECT item_id // 8 AS page, item_id AS ord, CASE WHEN item_id % 3 > 0 THEN CAST(item_id % 5 + 1 AS VARCHAR) END AS marker, {words_sql()} AS w FROM benchmark)"
