@@ -8,6 +8,7 @@ from folioscope import constants as K
 from folioscope.functions import textnorm as N
 from folioscope.operators import gates, metrics, review, spans
 from folioscope.sources.io import as_timestamp, table
+from folioscope.sources.store import scratch
 
 from .key_queries import scribe, scribe_sql, search_sql
 from .registry import GRAMS, key_sql, registry
@@ -125,11 +126,12 @@ SELECT passage_id, n_gold, n_found, n_both, round(p, 6) AS precision, round(r, 6
 def prf(spark, d):
     """How well trigram votes find the documents that hold a passage whole."""
     passages, texts = streams(spark, d)
-    votes = spans.votes(passages, texts)
+    votes = scratch(spans.votes(passages, texts), "votes")
     found = votes.where("votes >= 6").select("passage_id", "text_id").distinct()
-    # A document that holds a passage whole shares all its trigrams, so only voted pairs are read.
+    # A document that holds a passage whole shares all its trigrams at one start, so only pairs with that many votes are read.
     key = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    pairs = votes.select("passage_id", "text_id").distinct().join(passages.select(F.col("id").alias("passage_id"), key("words").alias("p")), "passage_id").join(texts.select(F.col("id").alias("text_id"), key("words").alias("t")), "text_id")
+    sized = votes.join(passages.select(F.col("id").alias("passage_id"), key("words").alias("p"), F.size("words").alias("size")), "passage_id")
+    pairs = sized.where("votes >= size - 2").select("passage_id", "text_id", "p").distinct().join(texts.select(F.col("id").alias("text_id"), key("words").alias("t")), "text_id")
     gold = pairs.where(F.contains("t", F.col("p"))).select("passage_id", "text_id")
     return metrics.prf(gold, found, ["text_id"], ["passage_id"])
 
