@@ -57,7 +57,8 @@ WITH m AS (SELECT doc_id, unnest(regexp_extract_all({MARKED_SQL}, '(\(\s*[0-9]{{
 SELECT doc_id, raw, CASE WHEN ltrim(regexp_extract(raw, '[0-9]+'), '0') = '' THEN '0' ELSE ltrim(regexp_extract(raw, '[0-9]+'), '0') END AS marker, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def marker_extract(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(T.markers(marked(F.col("text")))).alias("raw"))
-    return rows.withColumn("marker", N.normalize_marker(F.col("raw"))).groupBy("doc_id", "raw", "marker").agg(F.count("*").alias("n"))
+    # A marker is told by its print, so it is made for each group, not for each place.
+    return rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).select("doc_id", "raw", N.normalize_marker(F.col("raw")).alias("marker"), "n")
 
 
 @query(r"""

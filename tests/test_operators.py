@@ -229,3 +229,61 @@ def test_marker_point_walks_the_lines_once(spark):
     got = {r.id: r.p and (round(r.p.x, 6), r.p.y) for r in out.collect()}
     # A target at a line's very end belongs to it; beyond the last line the last one counts.
     assert got == {0: (0.0, 1233 * 10 + 2.0), 1: (0.0, 1499 * 10 + 2.0), 2: (0.0, 2999 * 10 + 2.0), 3: None}
+
+
+def test_a_chunks_anchor_needs_no_list_of_its_blocks(spark, tmp_path):
+    """The first block of the kind, else the first, with and without lists; the query makes none."""
+    from folioscope.operators import reference
+    from folioscope.plans import answer_queries as A
+
+    kinds = spark.createDataFrame([(4, "hadith"), (5, "body"), (7, "body"), (8, "hadith")], "block_id long, type string")
+    rows = spark.createDataFrame([(1, 2, 8), (1, 1, 5), (1, 3, 4), (2, 9, 7), (2, 8, 5), (3, 1, 6)], "chunk long, pos int, block_id long")
+    lists = spark.createDataFrame([(1, [5, 8, 4]), (2, [5, 7]), (3, [6])], "chunk long, block_ids array<long>")
+    got = [sorted(map(tuple, reference.chunk_anchors(c, kinds).collect())) for c in (rows, lists)]
+    assert got == [[(1, 8), (2, 5), (3, 6)]] * 2
+    lines = [(1, 2, 8, 1, 1.0, 1.0), (1, 1, 5, 1, 1.0, 1.0), (2, 1, 3, 1, 1.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = A.chunk_anchors(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 8), (2, 3)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_stretches_are_rows_not_groups_of_python(spark):
+    """Cuts by size of many short books and of one over several stretches, without a group for each."""
+    from folioscope.operators import chunking
+
+    books = [(b, p // 4, p, 40, p == 0, p > 0) for b in range(30) for p in range(10)] + [(99, 0, 0, 500, True, False)]
+    rows = spark.createDataFrame(books, "book int, stretch long, pos long, n int, opens boolean, may_cut boolean")
+    df = chunking.size_cuts(rows, 100)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.collect()
+    assert len(got) == 301 and {(r.pos, r.cut) for r in got if r.book < 30} == {(p, p in (3, 6, 9)) for p in range(10)}
+    assert [r.cut for r in got if r.book == 99] == [False]
+
+
+def test_markers_are_read_once_for_each_print(spark, tmp_path):
+    """The number of a marker is made after the count of its places."""
+    from folioscope.plans import text_queries as Q
+
+    spark.createDataFrame([(1, "a. b. " + "c" * 9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q.marker_extract(spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [(1, "(15)", "15", 2)]
+    line = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
+    assert "raw" in line.split("]")[0] and "marker" not in line.split("]")[0]
+
+
+def test_windows_index_has_larger_blocks(spark, monkeypatch):
+    """Short texts share a block of the index, which bounds what is held by parts, not by terms."""
+    from folioscope.operators import postings
+    from folioscope.plans import unit_queries as U
+
+    assert U.WINDOW_BLOCK * U.WINDOW >= postings.BLOCK_TEXTS * 100
+    texts = spark.createDataFrame([(i, f"alpha word{i % 3} beta") for i in range(40)], "id long, key string")
+    monkeypatch.setattr(postings, "PARTS", 80)
+    one = postings.standing(spark, "small blocks", lambda: texts, 10)
+    two = postings.standing(spark, "a large block", lambda: texts, 1000)
+    assert one.blocks.count() > two.blocks.count() == 1
+    asked = spark.createDataFrame([(1, "alpha"), (1, "word2"), (2, "beta")], "qid long, qterm string")
+    got = [sorted(map(tuple, postings.lexical_top(i, asked, 5).collect())) for i in (one, two)]
+    assert got[0] == got[1] and len(got[0]) == 10

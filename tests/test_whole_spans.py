@@ -86,3 +86,17 @@ def test_runs_of_texts_are_read_once(spark, monkeypatch):
     monkeypatch.setattr(verses, "scratch", lambda df, label: (written.append(label), real(df, label))[1])
     rows = verses.find_unmarked(texts, ref).collect()
     assert written == ["runs"] and [(r.qid, r.at, r.status) for r in rows] == [(1, 2, "exact")]
+
+
+def test_measures_read_no_text_of_a_pair_with_few_votes(spark, tmp_path):
+    """A text that holds a passage whole is found by its votes at one start; two halves apart are not whole."""
+    from folioscope.plans import rule_queries as R
+
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliett".split()
+    texts = [" ".join(["x", *words, "y"]), " ".join([*words[:8], "gap", *words[2:]]), " ".join(words[:5]), None]
+    spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = R.prf(spark, str(tmp_path))
+    assert [(r.n_gold, r.n_found, r.n_both) for r in df.collect()] == [(1, 2, 1)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents.parquet") == 0 and "size" in plan and "votes" in plan
