@@ -125,7 +125,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int, file_ids: int = FIL
         files.move(own, f"{root}/{name}")
 
     def run(batches):
-        ids_of = encoder(path).ids
+        ids_of = encoder(path).batch
         end = np.array([end_id], "<u4")
         block, keys, ids, n, part = 0, [], [], 0, 0
 
@@ -135,8 +135,8 @@ def write_token_files(df: DataFrame, path: str, end_id: int, file_ids: int = FIL
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([name])], names=["part", "block", "n_ids", "name"])
 
         for b in batches:
-            for part, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = np.concatenate([ids_of(text), end])
+            for part, key, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids_of(b.column(2)), strict=True):
+                x = np.concatenate([own, end])
                 keys.append(key)
                 ids.append(x)
                 n += len(x)

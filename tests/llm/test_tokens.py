@@ -5,11 +5,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folioscope.llm import packing, token_counts, token_files
-from folioscope.llm.tokens import encoder, tokenizer_path
+from folioscope.llm import packing, token_counts, token_files, tokens
+from folioscope.llm.tokens import Encoder, encoder, tokenizer_path
 
 
 def library(name):
@@ -221,3 +222,27 @@ def test_packing_holds_few_texts_and_chunks_at_once(spark, monkeypatch):
     rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), memo=3).collect()
     assert ("numbered-pieces", "1000") in seen and spark.conf.get(name) == before
     assert len({r.ids_crc32 for r in rows}) == 1 and len(rows) == 5
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_give_the_librarys_ids_and_ask_once_for_a_word(name, odd_texts, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 200)
+    more = ["Wört, wört. WÖRT; zebraıİŸ K µm ª\nnext line\nŸes", "\n first", "ends \n", " a ", "x" * 70 + ", " + "y" * 64 + "." * 70, "it's don't’s a--b 12,5 naïve…"]
+    texts = [*odd_texts, *more, None, "", *odd_texts]
+    ids, own = library(name), Encoder(tokenizer_path(name), most=20)
+    assert [x.tolist() for x in own.batch(pa.array(texts))] == [ids(t) for t in texts]
+    assert list(own.batch(pa.array([], pa.string()))) == [] and [len(x) for x in own.batch(pa.array([None, ""]))] == [0, 0]
+    asked = []
+    own, pieces = Encoder(tokenizer_path(name)), own._pieces
+    own.cores.answers = lambda words: asked.extend(words) or pieces(words)
+    words = "zebrix zebrix, zebrix. zebrix;! zebrix"
+    assert [x.tolist() for x in own.batch(pa.array([f"{words} {words}\n{words}"] * 30))] == [ids(f"{words} {words}\n{words}")] * 30
+    assert asked == ["zebrix"]
+
+
+def test_a_full_pool_keeps_the_first_words_and_stays_right():
+    pool = tokens.Pool(lambda words: (np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.array([len(w) for w in words])), 4)
+    for words in (["ab", "c"], ["c", "def", "gh"], ["i", "ab"], ["jkl", "gh", "c", "ab"], []):
+        start, length = pool.runs(pa.array(words, pa.string()))
+        assert ["".join(map(chr, pool.ids[s : s + n])) for s, n in zip(start, length, strict=True)] == words
+    assert len(pool.numbers) <= 6 and list(pool.numbers)[:2] == ["ab", "c"]
