@@ -36,8 +36,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BANDS = (2, 4, 16)
 #: Rows that a superstep gives one task, and sequences that a task opens, at least.
 TASK_ROWS, TASK_SEQUENCES = 20_000, 1024
-#: Texts that a task holds as strings at once.
-TEXTS = 512
 _GAP, _OPEN, _PLACED = 0, 1, 2
 
 
@@ -186,10 +184,9 @@ def pieces_of(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
         encode, end = encoder(path, memo), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for i in range(0, b.num_rows, TEXTS):
-                for key, text in zip(*(c.slice(i, TEXTS).to_pylist() for c in b.columns[:2]), strict=True):
-                    raw = encode.raw(text) + end
-                    rows += [(key, p, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(cut(len(raw) // 4, capacity))]
+            for key, ids in zip(b.column(0).to_pylist(), encode.batch(b.column(1)), strict=True):
+                raw = ids.tobytes() + end
+                rows += [(key, p, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(cut(len(raw) // 4, capacity))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         encode.rest()
