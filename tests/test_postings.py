@@ -84,3 +84,19 @@ def test_numbers_take_as_many_bytes_as_they_need():
     assert postings._widened(column, n).tolist() == parts.tolist()
     assert [len(c) for c in column.to_pylist()] == [k * (1 if top < 256 else 2 if top < 65536 else 4) for k, top in zip(n, np.maximum.reduceat(parts, cut), strict=True)]
     assert len(postings._narrow(parts[:0], cut[:0])) == 0 and len(postings._widened(column.slice(0, 0), n[:0])) == 0
+
+
+def test_the_index_moves_no_text_and_phrases_need_no_dictionary(spark, tmp_path, monkeypatch):
+    """Blocks are texts that lie together, whole but for each part's last; the dictionary waits for a search that expands terms."""
+    seen, real = {}, postings.scratch
+    monkeypatch.setattr(postings, "scratch", lambda df, label: (seen.update({label: df._jdf.queryExecution().executedPlan().toString()}), real(df, label))[1])
+    rows = [(k, f"word{k % 5} and other{k % 3}") for k in range(400)]
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a part for each file
+    index = postings.write_index(spark.createDataFrame(rows, "id long, key string").repartition(9), str(tmp_path), block_texts=7)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Exchange" not in seen["inverted"]
+    sizes = [len(r.ids) // 8 for r in index.blocks.collect()]
+    assert sum(sizes) == 400 and max(sizes) == 7 and index.blocks.select("block").distinct().count() == len(sizes) <= 400 // 7 + 9
+    got = postings.phrase_top(index, spark.createDataFrame([(1, "word2 and other1")], "qid long, phrase string"))
+    assert [r.id for r in got.orderBy("rank").collect()] == [k for k in range(400) if k % 5 == 2 and k % 3 == 1][:10]
+    assert not (tmp_path / "terms").exists() and index.terms.count() == 9 and (tmp_path / "terms").exists()
